@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from tessaria.llm import packing, quality, urls
+from tessaria.llm import fingerprint_index, packing, quality, suffix_array, urls
 
 
 def queries() -> dict:
-    return {"op6_quality_rules": quality.query, "op7_best_fit_packing": packing.query, "op9_url_filters": urls.query}
+    return {
+        "op1_suffix_array_dedup": suffix_array.query,
+        "op6_quality_rules": quality.query,
+        "op7_best_fit_packing": packing.query,
+        "op8_substring_dedup": fingerprint_index.query,
+        "op9_url_filters": urls.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
