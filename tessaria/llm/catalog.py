@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from tessaria.llm import fingerprint_index, packing, quality, suffix_array, urls
+from tessaria.llm import fingerprint_index, lm_scores, minhash, packing, pieces, quality, secrets, suffix_array, topk, urls
 
 
 def queries() -> dict:
     return {
         "op1_suffix_array_dedup": suffix_array.query,
+        "op2_secret_scans": secrets.query,
+        "op3_exact_top_k": topk.query,
+        "op4_lm_scoring": lm_scores.query,
+        "op5_minhash_near_dedup": minhash.query,
         "op6_quality_rules": quality.query,
         "op7_best_fit_packing": packing.query,
         "op8_substring_dedup": fingerprint_index.query,
         "op9_url_filters": urls.query,
+        "op10_sentencepiece_sampling": pieces.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filters": urls.SQL}
+    return {"op3_exact_top_k": topk.SQL, "op9_url_filters": urls.SQL}
