@@ -76,11 +76,12 @@ class FingerprintIndex:
 def dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, k: int = K) -> DataFrame:
     """The rows of ``spans.remove`` with each document checked against all of smaller id.
 
-    The documents come as ``batches`` deliveries by ranges of doc_id. Ids are distinct and not null.
+    The documents come as ``batches`` deliveries by ranges of doc_id. Rows of one doc_id are one document; rows without
+    doc_id are left out.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "fingerprints")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = space.write(anchor_rows(docs, window, k), "anchors")
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     width = ((high or 0) - (low or 0)) // batches + 1

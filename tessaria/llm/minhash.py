@@ -16,7 +16,7 @@ linked in two passes, neither of which writes out all pairs of a large bucket:
 So every pair of a bucket is either in one component or has been compared on its full sets. A link holds if
 100 * |A and B| >= 80 * |A or B|.
 
-Nulls count as empty texts. doc_id is distinct and not null. Empty tables give no rows. Other columns are not read.
+Nulls count as empty texts. Rows without doc_id are left out; repeated rows of one doc_id share its result. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def band_keys(values: np.ndarray, first: np.ndarray, table: np.ndarray, bits: in
     return out
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, k: int = K) -> DataFrame:
     """Per document its number of distinct shingles, two hashes of the set, and its bucket keys (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for block in blocks(batch.column(1)):
                 n = block.hi - block.lo
-                rows, values = distinct_shingles(block)
+                rows, values = distinct_shingles(block, k)
                 first = np.searchsorted(rows, np.arange(n + 1))
                 count = np.diff(first)
                 sums = []
@@ -146,7 +146,7 @@ def near(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, k: int = K) -> DataFrame:
     """Those pairs (a, b) whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 for column in (2, 3):
                     own = []
                     for block in blocks(part.column(column)):
-                        rows, values = distinct_shingles(block)
+                        rows, values = distinct_shingles(block, k)
                         own.append((rows + block.lo, values))
                     rows = np.concatenate([x for x, _ in own])
                     found.append((rows, np.concatenate([x for _, x in own])))
@@ -174,7 +174,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def block_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def block_links(rows: DataFrame, texts: DataFrame, k: int = K) -> DataFrame:
     """Links between different components within large buckets: rows (key, doc_id, label, size), compared block by
     block; a group holds at most about two blocks of documents."""
 
@@ -182,7 +182,7 @@ def block_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
         doc, label, block = (group[c].to_numpy() for c in ("doc_id", "label", "block"))
         sets = []
         for part in blocks(group["text"]):
-            rows_, values = distinct_shingles(part)
+            rows_, values = distinct_shingles(part, k)
             sets += np.split(values, np.searchsorted(rows_, np.arange(1, part.hi - part.lo)))
         links = []
         low, high = group["low"][0].as_py(), group["high"][0].as_py()
@@ -201,11 +201,11 @@ def block_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.join(texts, "doc_id").groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = K) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least document reachable by links), kept (it is that one)."""
     space = Workspace(docs.sparkSession, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketch = space.write(sketches(docs), "sketches")
+    docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sketch = space.write(sketches(docs, k), "sketches")
     classes = space.write(sketch.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     alone = F.col("n_shingles") == 0
     members = space.write(sketch.join(classes, ["set1", "set2", "n_shingles"]).select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("rep"), "bands"), "members")
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     tried = buckets.filter(F.col("prev").isNotNull() & near("n_shingles", "prev_n")).select(F.least("doc_id", "prev").alias("a"), F.greatest("doc_id", "prev").alias("b")).distinct()
     tried = space.write(tried, "tried")
-    links = space.write(verified(tried, texts), "links")
+    links = space.write(verified(tried, texts, k), "links")
     labels = components(space, links, "first")
 
     rows = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label"))
@@ -226,9 +226,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     x, y = small.alias("x"), small.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & near("x.n_shingles", "y.n_shingles"))
     pairs = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    more = verified(space.write(pairs, "pairs").join(tried, ["a", "b"], "left_anti"), texts)
+    more = verified(space.write(pairs, "pairs").join(tried, ["a", "b"], "left_anti"), texts, k)
     large = rows.filter(F.col("size") > SMALL)
-    more = space.write(more.union(block_links(large, texts)), "more")
+    more = space.write(more.union(block_links(large, texts, k)), "more")
     if more.take(1):
         labels = components(space, links.union(more), "last")
     found = members.select("doc_id", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")

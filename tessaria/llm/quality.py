@@ -86,10 +86,10 @@ def fertility(block: Block, w: Words, model: str) -> tuple[np.ndarray, np.ndarra
     return tokens, single, entropy
 
 
-def judge(docs: DataFrame, model: str, bands: dict = BANDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the ``keep`` columns, then SCHEMA. A text is of script "latin" if most of its word bytes are ASCII or
+def judge(docs: DataFrame, model: str, bands: dict = BANDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns, then SCHEMA. A text is of script "latin" if most of its word bytes are ASCII or
     Latin supplements (lead bytes C2 to C9)."""
-    held = ["doc_id", *keep]
+    others = [c for c in keep if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,12 +104,12 @@ def judge(docs: DataFrame, model: str, bands: dict = BANDS, keep: tuple[str, ...
                 share = single / np.maximum(tokens, 1)
                 failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > REPEAT_PERCENT * found["n_words"])
                 kept = ~failed & (ratio >= least) & (ratio <= most) & (share <= bytes_most) & (entropy >= bits)
-                own = [batch.column(i + 1).slice(block.lo, block.hi - block.lo) for i in range(len(held))]
+                own = [batch.column(0 if c == "text" else 1 + others.index(c)).slice(block.lo, block.hi - block.lo) for c in keep]
                 made = [pa.array(found[c].astype(np.int64)) for c in COUNTS] + [pa.array(x) for x in (failed, kept, tokens.astype(np.int64), ratio, share, entropy, np.where(latin, "latin", "other").tolist())]
-                yield pa.RecordBatch.from_arrays([*own, *made], [*held, *(x.split()[0] for x in SCHEMA.split(", "))])
+                yield pa.RecordBatch.from_arrays([*own, *made], [*keep, *(x.split()[0] for x in SCHEMA.split(", "))])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in held)
-    return docs.select(F.col("text").cast("string").alias("__text"), *held).mapInArrow(run, f"{kinds}, {SCHEMA}")
+    kinds = ", ".join(f"`{c}` {'string' if c == 'text' else docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col("text").cast("string"), *others).mapInArrow(run, f"{kinds}, {SCHEMA}")
 
 
 def vocabulary() -> str:

@@ -135,6 +135,7 @@ def scan(docs: DataFrame, ratio: np.ndarray, keep: tuple[str, ...] = ("doc_id",)
     """The ``keep`` columns, then SCHEMA; ``redacted`` is the text with every span replaced by MASK (overlapping spans
     by one)."""
     empty = hashlib.sha256(b"").hexdigest()
+    others = [c for c in keep if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,10 +162,10 @@ def scan(docs: DataFrame, ratio: np.ndarray, keep: tuple[str, ...] = ("doc_id",)
                         last = max(last, b - at)
                     redacted[row] = b"".join([*parts, raw[last:]]).decode("utf-8", "replace")
                 made = [*(pa.array(counts[k]) for k in range(3)), pa.array(base, pa.string()), pa.array(spans, pa.string()), pa.array(counts[3]), pa.array(redacted, pa.string()) if found else text]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i + 1).slice(block.lo, n) for i in range(len(keep))), *made], [*keep, *(x.split()[0] for x in SCHEMA.split(", "))])
+                yield pa.RecordBatch.from_arrays([*(batch.column(0 if c == "text" else 1 + others.index(c)).slice(block.lo, n) for c in keep), *made], [*keep, *(x.split()[0] for x in SCHEMA.split(", "))])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("text").cast("string").alias("__text"), *keep).mapInArrow(run, f"{kinds}, {SCHEMA}")
+    kinds = ", ".join(f"`{c}` {'string' if c == 'text' else docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col("text").cast("string"), *others).mapInArrow(run, f"{kinds}, {SCHEMA}")
 
 
 def model(docs: DataFrame) -> np.ndarray:

@@ -69,6 +69,8 @@ def window_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 start = spread(lo, hi - lo + 1)
                 row = np.repeat(row, hi - lo + 1)
                 at = start + w.first[row]
+                there = at + window <= w.first[row + 1]
+                row, start, at = row[there], start[there], at[there]
                 ids = batch.column(0).slice(block.lo, block.hi - block.lo).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(start.astype(np.int32)), pa.array(signed(PrefixHash(word_hashes(block, w)).of(at, at + window)))], ["doc_id", "start", "hash"])
 
@@ -97,10 +99,10 @@ def resolve(space: Workspace, docs: DataFrame, candidates: DataFrame, keys: Data
     return plain.unionByName(judged.filter("late").select("doc_id", "lo", "hi")).unionByName(single)
 
 
-def remove(docs: DataFrame, ranges: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, spans (removed word ranges, start:end, comma-joined), kept (kept
+def remove(docs: DataFrame, ranges: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: the ``keep`` columns, doc_id, n_words, n_removed, spans (removed word ranges, start:end, comma-joined), kept (kept
     words joined by one space), cleaned (the text itself where nothing goes; else the kept stretches of it, layout
-    included, joined by one space)."""
+    included, joined by one space; null for a null text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,8 +113,9 @@ def remove(docs: DataFrame, ranges: DataFrame, window: int = WINDOW) -> DataFram
                 own = slice(bounds[block.lo], bounds[block.hi])
                 base = w.first[row]
                 depth = np.zeros(len(w.start) + 1, np.int64)
-                np.add.at(depth, base + lows[own], 1)
-                np.add.at(depth, base + highs[own] + window, -1)
+                stop = w.first[row + 1]
+                np.add.at(depth, np.minimum(base + lows[own], stop), 1)
+                np.add.at(depth, np.minimum(base + highs[own] + window, stop), -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 removed = np.zeros(len(gone) + 1, np.int64)
                 np.cumsum(gone, out=removed[1:])
@@ -134,7 +137,11 @@ def remove(docs: DataFrame, ranges: DataFrame, window: int = WINDOW) -> DataFram
                     kept.append(b" ".join(cleaned[-1].split()))
                 counts = np.diff(w.first)
                 less = removed[w.first[1:]] - removed[w.first[:-1]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.hi - block.lo), pa.array(counts.astype(np.int64)), pa.array(less), pa.array(spans, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(cleaned, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept", "cleaned"])
-
-    joined = docs.select("doc_id", "text").join(by_document(ranges), "doc_id", "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, spans string, kept string, cleaned string")
+                part = batch.slice(block.lo, block.hi - block.lo)
+                clean = pa.array(cleaned, pa.binary(), mask=np.asarray(part.column(1).is_null()))
+                made = [pa.array(counts.astype(np.int64)), pa.array(less), pa.array(spans, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), clean.cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns[3:], part.column(0), *made], [*keep, "doc_id", "n_words", "n_removed", "spans", "kept", "cleaned"])
+
+    joined = docs.select("doc_id", "text", *keep).join(by_document(ranges), "doc_id", "left").select("doc_id", "text", "ranges", *keep)
+    carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return joined.mapInArrow(run, f"{carried}doc_id long, n_words long, n_removed long, spans string, kept string, cleaned string")

@@ -109,17 +109,17 @@ def neighbours(array: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     return array.mapInArrow(run, ANCHOR)
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """The rows of ``spans.remove``. Ids are distinct and not null."""
+def dedup(docs: DataFrame, window: int = WINDOW, k: int = K, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``spans.remove``. Rows of one doc_id are one document; rows without doc_id are left out."""
     space = Workspace(docs.sparkSession, "suffixes")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
     retained = space.write(suffixes(docs, window, k), "retained")
     array = retained.repartitionByRange("suffix", "doc_id").sortWithinPartitions("suffix", "doc_id")
     found = space.write(neighbours(array, window, k), "found")
     space.drop("retained")
     keys = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("context") != F.max("context")).alias("multi"))
     keys = space.write(keys.filter("first < last").drop("last"), "keys")
-    return remove(docs, resolve(space, docs, found, keys, window), window)
+    return remove(docs, resolve(space, docs.select("doc_id", "text"), found, keys, window), window, keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
