@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tessaria.plans import relational  # noqa: F401  (modules register on import)
+from tessaria.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
