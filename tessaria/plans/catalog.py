@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessaria.plans import relational  # noqa: F401  (modules register on import)
+from tessaria.plans import aggregates, comparables, relational  # noqa: F401  (modules register on import)
 from tessaria.plans.registry import QUERIES, SQL
 
 
