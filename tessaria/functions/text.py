@@ -128,8 +128,11 @@ def indel_similarity(a: str, b: str) -> float:
     return 2 * row[-1] / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
-def token_sort_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Similarity of two texts with their tokens sorted; null if either is. For pairs that survive blocking."""
+def _token_sort_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([None if x is None or y is None else indel_similarity(" ".join(sorted(x.split())), " ".join(sorted(y.split()))) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def token_sort_ratio(a, b) -> Column:
+    """Similarity of two texts with their tokens sorted; null if either is. For pairs that survive blocking."""
+    return F.pandas_udf(_token_sort_ratio, "double")(a, b)

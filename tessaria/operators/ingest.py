@@ -70,14 +70,14 @@ def missed_sweeps(presence: DataFrame, key: str, sweep: str) -> DataFrame:
     return gaps.groupBy(key).agg(F.max("_gap").alias("misses")).withColumn("withdrawn", F.col("misses") >= MISSES)
 
 
-def mass_withdrawal(runs: DataFrame, source: str, order: str, gone: str, checked: str) -> DataFrame:
+def mass_withdrawal(runs: DataFrame, source: str, order: str, gone: str, checked: str, over: float = GUARD_OVER) -> DataFrame:
     """Adds ``held``: many verified as gone at once, against the source's last 50 runs."""
     w = Window.partitionBy(source).orderBy(order).rowsBetween(-GUARD_RUNS, -1)
     past_gone, past = F.coalesce(F.sum(gone).over(w), F.lit(0)), F.coalesce(F.sum(checked).over(w), F.lit(0))
     ratio = F.try_divide(F.col(gone), F.col(checked))
     history = F.try_divide(past_gone, past)
-    over = (past >= GUARD_HISTORY) & (ratio > history + GUARD_OVER)
-    return runs.withColumn("held", F.coalesce((F.col(gone) >= GUARD_LEAST) & ((ratio >= GUARD_RATIO) | over), F.lit(False)))
+    unusual = (past >= GUARD_HISTORY) & (ratio > history + over)
+    return runs.withColumn("held", F.coalesce((F.col(gone) >= GUARD_LEAST) & ((ratio >= GUARD_RATIO) | unusual), F.lit(False)))
 
 
 def skip_reason(rules: Sequence[tuple[str, bool, Column]]) -> Column:
