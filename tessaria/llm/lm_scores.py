@@ -51,21 +51,22 @@ def section_ngrams(texts: pa.ChunkedArray, order: int, bits: int) -> tuple[np.nd
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending distinct values as differences of the fewest bytes that hold them."""
+    """Ascending distinct values: the first, then differences of the fewest bytes that hold them all."""
     if not len(values):
-        return b"\0"
-    steps = np.diff(values, prepend=U(0))
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+        return b""
+    steps = np.diff(values)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + int(values[0]).to_bytes(8, "little") + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack_sorted(raw: bytes) -> np.ndarray:
-    width = raw[0]
-    if not width:
+    if not raw:
         return np.zeros(0, U)
-    steps = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
-    out = np.zeros((len(steps), 8), np.uint8)
-    out[:, :width] = steps
+    width = raw[0]
+    steps = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+    out = np.zeros((len(steps) + 1, 8), np.uint8)
+    out[0] = np.frombuffer(raw, np.uint8, 8, offset=1)
+    out[1:, :width] = steps
     return np.cumsum(out.view("<u8").ravel(), dtype=U)
 
 
