@@ -63,11 +63,14 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, length: int = LENGTH
 
 
 def best_two_fit(lengths: list[int], room: int) -> list[list[int]]:
-    """Bins of indexes into ``lengths``.
+    """Bins of indexes into ``lengths``: the fewer of the bins with and without replacements, which now and then use up
+    small pieces that later bins would need."""
+    return min((filled(lengths, room, replace) for replace in (True, False)), key=len)
 
-    Each bin starts with the longest piece left and takes the longest that fits until none does; then, while it helps,
-    its smallest piece gives way to the two unpacked pieces that together fill the widened gap best.
-    """
+
+def filled(lengths: list[int], room: int, replace: bool) -> list[list[int]]:
+    """Each bin starts with the longest piece left and takes the longest that fits until none does; then, while it
+    helps, its smallest piece gives way to the two unpacked pieces that together fill the widened gap best."""
     stock: dict[int, list[int]] = {}
     for i, size in enumerate(lengths):
         stock.setdefault(size, []).append(i)
@@ -97,7 +100,7 @@ def best_two_fit(lengths: list[int], room: int) -> list[list[int]]:
             sizes.append(size)
             gap -= size
             take(size)
-        while gap and len(sizes) > 1:
+        while replace and gap and len(sizes) > 1:
             small = min(sizes)
             wide, best = gap + small, (small, 0, 0)
             a = longest(wide - 1)
