@@ -142,7 +142,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> Data
             seen = other[n] > 0
             value = np.where(seen, np.log(np.maximum(other[n], 1)) - np.log(np.maximum(below, 1)), value + (log(alpha) if n else 0) * grams[n][1])
             used[seen] = n + 1
-        made = {"doc_id": group["doc_id"], "n_words": count.astype(np.int64), "log_score": np.bincount(row, weights=value, minlength=len(count))}
+        made = {"doc_id": group["doc_id"], "n_words": count.astype(np.int64), "log_score": np.bincount(row, weights=value, minlength=len(count)).astype(float)}
         return pa.table(made | {f"n_order{n + 1}": np.bincount(row[used == n + 1], minlength=len(count)).astype(np.int64) for n in orders})
 
     dealt = docs.withColumn("section", F.pmod(F.xxhash64("doc_id"), F.lit(sections)).cast("long"))
