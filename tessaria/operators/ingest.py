@@ -16,7 +16,7 @@ TREND_RUNS, TREND_DROP = 5, -0.10
 
 
 def relative_move(old: Column, new: Column) -> Column:
-    return F.abs(new - old) / old
+    return F.try_divide(F.abs(new - old), old)
 
 
 def adoptable(old: Column, new: Column) -> Column:

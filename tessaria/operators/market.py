@@ -14,14 +14,14 @@ LEAST_DROP, MOST_DROP = 0.01, 0.60
 
 def price_drops(moved: DataFrame, value: str) -> DataFrame:
     """Rows of ``keyed.moves`` whose value fell by 1 % to 60 %: adds ``pct``."""
-    return moved.withColumn("pct", (F.col("previous") - F.col(value)) / F.col("previous")).filter(F.col("pct").between(LEAST_DROP, MOST_DROP))
+    return moved.withColumn("pct", F.try_divide(F.col("previous") - F.col(value), F.col("previous"))).filter(F.col("pct").between(LEAST_DROP, MOST_DROP))
 
 
 def first_last_drop(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
     """key, drop_pct from the first to the last value: two aggregates, no window."""
     at = F.struct(*order)
     ends = df.groupBy(key).agg(F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"))
-    return ends.select(key, ((F.col("first") - F.col("last")) / F.col("first")).alias("drop_pct"))
+    return ends.select(key, F.try_divide(F.col("first") - F.col("last"), F.col("first")).alias("drop_pct"))
 
 
 def days_on_market(df: DataFrame, key: str, ts: str, terminal: Column, as_of: str) -> DataFrame:
@@ -40,7 +40,7 @@ def area_price(df: DataFrame, km: float, least: int = 5, max_lat: float = 50.0)
     comps = pairs.groupBy(F.col("l.id").alias("id")).agg(F.count("*").alias("n"), F.percentile("r.m2", 0.5).alias("median"))
     enough = F.coalesce("n", F.lit(0)) >= least
     joined = sized.join(comps, "id", "left")
-    return joined.select("id", F.coalesce("n", F.lit(0)).alias("n_comps"), F.when(enough, F.round("median", 6)).alias("median_m2"), F.when(enough, F.round((F.col("m2") - F.col("median")) / F.col("median") * 100, 4)).alias("pct_vs_average"))
+    return joined.select("id", F.coalesce("n", F.lit(0)).alias("n_comps"), F.when(enough, F.round("median", 6)).alias("median_m2"), F.when(enough, F.round(F.try_divide(F.col("m2") - F.col("median"), F.col("median")) * 100, 4)).alias("pct_vs_average"))
 
 
 def rent_estimate(df: DataFrame, km: float, max_lat: float = 50.0) -> DataFrame:
@@ -50,7 +50,7 @@ def rent_estimate(df: DataFrame, km: float, max_lat: float = 50.0) -> DataFrame:
     pairs = within_km_join(sized, sized, km, ("kind",), max_lat, alike)
     three = F.percentile("r.price", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
     found = pairs.groupBy(F.col("l.id").alias("id")).agg(F.count("*").alias("n"), three.alias("p"))
-    spread = (F.col("p")[2] - F.col("p")[0]) / F.col("p")[1]
+    spread = F.try_divide(F.col("p")[2] - F.col("p")[0], F.col("p")[1])
     label = F.when((F.col("n") >= 8) & (spread <= 0.6), "high").when((F.col("n") >= 3) & ((F.col("n") >= 8) | (spread <= 0.6)), "low").otherwise("insufficient")
     return found.select("id", "n", *(F.round(F.col("p")[i], 6).alias(name) for i, name in enumerate(("p25", "p50", "p75"))), label.alias("confidence"))
 
@@ -58,11 +58,11 @@ def rent_estimate(df: DataFrame, km: float, max_lat: float = 50.0) -> DataFrame:
 def like_for_like(df: DataFrame, pool: Sequence[str], least: int = 3) -> DataFrame:
     """id, basis (segment, pool or null), reference, below: how far a row's price per size is under the median of its
     segment (rooms within 1, size within 25 %, same ground flag), else of its pool. The row itself counts in both."""
-    rows = df.withColumn("m2", F.col("price") / F.col("size"))
+    rows = df.withColumn("m2", F.try_divide(F.col("price"), F.col("size")))
     pairs = band_join(rows, rows, (*pool, "ground"), "rooms", 1, F.col("r.size").between(F.col("l.size") * 0.75, F.col("l.size") * 1.25))
     segment = pairs.groupBy(F.col("l.id").alias("id")).agg(F.count("*").alias("n_segment"), F.percentile("r.m2", 0.5).alias("segment"))
     whole = rows.groupBy(*pool).agg(F.count("*").alias("n_pool"), F.percentile("m2", 0.5).alias("pool_median"))
     joined = rows.join(segment, "id", "left").join(whole, list(pool))
     basis = F.when(F.col("n_segment") >= least, "segment").when(F.col("n_pool") >= least, "pool")
     reference = F.when(basis == "segment", F.col("segment")).when(basis == "pool", F.col("pool_median"))
-    return joined.select("id", basis.alias("basis"), F.round(reference, 6).alias("reference"), F.round(1 - F.col("m2") / reference, 6).alias("below"))
+    return joined.select("id", basis.alias("basis"), F.round(reference, 6).alias("reference"), F.round(1 - F.try_divide(F.col("m2"), reference), 6).alias("below"))

@@ -77,14 +77,14 @@ def missed_state(sweeps: DataFrame, source: str, sweep: str, found: str) -> Data
 
     def step(group: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids, misses = state.get if state.exists else ([], [])
-        count = dict(zip(ids, misses, strict=True))
+        count = {int(i): int(n) for i, n in zip(ids, misses, strict=True)}
         out = []
         for row in pd.concat(list(rows)).sort_values(sweep).itertuples():
-            seen = set(getattr(row, found))
+            seen = {int(i) for i in getattr(row, found)}
             for i in list(count):
                 count[i] = 0 if i in seen else count[i] + 1
                 if count[i] == MISSES:
-                    out.append((group[0], getattr(row, sweep), i))
+                    out.append((int(group[0]), int(getattr(row, sweep)), i))
                     del count[i]
             count |= dict.fromkeys(seen, 0)
         state.update((list(count), list(count.values())))
