@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessaria.plans import aggregates, comparables, ingest, linking, models, relational, sources  # noqa: F401  (modules register on import)
+from tessaria.plans import aggregates, comparables, ingest, linking, models, operations, relational, sources  # noqa: F401  (modules register on import)
 from tessaria.plans.registry import QUERIES, SQL
 
 
