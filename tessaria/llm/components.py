@@ -17,17 +17,19 @@ def components(space: Workspace, edges: DataFrame, name: str = "labels") -> Data
     """
     both = space.write(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}_both")
     labels = space.write(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("node"), F.least("a", "near").alias("label")), f"{name}_0")
-    round_ = 0
+    # labels only ever fall, so equal sums mean that nothing has changed
+    total = lambda x: x.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+    round_, before = 0, total(labels)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
         step = space.write(labels.union(near).groupBy("node").agg(F.min("label").alias("label")), f"{name}_{round_}_step")
         far = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
         jumped = step.join(far, "label").select("node", F.least("label", "far").alias("label"))
         new = space.write(jumped, f"{name}_{round_ + 1}")
-        # labels only ever fall, so equal sums mean that nothing has changed
-        before, after = (x.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0] for x in (labels, new))
+        after = total(new)
         space.drop(f"{name}_{round_}_step")
         space.drop(f"{name}_{round_}")
         labels, round_ = new, round_ + 1
         if before == after:
             return labels
+        before = after
