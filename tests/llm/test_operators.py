@@ -9,8 +9,9 @@ import pytest
 from brute import SCHEMA, backoff, base_spans, corpus, digest, judge_url, near_groups, quality_counts, removed, top
 from pyspark.sql import functions as F
 
-from tessaria.llm import catalog, components, fingerprint_index, lm_scores, minhash, packing, pieces, quality, secrets, suffix_array, topk, urls
-from tessaria.llm.workspace import Workspace
+from tessaria.llm import catalog, fingerprint_index, lm_scores, minhash, packing, pieces, quality, secrets, suffix_array, topk, urls
+from tessaria.operators import components
+from tessaria.operators.workspace import Workspace
 
 SF = "/root/testdata/sf0.001"
 
