@@ -1,6 +1,7 @@
 """Each operator against its brute-force version, on a corpus with edge cases and on the smallest tables."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -143,6 +144,28 @@ def test_quality(spark, docs, plain, empty):
     assert len(rows) == len(plain) and quality.judge(empty, quality.vocabulary()).count() == 0
 
 
+def test_quality_bands(spark):
+    draw = random.Random(5)
+    clean = {
+        "en": "all human beings are born free and equal in dignity and rights they are endowed with reason conscience should act towards one another in a spirit of brotherhood everyone has the right to life liberty security no one shall be held slavery or servitude",
+        "de": "alle menschen sind frei und gleich an würde rechten geboren sie mit vernunft gewissen begabt sollen einander im geist der brüderlichkeit begegnen",
+        "ru": "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства",
+        "el": "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα είναι προικισμένοι με λογική και συνείδηση",
+        "he": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם כולם חוננו בתבונה ובמצפון לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה כל אדם יש לו הזכות לחיים לחירות ולביטחון אישי",
+    }
+    texts = {k: " ".join(draw.choices(v.split(), k=120)) for k, v in clean.items()}
+    words = clean["en"].split()
+    texts["symbols"] = " ".join(w + draw.choice("*%$&#") * 3 for w in draw.choices(words, k=120))
+    texts["emoji"] = " ".join("".join(chr(draw.randint(0x1F300, 0x1F5FF)) for _ in range(4)) for _ in range(120))
+    texts["private"] = " ".join("".join(chr(draw.randint(0xE000, 0xF8FF)) for _ in range(4)) for _ in range(120))
+    texts["mixed"] = " ".join(w + chr(draw.randint(0x1F300, 0x1F5FF)) for w in draw.choices(words, k=120))
+    texts["rare han"] = " ".join("".join(chr(draw.randint(0x3400, 0x4DB5)) for _ in range(4)) for _ in range(120))
+    rows = {r.doc_id: r for r in quality.judge(spark.createDataFrame(list(texts.items()), "doc_id string, text string"), quality.vocabulary()).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert {k for k, r in rows.items() if r.kept} == set(clean)
+    assert {k: rows[k].script for k in ("en", "ru", "el", "he", "rare han")} == {"en": "latin", "ru": "cyrillic", "el": "greek", "he": "hebrew", "rare han": "han"}
+
+
 def test_fertility_against_plain_encoding(spark):
     import sentencepiece
 
