@@ -1,10 +1,10 @@
 """Secret scans: fixed rules, and character Markov models compared by log-likelihood ratio.
 
-The rules find assignments, access keys and long hex strings. The method adds strings of ``LEAST`` or more characters of
+The rules find assignments, access keys and long hex strings. The method adds stretches of ``LEAST`` or more characters of
 ``[A-Za-z0-9+/_=-]`` that a character-bigram model of random strings explains better than one of ordinary identifiers,
-by ``THRESHOLD`` nats or more; both models are trained from labelled samples: random strings over common alphabets, and
-identifiers made of words of at most ``SAMPLE_DOCS`` documents (taken by a hash of doc_id). Strings that touch a rule's
-match are not reported twice.
+by ``THRESHOLD`` nats or more: whole strings, or their best-scoring stretches where words are joined to a secret. Both
+models are trained from labelled samples: random strings over common alphabets, and identifiers made of words of at most
+``SAMPLE_DOCS`` documents (taken by a hash of doc_id). What a rule has matched is left out, and the rest beside it scored.
 
 Spans are kind:start:end in code points, end exclusive, in order of start, then kind. Null and empty texts: no spans.
 Repeated rows are scanned alike; empty tables give no rows (and leave the models to their smoothing).
@@ -33,6 +33,7 @@ LEAST, THRESHOLD, DISTINCT = 20, 15.0, 8
 SAMPLE_DOCS, RANDOM_STRINGS = 500, 4000
 MASK = "[SECRET]"
 ALPHABET = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+SEPARATOR = ALPHABET.index(b"+")
 CODE = np.full(256, -1, np.int64)
 CODE[list(ALPHABET)] = np.arange(len(ALPHABET))
 HEX = np.zeros(256, bool)
@@ -96,6 +97,43 @@ def sample_words(docs: DataFrame, limit: int = SAMPLE_DOCS) -> list[str]:
     return sorted({w for r in rows for w in re.findall(r"(?<![\w+/=-])[A-Za-z]{3,16}(?![\w+/=-])", r.text, re.ASCII)})
 
 
+def stretches(codes: np.ndarray, ratio: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the secrets in a string: all of it if it scores ``THRESHOLD``, else its best-scoring stretch of
+    ``LEAST`` or more characters that does, out to the next separators, and then those of what is left on both sides."""
+    score = np.concatenate(([0.0], np.cumsum(ratio[codes[:-1], codes[1:]])))
+    cuts = np.flatnonzero(codes >= SEPARATOR)
+    out, todo = [], [(0, len(codes))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < LEAST:
+            continue
+        own = score[lo:hi]
+        a, b = lo, hi
+        if own[-1] - own[0] < THRESHOLD:
+            gain = own[LEAST - 1 :] - np.minimum.accumulate(own[: hi - lo - LEAST + 1])
+            last = int(gain.argmax())
+            if gain[last] < THRESHOLD:
+                continue
+            a, b = lo + int(own[: last + 1].argmin()), lo + last + LEAST
+            before, after = np.searchsorted(cuts, a), np.searchsorted(cuts, b)
+            a = max(lo, int(cuts[before - 1]) + 1 if before else 0)
+            b = min(hi, int(cuts[after]) if after < len(cuts) else hi)
+        if len(np.unique(codes[a:b])) >= DISTINCT:
+            out.append((a, b))
+        todo += [(lo, a), (b, hi)]
+    return sorted(out)
+
+
+def beside(a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a stretch without the ``taken`` ones."""
+    out = []
+    for s, e in sorted(taken):
+        if s < b and e > a:
+            out.append((a, s))
+            a = max(a, e)
+    return [(x, y) for x, y in [*out, (a, b)] if y - x >= LEAST]
+
+
 def scan_block(block: Block, ratio: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
     """Spans by row: (start, kind, end), in bytes of the block."""
     data, offsets = block.data, block.offsets
@@ -123,11 +161,10 @@ def scan_block(block: Block, ratio: np.ndarray) -> dict[int, list[tuple[int, int
         found.setdefault(row_of(a), []).append((a, 2, b))
     start, end = runs(block, CODE >= 0, LEAST)
     for a, b in zip(start.tolist(), end.tolist(), strict=True):
-        codes = CODE[data[a:b]]
-        if len(np.unique(codes)) >= DISTINCT and ratio[codes[:-1], codes[1:]].sum() >= THRESHOLD:
-            own = found.setdefault(row := row_of(a), [])
-            if not any(s < b and a < e for s, k, e in own if k != 3):
-                own.append((a, 3, b))
+        row = row_of(a)
+        for lo, hi in beside(a, b, [(s, e) for s, k, e in found.get(row, []) if k != 3]):
+            for x, y in stretches(CODE[data[lo:hi]], ratio):
+                found.setdefault(row, []).append((lo + x, 3, lo + y))
     return {row: sorted(own) for row, own in found.items() if own}
 
 
