@@ -25,6 +25,14 @@ def unordered_pairs(spark, d):
     return pairs.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.max("l_partkey").alias("top")).filter("n >= 12")
 
 
+@query("unordered_pairs_whole")
+def unordered_pairs_whole(spark, d):
+    """Suppliers that share 12 parts or more of the whole catalogue."""
+    s = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    pairs = health.pairs_of_group(s, "l_partkey", "l_suppkey")
+    return pairs.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.max("l_partkey").alias("top")).filter("n >= 12")
+
+
 @query(
     "explode_json_having",
     """WITH j AS (SELECT user_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events), x AS (SELECT *, unnest([k % 5, k % 7, NULL]) AS flag FROM j)

@@ -1,12 +1,14 @@
 """Boundary cases of scalar functions and rules."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessaria.functions import geo, text
 from tessaria.operators import finance, ingest, keyed, linkage, scoring, search
-from tessaria.plans import sqlgate
+from tessaria.plans import catalog, sqlgate
 from tessaria.sources import readers
 from tessaria.streaming import jobs
 
@@ -221,3 +223,17 @@ def test_missed_sweeps_stream(spark, tmp_path):
     stream = spark.readStream.schema("source long, sweep long, found array<long>").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = jobs.run_to_table(jobs.missed_state(stream, "source", "sweep", "found"), "missed_test", "append", str(tmp_path / "ck"))
     assert [(r.sweep, r.id) for r in out.collect()] == [(6, 2)]
+
+
+def test_pairs_of_the_whole_catalogue(spark, tmp_path):
+    draw = random.Random(3)
+    rows = [(part, draw.randrange(8)) for part in range(1, 60) for _ in range(6)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    shared = {}
+    for part, lo in set(rows):
+        for other, hi in set(rows):
+            if part == other and lo < hi:
+                shared.setdefault((lo, hi), []).append(part)
+    want = {(lo, hi, len(p), max(p)) for (lo, hi), p in shared.items() if len(p) >= 12}
+    have = [tuple(r) for r in catalog.queries()["unordered_pairs_whole"](spark, str(tmp_path)).select("lo", "hi", "n", "top").collect()]
+    assert want and len(have) == len(want) and set(have) == want
