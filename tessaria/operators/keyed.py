@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessaria.operators.workspace import Workspace
+
 Cols = Sequence[str]
 
 
@@ -65,3 +67,14 @@ def keyset_page(df: DataFrame, cursor: Sequence[tuple[Column, object, bool]], or
 def stale_nomination(df: DataFrame, due: Column, excluded: DataFrame, key: str, order: Sequence[Column], budget: int) -> DataFrame:
     """The first ``budget`` due rows whose key is not excluded."""
     return df.filter(due).join(excluded.select(key).distinct(), key, "left_anti").orderBy(*order).limit(budget)
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """All rows with their place from 1 on in ``order``, which must have no ties. Rows are sorted by ranges and numbered
+    within them; only the counts of the ranges come together."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    rows = Workspace(df.sparkSession, "numbered").write(ranged.withColumns({"_range": F.shiftright(place, 33), "_at": place.bitwiseAND((1 << 33) - 1)}), "rows")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return rows.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_offset") + F.col("_at") + 1).drop("_range", "_at", "_offset")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessaria.functions import text as T
-from tessaria.operators import ingest
+from tessaria.operators import ingest, keyed
 from tessaria.plans.registry import AS_OF, query
 from tessaria.session import table
 
@@ -139,6 +139,15 @@ def scope_fairness(spark, d):
     return turns.select("r.c_custkey", "r.last", (F.col("i") + 1).alias("turn"))
 
 
+@query("scope_fairness_whole")
+def scope_fairness_whole(spark, d):
+    """Every customer in turn: never attempted first, then by the oldest attempt."""
+    c = table(spark, d, "customer").select("c_custkey")
+    e = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
+    rows = c.join(e, c.c_custkey == e.user_id, "left").select("c_custkey", "last")
+    return keyed.numbered(rows, (F.asc_nulls_first("last"), F.asc("c_custkey")), "turn")
+
+
 @query(
     "freshness_cycle",
     """WITH t AS (SELECT DISTINCT user_id, event_type FROM events), c AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-27')

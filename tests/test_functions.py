@@ -237,3 +237,23 @@ def test_pairs_of_the_whole_catalogue(spark, tmp_path):
     want = {(lo, hi, len(p), max(p)) for (lo, hi), p in shared.items() if len(p) >= 12}
     have = [tuple(r) for r in catalog.queries()["unordered_pairs_whole"](spark, str(tmp_path)).select("lo", "hi", "n", "top").collect()]
     assert want and len(have) == len(want) and set(have) == want
+
+
+def test_fairness_numbers_every_customer(spark):
+    d = "/root/testdata/sf0.001"
+    last = {r.user_id: r.last for r in spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.max("ts").alias("last")).collect()}
+    keys = [r.c_custkey for r in spark.read.parquet(f"{d}/customer.parquet").collect()]
+    want = sorted(keys, key=lambda k: (k in last, last.get(k) or 0, k))
+    rows = catalog.queries()["scope_fairness_whole"](spark, d).collect()
+    assert [r.c_custkey for r in sorted(rows, key=lambda r: r.turn)] == want and sorted(r.turn for r in rows) == list(range(1, len(keys) + 1))
+    assert all(r.last == last.get(r.c_custkey) for r in rows)
+
+
+def test_numbered_over_many_ranges(spark):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.range(5000).select(((F.col("id") * 7919) % 5003).alias("k"))
+    out = keyed.numbered(rows, (F.asc("k"),), "turn").collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert [r.turn for r in sorted(out, key=lambda r: r.k)] == list(range(1, 5001))
+    assert keyed.numbered(rows.limit(0), (F.asc("k"),), "turn").count() == 0
