@@ -4,7 +4,7 @@ The rules find assignments, access keys and long hex strings. The method adds st
 ``[A-Za-z0-9+/_=-]`` that a character-bigram model of random strings explains better than one of ordinary identifiers,
 by ``THRESHOLD`` nats or more: whole strings, or their best-scoring stretches where words are joined to a secret. Both
 models are trained from labelled samples: random strings over common alphabets, and identifiers made of words of at most
-``SAMPLE_DOCS`` documents (taken by a hash of doc_id). What a rule has matched is left out, and the rest beside it scored.
+``SAMPLE_DOCS`` documents (taken by a hash of doc_id; rows without doc_id are scanned, but give no words). What a rule has matched is left out, and the rest beside it scored.
 
 Spans are kind:start:end in code points, end exclusive, in order of start, then kind. Null and empty texts: no spans.
 Repeated rows are scanned alike; empty tables give no rows (and leave the models to their smoothing).
@@ -32,6 +32,8 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 LEAST, THRESHOLD, DISTINCT = 20, 15.0, 8
 SAMPLE_DOCS, RANDOM_STRINGS = 500, 4000
 MASK = "[SECRET]"
+#: Words of the training sample, as a Java pattern.
+WORD = r"(?<![\w+/=-])[A-Za-z]{3,16}(?![\w+/=-])"
 ALPHABET = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SEPARATOR = ALPHABET.index(b"+")
 CODE = np.full(256, -1, np.int64)
@@ -92,9 +94,12 @@ def train(positive: list[bytes], negative: list[bytes]) -> np.ndarray:
 
 
 def sample_words(docs: DataFrame, limit: int = SAMPLE_DOCS) -> list[str]:
-    """ASCII words of a bounded sample of documents; the sample depends on the documents alone."""
-    rows = docs.filter(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(limit).collect()
-    return sorted({w for r in rows for w in re.findall(r"(?<![\w+/=-])[A-Za-z]{3,16}(?![\w+/=-])", r.text, re.ASCII)})
+    """Distinct ASCII words of a bounded sample of documents, which depends on the documents alone: first ids are chosen,
+    then the words of their texts (the least text of a repeated id) are found where the texts are."""
+    ids = docs.filter(F.col("text").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+    texts = docs.filter(F.col("doc_id").isin(*{r.doc_id for r in ids if r.doc_id is not None})).groupBy("doc_id").agg(F.min(F.col("text").cast("string")).alias("text"))
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word")).distinct()
+    return sorted(r.word for r in words.collect())
 
 
 def stretches(codes: np.ndarray, ratio: np.ndarray) -> list[tuple[int, int]]:
