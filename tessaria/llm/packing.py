@@ -1,8 +1,8 @@
 """Best-fit packing (best-two-fit) of token pieces into sequences of fixed length.
 
-``token_pieces`` cuts each document's ids (plus an end id) into pieces; ``pack`` places pieces. Pieces are dealt by a
-hash of their key to shards of about ``shard_rows`` pieces; each shard is packed in one task of bounded memory, so a
-shard boundary costs at most a part of one sequence. Ids of sequences: shard * 2**32 + number in the shard.
+``token_pieces`` cuts each document's ids (plus an end id) into pieces; ``pack`` places pieces. Pieces shorter than a
+sequence are dealt to shards of about ``shard_rows``; each shard is packed in one task of bounded memory, so a shard
+boundary costs at most a part of one sequence. Ids of sequences: shard * 2**32 + number in the shard.
 
 Nulls and empty texts hold the end id alone. Repeated rows are packed as often as they come. An empty table gives no
 rows. Other columns of the input are not read.
@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 
 from tessaria.llm.blocks import blocks
 from tessaria.llm.tokens import byte_bpe, spread
+from tessaria.operators.workspace import Workspace
 
 LENGTH, END_ID, SHARD_ROWS = 2048, 0, 8192
+#: Pieces of up to this part of a sequence are placed last.
+HELD = 6
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -63,20 +66,16 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, length: int = LENGTH
 
 
 def best_two_fit(lengths: list[int], room: int) -> list[list[int]]:
-    """Bins of indexes into ``lengths``: the fewer of the bins with and without replacements, which now and then use up
-    small pieces that later bins would need."""
-    return min((filled(lengths, room, replace) for replace in (True, False)), key=len)
-
-
-def filled(lengths: list[int], room: int, replace: bool) -> list[list[int]]:
-    """Each bin starts with the longest piece left and takes the longest that fits until none does; then, while it
-    helps, its smallest piece gives way to the two unpacked pieces that together fill the widened gap best."""
+    """Bins of indexes into ``lengths``. Each bin starts with the longest piece left and takes the longest that fits until
+    none does; then, while it helps, its smallest piece gives way to the two unpacked pieces that together fill the
+    widened gap best. (Two long pieces stay: where such bins are many, short pieces are scarcer than room.) Pieces of up to 1 / ``HELD`` of the room wait until all longer ones are placed, since replacements
+    would use them up too early; they fill the bins' gaps (tightest first) and then bins of their own, by the same steps.
+    """
     stock: dict[int, list[int]] = {}
     for i, size in enumerate(lengths):
         stock.setdefault(size, []).append(i)
+    left = {size: len(own) for size, own in stock.items()}
     there = 0
-    for size in stock:
-        there |= 1 << size
 
     def longest(most: int) -> int:
         return (there & ((2 << most) - 1)).bit_length() - 1 if most >= 0 else -1
@@ -87,20 +86,13 @@ def filled(lengths: list[int], room: int, replace: bool) -> list[list[int]]:
         if not left[size]:
             there &= ~(1 << size)
 
-    def give(size: int) -> None:
+    def fill(sizes: list[int], gap: int) -> int:
         nonlocal there
-        left[size] += 1
-        there |= 1 << size
-
-    left = {size: len(own) for size, own in stock.items()}
-    bins = []
-    while there:
-        sizes, gap = [], room
         while (size := longest(gap)) > 0:
             sizes.append(size)
             gap -= size
             take(size)
-        while replace and gap and len(sizes) > 1:
+        while gap and len(sizes) > 2:
             small = min(sizes)
             wide, best = gap + small, (small, 0, 0)
             a = longest(wide - 1)
@@ -116,35 +108,52 @@ def filled(lengths: list[int], room: int, replace: bool) -> list[list[int]]:
             if not best[1]:
                 break
             sizes.remove(small)
-            give(small)
+            left[small] += 1
+            there |= 1 << small
             for size in best[1:]:
                 take(size)
                 sizes.append(size)
             gap = wide - best[0]
-        bins.append([stock[size].pop() for size in sizes])
-    return bins
-
-
-def pack(pieces: DataFrame, rows: int, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Adds sequence_id and offset to pieces; ``rows`` (their rough number) sets the number of shards."""
-    shards = max(1, ceil(rows / shard_rows))
+        return gap
+
+    bins: list[list[int]] = []
+    gaps: list[int] = []
+    for held in (False, True):
+        for size in stock:
+            if (size <= room // HELD) is held:
+                there |= 1 << size
+        for i in sorted(range(len(bins)), key=gaps.__getitem__):
+            gaps[i] = fill(bins[i], gaps[i])
+        while there:
+            bins.append([])
+            gaps.append(fill(bins[-1], room))
+    return [[stock[size].pop() for size in sizes] for sizes in bins]
+
+
+def pack(pieces: DataFrame, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Adds sequence_id and offset to pieces, which are written first: their number sets the number of shards, and a
+    piece's place among the written rows its shard, so that no key is hot. A piece of full length is a sequence of its own
+    (of negative id) and is not dealt."""
+    rows = Workspace(pieces.sparkSession, "packing").write(pieces, "pieces").withColumn("_row", F.monotonically_increasing_id())
+    full = rows.filter(F.col("length") >= length).select(*pieces.columns, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = rows.filter(F.col("length") < length)
+    shards = max(1, ceil(rest.count() / shard_rows))
 
     def run(group: pa.Table) -> pa.Table:
-        order = np.lexsort((group["piece"].to_numpy(), group["doc_id"].to_numpy(zero_copy_only=False)))
-        group = group.take(pa.array(order))
+        group = group.sort_by("_row")
         sizes = group["length"].to_pylist()
         sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        base = group["shard"][0].as_py() << 32
+        base = group["_shard"][0].as_py() << 32
         for number, own in enumerate(best_two_fit(sizes, length)):
             at = 0
             for i in own:
                 sequence[i], offset[i] = base + number, at
                 at += sizes[i]
-        return group.drop_columns(["shard"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return group.drop_columns(["_shard", "_row"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, f"{schema}, sequence_id long, offset long")
+    dealt = rest.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
+    return full.unionByName(dealt.groupBy("_shard").applyInArrow(run, f"{schema}, sequence_id long, offset long"))
 
 
 def vocabulary() -> tuple[str, str]:
@@ -156,4 +165,4 @@ def vocabulary() -> tuple[str, str]:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pack(token_pieces(docs, *vocabulary()), docs.count())
+    return pack(token_pieces(docs, *vocabulary()))

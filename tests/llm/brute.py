@@ -94,6 +94,46 @@ def base_spans(text):
     return [(("assign", "access", "hex")[k], a, b) for a, k, b in sorted(found)]
 
 
+def all_spans(text, ratio, least=20, threshold=15.0, distinct=8):
+    """Base spans, and in what is left of runs of key characters the best stretches by log-likelihood ratio: all loops,
+    every stretch tried."""
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+    text, found = text or "", base_spans(text)
+    taken = [any(a <= i < b for _, a, b in found) for i in range(len(text))]
+    own = []
+
+    def search(lo, hi):
+        if hi - lo < least:
+            return
+        gain = [0.0]
+        for i in range(lo, hi - 1):
+            gain.append(gain[-1] + ratio[alphabet.index(text[i])][alphabet.index(text[i + 1])])
+        a, b = lo, hi
+        if gain[-1] < threshold:
+            best = max((gain[j] - gain[i], -j, -i) for j in range(least - 1, hi - lo) for i in range(j - least + 2))
+            if best[0] < threshold:
+                return
+            a, b = lo - best[2], lo - best[1] + 1
+            while a > lo and text[a - 1] not in "+/_=-":
+                a -= 1
+            while b < hi and text[b] not in "+/_=-":
+                b += 1
+        if len(set(text[a:b])) >= distinct:
+            own.append(("markov", a, b))
+        search(lo, a)
+        search(b, hi)
+
+    i = 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in alphabet and not taken[j]:
+            j += 1
+        search(i, j)
+        i = max(j, i + 1)
+    order = ("assign", "access", "hex", "markov")
+    return sorted(found + own, key=lambda x: (x[1], order.index(x[0]), x[2]))
+
+
 def digest(spans):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
 
