@@ -16,6 +16,7 @@ from tessaria.operators.workspace import Workspace
 
 #: Shingle length of the near-dedup stage.
 SHINGLE_WORDS = 5
+ROW = "__row_hash"
 
 
 def _carried(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
@@ -43,9 +44,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the least doc_id."""
-    kept = minhash.near_duplicates(docs, SHINGLE_WORDS).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates: the least doc_id. Of different rows of one doc_id the one of least
+    row hash stays, so a repeated task chooses alike."""
+    kept = minhash.near_duplicates(docs, SHINGLE_WORDS).filter("kept").select("doc_id").distinct()
+    row = F.xxhash64(*docs.columns).alias(ROW)
+    chosen = docs.select("doc_id", row).groupBy("doc_id").agg(F.min(ROW).alias(ROW)).join(kept, "doc_id", "left_semi")
+    return docs.select("*", row).join(chosen, ["doc_id", ROW], "left_semi").dropDuplicates(["doc_id", ROW]).select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +66,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces placed in sequences."""
-    return packing.pack(packing.token_pieces(docs, *packing.vocabulary()), docs.count())
+    """Token pieces, with their ids, placed in sequences."""
+    return packing.pack(packing.token_pieces(docs, *packing.vocabulary(), with_ids=True))
 
 
 STAGES = [
