@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessaria.llm import fingerprint_index, lm_scores, minhash, packing, pieces, quality, secrets, suffix_array, topk, urls
+from tessaria.llm import fingerprint_index, lm_scores, minhash, packing, pieces, quality, secrets, spans, suffix_array, topk, urls
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": topk.SQL, "op9_url_filters": urls.SQL}
+    return {"op1_suffix_array_dedup": spans.SQL, "op8_substring_dedup": spans.SQL, "op3_exact_top_k": topk.SQL, "op9_url_filters": urls.SQL}

@@ -1,95 +1,215 @@
-"""Substring dedup with a log-structured fingerprint index.
+"""Substring dedup with a log-structured fingerprint index, kept in a folder and fed by deliveries.
 
-The index keeps sorted immutable runs of historical window fingerprints (the anchor keys of all 50-word windows, one row
-per key). Each new batch is merge-joined with all runs, its own keys become a new run, and two runs of one
-level are compacted into one of the next. Runs are tables bucketed and sorted by key, so neither a merge join
-nor a compaction shuffles the history again. A key that was there before (or twice in the batch) makes its windows candidates, which ``spans.resolve``
-then verifies on the texts, window by window.
+A fingerprint stands for the consecutive windows of ``WINDOW`` words that share one anchor: the anchor's key and the
+context, a hash of all their words. The folder holds
+
+* ``runs``: sorted immutable runs of fingerprints, bucketed by key, each with one document that has it;
+* ``texts``: the texts of each delivery, bucketed by doc_id, on which matches are verified;
+* ``state``: after every step a list of the runs, so an index can be opened again, in another session, and continued.
+
+``add`` takes a delivery: its keys are merge-joined with every run; where a key has one context alone, that context
+decides; where it has several, windows are verified one by one, by the hashes of their words taken from the texts of both
+sides. A window goes if an earlier delivery has it, or a smaller document of its own delivery. Then the delivery's new
+fingerprints are appended as a run, and runs of one level are compacted by a merge join that shuffles nothing.
 
 Nulls and empty texts have no words: n_words 0, the hash of the empty text. Texts under 50 words lose nothing. Repeated
-texts lose all words but in the least document id. Empty tables give no rows. Only doc_id and text are read.
+texts lose all words but in the least document id. Rows of one doc_id in a delivery are one document, which takes nothing
+from itself; rows without doc_id are left out. An empty delivery gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaria.llm.spans import K, WINDOW, anchor_rows, remove, resolve
+from tessaria.llm.blocks import anchors, blocks, signed, word_hashes, words
+from tessaria.llm.spans import K, WINDOW, anchor_rows, by_document, listed, remove, texts_of, window_rows, windows_between, within
 from tessaria.operators.workspace import Workspace
 
 BATCHES = 4
-#: Index rows that one bucket should hold.
-BUCKET_ROWS = 2_000_000
+#: What one bucket of texts and of fingerprints should hold, and the least number of buckets.
+BUCKET_CHARS, LEAST_BUCKETS = 256_000_000, 12
+RUN, TEXT = "key BIGINT, context BIGINT, doc_id BIGINT", "doc_id BIGINT, version BIGINT, text STRING"
 
 
 class FingerprintIndex:
-    """Rows of a run: key, first (least document id), hit (the key was seen in two documents), low and high (least and
-    greatest context)."""
-
-    def __init__(self, space: Workspace, buckets: int = 12):
-        self.space, self.buckets = space, buckets
-        self.runs: list[tuple[str, int]] = []
-        self.made = 0
-
-    def _table(self, rows: DataFrame) -> str:
-        name = "run_" + self.space.path.rpartition("-")[2] + f"_{self.made}"
-        self.made += 1
-        where = f"{self.space.path}/{name}"
-        rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", where).saveAsTable(name)
+    """Opens the index in a folder (of any file system that all executors share), or starts one there."""
+
+    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, k: int = K):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.mark = uuid.uuid4().hex
+        self.attached: list[str] = []
+        states = self._states()
+        if states:
+            rows = spark.read.text(max(states)).collect()
+            self.state = json.loads(rows[0].value)
+            if (self.state["window"], self.state["k"]) != (window, k):
+                raise ValueError(f"the index has windows of {self.state['window']} words")
+        else:
+            self.state = {"window": window, "k": k, "buckets": 0, "made": 0, "runs": [], "texts": []}
+
+    def _states(self) -> list[str]:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/state")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        folders = [x.getPath() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return [x.toString() for x in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+
+    def _save(self) -> None:
+        """A state counts once it is whole, so a delivery that fails half-way leaves the index as it was."""
+        self.state["saved"] = self.state.get("saved", 0) + 1
+        self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.text(f"{self.path}/state/{self.state['saved']:08d}")
+
+    def _table(self, name: str, columns: str, key: str) -> DataFrame:
+        """A table of the folder, with its buckets known to this session."""
+        known = f"index_{self.mark}_{name.replace('/', '_').replace('-', '_')}"
+        if known not in self.attached:
+            self.spark.sql(f"CREATE TABLE {known} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.state['buckets']} BUCKETS LOCATION '{self.path}/{name}'")
+            self.attached.append(known)
+        return self.spark.table(known)
+
+    def _write(self, rows: DataFrame, folder: str, key: str) -> str:
+        """Writes a bucketed table under a new name."""
+        self.state["made"] += 1
+        name = f"{folder}/{self.state['made']:08d}-{uuid.uuid4().hex[:8]}"
+        known = f"index_{self.mark}_{name.replace('/', '_').replace('-', '_')}"
+        rows.write.bucketBy(self.state["buckets"], key).sortBy(key).option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(known)
+        self.spark.sql(f"DROP TABLE {known}")
         return name
 
-    def add(self, batch: DataFrame) -> None:
-        """Merge-joins a batch of anchors with the history and appends it as a run."""
-        own = batch.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("context").alias("low"), F.max("context").alias("high"))
-        hit = F.col("first") < F.col("last")
-        for n, (run, _) in enumerate(self.runs):
-            old = self.space.spark.table(run).select("key", F.lit(True).alias(f"old{n}")).hint("merge")
-            own = own.join(old, "key", "left")
-            hit = hit | F.col(f"old{n}").isNotNull()
-        self.runs.append((self._table(own.select("key", "first", hit.alias("hit"), "low", "high").repartition(self.buckets, "key")), 0))
-        while len(self.runs) > 1 and self.runs[-1][1] == self.runs[-2][1]:
-            self.compact()
-
-    def compact(self) -> None:
-        """Merges the last two runs into one of the next level. Both are bucketed alike, so this is a merge join in
-        place: no shuffle, and each task writes the bucket that it read. (A union of bucketed tables would not do: Spark
-        4.1 takes it for partitioned by key, but its columnar form puts the buckets one after another.)"""
-        level = max(x for _, x in self.runs[-2:])
-        names = [self.runs.pop()[0] for _ in range(2)]
-        old, new = (self.space.spark.table(n).alias(side) for n, side in zip(reversed(names), ("a", "b"), strict=True))
-        both = old.join(new.hint("merge"), F.col("a.key") == F.col("b.key"), "full")
-        hit = F.coalesce("a.hit", F.lit(False)) | F.coalesce("b.hit", F.lit(False)) | F.coalesce(F.col("a.key") == F.col("b.key"), F.lit(False))
-        rows = both.select(F.coalesce("a.key", "b.key").alias("key"), F.least("a.first", "b.first").alias("first"), hit.alias("hit"), F.least("a.low", "b.low").alias("low"), F.greatest("a.high", "b.high").alias("high"))
-        self.runs.append((self._table(rows), level + 1))
-        for name in names:
-            self.space.spark.sql(f"DROP TABLE {name}")
-            self.space.drop(name)
-
-    def hits(self) -> DataFrame:
-        """Keys that occur in two documents or more: key, first, multi."""
-        while len(self.runs) > 1:
+    def run(self, name: str) -> DataFrame:
+        return self._table(name, RUN, "key")
+
+    def close(self) -> None:
+        """Takes the index's tables out of the session's catalog; the folder stays."""
+        for known in self.attached:
+            self.spark.sql(f"DROP TABLE IF EXISTS {known}")
+        self.attached = []
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Indexes a delivery and gives the rows of ``spans.remove`` for its documents."""
+        space = Workspace(self.spark, "fingerprints")
+        window, k = self.state["window"], self.state["k"]
+        texts = texts_of(docs)
+        if not self.state["buckets"]:
+            chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+            self.state["buckets"] = max(LEAST_BUCKETS, ceil(chars / BUCKET_CHARS))
+        earlier = list(self.state["texts"])
+        name = self._write(texts.repartition(self.state["buckets"], "doc_id"), "texts", "doc_id")
+        texts = self._table(name, TEXT, "doc_id")
+        rows = space.write(anchor_rows(texts, window, k), "anchors")
+        own = space.write(rows.groupBy("key", "context").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")), "own")
+        summary = space.write(own.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("last").alias("last"), F.min("context").alias("low"), F.max("context").alias("high")), "summary")
+
+        met = self._met(space, summary)
+        old = met.groupBy("key").agg(F.min("context").alias("old_low"), F.max("context").alias("old_high"))
+        low, high = F.least("low", "old_low"), F.greatest("high", "old_high")
+        keys = summary.join(old, "key", "left").filter(F.col("old_low").isNotNull() | (F.col("first") < F.col("last")))
+        keys = space.write(keys.select("key", "first", F.col("old_low").isNotNull().alias("old"), (low != high).alias("multi")), "keys")
+        found = space.write(rows.join(keys, "key"), "found")
+        plain = found.filter(~F.col("multi") & (F.col("old") | (F.col("doc_id") > F.col("first")))).select("doc_id", "version", "lo", "hi")
+        several = found.filter("multi").select("doc_id", "version", "key", "context", "lo", "hi")
+        held = met.select("key", "context", F.lit(True).alias("seen")).distinct()
+        contexts = space.write(own.select("key", "context", F.col("doc_id").alias("own")).join(keys.filter("multi").select("key"), "key", "left_semi").join(held, ["key", "context"], "left"), "contexts")
+        late = F.coalesce("seen", F.lit(False)) | (F.col("doc_id") > F.col("own"))
+        judged = space.write(several.join(contexts, ["key", "context"]).select("doc_id", "version", "lo", "hi", late.alias("late")), "judged")
+
+        here = window_rows(texts, judged.filter(~F.col("late")).drop("late"), window).withColumn("old", F.lit(False))
+        wanted = space.write(met.join(keys.filter("multi").select("key"), "key", "left_semi").select("doc_id", "key").distinct(), "wanted")
+        there = [keyed_windows(self._table(t, TEXT, "doc_id"), wanted, window, k) for t in earlier]
+        for part in (here, *there):  # one by one: a union of bucketed tables loses its rows' places
+            part.write.mode("append").parquet(f"{space.path}/windows")
+        windows = self.spark.read.schema("doc_id long, version long, start int, hash long, old boolean").parquet(f"{space.path}/windows")
+        firsts = windows.groupBy("hash").agg(F.bool_or("old").alias("known"), F.min(F.when(~F.col("old"), F.col("doc_id"))).alias("own"), F.max(F.when(~F.col("old"), F.col("doc_id"))).alias("last"))
+        firsts = space.write(firsts.filter("known OR own < last").select("hash", "known", "own"), "firsts")
+        single = windows.filter(~F.col("old")).join(firsts, "hash").filter(F.col("known") | (F.col("doc_id") > F.col("own"))).select("doc_id", "version", F.col("start").alias("lo"), F.col("start").alias("hi"))
+        ranges = space.write(plain.unionByName(judged.filter("late").drop("late")).unionByName(single), "ranges")
+
+        new = own.join(held.drop("seen"), ["key", "context"], "left_anti").select("key", "context", "doc_id")
+        run = self._write(new.repartition(self.state["buckets"], "key"), "runs", "key")
+        self.state["texts"].append(name)
+        self.state["runs"].append([run, 0])
+        self._save()
+        while len(self.state["runs"]) > 1 and self.state["runs"][-1][1] == self.state["runs"][-2][1]:
             self.compact()
-        return self.space.spark.table(self.runs[0][0]).filter("hit").select("key", "first", (F.col("low") != F.col("high")).alias("multi"))
+        return remove(texts, ranges, window)
 
+    def _met(self, space: Workspace, summary: DataFrame) -> DataFrame:
+        """Fingerprints of all runs whose key a delivery has: one merge join a run, bucket by bucket."""
+        met = self.spark.createDataFrame([], RUN)
+        met.write.parquet(f"{space.path}/met")
+        for run, _ in self.state["runs"]:
+            self.run(run).join(summary.select("key").hint("merge"), "key", "left_semi").write.mode("append").parquet(f"{space.path}/met")
+        return self.spark.read.schema(RUN).parquet(f"{space.path}/met")
 
-def dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, k: int = K) -> DataFrame:
-    """The rows of ``spans.remove`` with each document checked against all of smaller id.
-
-    The documents come as ``batches`` deliveries by ranges of doc_id. Rows of one doc_id are one document; rows without
-    doc_id are left out.
-    """
+    def compact(self) -> None:
+        """Merges the last two runs, which have no fingerprint in common, into one of the next level. Both are bucketed by
+        key, which is enough for a join by key and context: each task merges one bucket and writes it again."""
+        conf, setting = self.spark.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+        (old, level), (new, _) = self.state["runs"][-2:]
+        before = conf.get(setting)
+        conf.set(setting, "false")
+        try:
+            a, b = self.run(old).alias("a"), self.run(new).hint("merge").alias("b")
+            both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.context") == F.col("b.context")), "full")
+            name = self._write(both.select(*(F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("key", "context", "doc_id"))), "runs", "key")
+        finally:
+            conf.set(setting, before)
+        self.state["runs"][-2:] = [[name, level + 1]]
+        self._save()
+        for gone in (old, new):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{gone}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keyed_windows(texts: DataFrame, wanted: DataFrame, window: int, k: int) -> DataFrame:
+    """Windows of the texts whose anchors have the wanted (doc_id, key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            size = np.asarray(pa.compute.list_value_length(lists))
+            keys = np.asarray(lists.flatten())
+            rows = np.repeat(np.arange(len(size)), size)
+            for block in blocks(batch.column(2)):
+                w = words(block)
+                a = anchors(word_hashes(block, w), w.first, window, k)
+                own = slice(*np.searchsorted(rows, (block.lo, block.hi)))
+                asked = np.empty(own.stop - own.start, [("row", np.int64), ("key", np.int64)])
+                asked["row"], asked["key"] = rows[own] - block.lo, keys[own]
+                have = np.empty(len(a.row), asked.dtype)
+                have["row"], have["key"] = a.row, signed(a.key)
+                some = np.isin(have, asked)
+                base = w.first[a.row[some]]
+                row, start, h = windows_between(block, w, a.row[some], a.lo[some] - base, a.hi[some] - base, window)
+                ids = [batch.column(i).slice(block.lo, block.hi - block.lo).take(pa.array(row)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(start.astype(np.int32)), pa.array(signed(h)), pa.array(np.ones(len(row), bool))], ["doc_id", "version", "start", "hash", "old"])
+
+    keys = wanted.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    rows = texts.join(keys, "doc_id").select("doc_id", "version", "text", "keys")
+    return rows.mapInArrow(run, "doc_id long, version long, start int, hash long, old boolean")
+
+
+def dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, k: int = K, path: str | None = None) -> DataFrame:
+    """The rows of ``spans.remove`` with each document checked against all of smaller id: the documents come as
+    ``batches`` deliveries by ranges of doc_id, in order, to an index in ``path`` (or a folder of its own)."""
     spark = docs.sparkSession
-    space = Workspace(spark, "fingerprints")
-    docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = space.write(anchor_rows(docs, window, k), "anchors")
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    index = FingerprintIndex(spark, path or Workspace(spark, "index").path, window, k)
+    low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
     width = ((high or 0) - (low or 0)) // batches + 1
-    index = FingerprintIndex(space, buckets=max(12, n // BUCKET_ROWS))
+    out = None
     for b in range(batches):
         start = (low or 0) + b * width
-        index.add(rows.filter((F.col("doc_id") >= start) & (F.col("doc_id") < start + width)))
-    return remove(docs, resolve(space, docs, rows, index.hits(), window), window)
+        part = index.add(docs.filter((F.col("doc_id") >= start) & (F.col("doc_id") < start + width)))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

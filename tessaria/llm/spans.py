@@ -1,17 +1,15 @@
-"""Passages that repeat across documents: exact resolution from minimiser anchors.
+"""Passages that repeat across documents: rows and steps that both substring operators use.
 
 A window is ``window`` consecutive words of one document; it is removed if its word sequence also starts in a document
 with a smaller id. Each window has one anchor, the place of its least k-gram hash, found from its own words alone, so
 equal windows have equal anchor keys. Rows between the steps:
 
-* anchor: doc_id, key (k-gram hash), context (hash of all words of its windows and their place), lo, hi (its windows'
-  first words);
-* a key all of whose anchors have one context is decided by the least document id alone;
-* for other keys each distinct context is decided by its least document, and only that document's windows are written
-  out singly and compared window by window.
+* text: doc_id, version (hash of the text, which tells rows of one doc_id apart), text;
+* anchor: doc_id, version, key (k-gram hash), context (hash of all words of its windows and their place), at (the k-gram's
+  place), lo, hi (its windows' first words);
+* range: doc_id, version, lo, hi (first words of windows).
 
-Hashes have 64 bits. No step gathers the rows of a key: least ids come from partial aggregates, and the joins are plain
-equi-joins of written tables, whose skewed partitions adaptive execution splits.
+Hashes have 64 bits. Rows of one doc_id are one document: they take nothing from each other.
 """
 
 from __future__ import annotations
@@ -20,102 +18,100 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaria.llm.blocks import PrefixHash, anchors, blocks, signed, word_hashes, words
+from tessaria.llm.blocks import Block, PrefixHash, Words, anchors, blocks, signed, word_hashes, words
 from tessaria.llm.tokens import spread
-from tessaria.operators.workspace import Workspace
 
 WINDOW, K = 50, 8
-ANCHOR = "doc_id long, key long, context long, lo int, hi int"
+ANCHOR = "doc_id long, version long, key long, context long, at int, lo int, hi int"
 
 
-def anchor_rows(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """All anchors of all whole texts (doc_id, text)."""
+def texts_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Text rows (and the ``keep`` columns) of documents that have a doc_id."""
+    text = F.col("text").cast("string")
+    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("version"), text.alias("text"), *keep)
+
+
+def anchor_rows(texts: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """All anchors of all whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(2)):
                 w = words(block)
                 a = anchors(word_hashes(block, w), w.first, window, k)
-                base = w.first[a.row]
-                ids = batch.column(0).slice(block.lo, block.hi - block.lo).take(pa.array(a.row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(signed(a.key)), pa.array(signed(a.context)), pa.array((a.lo - base).astype(np.int32)), pa.array((a.hi - base).astype(np.int32))], ["doc_id", "key", "context", "lo", "hi"])
+                base, row = w.first[a.row], pa.array(a.row)
+                own = [batch.column(i).slice(block.lo, block.hi - block.lo).take(row) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(signed(a.key)), pa.array(signed(a.context)), *(pa.array((x - base).astype(np.int32)) for x in (a.at, a.lo, a.hi))], [x.split()[0] for x in ANCHOR.split(", ")])
+
+    return texts.select("doc_id", "version", "text").mapInArrow(run, ANCHOR)
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, ANCHOR)
+def by_document(ranges: DataFrame, *fields: str) -> DataFrame:
+    """doc_id and its list of structs of version and ``fields`` (lo and hi)."""
+    return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("version", *(fields or ("lo", "hi")))).alias("ranges"))
 
 
-def list_bounds(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row offsets, lo and hi of a list<struct<lo, hi>> column; null rows are empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
+def listed(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Row numbers and fields of a column of lists of structs whose first field is the version of the text that they are
+    meant for (column 1 has the row's own); null rows are empty."""
+    column = batch.column(at)
+    row = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0)))
     flat = column.flatten()
-    return np.concatenate(([0], np.cumsum(size))), np.asarray(flat.field(0)), np.asarray(flat.field(1))
+    version, *fields = (np.asarray(flat.field(i)) for i in range(flat.type.num_fields))
+    meant = version == np.asarray(batch.column(1))[row]
+    return row[meant], [x[meant].astype(np.int64) for x in fields]
+
+
+def within(block: Block, row: np.ndarray, fields: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Those of a block (rows ascend), with rows numbered in it."""
+    own = slice(*np.searchsorted(row, (block.lo, block.hi)))
+    return row[own] - block.lo, [x[own] for x in fields]
+
+
+def windows_between(block: Block, w: Words, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word and hash of every window that starts in lo..hi of its row."""
+    start, row = spread(lo, hi - lo + 1), np.repeat(row, hi - lo + 1)
+    at = start + w.first[row]
+    there = at + window <= w.first[row + 1]
+    return row[there], start[there], PrefixHash(word_hashes(block, w)).of(at[there], at[there] + window)
 
 
-def window_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text, ranges) to one row per window in the ranges: doc_id, start, hash."""
+def window_rows(texts: DataFrame, ranges: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row per window in the ranges: doc_id, version, start, hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bounds, lows, highs = list_bounds(batch.column(2))
-            for block in blocks(batch.column(1)):
-                w = words(block)
-                own = slice(bounds[block.lo], bounds[block.hi])
-                lo, hi = lows[own].astype(np.int64), highs[own].astype(np.int64)
-                row = np.repeat(np.arange(block.hi - block.lo), np.diff(bounds[block.lo : block.hi + 1]))
-                start = spread(lo, hi - lo + 1)
-                row = np.repeat(row, hi - lo + 1)
-                at = start + w.first[row]
-                there = at + window <= w.first[row + 1]
-                row, start, at = row[there], start[there], at[there]
-                ids = batch.column(0).slice(block.lo, block.hi - block.lo).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(start.astype(np.int32)), pa.array(signed(PrefixHash(word_hashes(block, w)).of(at, at + window)))], ["doc_id", "start", "hash"])
-
-    return docs.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, start int, hash long")
-
-
-def by_document(ranges: DataFrame) -> DataFrame:
-    return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-
-
-def resolve(space: Workspace, docs: DataFrame, candidates: DataFrame, keys: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Ranges of window starts to remove (doc_id, lo, hi), which may overlap.
-
-    ``candidates``: anchors, among them all with a key that occurs in two documents. ``keys``: key, first (least
-    document id), multi (the key has several contexts), for these keys.
-    """
-    found = space.write(candidates.join(keys, "key"), "candidates")
-    plain = found.filter(~F.col("multi") & (F.col("doc_id") > F.col("first"))).select("doc_id", "lo", "hi")
-    several = found.filter("multi").select("doc_id", "key", "context", "lo", "hi")
-    least = space.write(several.groupBy("key", "context").agg(F.min("doc_id").alias("own")), "contexts")
-    judged = space.write(several.join(least, ["key", "context"]).select("doc_id", "lo", "hi", (F.col("doc_id") > F.col("own")).alias("late")), "judged")
-    singles = by_document(judged.filter(~F.col("late")))
-    rows = space.write(window_rows(docs.join(singles, "doc_id"), window), "windows")
-    firsts = space.write(rows.groupBy("hash").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("last")).filter("own < last").select("hash", "own"), "firsts")
-    single = rows.join(firsts, "hash").filter(F.col("doc_id") > F.col("own")).select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    return plain.unionByName(judged.filter("late").select("doc_id", "lo", "hi")).unionByName(single)
-
-
-def remove(docs: DataFrame, ranges: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+            rows, fields = listed(batch, 3)
+            for block in blocks(batch.column(2)):
+                row, (lo, hi) = within(block, rows, fields)
+                row, start, h = windows_between(block, words(block), row, lo, hi, window)
+                own = [batch.column(i).slice(block.lo, block.hi - block.lo).take(pa.array(row)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(start.astype(np.int32)), pa.array(signed(h))], ["doc_id", "version", "start", "hash"])
+
+    rows = texts.join(by_document(ranges.distinct()), "doc_id").select("doc_id", "version", "text", "ranges")
+    return rows.mapInArrow(run, "doc_id long, version long, start int, hash long")
+
+
+def remove(texts: DataFrame, ranges: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: the ``keep`` columns, doc_id, n_words, n_removed, spans (removed word ranges, start:end, comma-joined), kept (kept
     words joined by one space), cleaned (the text itself where nothing goes; else the kept stretches of it, layout
     included, joined by one space; null for a null text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bounds, lows, highs = list_bounds(batch.column(2))
-            for block in blocks(batch.column(1)):
+            rows, fields = listed(batch, 3)
+            for block in blocks(batch.column(2)):
                 w = words(block)
-                row = np.repeat(np.arange(block.hi - block.lo), np.diff(bounds[block.lo : block.hi + 1]))
-                own = slice(bounds[block.lo], bounds[block.hi])
+                row, (lows, highs) = within(block, rows, fields)
                 base = w.first[row]
                 depth = np.zeros(len(w.start) + 1, np.int64)
                 stop = w.first[row + 1]
-                np.add.at(depth, np.minimum(base + lows[own], stop), 1)
-                np.add.at(depth, np.minimum(base + highs[own] + window, stop), -1)
+                np.add.at(depth, np.minimum(base + lows, stop), 1)
+                np.add.at(depth, np.minimum(base + highs + window, stop), -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 removed = np.zeros(len(gone) + 1, np.int64)
                 np.cumsum(gone, out=removed[1:])
@@ -138,10 +134,24 @@ def remove(docs: DataFrame, ranges: DataFrame, window: int = WINDOW, keep: tuple
                 counts = np.diff(w.first)
                 less = removed[w.first[1:]] - removed[w.first[:-1]]
                 part = batch.slice(block.lo, block.hi - block.lo)
-                clean = pa.array(cleaned, pa.binary(), mask=np.asarray(part.column(1).is_null()))
+                clean = pa.array(cleaned, pa.binary(), mask=np.asarray(part.column(2).is_null()))
                 made = [pa.array(counts.astype(np.int64)), pa.array(less), pa.array(spans, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), clean.cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([*part.columns[3:], part.column(0), *made], [*keep, "doc_id", "n_words", "n_removed", "spans", "kept", "cleaned"])
+                yield pa.RecordBatch.from_arrays([*part.columns[4:], part.column(0), *made], [*keep, "doc_id", "n_words", "n_removed", "spans", "kept", "cleaned"])
 
-    joined = docs.select("doc_id", "text", *keep).join(by_document(ranges), "doc_id", "left").select("doc_id", "text", "ranges", *keep)
-    carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    joined = texts.join(by_document(ranges), "doc_id", "left").select("doc_id", "version", "text", "ranges", *keep)
+    carried = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in keep)
     return joined.mapInArrow(run, f"{carried}doc_id long, n_words long, n_removed long, spans string, kept string, cleaned string")
+
+
+#: The same by window words themselves, for the query columns of both operators.
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+late AS (SELECT doc_id, i FROM win JOIN (SELECT h, min(doc_id) AS own FROM win GROUP BY h) USING (h) WHERE doc_id > own),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM late),
+islands AS (SELECT doc_id, min(p) - 1 AS s, max(p) AS e FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM gone) GROUP BY doc_id, island),
+lost AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, string_agg(s || ':' || e, ',' ORDER BY s) AS spans FROM islands GROUP BY doc_id),
+left_ AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(spans, '') AS spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN left_ USING (doc_id)
+"""

@@ -47,6 +47,74 @@ def test_substring_dedup_other_rows(spark, empty, module):
     assert sorted((r.doc_id, r.n_removed, r.spans) for r in module.dedup(rows).collect()) == [(1, 0, ""), (1, 0, ""), (2, 60, "1:61")]
 
 
+def test_versions_of_one_id(spark):
+    """Rows of one doc_id are judged each by its own text."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, text), (2, "new " + text), (2, "other words"), (2, text + " end")], "doc_id long, text string")
+    for out in (suffix_array.dedup(rows), fingerprint_index.dedup(rows, batches=2)):
+        assert sorted((r.doc_id, r.spans) for r in out.collect()) == [(1, ""), (2, ""), (2, "0:60"), (2, "1:61")]
+
+
+def chained(n=40, seed=4):
+    """Texts around common stretches that overlap by different amounts on both sides, so a window's partner is often no
+    neighbour in the order of suffixes."""
+    draw = random.Random(seed)
+    core = [f"c{i}" for i in range(120)]
+    other = lambda k: [f"z{draw.randrange(10**6)}" for _ in range(k)]
+    rows = []
+    for i in range(n):
+        a = draw.randint(0, 60)
+        rows.append((i, " ".join(other(draw.randint(0, 5)) + core[a : a + draw.randint(51, 60)] + other(draw.randint(0, 5)))))
+    draw.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("near,rows_per_batch", [(1, 3), (4, 7), (4, 10000)])
+def test_suffix_neighbours(spark, monkeypatch, near, rows_per_batch):
+    """Neighbours over batch and task edges; matches that only farther suffixes have are left to the exact check."""
+    monkeypatch.setattr(suffix_array, "NEAR", near)
+    rows = chained()
+    want = removed(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
+    try:
+        have = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in suffix_array.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert have == want
+
+
+def test_suffix_matches_decide(spark, monkeypatch):
+    """Without the extended matches of neighbours the result is another: they, not the exact check, remove windows."""
+    core = " ".join(f"c{i}" for i in range(55))
+    rows = spark.createDataFrame([(1, f"a b {core} e f"), (2, f"g h i {core} j")], "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.spans) for r in suffix_array.dedup(rows).collect()} == {(1, ""), (2, "3:58")}
+    real = suffix_array.neighbours
+    monkeypatch.setattr(suffix_array, "neighbours", lambda *a: real(*a).filter(~F.col("gone")))
+    assert {(r.doc_id, r.spans) for r in suffix_array.dedup(rows).collect()} == {(1, ""), (2, "")}
+
+
+def test_index_continued_in_another_session(spark, docs, plain, tmp_path):
+    """Three deliveries, the index closed and opened by another session before each, equal one delivery; runs are compacted."""
+    want = removed(plain)
+    cuts = [0, 70, 140, 10**6]
+    have = {}
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        session = spark.newSession()
+        index = fingerprint_index.FingerprintIndex(session, str(tmp_path / "index"))
+        rows = session.createDataFrame([(d, t) for d, t in plain if lo <= d < hi], "doc_id long, text string")
+        have |= {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in index.add(rows).collect()}
+        index.close()
+    assert have == want
+    index = fingerprint_index.FingerprintIndex(spark, str(tmp_path / "index"))
+    assert [level for _, level in index.state["runs"]] == [1, 0] and len(index.state["texts"]) == 3
+    # a later delivery of smaller ids loses what the index has
+    again = {r.doc_id: r.n_removed for r in index.add(spark.createDataFrame([(-1, next(t for d, t in plain if t and len(t.split()) > 100))], "doc_id long, text string")).collect()}
+    assert again[-1] > 50
+    with pytest.raises(ValueError):
+        fingerprint_index.FingerprintIndex(spark, str(tmp_path / "index"), window=20)
+    assert index.add(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_cleaned_keeps_layout(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = spark.createDataFrame([(1, text), (2, f"a\n b  {text} c\td"), (3, None)], "doc_id long, text string")
