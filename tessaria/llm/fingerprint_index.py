@@ -33,7 +33,7 @@ from tessaria.llm.blocks import anchors, blocks, signed, word_hashes, words
 from tessaria.llm.spans import K, WINDOW, anchor_rows, by_document, listed, remove, texts_of, window_rows, windows_between, within
 from tessaria.operators.workspace import Workspace
 
-BATCHES = 4
+BATCHES = 2
 #: What one bucket of texts and of fingerprints should hold, and the least number of buckets.
 BUCKET_CHARS, LEAST_BUCKETS = 256_000_000, 12
 RUN, TEXT = "key BIGINT, context BIGINT, doc_id BIGINT", "doc_id BIGINT, version BIGINT, text STRING"

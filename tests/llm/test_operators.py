@@ -10,7 +10,7 @@ import pytest
 from brute import SCHEMA, all_spans, backoff, base_spans, corpus, digest, judge_url, near_groups, quality_counts, removed, top
 from pyspark.sql import functions as F
 
-from tessaria.llm import catalog, fingerprint_index, lm_scores, minhash, packing, pieces, quality, secrets, suffix_array, topk, urls
+from tessaria.llm import catalog, fingerprint_index, lm_scores, minhash, packing, pieces, quality, secrets, spans, suffix_array, topk, urls
 from tessaria.operators import components
 from tessaria.operators.workspace import Workspace
 
@@ -83,14 +83,14 @@ def test_suffix_neighbours(spark, monkeypatch, near, rows_per_batch):
     assert have == want
 
 
-def test_suffix_matches_decide(spark, monkeypatch):
-    """Without the extended matches of neighbours the result is another: they, not the exact check, remove windows."""
+def test_suffix_matches_extend(spark):
+    """Two neighbours in one task: the match is extended to both sides, and the larger document loses its windows."""
     core = " ".join(f"c{i}" for i in range(55))
-    rows = spark.createDataFrame([(1, f"a b {core} e f"), (2, f"g h i {core} j")], "doc_id long, text string").coalesce(1)
-    assert {(r.doc_id, r.spans) for r in suffix_array.dedup(rows).collect()} == {(1, ""), (2, "3:58")}
-    real = suffix_array.neighbours
-    monkeypatch.setattr(suffix_array, "neighbours", lambda *a: real(*a).filter(~F.col("gone")))
-    assert {(r.doc_id, r.spans) for r in suffix_array.dedup(rows).collect()} == {(1, ""), (2, "")}
+    texts = spans.texts_of(spark.createDataFrame([(1, f"a b {core} e f"), (2, f"g h i {core} j")], "doc_id long, text string"))
+    places = spans.anchor_rows(texts).select("doc_id", "version", "at", "lo", "hi")
+    array = suffix_array.suffixes(texts, places).coalesce(1).sortWithinPartitions("suffix", "doc_id")
+    found = suffix_array.neighbours(array).filter("gone").collect()
+    assert {(r.doc_id, x) for r in found for x in range(r.lo, r.hi + 1)} == {(2, x) for x in range(3, 9)}
 
 
 def test_index_continued_in_another_session(spark, docs, plain, tmp_path):
