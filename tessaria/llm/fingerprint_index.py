@@ -121,9 +121,9 @@ class FingerprintIndex:
         late = F.coalesce("seen", F.lit(False)) | (F.col("doc_id") > F.col("own"))
         judged = space.write(several.join(contexts, ["key", "context"]).select("doc_id", "version", "lo", "hi", late.alias("late")), "judged")
 
-        here = window_rows(texts, judged.filter(~F.col("late")).drop("late"), window).withColumn("old", F.lit(False))
+        here = window_rows(texts, judged.filter(~F.col("late")).drop("late"), window, self.state["buckets"]).withColumn("old", F.lit(False))
         wanted = space.write(met.join(keys.filter("multi").select("key"), "key", "left_semi").select("doc_id", "key").distinct(), "wanted")
-        there = [keyed_windows(self._table(t, TEXT, "doc_id"), wanted, window, k) for t in earlier]
+        there = [keyed_windows(self._table(t, TEXT, "doc_id"), wanted, window, k, self.state["buckets"]) for t in earlier]
         for part in (here, *there):  # one by one: a union of bucketed tables loses its rows' places
             part.write.mode("append").parquet(f"{space.path}/windows")
         windows = self.spark.read.schema("doc_id long, version long, start int, hash long, old boolean").parquet(f"{space.path}/windows")
@@ -139,7 +139,7 @@ class FingerprintIndex:
         self._save()
         while len(self.state["runs"]) > 1 and self.state["runs"][-1][1] == self.state["runs"][-2][1]:
             self.compact()
-        return remove(texts, ranges, window)
+        return remove(texts, ranges, window, buckets=self.state["buckets"])
 
     def _met(self, space: Workspace, summary: DataFrame) -> DataFrame:
         """Fingerprints of all runs whose key a delivery has: one merge join a run, bucket by bucket."""
@@ -169,7 +169,7 @@ class FingerprintIndex:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keyed_windows(texts: DataFrame, wanted: DataFrame, window: int, k: int) -> DataFrame:
+def keyed_windows(texts: DataFrame, wanted: DataFrame, window: int, k: int, buckets: int) -> DataFrame:
     """Windows of the texts whose anchors have the wanted (doc_id, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def keyed_windows(texts: DataFrame, wanted: DataFrame, window: int, k: int) -> D
                 ids = [batch.column(i).slice(block.lo, block.hi - block.lo).take(pa.array(row)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(start.astype(np.int32)), pa.array(signed(h)), pa.array(np.ones(len(row), bool))], ["doc_id", "version", "start", "hash", "old"])
 
-    keys = wanted.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    keys = wanted.repartition(buckets, "doc_id").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
     rows = texts.join(keys, "doc_id").select("doc_id", "version", "text", "keys")
     return rows.mapInArrow(run, "doc_id long, version long, start int, hash long, old boolean")
 

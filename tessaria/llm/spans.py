@@ -50,9 +50,11 @@ def anchor_rows(texts: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
     return texts.select("doc_id", "version", "text").mapInArrow(run, ANCHOR)
 
 
-def by_document(ranges: DataFrame, *fields: str) -> DataFrame:
-    """doc_id and its list of structs of version and ``fields`` (lo and hi)."""
-    return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("version", *(fields or ("lo", "hi")))).alias("ranges"))
+def by_document(ranges: DataFrame, *fields: str, buckets: int | None = None) -> DataFrame:
+    """doc_id and its list of structs of version and ``fields`` (lo and hi); for texts in a table of so many ``buckets`` by
+    doc_id, dealt like them, so that their join does not shuffle the texts."""
+    dealt = ranges.repartition(buckets, "doc_id") if buckets else ranges
+    return dealt.groupBy("doc_id").agg(F.collect_list(F.struct("version", *(fields or ("lo", "hi")))).alias("ranges"))
 
 
 def listed(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -80,7 +82,7 @@ def windows_between(block: Block, w: Words, row: np.ndarray, lo: np.ndarray, hi:
     return row[there], start[there], PrefixHash(word_hashes(block, w)).of(at[there], at[there] + window)
 
 
-def window_rows(texts: DataFrame, ranges: DataFrame, window: int = WINDOW) -> DataFrame:
+def window_rows(texts: DataFrame, ranges: DataFrame, window: int = WINDOW, buckets: int | None = None) -> DataFrame:
     """One row per window in the ranges: doc_id, version, start, hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,11 +94,11 @@ def window_rows(texts: DataFrame, ranges: DataFrame, window: int = WINDOW) -> Da
                 own = [batch.column(i).slice(block.lo, block.hi - block.lo).take(pa.array(row)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(start.astype(np.int32)), pa.array(signed(h))], ["doc_id", "version", "start", "hash"])
 
-    rows = texts.join(by_document(ranges.distinct()), "doc_id").select("doc_id", "version", "text", "ranges")
+    rows = texts.join(by_document(ranges.distinct(), buckets=buckets), "doc_id").select("doc_id", "version", "text", "ranges")
     return rows.mapInArrow(run, "doc_id long, version long, start int, hash long")
 
 
-def remove(texts: DataFrame, ranges: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove(texts: DataFrame, ranges: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
     """Per document: the ``keep`` columns, doc_id, n_words, n_removed, spans (removed word ranges, start:end, comma-joined), kept (kept
     words joined by one space), cleaned (the text itself where nothing goes; else the kept stretches of it, layout
     included, joined by one space; null for a null text)."""
@@ -138,7 +140,7 @@ def remove(texts: DataFrame, ranges: DataFrame, window: int = WINDOW, keep: tupl
                 made = [pa.array(counts.astype(np.int64)), pa.array(less), pa.array(spans, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), clean.cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns[4:], part.column(0), *made], [*keep, "doc_id", "n_words", "n_removed", "spans", "kept", "cleaned"])
 
-    joined = texts.join(by_document(ranges), "doc_id", "left").select("doc_id", "version", "text", "ranges", *keep)
+    joined = texts.join(by_document(ranges, buckets=buckets), "doc_id", "left").select("doc_id", "version", "text", "ranges", *keep)
     carried = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in keep)
     return joined.mapInArrow(run, f"{carried}doc_id long, n_words long, n_removed long, spans string, kept string, cleaned string")
 
