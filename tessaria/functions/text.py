@@ -2,40 +2,82 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they fold to. (Fixed values.)
-ACCENTED = "áàâäãéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ"
-FOLDED = "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC"
-#: Street abbreviations and their expansions. (Fixed values.)
-STREETS = ((r"\bc/\s*", "calle "), (r"\bcl\.\s*", "calle "), (r"\bavda\.?\s*", "avenida "), (r"\bav\.\s*", "avenida "), (r"\bpza\.?\s*", "plaza "), (r"\bpº\s*", "paseo "))
+#: Letters that compatibility decomposition turns into one letter and marks, what they become, and the marks, which go.
+_DECOMPOSED = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)) for c in (*range(0xA1, 0x250), *range(0x1E00, 0x1F00))}
+_LETTERS = [(c, d) for c, d in _DECOMPOSED.items() if len(d) == 1 and d != c]
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+FOLD_FROM, FOLD_TO = "".join(c for c, _ in _LETTERS) + _MARKS, "".join(d for _, d in _LETTERS)
+#: Street abbreviations and their expansions, in order. (Fixed values; (?U) reads letters as Unicode has them.)
+STREETS = {
+    r"(?U)\bc/(?!\w)": "calle",
+    r"(?U)\bcl\.?(?!\w)": "calle",
+    r"(?U)\bavda\.?(?!\w)": "avenida",
+    r"(?U)\bav\.?(?!\w)": "avenida",
+    r"(?U)\bpza\.?(?!\w)": "plaza",
+    r"(?U)\bpº(?!\w)": "paseo",
+}
+#: Floor words and what they count as, the first that is found. (Fixed values.)
+FLOOR_WORDS = (
+    ("entresuelo", "entresuelo"),
+    ("entreplanta", "entresuelo"),
+    ("semisotano", "semisotano"),
+    ("sotano", "sotano"),
+    ("atico", "atico"),
+    ("principal", "principal"),
+    ("planta baja", "bajo"),
+    ("bajo", "bajo"),
+)
+#: Patterns of scoring's floor numbers, the first that is found. (Fixed values.)
+FLOOR_NUMBERS = ((r"\bbaj[oa]s?\b|\bentresuelo\b", 0.0), (r"\bentreplanta\b", 0.5), (r"\bsemi[-\s]?sotano\b", -0.5), (r"\bsotano\b", -1.0), (r"\batico\b", 50.0))
+#: Words and marks of the feed's ground floors, and the word that rules them out. (Fixed values.)
+GROUND_WORDS, GROUND_MARKS, UNDER_ROOF = "bajo|baja|entresuelo|entreplanta|planta baja|semisotano|semisótano", ("0", "pb", "bj"), "cubierta"
+#: Spanish numbers, with an optional prefix and separators. (Fixed value.)
 PHONE = r"(?<!\d)(?:\+34[\s.-]?)?[6789]\d{2}[\s.-]?\d{3}[\s.-]?\d{3}(?!\d)"
-#: Values that stand for no reference code. (Fixed values.)
-PLACEHOLDERS = ("none", "null", "n/a", "sin referencia", "consultar", "0000")
+#: The label before a code, the short suffix after it, the least length, and values that stand for no code. (Fixed values.)
+CODE_LABEL, CODE_SUFFIX, LEAST_CODE = r"^(referencia|ref\.?)(?=$|[\s:\-])[\s:\-]*", r"^(.+)[-_/]([0-9a-z]{1,3})$", 4
+PLACEHOLDERS = ("0", "-", "n/a", "na", "ref", "sin referencia", "sinreferencia", "sin-referencia", "pendiente", "tbd", "todo")
+#: Markers of failures, network before structure. (Fixed values.)
+NETWORK_MARKERS = (
+    "timeout", "timed out", "connection", "could not connect", "refused", "unreachable", "reset by peer", "econnreset",
+    "name resolution", "getaddrinfo", "dns", "ssl", "certificate", "network is unreachable",
+)
+STRUCTURE_MARKERS = (
+    "parse", "json", "html", "selector", "marker", "nonetype", "keyerror", "attributeerror", "indexerror",
+    "no such element", "structure", "decode", "unexpected", "missing",
+)
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.lower(F.translate(c, ACCENTED, FOLDED))
+    """Lower case without accents; ª and º become a and o."""
+    return F.lower(F.translate(c, FOLD_FROM, FOLD_TO))
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def normalize_address(c: Column) -> Column:
-    out = F.lower(c)
-    for pattern, word in STREETS:
+    out = strip(F.lower(c))
+    for pattern, word in STREETS.items():
         out = F.regexp_replace(out, pattern, word)
-    return F.trim(F.regexp_replace(F.regexp_replace(fold(out), r"[^0-9a-z\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(fold(out), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
 
 
 def normalize_floor(c: Column) -> Column:
-    """Dedup's floor: the first known word in order, else the first number, else null."""
+    """Dedup's floor: the first known word in order, else the first number without leading zeros, else null."""
     low = fold(c)
-    out = F.nullif(F.regexp_extract(low, r"(\d+)", 1), F.lit(""))
-    # (fixed values) words in order of precedence
-    for word, name in reversed((("semisotano", "semisotano"), ("sotano", "sotano"), ("entresuelo", "entresuelo"), ("entreplanta", "entreplanta"), ("bajo", "bajo"), ("atico", "atico"), ("principal", "principal"))):
+    digits = F.regexp_replace(F.regexp_extract(low, r"(\d+)", 1), r"^0+(?=\d)", "")
+    out = F.nullif(digits, F.lit(""))
+    for word, name in reversed(FLOOR_WORDS):
         out = F.when(low.contains(word), name).otherwise(out)
     return out
 
@@ -43,14 +85,16 @@ def normalize_floor(c: Column) -> Column:
 def floor_number(c: Column) -> Column:
     """Scoring's floor, as a number."""
     low = fold(c)
-    digits = F.nullif(F.regexp_extract(low, r"(\d+)", 1), F.lit("")).cast("double")
-    return F.when(low.contains("semisotano"), -0.5).when(low.contains("sotano"), -1.0).when(low.contains("entreplanta"), 0.5).when(low.contains("bajo") | low.contains("entresuelo"), 0.0).when(low.contains("atico"), 50.0).otherwise(digits)
+    out = F.nullif(F.regexp_extract(low, r"(\d+)", 1), F.lit("")).cast("double")
+    for pattern, value in reversed(FLOOR_NUMBERS):
+        out = F.when(low.rlike(pattern), value).otherwise(out)
+    return out
 
 
 def is_ground_floor(c: Column) -> Column:
-    """The feed's test: ground words or 0, PB, BJ, but no covered terrace."""
-    low = F.trim(fold(F.coalesce(c, F.lit(""))))
-    return (low.rlike(r"\bbajo\b|planta baja") | low.isin("0", "pb", "bj")) & ~low.contains("cubierta")
+    """The feed's test: ground words anywhere, or 0, PB, BJ alone, but nothing under the roof. Unknown is no ground floor."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return ~low.contains(UNDER_ROOF) & (low.rlike(GROUND_WORDS) | F.trim(low).isin(*GROUND_MARKS))
 
 
 def extract_phones(c: Column) -> Column:
@@ -61,14 +105,15 @@ def extract_phones(c: Column) -> Column:
 
 
 def normalize_reference_code(c: Column) -> Column:
-    """Case-folded code without its label; null for placeholders, under four characters, or without a digit."""
-    low = F.trim(F.regexp_replace(F.lower(F.trim(c)), r"^(?:ref(?:erencia)?\.?|codigo|id)\s*[:.#-]?\s*", ""))
-    return F.when(low.isin(*PLACEHOLDERS) | (F.length(low) < 4) | ~low.rlike(r"\d"), None).otherwise(low)
+    """Lower-case code without a label before it; null for placeholders, under four characters, or without a digit."""
+    low = strip(F.regexp_replace(strip(F.lower(c)), CODE_LABEL, ""))
+    return F.when(low.isin(*PLACEHOLDERS) | (F.length(low) < LEAST_CODE) | ~low.rlike(r"\d"), None).otherwise(low)
 
 
 def code_base(c: Column) -> Column:
-    """A code without its short suffix, or null if it has none."""
-    return F.nullif(F.regexp_extract(c, r"^(.+)[-_/][0-9a-z]{1,3}$", 1), F.lit(""))
+    """A code without its short suffix, or null if it has none or too little would be left."""
+    base = F.regexp_extract(c, CODE_SUFFIX, 1)
+    return F.when(F.length(base) >= LEAST_CODE, base)
 
 
 def codes_equivalent(a: Column, b: Column) -> Column:
@@ -99,9 +144,10 @@ def phrase_hits(text: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def failure_class(c: Column) -> Column:
-    """Network before structure before other. (Fixed values: the markers.)"""
+    """Class of a failure's type and message: network before structure_change before other."""
     low = F.lower(c)
-    return F.when(low.rlike("timeout|connection|dns|refused|reset|403|429|503"), "network").when(low.rlike("selector|parse|schema|missing|keyerror"), "structure").otherwise("other")
+    some = lambda markers: reduce(lambda a, b: a | b, (low.contains(m) for m in markers))
+    return F.when(some(NETWORK_MARKERS), "network").when(some(STRUCTURE_MARKERS), "structure_change").otherwise("other")
 
 
 def match_key(url: Column) -> Column:
@@ -111,21 +157,29 @@ def match_key(url: Column) -> Column:
 
 
 def content_hash(pairs: str) -> Column:
-    """SHA-256 over an array of (id, text), in order of id, texts trimmed."""
-    lines = F.transform(F.array_sort(pairs), lambda p: F.concat_ws(":", p["id"].cast("string"), F.trim(p["text"])))
-    return F.sha2(F.array_join(lines, "\n"), 256)
+    """SHA-256 of the JSON of an array of (id, text): ``[{"id":1,"d":"trimmed text"},...]`` in order of id, a missing id
+    counting as 0 and a missing text as empty; equal ids stay in their order."""
+    placed = F.transform(pairs, lambda p, i: F.struct(F.coalesce(p["id"], F.lit(0)).alias("order"), i.alias("i"), p["id"].alias("id"), strip(F.coalesce(p["text"], F.lit(""))).alias("d")))
+    material = F.transform(F.array_sort(placed), lambda p: F.struct(p["id"].alias("id"), p["d"].alias("d")))
+    return F.sha2(F.to_json(material, {"ignoreNullFields": "false"}), 256)
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, one bit a character of ``a``."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    open_ = full
+    for c in b:
+        hit = open_ & where.get(c, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & full
+    return len(a) - open_.bit_count()
 
 
 def indel_similarity(a: str, b: str) -> float:
     """1 − (insertions + deletions) / (sum of lengths)."""
-    if not a and not b:
-        return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b):
-            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
-    return 2 * row[-1] / (len(a) + len(b))
+    return 2 * common_length(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
 def _token_sort_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

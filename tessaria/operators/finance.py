@@ -1,16 +1,59 @@
-"""Yields, purchase costs, renovation and resale figures as column expressions."""
+"""Yields, purchase costs by region, renovation and resale figures as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Defaults. (Fixed values.)
+from tessaria.functions.text import fold, strip
+
+#: Defaults: down payment, rate, years; running costs and vacancy as shares of the rent; notary, registry and tax of unknown
+#: regions in percent of the price, other costs in euros. (Fixed values.)
 DOWN_PERCENT, RATE_PERCENT, YEARS = 20, 3, 25
-RUNNING_SHARE, VACANCY_SHARE = 0.25, 0.08
-TAX_PERCENT, NOTARY_PERCENT, REGISTRY_PERCENT, FIXED_COSTS = 8, 0.3, 0.2, 300
-WORKS_PER_M2 = {"light": 400, "full": 900, "medium": 650}
-FLIP_BUFFER, MOST_RENT = 0.10, 2000
+RUNNING_PERCENT, VACANCY_PERCENT = 25, 8
+NOTARY_PERCENT, REGISTRY_PERCENT, FIXED_COSTS, TAX_PERCENT = 0.3, 0.2, 300, 8
+#: Renovation a square metre by depth, costs of resale in percent of the price, comparables that make a resale value sure,
+#: and the highest plausible monthly community fee. (Fixed values.)
+LIGHT, FULL, UNGRADED = 400, 900, 650
+RESALE_PERCENT, SURE_SAMPLE, MOST_FEE = 10, 15, 2000
+#: Transfer tax in percent by region. (Fixed values.)
+REGION_TAX = {
+    "Andalucía": 7, "Aragón": 8, "Asturias": 8, "Baleares": 8, "Canarias": 6.5, "Cantabria": 9, "Castilla y León": 8, "Castilla-La Mancha": 9, "Cataluña": 10, "Extremadura": 8,
+    "Galicia": 8, "Madrid": 6, "Murcia": 8, "Navarra": 6, "País Vasco": 4, "La Rioja": 7, "Comunidad Valenciana": 9, "Ceuta": 3, "Melilla": 3,
+}
+#: Names of each region's provinces, without accents. (Fixed values.)
+REGION_PROVINCES = {
+    "Andalucía": ("almeria", "cadiz", "cordoba", "granada", "huelva", "jaen", "malaga", "sevilla"),
+    "Aragón": ("huesca", "teruel", "zaragoza"),
+    "Asturias": ("asturias", "principado de asturias"),
+    "Baleares": ("baleares", "illes balears", "islas baleares", "mallorca"),
+    "Canarias": ("las palmas", "santa cruz de tenerife", "tenerife"),
+    "Cantabria": ("cantabria",),
+    "Castilla y León": ("avila", "burgos", "leon", "palencia", "salamanca", "segovia", "soria", "valladolid", "zamora"),
+    "Castilla-La Mancha": ("albacete", "ciudad real", "cuenca", "guadalajara", "toledo"),
+    "Cataluña": ("barcelona", "girona", "gerona", "lleida", "lerida", "tarragona"),
+    "Extremadura": ("badajoz", "caceres"),
+    "Galicia": ("a coruna", "coruna", "la coruna", "lugo", "ourense", "orense", "pontevedra"),
+    "Madrid": ("madrid",),
+    "Murcia": ("murcia",),
+    "Navarra": ("navarra",),
+    "País Vasco": ("alava", "araba", "gipuzkoa", "guipuzcoa", "bizkaia", "vizcaya", "araba/alava"),
+    "La Rioja": ("la rioja", "rioja"),
+    "Comunidad Valenciana": ("alicante", "alicante/alacant", "castellon", "castellon/castello", "valencia", "valencia/valencia"),
+    "Ceuta": ("ceuta",),
+    "Melilla": ("melilla",),
+}
+
+
+def region(province: Column) -> Column:
+    """The region of a province however it is accented; null for unknown ones."""
+    pairs = [F.lit(x) for name, provinces in REGION_PROVINCES.items() for p in provinces for x in (p, name)]
+    return F.create_map(*pairs)[strip(fold(province))]
+
+
+def region_tax(province: Column) -> Column:
+    rates = F.create_map(*(F.lit(x) for name, rate in REGION_TAX.items() for x in (name, float(rate))))
+    return F.coalesce(rates[region(province)], F.lit(float(TAX_PERCENT)))
 
 
 def annuity(loan: Column, rate_percent: float, years: int) -> Column:
@@ -19,36 +62,40 @@ def annuity(loan: Column, rate_percent: float, years: int) -> Column:
     return loan / n if r == 0 else loan * F.lit(r) / (1 - F.pow(F.lit(1 + r), F.lit(-n)))
 
 
-def purchase_costs(price: Column, tax_percent: Column | None = None) -> Column:
-    tax = F.coalesce(tax_percent, F.lit(float(TAX_PERCENT))) if tax_percent is not None else F.lit(float(TAX_PERCENT))
-    return price * (tax / 100) + price * (NOTARY_PERCENT / 100) + price * (REGISTRY_PERCENT / 100) + FIXED_COSTS
+def purchase_costs(price: Column, tax_percent: Column) -> Column:
+    return price * (tax_percent / 100) + price * (NOTARY_PERCENT / 100) + price * (REGISTRY_PERCENT / 100) + FIXED_COSTS
+
+
+def works(m2: Column, condition: Column, severity: Column) -> Column:
+    """Cost of renovation: nothing for renovated and new ones, null without a condition or (where there is work) a size."""
+    rate = F.when(severity == "leve", LIGHT).when(severity == "integral", FULL).otherwise(UNGRADED)
+    return F.when(condition.isin("reformado", "obra_nueva"), 0).when(condition.isNotNull() & (condition != "unclear") & (m2 > 0), rate * m2).cast("double")
 
 
-def works(m2: Column, tier: Column) -> Column:
-    rate = F.lit(None)
-    for name, value in WORKS_PER_M2.items():
-        rate = F.when(tier == name, value).otherwise(rate)
-    return rate * m2
+def yields(price: Column, rent: Column, province: Column, tax: Column | None = None, community: Column | None = None, down: float = DOWN_PERCENT, rate: float = RATE_PERCENT, years: int = YEARS) -> dict[str, Column]:
+    """gross, net and cash_on_cash in percent, and costs of purchase; null without a price or a rent. ``tax`` and
+    ``community`` are a published yearly tax and monthly fee: where one is known (and the fee plausible), they and vacancy
+    take the place of the assumed running costs. Net yield leaves purchase costs out, cash on cash counts them."""
+    none = F.lit(None).cast("double")
+    tax, community = none if tax is None else tax, none if community is None else F.when(community <= MOST_FEE, community)
+    sound = (price > 0) & rent.isNotNull()
+    year = rent * 12
+    actual = F.coalesce(tax, F.lit(0.0)) + F.coalesce(community, F.lit(0.0)) * 12 + year * (VACANCY_PERCENT / 100)
+    running = F.when(tax.isNotNull() | community.isNotNull(), actual).otherwise(year * (RUNNING_PERCENT / 100))
+    net, costs = year - running, purchase_costs(price, region_tax(province))
+    cash = price * (down / 100) + costs
+    out = {"gross": year / price * 100, "net": net / price * 100, "cash_on_cash": (net - annuity(price * (1 - down / 100), rate, years) * 12) / cash * 100, "costs": costs}
+    return {name: F.when(sound, F.try_divide(c, F.lit(1.0))) for name, c in out.items()}
 
 
-def plausible_rent(rent: Column) -> Column:
-    """Null above the plausibility cap."""
-    return F.when(rent <= MOST_RENT, rent)
+def resale(median_m2: Column, m2: Column, sample: Column) -> tuple[Column, Column]:
+    """Value after renovation (the area's median times the size) and how sure it is."""
+    value = F.when((median_m2 > 0) & (m2 > 0), median_m2 * m2)
+    return value, F.when(value.isNotNull(), F.when(sample >= SURE_SAMPLE, "high").otherwise("low"))
 
 
-def investment(df: DataFrame, price: str, rent: str, m2: str, tier: Column, resale: Column) -> DataFrame:
-    """id, gross_yield, net_yield, payment, cash_on_cash, costs, works, flip_margin."""
-    p, year = F.col(price), F.col(rent) * 12
-    costs, repair = purchase_costs(p), works(F.col(m2), tier)
-    loan = p * (1 - DOWN_PERCENT / 100)
-    net, payment = year * (1 - VACANCY_SHARE) * (1 - RUNNING_SHARE), annuity(loan, RATE_PERCENT, YEARS)
-    return df.select(
-        "id",
-        F.round(F.try_divide(year, p), 8).alias("gross_yield"),
-        F.round(F.try_divide(net, p + costs), 8).alias("net_yield"),
-        F.round(payment, 4).alias("payment"),
-        F.round(F.try_divide(net - payment * 12, p - loan + costs), 8).alias("cash_on_cash"),
-        F.round(costs, 4).alias("costs"),
-        repair.cast("long").alias("works"),
-        F.round(resale - (p + costs + repair) * (1 + FLIP_BUFFER), 4).alias("flip_margin"),
-    )
+def flip(value: Column, price: Column, repair: Column) -> tuple[Column, Column]:
+    """Margin of buying, renovating and selling, in euros and as a share of what is laid out; null if anything is unknown."""
+    buffer = price * (RESALE_PERCENT / 100)
+    margin = F.when(price > 0, value - price - repair - buffer)
+    return margin, F.try_divide(margin, price + repair + buffer)

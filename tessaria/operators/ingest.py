@@ -94,6 +94,20 @@ def quality_score(weights: Mapping[str, int]) -> Column:
     return have / sum(weights.values())
 
 
+#: Weights of the fields of a listing, 18 in all. (Fixed values.)
+FIELD_WEIGHTS = {"price": 3, "location": 3, "m2": 3, "kind": 2, "rooms": 2, "photos": 2, "description": 1, "bathrooms": 1, "energy": 1}
+
+
+def extraction_score() -> Column:
+    """Share of the weights of the fields that a listing has: columns price, lat and lon or address (location), m2, kind,
+    rooms, photos (array), description, bathrooms, energy. Blank texts and empty lists count as missing."""
+    text = lambda c: F.coalesce(F.length(F.trim(c)) > 0, F.lit(False))
+    special = {"location": (F.col("lat").isNotNull() & F.col("lon").isNotNull()) | text("address"), "photos": F.coalesce(F.size("photos") > 0, F.lit(False)) & F.col("photos").isNotNull(), "description": text("description")}
+    there = lambda name: special[name] if name in special else F.col(name).isNotNull()
+    hits = [F.when(there(name), weight).otherwise(0) for name, weight in FIELD_WEIGHTS.items()]
+    return sum(hits[1:], hits[0]) / float(sum(FIELD_WEIGHTS.values()))
+
+
 def grade(score: Column) -> Column:
     out = F.lit("F")
     for least, name in reversed(GRADES):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaria.functions.geo import great_circle_km
+from tessaria.operators.workspace import Workspace
 
 KM_PER_DEGREE = 111.0
 
@@ -17,11 +18,13 @@ def within_km_join(left: DataFrame, right: DataFrame, km: float, keys: tuple[str
 
     Points fall into grid cells that are ``km`` wide at latitude ``max_lat`` and wider below; the replicated side
     (``side``) goes to its 3 x 3 neighbour cells, so the join is an equi-join on cell and keys and only neighbours are
-    compared. Points beyond ``max_lat`` need a larger value.
+    compared. Points beyond ``max_lat`` stop the job, as their neighbours could be missed; points without coordinates join
+    nothing.
     """
     d_lat = km / KM_PER_DEGREE * 1.15
     d_lon = km / (KM_PER_DEGREE * cos(radians(max_lat))) * 1.15
-    cell = lambda df: df.withColumns({"_x": F.floor(F.col("lat") / d_lat), "_y": F.floor(F.col("lon") / d_lon)})
+    held = F.when(F.abs(F.col("lat")) > max_lat, F.raise_error(F.lit(f"a latitude is beyond {max_lat}")).cast("double")).otherwise(F.col("lat"))
+    cell = lambda df: df.withColumns({"_x": F.floor(held / d_lat), "_y": F.floor(F.col("lon") / d_lon)})
     near = lambda df: df.withColumn("_dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_dy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumns({"_x": F.col("_x") + F.col("_dx"), "_y": F.col("_y") + F.col("_dy")}).drop("_dx", "_dy")
     l, r = cell(left), cell(right)
     l, r = (near(l), r) if side == "left" else (l, near(r))
@@ -71,9 +74,26 @@ def band_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], step: st
     return l.join(r, on & condition)
 
 
-def full_diff(old: DataFrame, new: DataFrame, key: str, compare: str) -> DataFrame:
-    """key, change (added, removed, changed) of two catalogues; the first row of a key counts in each."""
-    o, n = old.alias("o"), new.alias("n")
+def nearest(left: DataFrame, right: DataFrame, key: str, other: str, max_lat: float = 60.0, radii: tuple[float, ...] = (25.0, 200.0, 1600.0, 20040.0)) -> DataFrame:
+    """key, other, km: the nearest right row of every left row with coordinates (ties by ``other``), at any distance. Each
+    radius is tried on what the one before has left over, so the last, which spans the Earth, is for the few far rows."""
+    space = Workspace(left.sparkSession, "nearest")
+    km = great_circle_km("l.lat", "l.lon", "r.lat", "r.lon")
+    rest, out = left.select(key, "lat", "lon"), None
+    for i, radius in enumerate(radii):
+        pairs = within_km_join(rest, right.select(other, "lat", "lon"), radius, max_lat=max_lat)
+        best = F.min(F.struct(F.round(km, 6).alias("km"), F.col(f"r.{other}").alias(other)))
+        found = space.write(pairs.groupBy(F.col(f"l.{key}").alias(key)).agg(best.alias("b")).select(key, f"b.{other}", "b.km"), f"found{i}")
+        out = found if out is None else out.unionByName(found)
+        rest = rest.join(found, key, "left_anti")
+    return out
+
+
+def full_diff(old: DataFrame, new: DataFrame, key: str, compare: str, order: str | None = None) -> DataFrame:
+    """key, change (added, removed, changed) of two catalogues; of rows with one key the first by ``order`` counts in each
+    (without one, that of the least value)."""
+    first = lambda df: df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(compare), F.struct(*([order] if order else []), compare)).alias("_f")).select(key, F.col(f"_f.{compare}").alias(compare))
+    o, n = first(old).alias("o"), first(new).alias("n")
     both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
     change = F.when(F.col(f"o.{key}").isNull(), "added").when(F.col(f"n.{key}").isNull(), "removed").when(~F.col(f"o.{compare}").eqNullSafe(F.col(f"n.{compare}")), "changed")
     return both.select(F.coalesce(f"n.{key}", f"o.{key}").alias(key), change.alias("change")).filter("change IS NOT NULL")

@@ -66,3 +66,24 @@ def like_for_like(df: DataFrame, pool: Sequence[str], least: int = 3) -> DataFra
     basis = F.when(F.col("n_segment") >= least, "segment").when(F.col("n_pool") >= least, "pool")
     reference = F.when(basis == "segment", F.col("segment")).when(basis == "pool", F.col("pool_median"))
     return joined.select("id", basis.alias("basis"), F.round(reference, 6).alias("reference"), F.round(1 - F.try_divide(F.col("m2"), reference), 6).alias("below"))
+
+
+def cheapest_fresh(listings: DataFrame, key: str, now, days: int = 30) -> DataFrame:
+    """key, price, last_seen of the cheapest active rental listing of each property that was seen within ``days`` and has a
+    price; both from the same row (ties: the later sight, then the smaller id)."""
+    fresh = listings.filter((F.col("status") == "active") & (F.col("operation") == "rent") & (F.col("price") > 0) & (F.col("last_seen") >= now - F.expr(f"INTERVAL {days} DAYS")))
+    order = F.struct("price", (-F.unix_micros(F.col("last_seen").cast("timestamp"))).alias("age"), "id")
+    return fresh.groupBy(key).agg(F.min_by(F.struct("price", "last_seen"), order).alias("b")).select(key, "b.price", "b.last_seen")
+
+
+def rent_decision(m2: Column, located: Column, assumption: Column, market: Column, confidence: Column) -> tuple[Column, Column, Column]:
+    """Monthly rent, method and how far a profile's assumption (per square metre) is from the market: the assumption goes
+    first where there is one, else the market's estimate if it is not ``insufficient``."""
+    assumed = F.when(m2 > 0, assumption * m2)
+    usable = F.coalesce(confidence.isin("high", "low"), F.lit(False))
+    found = F.when(located & usable & (m2 > 0), market)
+    method = (
+        F.when(F.coalesce(m2 <= 0, F.lit(True)), "no_property_size").when(assumed.isNotNull(), "profile_assumption").when(~located, "no_property_location").when(~usable, "insufficient_data")
+        .when(confidence == "high", "market_comparable_high").otherwise("market_comparable_low")
+    )
+    return F.coalesce(assumed, found), method, F.try_divide(assumed - found, found)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessaria.functions.geo import circle_polygon, great_circle_km, haversine_m, in_box, polyline_decode, polyline_encode
 from tessaria.operators import feed, finance, keyed, market, scope
-from tessaria.operators.joins import within_km_join
+from tessaria.operators.joins import nearest, within_km_join
 from tessaria.plans.registry import LINE_ORDER, LINE_ORDER_SQL, PARTS_SQL, km_sql, parts, query
 from tessaria.session import table
 
@@ -141,20 +141,24 @@ def nearest_place(spark, d):
     f"SELECT place, count(*) FILTER (WHERE {km_sql('c', 'p')} <= coalesce(pop / 1000, 0))::BIGINT AS covered FROM {PLACES_SQL} p, {CUSTOMER_SQL} c GROUP BY place",
 )
 def coverage_point(spark, d):
-    """Customers within each place's own radius (at most 90 km, which sizes the grid)."""
+    """Customers within each place's own radius, the largest of which sizes the grid."""
     p = places(spark, d)
-    pairs = within_km_join(p, located_customers(spark, d), 90, max_lat=45, condition=great_circle_km("l.lat", "l.lon", "r.lat", "r.lon") <= F.col("l.pop") / 1000)
+    widest = p.agg(F.max(F.col("pop") / 1000)).first()[0] or 1.0
+    pairs = within_km_join(p, located_customers(spark, d), max(widest, 1.0), max_lat=45, condition=great_circle_km("l.lat", "l.lon", "r.lat", "r.lon") <= F.col("l.pop") / 1000)
     return p.select("place").join(pairs.groupBy("l.place").agg(F.count("*").alias("n")), "place", "left").select("place", F.coalesce("n", F.lit(0)).alias("covered"))
 
 
+FAR_PLACES_SQL = f"(SELECT place, CASE WHEN place % 5 = 0 THEN lat + 14 ELSE lat END AS lat, lon FROM {PLACES_SQL})"
+
+
 @query(
     "nearest_fallback",
-    f"""SELECT place, arg_min(id, {{'a': round(km, 6), 'b': id}}) AS id FROM (SELECT p.place, x.id, {km_sql("p", "x")} AS km FROM {PLACES_SQL} p, {PARTS_SQL} x WHERE abs(p.lat - x.lat) < 0.6) GROUP BY place""",
+    f"""SELECT place, arg_min(id, {{'a': round(km, 6), 'b': id}}) AS id, min(round(km, 6)) AS km FROM (SELECT p.place, x.id, {km_sql("p", "x")} AS km FROM {FAR_PLACES_SQL} p, {PARTS_SQL} x) GROUP BY place""",
 )
 def nearest_fallback(spark, d):
-    """Nearest property of each place within 60 km; every place has one at this density."""
-    pairs = within_km_join(places(spark, d), parts(spark, d).select("id", "lat", "lon"), 60, max_lat=45)
-    return pairs.groupBy("l.place").agg(F.min_by("r.id", F.struct(F.round(great_circle_km("l.lat", "l.lon", "r.lat", "r.lon"), 6), F.col("r.id"))).alias("id"))
+    """Nearest property of each place; a fifth of the places lie far from all, so that the wider searches are needed."""
+    far = places(spark, d).withColumn("lat", F.when(F.col("place") % 5 == 0, F.col("lat") + 14).otherwise(F.col("lat")))
+    return nearest(far, parts(spark, d), "place", "id")
 
 
 @query("polyline_round_trip")
@@ -174,16 +178,65 @@ def box_prefilter(spark, d):
     return parts(spark, d).filter(in_box("lat", "lon", 40.4, -3.7, 50)).agg(F.count("*").alias("n"))
 
 
+PROVINCES = ("Málaga", "MADRID ", "Las Palmas", "barcelona", "València/Valencia", "Bizkaia", "nowhere", None, "Sevilla")
+#: Transfer tax of PROVINCES in percent.
+PROVINCE_TAX = (7, 6, 6.5, 10, 9, 4, 8, 8, 7)
+
+
 @query(
     "yield_flip",
-    f"""WITH b AS (SELECT id, price * 100 AS price, p_size AS m2, price * 0.5 AS rent FROM {PARTS_SQL}),
-c AS (SELECT *, price * 0.08 + price * 0.003 + price * 0.002 + 300 AS costs, price * 0.8 AS loan, 0.03 / 12 AS r, CASE WHEN m2 % 3 = 0 THEN 400 WHEN m2 % 3 = 1 THEN 900 ELSE 650 END * m2 AS works FROM b),
-q AS (SELECT *, loan * r / (1 - pow(1 + r, -300)) AS payment FROM c)
-SELECT id, round(rent * 12 / price, 8) AS gross_yield, round(rent * 12 * (1 - 0.08) * (1 - 0.25) / (price + costs), 8) AS net_yield, round(payment, 4) AS payment,
-  round((rent * 12 * (1 - 0.08) * (1 - 0.25) - payment * 12) / (price - loan + costs), 8) AS cash_on_cash, round(costs, 4) AS costs, works::BIGINT AS works,
-  round(price * 1.4 - (price + costs + works) * 1.1, 4) AS flip_margin FROM q""",
+    f"""WITH b AS (SELECT id, price * 100 AS price, CASE WHEN id % 17 > 0 THEN price * 0.5 END AS rent, p_size AS m2, {list(PROVINCE_TAX)}[id % 9 + 1]::DOUBLE AS tax, CASE WHEN id % 3 = 0 THEN 400.0 END AS ibi, CASE WHEN id % 4 = 0 THEN 100 * (id % 50) END AS fee, id % 5 AS c FROM {PARTS_SQL}),
+k AS (SELECT *, CASE WHEN fee <= 2000 THEN fee END AS f, price * tax / 100 + price * 0.003 + price * 0.002 + 300 AS costs, CASE c WHEN 0 THEN 400 * m2 WHEN 1 THEN 900 * m2 WHEN 2 THEN 650 * m2 WHEN 3 THEN 0 END AS works FROM b),
+n AS (SELECT *, rent * 12 - CASE WHEN ibi IS NULL AND f IS NULL THEN 0.25 * rent * 12 ELSE coalesce(ibi, 0) + coalesce(f, 0) * 12 + 0.08 * rent * 12 END AS net FROM k)
+SELECT id, round(rent * 1200 / price, 6) AS gross, round(net / price * 100, 6) AS net, round((net - price * 0.8 * 0.0025 / (1 - pow(1.0025, -300)) * 12) / (price * 0.2 + costs) * 100, 6) AS cash_on_cash, CASE WHEN rent IS NOT NULL THEN round(costs, 4) END AS costs, works::DOUBLE AS works,
+  round(price * 1.4 - price - works - price * 0.1, 4) AS margin, round((price * 1.4 - price - works - price * 0.1) / (price * 1.1 + works), 8) AS margin_share FROM n""",
 )
 def yield_flip(spark, d):
-    rows = parts(spark, d).select("id", (F.col("price") * 100).alias("price"), F.col("p_size").alias("m2"), (F.col("price") * 0.5).alias("rent"))
-    tier = F.when(F.col("m2") % 3 == 0, "light").when(F.col("m2") % 3 == 1, "full").otherwise("medium")
-    return finance.investment(rows, "price", "rent", "m2", tier, F.col("price") * 1.4)
+    """Parts as homes in provinces of several regions, some with a published tax or fee."""
+    k = F.col("id")
+    rows = parts(spark, d).select("id", (F.col("price") * 100).alias("price"), F.col("p_size").alias("m2"), F.when(k % 17 > 0, F.col("price") * 0.5).alias("rent"))
+    province = F.element_at(F.array(*map(F.lit, PROVINCES)), (k % 9 + 1).cast("int"))
+    found = finance.yields(F.col("price"), F.col("rent"), province, F.when(k % 3 == 0, 400.0), F.when(k % 4 == 0, 100.0 * (k % 50)))
+    condition = F.when(k % 5 < 3, "a_reformar").when(k % 5 == 3, "reformado").otherwise("unclear")
+    repair = finance.works(F.col("m2"), condition, F.when(k % 5 == 0, "leve").when(k % 5 == 1, "integral"))
+    margin, share = finance.flip(F.col("price") * 1.4, F.col("price"), repair)
+    return rows.select("id", *(F.round(found[n], 4 if n == "costs" else 6).alias(n) for n in found), repair.alias("works"), F.round(margin, 4).alias("margin"), F.round(share, 8).alias("margin_share"))
+
+
+@query(
+    "investment_metrics",
+    f"""WITH a AS (SELECT id, n, CASE WHEN n >= 5 THEN round(median, 6) END AS median FROM {AREA_SQL}),
+c AS (SELECT a.id, count(*) AS n, quantile_cont(b.price, 0.25) AS p25, quantile_cont(b.price, 0.5) AS p50, quantile_cont(b.price, 0.75) AS p75
+  FROM {PARTS_SQL} a JOIN {PARTS_SQL} b ON a.p_type = b.p_type AND a.id <> b.id AND b.p_size BETWEEN a.p_size * 0.65::DOUBLE AND a.p_size * 1.35::DOUBLE AND abs(a.lat - b.lat) < 0.7 AND {km_sql("a", "b")} <= 60 GROUP BY a.id),
+x AS (SELECT p.id, p.price, p.p_size AS m2, a.median, a.n AS sample, round(p50, 6) AS p50, coalesce(c.n >= 3 AND (c.n >= 8 OR (p75 - p25) / p50 <= 0.6), false) AS usable, coalesce(c.n >= 8 AND (p75 - p25) / p50 <= 0.6, false) AS sure,
+  CASE WHEN p.id % 6 = 0 THEN 12 * p.p_size END AS assumed FROM {PARTS_SQL} p LEFT JOIN a ON a.id = p.id LEFT JOIN c ON c.id = p.id WHERE p.p_size > 0)
+SELECT id, round(coalesce(assumed, CASE WHEN usable THEN p50 END), 6) AS rent, CASE WHEN assumed IS NOT NULL THEN 'profile_assumption' WHEN NOT usable THEN 'insufficient_data' WHEN sure THEN 'market_comparable_high' ELSE 'market_comparable_low' END AS method,
+  round(CASE WHEN usable THEN (assumed - p50) / p50 END, 6) AS disagreement, round(coalesce(assumed, CASE WHEN usable THEN p50 END) * 1200 / price, 6) AS gross, round(median * m2, 4) AS arv, CASE WHEN median IS NOT NULL THEN CASE WHEN sample >= 15 THEN 'high' ELSE 'low' END END AS arv_confidence,
+  round(median * m2 - price * 1.1 - 650 * m2, 4) AS margin FROM x""",
+)
+def investment_metrics(spark, d):
+    """Area price, rent estimate (a sixth with a profile's assumption), yield, resale value and flip margin of every part."""
+    rows = homes(spark, d).filter("size > 0")
+    area = market.area_price(rows, 60).select("id", "n_comps", "median_m2")
+    rent = market.rent_estimate(rows, 60).select("id", "p50", "confidence")
+    x = rows.join(area, "id", "left").join(rent, "id", "left")
+    monthly, method, disagreement = market.rent_decision(F.col("size"), F.lit(True), F.when(F.col("id") % 6 == 0, 12.0), F.col("p50"), F.col("confidence"))
+    value, sure = finance.resale(F.col("median_m2"), F.col("size"), F.col("n_comps"))
+    margin, _ = finance.flip(value, F.col("price"), finance.works(F.col("size"), F.lit("a_reformar"), F.lit(None).cast("string")))
+    gross = finance.yields(F.col("price"), monthly, F.lit(None).cast("string"))["gross"]
+    return x.select("id", F.round(monthly, 6).alias("rent"), method.alias("method"), F.round(disagreement, 6).alias("disagreement"), F.round(gross, 6).alias("gross"), F.round(value, 4).alias("arv"), sure.alias("arv_confidence"), F.round(margin, 4).alias("margin"))
+
+
+@query(
+    "cheapest_rent",
+    f"""WITH l AS (SELECT *, l_orderkey * 10 + l_linenumber AS id, l_extendedprice / l_quantity AS price FROM lineitem WHERE l_returnflag <> 'R' AND l_linestatus = 'O' AND l_linenumber % 7 > 0 AND l_shipdate >= TIMESTAMP '1998-06-01' - INTERVAL 400 DAY)
+SELECT l_partkey, min(price) AS price, arg_min(l_shipdate, {{'a': price, 'b': -epoch_us(l_shipdate), 'c': id}}) AS last_seen FROM l GROUP BY l_partkey""",
+)
+def cheapest_rent(spark, d):
+    """The cheapest fresh rental of each part; lines of every seventh number have no price."""
+    rows = table(spark, d, "lineitem").select(
+        "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linenumber") % 7 > 0, F.col("l_extendedprice") / F.col("l_quantity")).otherwise(0.0).alias("price"),
+        F.when(F.col("l_returnflag") == "R", "withdrawn").otherwise("active").alias("status"), F.when(F.col("l_linestatus") == "O", "rent").otherwise("sale").alias("operation"), F.col("l_shipdate").alias("last_seen"),
+    )
+    return market.cheapest_fresh(rows, "l_partkey", F.expr("TIMESTAMP_NTZ '1998-06-01 00:00:00'"), 400)
+

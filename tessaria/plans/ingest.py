@@ -161,45 +161,51 @@ def freshness_cycle(spark, d):
     return counts.select("user_id", "missing", F.when(F.col("done") == 0, "start").when(F.col("missing") == 0, "skip").otherwise("continue").alias("decision"))
 
 
-ADDRESS_SQL = "(SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'C/ ' WHEN 1 THEN 'Avda. ' WHEN 2 THEN 'Pza. ' WHEN 3 THEN 'Av. ' ELSE 'CL. ' END || p_name || ', Nº ' || p_size || ' Málaga' AS a FROM part)"
+STARTS = ("C/ ", "Avda. ", "Pza. ", "Av. ", "CL. ", "cl ", "AV ", "c/", "Pº ", "Avenida ")
+ADDRESS_SQL = f"(SELECT p_partkey, {list(STARTS)}[p_partkey % 10 + 1] || p_name || ', Nº ' || p_size || ' 3ª Málaga' AS a FROM part)"
 
 
 def addresses(spark, d):
-    k = F.col("p_partkey") % 5
-    start = F.when(k == 0, "C/ ").when(k == 1, "Avda. ").when(k == 2, "Pza. ").when(k == 3, "Av. ").otherwise("CL. ")
-    return table(spark, d, "part").select("p_partkey", F.concat(start, "p_name", F.lit(", Nº "), F.col("p_size").cast("string"), F.lit(" Málaga")).alias("a"))
+    start = F.element_at(F.array(*map(F.lit, STARTS)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", F.concat(start, "p_name", F.lit(", Nº "), F.col("p_size").cast("string"), F.lit(" 3ª Málaga")).alias("a"))
 
 
 @query(
     "norm_address",
-    f"""SELECT p_partkey, trim(regexp_replace(regexp_replace(strip_accents(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(a), '\\bc/\\s*', 'calle ', 'g'), '\\bcl\\.\\s*', 'calle ', 'g'),
-  '\\bavda\\.?\\s*', 'avenida ', 'g'), '\\bav\\.\\s*', 'avenida ', 'g'), '\\bpza\\.?\\s*', 'plaza ', 'g')), '[^0-9a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS address FROM {ADDRESS_SQL}""",
+    f"""SELECT p_partkey, trim(regexp_replace(regexp_replace(replace(replace(strip_accents(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(a), '\\bc/(\\W|$)', 'calle\\1', 'g'), '\\bcl(\\. |\\.| )', 'calle ', 'g'),
+  '\\bavda(\\. |\\.| )', 'avenida ', 'g'), '\\bav(\\. |\\.| )', 'avenida ', 'g'), '\\bpza(\\. |\\.| )', 'plaza ', 'g'), '\\bpº ', 'paseo ', 'g')), 'º', 'o'), 'ª', 'a'), '[^0-9a-z_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS address FROM {ADDRESS_SQL}""",
 )
 def norm_address(spark, d):
     return addresses(spark, d).select("p_partkey", T.normalize_address(F.col("a")).alias("address"))
 
 
-FLOOR_SQL = "(SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'Planta Baja' WHEN 1 THEN 'BAJO B' WHEN 2 THEN 'Ático' WHEN 3 THEN 'Semisótano' WHEN 4 THEN 'Sótano 2' WHEN 5 THEN 'Entreplanta' WHEN 6 THEN (p_size % 9) || 'ª planta' WHEN 7 THEN NULL ELSE 'PB' END AS f FROM part)"
+FLOORS = ("Planta Baja", "BAJO B", "Ático", "Semisótano", "Sótano 2", "Entreplanta", "ª planta", None, "PB", "Semi-sótano", "03", "Entresuelo 1", "Principal", "Bajos", "bajo cubierta", " bj ", "A partir de la 15ª planta", "sin datos")
+#: Per floor text: dedup's floor, scoring's number, the feed's ground flag. 'ª planta' has the part's size before it.
+FLOOR_RESULTS = (
+    ("bajo", 0, True), ("bajo", 0, True), ("atico", 50, False), ("semisotano", -0.5, True), ("sotano", -1, False), ("entresuelo", 0.5, True), (None, None, False), (None, None, False), (None, None, True),
+    ("sotano", -0.5, False), ("3", 3, False), ("entresuelo", 0, True), ("principal", None, False), ("bajo", 0, True), ("bajo", 0, False), (None, None, True), ("15", 15, False), (None, None, False),
+)
+_sql_value = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+FLOOR_ROWS = ", ".join(f"({i}, {', '.join(map(_sql_value, r))})" for i, r in enumerate(FLOOR_RESULTS))
 
 
 @query(
     "norm_floor",
-    f"""WITH x AS (SELECT p_partkey, f, strip_accents(lower(f)) AS s FROM {FLOOR_SQL})
-SELECT p_partkey, CASE WHEN s LIKE '%semisotano%' THEN 'semisotano' WHEN s LIKE '%sotano%' THEN 'sotano' WHEN s LIKE '%entresuelo%' THEN 'entresuelo' WHEN s LIKE '%entreplanta%' THEN 'entreplanta' WHEN s LIKE '%bajo%' THEN 'bajo'
-  WHEN s LIKE '%atico%' THEN 'atico' WHEN s LIKE '%principal%' THEN 'principal' ELSE nullif(regexp_extract(s, '(\\d+)', 1), '') END AS floor,
- CASE WHEN s LIKE '%semisotano%' THEN -0.5 WHEN s LIKE '%sotano%' THEN -1 WHEN s LIKE '%entreplanta%' THEN 0.5 WHEN s LIKE '%bajo%' OR s LIKE '%entresuelo%' THEN 0 WHEN s LIKE '%atico%' THEN 50 ELSE nullif(regexp_extract(s, '(\\d+)', 1), '')::DOUBLE END::DOUBLE AS number,
- (regexp_matches(coalesce(s, ''), '\\bbajo\\b|planta baja') OR trim(coalesce(s, '')) IN ('0', 'pb', 'bj')) AND coalesce(s, '') NOT LIKE '%cubierta%' AS ground FROM x""",
+    f"""SELECT p_partkey, CASE WHEN i = 6 THEN (p_size % 9)::VARCHAR ELSE floor END AS floor, CASE WHEN i = 6 THEN p_size % 9 ELSE number END::DOUBLE AS number, ground
+FROM part JOIN (VALUES {FLOOR_ROWS}) r(i, floor, number, ground) ON p_partkey % {len(FLOORS)} = i""",
 )
 def norm_floor(spark, d):
-    k = F.col("p_partkey") % 9
-    f = F.when(k == 0, "Planta Baja").when(k == 1, "BAJO B").when(k == 2, "Ático").when(k == 3, "Semisótano").when(k == 4, "Sótano 2").when(k == 5, "Entreplanta").when(k == 6, F.concat((F.col("p_size") % 9).cast("string"), F.lit("ª planta"))).when(k == 8, "PB")
+    """Floor texts of portals; the twin lists what each has to give."""
+    k = (F.col("p_partkey") % len(FLOORS)).cast("int")
+    f = F.element_at(F.array(*map(F.lit, FLOORS)), k + 1)
+    f = F.when(k == 6, F.concat((F.col("p_size") % 9).cast("string"), f)).otherwise(f)
     return table(spark, d, "part").select("p_partkey", f.alias("f")).select("p_partkey", T.normalize_floor(F.col("f")).alias("floor"), T.floor_number(F.col("f")).alias("number"), T.is_ground_floor(F.col("f")).alias("ground"))
 
 
 @query(
     "ref_code_equiv",
     """WITH c AS (SELECT p_partkey AS k, 'x' || (p_partkey // 3) || CASE p_partkey % 3 WHEN 1 THEN '-1' WHEN 2 THEN '-2' ELSE '' END AS code FROM part),
-b AS (SELECT *, nullif(regexp_extract(code, '^(.+)[-_/][0-9a-z]{1,3}$', 1), '') AS base FROM c)
+b AS (SELECT *, CASE WHEN length(regexp_extract(code, '^(.+)[-_/][0-9a-z]{1,3}$', 1)) >= 4 THEN regexp_extract(code, '^(.+)[-_/][0-9a-z]{1,3}$', 1) END AS base FROM c)
 SELECT a.k AS k, a.code = z.code OR coalesce(a.base IS NOT NULL AND z.base IS NULL AND a.base = z.code, false) OR coalesce(z.base IS NOT NULL AND a.base IS NULL AND z.base = a.code, false) AS same FROM b a JOIN b z ON z.k = a.k + 1""",
 )
 def ref_code_equiv(spark, d):
@@ -210,16 +216,19 @@ def ref_code_equiv(spark, d):
     return pairs.select("k", T.codes_equivalent(F.col("code"), F.col("next")).alias("same"))
 
 
-@query(
-    "norm_reference_code",
-    """WITH c AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Ref: AB-' || p_partkey WHEN 1 THEN '  Referencia ' || p_partkey || 'X ' WHEN 2 THEN 'N/A' WHEN 3 THEN 'ab1' WHEN 4 THEN 'without' ELSE 'CODIGO#Z' || (p_partkey + 1000) END AS c FROM part),
-l AS (SELECT p_partkey, trim(regexp_replace(lower(trim(c)), '^(?:ref(?:erencia)?\\.?|codigo|id)\\s*[:.#-]?\\s*', '')) AS low FROM c)
-SELECT p_partkey, CASE WHEN low IN ('none', 'null', 'n/a', 'sin referencia', 'consultar', '0000') OR length(low) < 4 OR NOT regexp_matches(low, '\\d') THEN NULL ELSE low END AS code FROM l""",
-)
+#: Code texts (# stands for the part's key) and what each has to give.
+CODES = (
+    ("Ref: AB-#", "ab-#"), ("  Referencia #00X ", "#00x"), ("N/A", None), ("ab1", None), ("without", None), ("REFORMA-#", "reforma-#"), ("REF123#", "ref123#"), ("IDX-77#", "idx-77#"), ("ref.- 10#0", "10#0"),
+    ("pendiente", None), ("sin referencia", None), ("0", None), ("ref", None), (None, None), ("Codigo #00", "codigo #00"), ("8385 11 #", "8385 11 #"), ("referencia", None),
+)
+CODE_ROWS = ", ".join(f"({i}, {_sql_value(x)})" for i, (_, x) in enumerate(CODES))
+
+
+@query("norm_reference_code", f"SELECT p_partkey, replace(x, '#', p_partkey::VARCHAR) AS code FROM part JOIN (VALUES {CODE_ROWS}) r(i, x) ON p_partkey % {len(CODES)} = i")
 def norm_reference_code(spark, d):
-    k, s = F.col("p_partkey"), F.col("p_partkey").cast("string")
-    c = F.when(k % 6 == 0, F.concat(F.lit("Ref: AB-"), s)).when(k % 6 == 1, F.concat(F.lit("  Referencia "), s, F.lit("X "))).when(k % 6 == 2, "N/A").when(k % 6 == 3, "ab1").when(k % 6 == 4, "without").otherwise(F.concat(F.lit("CODIGO#Z"), (k + 1000).cast("string")))
-    return table(spark, d, "part").select("p_partkey", T.normalize_reference_code(c).alias("code"))
+    k, s = (F.col("p_partkey") % len(CODES)).cast("int"), F.col("p_partkey").cast("string")
+    c = F.element_at(F.array(*(F.lit(x) for x, _ in CODES)), k + 1)
+    return table(spark, d, "part").select("p_partkey", T.normalize_reference_code(F.replace(c, F.lit("#"), s)).alias("code"))
 
 
 @query(
@@ -255,18 +264,19 @@ def url_match_key(spark, d):
     "scalar_normalisers",
     """SELECT p_partkey, nullif(regexp_replace(string_split(p_size || '.' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') || ',50', ',')[1], '[^0-9]', '', 'g'), '')::BIGINT AS amount,
 CASE WHEN length(upper('ab ' || lpad(p_partkey::VARCHAR, 18, '7'))) = 21 THEN 'AB' || lpad(p_partkey::VARCHAR, 18, '7') END AS cadastral,
-CASE p_partkey % 3 WHEN 0 THEN 'network' WHEN 1 THEN 'structure' ELSE 'other' END AS failure FROM part""",
+CASE WHEN p_partkey % 8 < 4 THEN 'network' WHEN p_partkey % 8 < 7 THEN 'structure_change' ELSE 'other' END AS failure FROM part""",
 )
 def scalar_normalisers(spark, d):
     k = F.col("p_partkey")
     amount = F.concat(F.col("p_size").cast("string"), F.lit("."), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(",50"))
-    message = F.when(k % 3 == 0, "Read timeout").when(k % 3 == 1, "missing selector").otherwise("boom")
+    messages = ("ReadTimeout json", "SSL certificate problem", "Host Unreachable", "ConnectionError: reset", "JSONDecodeError", "missing price", "KeyError 'ad'", "boom")
+    message = F.element_at(F.array(*map(F.lit, messages)), (k % 8 + 1).cast("int"))
     return table(spark, d, "part").select("p_partkey", T.spanish_number(amount).alias("amount"), T.normalize_cadastral(F.concat(F.lit("ab "), F.lpad(k.cast("string"), 18, "7"))).alias("cadastral"), T.failure_class(message).alias("failure"))
 
 
 @query(
     "content_hash",
-    "SELECT o_custkey, sha256(string_agg(o_orderkey || ':' || trim(o_orderpriority), chr(10) ORDER BY o_orderkey)) AS hash FROM orders GROUP BY o_custkey",
+    """SELECT o_custkey, sha256('[' || string_agg('{"id":' || o_orderkey || ',"d":"' || trim(o_orderpriority) || '"}', ',' ORDER BY o_orderkey) || ']') AS hash FROM orders GROUP BY o_custkey""",
 )
 def content_hash(spark, d):
     lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"))).alias("rows"))

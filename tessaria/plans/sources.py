@@ -48,9 +48,8 @@ def _events(spark, d):
 
 
 def _finished(spark, stream, mode):
-    """A stream's results once its input is read; each run has a name and a checkpoint of its own."""
-    name = f"stream_{uuid.uuid4().hex}"
-    return jobs.run_to_table(stream, name, mode, f"{shared_folder(spark)}/{name}")
+    """A stream's results once its input is read; each run has a folder of its own in the shared one."""
+    return jobs.run_to_table(stream, mode, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 @query("stream_day_counts", "SELECT event_type, ts::DATE AS day, count(*)::BIGINT AS n FROM events GROUP BY ALL")
@@ -75,5 +74,16 @@ def stream_last_seen(spark, d):
 @query("stream_price_state")
 def stream_price_state(spark, d):
     """Keyed state has no SQL twin; tests hold it against a plain loop."""
-    rows = _finished(spark, jobs.price_state(_events(spark, d), "user_id", "value"), "update")
+    rows = _finished(spark, jobs.price_state(_events(spark, d), "user_id", "value", "event_id"), "update")
     return rows.groupBy("user_id").agg(F.max_by("price", "changes").alias("price"), F.max("changes").alias("changes"))
+
+
+@query(
+    "stream_failures",
+    """WITH e AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events)
+SELECT user_id, (max(i) - coalesce(max(i) FILTER (WHERE NOT bad), 0))::BIGINT AS failures FROM e GROUP BY user_id""",
+)
+def stream_failures(spark, d):
+    """Failures in a row at the end of each user's events; no user is silent for as long as the state's lifetime here."""
+    stream = _events(spark, d).withColumn("bad", F.col("event_type") == "error")
+    return _finished(spark, jobs.failures_in_time(stream, "user_id", "bad", days=400), "update").filter("NOT gone").select("user_id", "failures")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessaria.operators.keyed import numbered
+
 GAP, LATE = "30 minutes", "1 hour"
 LEAST_MOVE, MOST_MOVE, MISSES = 0.01, 0.60, 3
 
@@ -50,17 +52,18 @@ def first_arrivals(stream: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def last_seen(stream: DataFrame, key: str) -> DataFrame:
-    """Newest sight per key; a maximum, so late and repeated rows do no harm."""
+    """Newest sight per key; a maximum, so late and repeated rows do no harm. One state row per key stays for good, as
+    each key's last sight is asked for."""
     return stream.groupBy(key).agg(F.max("at").alias("last_seen"))
 
 
-def price_state(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """Adopted price per key (keyed state): first price, then moves of 1 % to 60 %; emits key, price, changes at every
-    trigger in which the key had rows."""
+def price_state(stream: DataFrame, key: str, value: str, tie: str) -> DataFrame:
+    """Adopted price per key (keyed state): first price, then moves of 1 % to 60 %, in order of time and ``tie``; emits key,
+    price, changes at every trigger in which the key had rows."""
 
     def step(group: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         price, changes = state.get if state.exists else (None, 0)
-        frame = pd.concat(list(rows)).sort_values(["at", value])
+        frame = pd.concat(list(rows)).sort_values(["at", tie])
         for now in frame[value]:
             if price is None or price <= 0 or LEAST_MOVE <= abs(now - price) / price <= MOST_MOVE:
                 changes += price is not None
@@ -68,7 +71,30 @@ def price_state(stream: DataFrame, key: str, value: str) -> DataFrame:
         state.update((price, changes))
         yield pd.DataFrame({key: [group[0]], "price": [price], "changes": [changes]})
 
-    return stream.select(key, "at", value).groupBy(key).applyInPandasWithState(step, f"{key} long, price double, changes long", "price double, changes long", "update", GroupStateTimeout.NoTimeout)
+    return stream.select(*dict.fromkeys((key, "at", tie, value))).groupBy(key).applyInPandasWithState(step, f"{key} long, price double, changes long", "price double, changes long", "update", GroupStateTimeout.NoTimeout)
+
+
+def failures_in_time(stream: DataFrame, key: str, failed: str, days: int) -> DataFrame:
+    """Failures in a row per key (keyed state that ends): a success clears the count, and ``days`` of event time without a
+    row forget it. Emits key, failures, gone (the state ended by time)."""
+
+    def step(group: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            count = state.get[0]
+            state.remove()
+            yield pd.DataFrame({key: [group[0]], "failures": [count], "gone": [True]})
+            return
+        count = state.get[0] if state.exists else 0
+        frame = pd.concat(list(rows)).sort_values("at")
+        for bad in frame[failed]:
+            count = count + 1 if bad else 0
+        state.update((count,))
+        last = int(frame["at"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + days * 86_400_000)
+        yield pd.DataFrame({key: [group[0]], "failures": [count], "gone": [False]})
+
+    rows = stream.withWatermark("at", LATE).select(key, "at", failed)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, failures long, gone boolean", "failures long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def missed_state(sweeps: DataFrame, source: str, sweep: str, found: str) -> DataFrame:
@@ -93,15 +119,37 @@ def missed_state(sweeps: DataFrame, source: str, sweep: str, found: str) -> Data
     return sweeps.groupBy(source).applyInPandasWithState(step, f"{source} long, {sweep} long, id long", "ids array<long>, misses array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def queue_worker(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, batch: int | None = None):
-    """A queue poll as ``foreachBatch``: ``handle`` gets each batch once it is claimed; the checkpoint makes claims
-    exactly-once for idempotent handlers. Runs what is there, then ends."""
-    work = (lambda df, i: handle(df.orderBy("at").limit(batch), i)) if batch else handle
+def queue_worker(stream: DataFrame, handle: Callable[[DataFrame, str], None], checkpoint: str, batch: int | None = None):
+    """A queue poll as ``foreachBatch``: all rows of a micro-batch are claimed, ``batch`` at a time, oldest first. ``handle``
+    gets the rows of a claim and its name, which a replay repeats with the same rows; the checkpoint makes claims exactly-once
+    for handlers that are idempotent by that name. Runs what is there, then ends."""
+
+    def work(df: DataFrame, i: int) -> None:
+        if not batch:
+            handle(df, f"{i}")
+            return
+        names = df.columns
+        turns = numbered(df.withColumn("_row", F.xxhash64(*names)), (F.asc("at"), F.asc("_row")), "_turn")
+        n = turns.count()
+        for slice_ in range(-(-n // batch)):
+            handle(turns.filter(F.col("_turn").between(slice_ * batch + 1, (slice_ + 1) * batch)).select(*names), f"{i}-{slice_}")
+
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All of a bounded stream's results as a table in memory. For results that fit there: tests and small reports."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Runs a stream to the end of its input and gives its results, which each trigger writes to a part of ``folder`` (a
+    replayed trigger writes its part again). ``complete``: those of the last trigger; else those of all."""
+    schema, spark = stream.schema, stream.sparkSession
+    seen: list[int] = []
+
+    def write(df: DataFrame, i: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/parts/trigger={i}")
+        seen.append(i)
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not seen:
+        return spark.createDataFrame([], schema)
+    parts = [f"{folder}/parts/trigger={i}" for i in (seen[-1:] if mode == "complete" else sorted(set(seen)))]
+    return spark.read.schema(schema).parquet(*parts)

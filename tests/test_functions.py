@@ -1,5 +1,6 @@
 """Boundary cases of scalar functions and rules."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessaria.functions import geo, text
-from tessaria.operators import finance, ingest, keyed, linkage, scoring, search
+from tessaria.operators import finance, ingest, joins, keyed, linkage, scoring, search
+from tessaria.operators.workspace import Workspace
 from tessaria.plans import catalog, sqlgate
 from tessaria.sources import readers
 from tessaria.streaming import jobs
@@ -21,14 +23,27 @@ def values(spark, column, *rows):
 
 
 def test_address(spark):
-    assert values(spark, text.normalize_address(F.col("x")), ("C/ Mayor, 3",), ("Avda. Constitución  nº 5",), (None,)) == ["calle mayor 3", "avenida constitucion n 5", None]
+    assert values(spark, text.normalize_address(F.col("x")), ("C/ Mayor, 3",), ("Avda. Constitución  nº 5",), (None,)) == ["calle mayor 3", "avenida constitucion no 5", None]
+    rows = [("cl mayor",), ("av constitucion",), ("c/foo 3ª",), ("Pza.Nueva",), ("Pº del Prado",), ("Cl. Ancha",)]
+    assert values(spark, text.normalize_address(F.col("x")), *rows) == ["calle mayor", "avenida constitucion", "c foo 3a", "plaza nueva", "paseo del prado", "calle ancha"]
 
 
 def test_floors_differ_on_purpose(spark):
-    rows = [("Semisótano",), ("3ª planta",), ("Bajo cubierta",), (None,), ("PB",)]
-    assert values(spark, text.normalize_floor(F.col("x")), *rows) == ["semisotano", "3", "bajo", None, None]
-    assert values(spark, text.floor_number(F.col("x")), *rows) == [-0.5, 3.0, 0.0, None, None]
-    assert values(spark, text.is_ground_floor(F.col("x")), *rows) == [False, False, False, False, True]
+    rows = [("Semisótano",), ("3ª planta",), ("Bajo cubierta",), (None,), ("PB",), ("Planta baja",), ("entreplanta",), ("03",), ("Semi-sótano",), ("bajos",)]
+    assert values(spark, text.normalize_floor(F.col("x")), *rows) == ["semisotano", "3", "bajo", None, None, "bajo", "entresuelo", "3", "sotano", "bajo"]
+    assert values(spark, text.floor_number(F.col("x")), *rows) == [-0.5, 3.0, 0.0, None, None, 0.0, 0.5, 3.0, -0.5, 0.0]
+    assert values(spark, text.is_ground_floor(F.col("x")), *rows) == [True, False, False, False, True, True, True, False, False, True]
+
+
+def test_failures(spark):
+    rows = [("Host unreachable",), ("SSL certificate",), ("bad JSON",), ("boom",), ("json timed out",)]
+    assert values(spark, text.failure_class(F.col("x")), *rows) == ["network", "network", "structure_change", "other", "network"]
+
+
+def test_content_hash_cannot_collide(spark):
+    df = spark.createDataFrame([([(1, "a\n2:b")],), ([(1, "a"), (2, "b")],), ([(2, " b "), (1, "a")],), ([(None, None)],)], "rows array<struct<id:long,text:string>>")
+    one, two, three, none = [r[0] for r in df.select(text.content_hash("rows")).collect()]
+    assert one != two == three and none == hashlib.sha256(b'[{"id":null,"d":""}]').hexdigest()
 
 
 def test_phones(spark):
@@ -39,7 +54,8 @@ def test_phones(spark):
 def test_codes(spark):
     rows = [("x123", "x123-1"), ("x123-1", "x123-2"), ("x123", "x123"), (None, "x123"), ("x123-1", "x123-1")]
     assert values(spark, text.codes_equivalent(F.col("x"), F.col("y")), *rows) == [True, False, True, False, True]
-    assert values(spark, text.normalize_reference_code(F.col("x")), ("Ref. A-12",), ("consultar",), ("ab1",)) == ["a-12", None, None]
+    assert values(spark, text.normalize_reference_code(F.col("x")), ("Ref. A-12",), ("pendiente",), ("ab1",), ("REFORMA-12",), ("REF1234",)) == ["a-12", None, None, "reforma-12", "ref1234"]
+    assert values(spark, text.code_base(F.col("x")), ("ab-12",), ("abcd/2",)) == [None, "abcd"]
 
 
 def test_numbers_and_cadastral(spark):
@@ -89,14 +105,14 @@ def test_hash_bands_find_ten_flips(spark):
         b = (a & (2**64 - 1)) ^ flips
         pairs.append(([a], [b - 2**64 if b >= 2**63 else b]))
     df = spark.createDataFrame(pairs, "a array<long>, b array<long>")
-    assert df.filter(F.arrays_overlap(linkage.hash_bands(F.col("a")), linkage.hash_bands(F.col("b")))).count() == 50
+    assert all(df.filter(F.arrays_overlap(linkage.hash_keys(F.col("a")[0], n), linkage.hash_keys(F.col("b")[0], n))).count() == 50 for n in (12, 13))
 
 
-LISTING = "listing_id long, property_id long, source string, agency string, cadastral string, code string, address string, floor string, lat double, lon double, m2 double, price double, rooms int, phones array<string>, hashes array<long>"
+LISTING = "listing_id long, property_id long, source string, agency string, kind string, cadastral string, code string, address string, floor string, lat double, lon double, m2 double, price double, rooms int, phones array<string>, hashes array<long>"
 
 
 def listing(i, **more):
-    row = dict(listing_id=i, property_id=i, source=f"s{i}", agency="a", cadastral=None, code=None, address=None, floor=None, lat=None, lon=None, m2=None, price=None, rooms=None, phones=[], hashes=[])
+    row = dict(listing_id=i, property_id=i, source=f"s{i}", agency="a", kind=None, cadastral=None, code=None, address=None, floor=None, lat=None, lon=None, m2=None, price=None, rooms=None, phones=[], hashes=[])
     return tuple((row | more)[c.split()[0]] for c in LISTING.split(", "))
 
 
@@ -114,7 +130,9 @@ def test_cascade_cases(spark):
         listing(3, code="x123", **here), listing(4, code="x123-1", **here),
         listing(5, code="x9-1", **here, source="q"), listing(6, code="x9-2", **here),
         listing(7, address="calle mayor 3", **here), listing(8, address="3 mayor calle", **here | {"lat": 40.0001}),
-        listing(9, phones=["6"], agency=None, m2=50.0, price=100.0), listing(10, phones=["6"], agency=None, m2=50.0, price=105.0),
+        listing(9, phones=["6"], kind="particular", m2=50.0, price=100.0), listing(10, phones=["6"], kind="particular", m2=50.0, price=105.0),
+        listing(17, phones=["5"], kind="particular", m2=50.0, price=100.0), listing(18, phones=["5"], m2=50.0, price=105.0),
+        listing(19, phones=["4"], kind="agency", m2=50.0, price=100.0), listing(20, phones=["4"], m2=50.0, price=105.0),
         listing(11, hashes=[7], price=100.0, m2=70.0), listing(12, hashes=[7], price=104.0, m2=70.0),
         listing(13, hashes=[9 << 40], price=100.0, m2=70.0), listing(14, hashes=[9 << 40], price=104.0, m2=71.0),
         listing(15, phones=["8"], price=100.0), listing(16, phones=["8"], price=131.0 / 0.9),
@@ -123,7 +141,7 @@ def test_cascade_cases(spark):
     assert found[3, 4] == ("reference_code", "suggest", 0.4)
     assert found[5, 6][:2] == ("code_conflict", "none")
     assert found[7, 8] == ("address_coords", "merge", 0.9)
-    assert found[9, 10] == ("phone", "merge", 0.9)
+    assert found[9, 10] == ("phone", "merge", 0.9) and found[17, 18] == ("phone", "suggest", 0.75) and found[19, 20][:2] == ("none", "none")
     assert found[11, 12] == ("photo_hash", "merge", 0.9)
     assert found[13, 14] == ("photo_hash", "suggest", 0.8)
     assert found[15, 16][:2] == ("price_gap", "reject")
@@ -132,10 +150,18 @@ def test_cascade_cases(spark):
 def test_blocking_equals_all_pairs(spark):
     rng = np.random.default_rng(5)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    centres = rng.integers(-(2**63), 2**63 - 1, 4).tolist()
+
+    def near_hash():
+        flipped = pick(centres) & (2**64 - 1)
+        for bit in rng.choice(64, int(rng.integers(0, 8)), replace=False).tolist():
+            flipped ^= 1 << bit
+        return flipped - 2**64 if flipped >= 2**63 else flipped
+
     rows = [
-        listing(i, source=pick("abc"), agency=pick([None, "p", "q"]), cadastral=pick([None, None, "C1", "C2"]), code=pick([None, "r1", "r1-1", "r22"]), address=pick(["calle a 1", "calle a 2", "plaza b 9"]), floor=pick([None, "1", "2"]),
-                lat=40 + int(rng.integers(5)) * 0.00009, lon=-3 + int(rng.integers(5)) * 0.00009, m2=pick([50.0, 51.0, 80.0]), price=pick([100.0, 104.0, 120.0, 150.0]), rooms=pick([0, 1, 2, 4]), phones=pick([[], ["6"], ["6", "7"]]), hashes=pick([[], [7], [7, 2**40]]))
-        for i in range(60)
+        listing(i, source=pick("abc"), agency=pick([None, "p", "q"]), kind=pick([None, "particular", "agency"]), cadastral=pick([None, None, "C1", "C2"]), code=pick([None, "r1", "r1-1", "r22"]), address=pick(["calle a 1", "calle a 2", "plaza b 9"]), floor=pick([None, "1", "2"]),
+                lat=40 + int(rng.integers(5)) * 0.00009, lon=-3 + int(rng.integers(5)) * 0.00009, m2=pick([50.0, 51.0, 80.0]), price=pick([100.0, 104.0, 120.0, 150.0, None, 0.0]), rooms=pick([0, 1, 2, 4]), phones=pick([[], ["6"], ["6", "7"]]), hashes=pick([[], [7], [7, 2**40], [2**11 - 1 + 2**60], [2**10 - 1], [near_hash(), near_hash()]]))
+        for i in range(120)
     ]
     found, df = linked(spark, *rows)
     ids = df.select("listing_id", "source")
@@ -200,6 +226,25 @@ def test_gateway_allows_and_limits(spark):
     assert gate.execute("WITH c AS (SELECT id FROM allowed) SELECT count(*) AS n FROM c").first().n == 500
     with pytest.raises(sqlgate.Refused):
         gate.execute("SELECT * FROM allowed JOIN hidden USING (id)")
+    for sql in (
+        "SELECT * FROM other.allowed",
+        "WITH parquet AS (SELECT 1) SELECT count(*) FROM parquet.`/root/testdata/sf0.001/nation.parquet`",
+        "SELECT (SELECT max(id) FROM hidden) AS m FROM allowed",
+        "SELECT * FROM allowed WHERE id IN (SELECT id FROM hidden)",
+        "SELECT * FROM hidden, (WITH hidden AS (SELECT 1) SELECT * FROM hidden)",
+        "SELECT * FROM range(10)",
+        "SELECT reflect('java.lang.System', 'getenv') AS e",
+        "SELECT " + ", ".join(f"{i} AS c{i}" for i in range(31)),
+    ):
+        with pytest.raises(sqlgate.Refused):
+            gate.execute(sql)
+    assert gate.execute("WITH c AS (SELECT id FROM allowed), e AS (SELECT id FROM c) SELECT (SELECT max(id) FROM e) AS m").first().m == 499
+    assert len(gate.execute("SELECT repeat('x', 30000) AS s").first().s) == 20_000
+    assert len(gate.rows("SELECT id FROM allowed")) == 200
+    spark.range(0, 3000, 1, 3000).createOrReplaceTempView("slow")
+    with pytest.raises(sqlgate.Refused, match="seconds"):
+        sqlgate.Gateway(spark, {"slow"}).rows("SELECT sum(id) AS s FROM slow", seconds=1)
+    assert sqlgate.date_range("7d", "2024-01-31") == {"date_from": "2024-01-24", "date_to": "2024-01-31", "before_from": "2024-01-16", "before_to": "2024-01-23"}
     assert gate.cost("SELECT id FROM allowed") > 0 and "Physical Plan" in gate.explain("SELECT id FROM allowed")
     assert sqlgate.rewrite("x WHERE __gf_a__ AND __gf_b__", {"a": ("c", 3), "b": ("e", [])}, {}) == ("x WHERE c = :gf_a AND TRUE", {"gf_a": 3})
 
@@ -221,10 +266,37 @@ def test_missed_sweeps_stream(spark, tmp_path):
     for s in sweeps:
         spark.createDataFrame([s], "source long, sweep long, found array<long>").write.parquet(str(tmp_path / "in" / str(s[1])))
     stream = spark.readStream.schema("source long, sweep long, found array<long>").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = jobs.run_to_table(jobs.missed_state(stream, "source", "sweep", "found"), "missed_test", "append", str(tmp_path / "ck"))
+    out = jobs.run_to_table(jobs.missed_state(stream, "source", "sweep", "found"), "append", str(tmp_path / "out"))
     assert [(r.sweep, r.id) for r in out.collect()] == [(6, 2)]
 
 
+def test_full_diff_takes_the_first(spark):
+    old = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("b", None, 1), ("c", "z", 1)], "slug string, label string, i int")
+    new = spark.createDataFrame([("a", "y", 5), ("b", "q", 1), ("d", "w", 1), ("d", "v", 2)], "slug string, label string, i int")
+    assert {tuple(r) for r in joins.full_diff(old, new, "slug", "label", "i").collect()} == {("b", "changed"), ("c", "removed"), ("d", "added")}
+
+
+def test_grid_join_stops_beyond_its_latitude(spark):
+    far = spark.createDataFrame([(1, 70.0, 0.0)], "id long, lat double, lon double")
+    with pytest.raises(Exception, match="latitude"):
+        joins.within_km_join(far, far, 10).collect()
+
+
+def test_near_hashes_equal_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(2**63), 2**63 - 1, 20).tolist()
+    values = set()
+    for h in base * 8:
+        x = h & (2**64 - 1)
+        for bit in rng.choice(64, int(rng.integers(0, 13)), replace=False).tolist():
+            x ^= 1 << bit
+        values.add(x - 2**64 if x >= 2**63 else x)
+    want = {(a, b) for a in values for b in values if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 10}
+    df = spark.createDataFrame([(h,) for h in values] * 2, "hash long")
+    for segments in (12, 13):
+        assert {tuple(r) for r in linkage.near_hashes(Workspace(spark, "test"), df, segments).collect()} == want and len(want) > 100
+
+
 def test_pairs_of_the_whole_catalogue(spark, tmp_path):
     draw = random.Random(3)
     rows = [(part, draw.randrange(8)) for part in range(1, 60) for _ in range(6)]
