@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_array_dedup": spans.SQL, "op8_substring_dedup": spans.SQL, "op3_exact_top_k": topk.SQL, "op9_url_filters": urls.SQL}
+    return {"op1_suffix_array_dedup": spans.SQL, "op8_substring_dedup": spans.SQL, "op3_exact_top_k": topk.SQL, "op4_lm_scoring": lm_scores.SQL, "op5_minhash_near_dedup": minhash.SQL, "op9_url_filters": urls.SQL}

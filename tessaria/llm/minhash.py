@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ UNIVERSE_BITS = 18
 #: Bands whose neighbours the first pass compares; 99 % of links at 0.8 meet there, the second pass finds the rest.
 FIRST_BANDS = 15
 SMALL, BLOCK = 16, 256
+#: Shingles of one block of a large bucket, and bytes of text that are compared at once.
+BLOCK_SHINGLES, PORTION = 2_000_000, 4 << 20
 SKETCH = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"
 
 
@@ -149,13 +152,22 @@ def near(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch of pairs with PORTION bytes of text at most, or one pair if that alone is longer."""
+    size = sum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(c)), 0)).astype(np.int64) for c in (2, 3))
+    ends, lo = np.cumsum(size), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PORTION, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int = K) -> DataFrame:
     """Those pairs (a, b) whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in portions(batch):
                 n, found, sizes = part.num_rows, [], np.zeros(part.num_rows, np.int64)
                 for column in (2, 3):
                     own = []
@@ -178,8 +190,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = K) -> DataFrame:
 
 
 def block_links(rows: DataFrame, texts: DataFrame, k: int = K) -> DataFrame:
-    """Links between different components within large buckets: rows (key, doc_id, label, size), compared block by
-    block; a group holds at most about two blocks of documents."""
+    """Links between different components within large buckets: rows (key, doc_id, label, size, shingles), compared block
+    by block; a group holds at most about two blocks, which have a bounded number of documents and of shingles."""
 
     def run(group: pa.Table) -> pa.Table:
         doc, label, block = (group[c].to_numpy() for c in ("doc_id", "label", "block"))
@@ -203,7 +215,7 @@ def block_links(rows: DataFrame, texts: DataFrame, k: int = K) -> DataFrame:
         i, j = np.nonzero(asked & (100 * both >= PERCENT * (size[:, None] + size[None, :] - both)))
         return pa.table({"a": np.minimum(doc[i], doc[j]), "b": np.maximum(doc[i], doc[j])})
 
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    count = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     dealt = rows.withColumn("count", count).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("count")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("count") - 1))
     dealt = dealt.withColumn("other", other).select("key", "doc_id", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -229,8 +241,8 @@ def near_duplicates(docs: DataFrame, k: int = K) -> DataFrame:
 
     rows = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label"))
     rows = space.write(rows, "labelled")
-    open_ = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).filter("least < most")
-    rows = space.write(rows.join(space.write(open_, "open").select("key", "size"), "key"), "residual")
+    open_ = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).filter("least < most")
+    rows = space.write(rows.join(space.write(open_, "open").select("key", "size", "shingles"), "key"), "residual")
     small = rows.filter(F.col("size") <= SMALL)
     x, y = small.alias("x"), small.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & near("x.n_shingles", "y.n_shingles"))
@@ -247,3 +259,16 @@ def near_duplicates(docs: DataFrame, k: int = K) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: The same on whole sets of shingles, all pairs that share one.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n i ON i.doc_id = a JOIN n j ON j.doc_id = b WHERE 100 * c >= 80 * (i.n + j.n - c)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, label) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node WHERE r.label < e.b),
+m AS (SELECT node AS doc_id, min(label) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""

@@ -9,7 +9,8 @@ generator over (seed, row key, position in the text), so a row's segmentation de
 partitioning, the batch or a repeated task.
 
 Decoding joins the pieces and bytes; it gives back every text exactly, white space and the space mark included. Nulls
-and empty texts have no pieces. Repeated rows with one key are segmented alike. Empty tables give no rows.
+and empty texts have no pieces. Repeated rows with one key are segmented alike; rows without a key share one. Empty tables
+give no rows. Columns other than doc_id and text are not read. A unit (text without a space) is sampled as a whole.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from tessaria.llm.tokens import distinct, spread
 
 SPACE_MARK = "▁"
 SEED, SHARPNESS = 17, 1.0
+#: Code points of units that are sampled together, and the key of rows without one.
+SLICE, NO_KEY = 1_000_000, -(1 << 63)
 TINY, LIFT = 2.0**-400, 2.0**400
 
 
@@ -104,8 +107,8 @@ def row_seeds(keys: np.ndarray, seed: int) -> np.ndarray:
 
 
 def sample(block: Block, keys: np.ndarray, model: Lattice, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all rows of a block, and per row the place of its first."""
-    n = len(keys)
+    """Piece ids of all rows of a block, and per row the place of its first. Units are taken ``SLICE`` code points at a time
+    (or one, if that alone is longer), so memory does not grow with a text."""
     points = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.flatnonzero((block.data & 0xC0) != 0x80)
     if len(lead) != len(points):
@@ -115,10 +118,28 @@ def sample(block: Block, keys: np.ndarray, model: Lattice, seed: int = SEED) ->
     start = np.unique(np.concatenate((np.flatnonzero(points == 32), rows_at[:-1])))
     start = start[start < len(points)]
     if not len(start):
-        return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(keys) + 1, np.int64)
     stop = np.concatenate((start[1:], [len(points)]))
-    size = stop - start
-    index, place = distinct(PrefixHash(points.astype(U) + U(1)).of(start, stop))
+    row = np.searchsorted(rows_at, start, "right") - 1
+    seeds, origin = row_seeds(keys, seed)[row], start - rows_at[row]
+    found, lo = [], 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(stop, start[lo] + SLICE, "right")))
+        found.append(sample_units(points, start[lo:hi], stop[lo:hi], seeds[lo:hi], origin[lo:hi], model))
+        lo = hi
+    where, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+    count = np.where(ids >= 0, 1, byte_at[where + 1] - byte_at[where])
+    out = np.repeat(ids, count)
+    lost = np.repeat(ids < 0, count)
+    out[lost] = model.byte_ids[block.data[spread(byte_at[where[ids < 0]], count[ids < 0])]]
+    sums = np.concatenate(([0], np.cumsum(count)))
+    return out, sums[np.searchsorted(where, rows_at)]
+
+
+def sample_units(points: np.ndarray, start: np.ndarray, stop: np.ndarray, seeds: np.ndarray, origin: np.ndarray, model: Lattice) -> tuple[np.ndarray, np.ndarray]:
+    """Places and ids (-1: as bytes) of the pieces drawn for consecutive units, in order."""
+    size, base_at = stop - start, start[0]
+    index, place = distinct(PrefixHash(points[base_at : stop[-1]].astype(U) + U(1)).of(start - base_at, stop - base_at))
     # distinct units, longest first, laid out one after another
     index_order = np.argsort(-size[index], kind="stable")
     rank = np.empty(len(index), np.int64)
@@ -154,9 +175,7 @@ def sample(block: Block, keys: np.ndarray, model: Lattice, seed: int = SEED) ->
         if small.any():
             before[small] *= LIFT
     # backward: every occurrence from its end to its start
-    row = np.searchsorted(rows_at, start, "right") - 1
-    seeds = row_seeds(keys, seed)[row]
-    left, base, origin = size.copy(), first[place], start - rows_at[row]
+    left, base = size.copy(), first[place]
     live = np.arange(len(start))
     where, ids = [], []
     while len(live):
@@ -169,13 +188,7 @@ def sample(block: Block, keys: np.ndarray, model: Lattice, seed: int = SEED) ->
         live = live[left[live] > 0]
     where, ids = np.concatenate(where), np.concatenate(ids)
     order = np.argsort(where)
-    where, ids = where[order], ids[order]
-    count = np.where(ids >= 0, 1, byte_at[where + 1] - byte_at[where])
-    out = np.repeat(ids, count)
-    lost = np.repeat(ids < 0, count)
-    out[lost] = model.byte_ids[block.data[spread(byte_at[where[ids < 0]], count[ids < 0])]]
-    sums = np.concatenate(([0], np.cumsum(count)))
-    return out, sums[np.searchsorted(where, rows_at)]
+    return where[order], ids[order]
 
 
 def encode(docs: DataFrame, path: str, seed: int = SEED, sharpness: float = SHARPNESS, with_ids: bool = True) -> DataFrame:
@@ -188,7 +201,7 @@ def encode(docs: DataFrame, path: str, seed: int = SEED, sharpness: float = SHAR
             for block in blocks(batch.column(1), 2 << 20):
                 n = block.hi - block.lo
                 own = batch.column(0).slice(block.lo, n)
-                ids, at = sample(block, np.asarray(own), model, seed)
+                ids, at = sample(block, np.asarray(own.fill_null(NO_KEY)), model, seed)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 bounds = at.tolist()
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]

@@ -4,13 +4,16 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import SCHEMA, all_spans, backoff, base_spans, corpus, digest, judge_url, near_groups, quality_counts, removed, top
 from pyspark.sql import functions as F
 
 from tessaria.llm import catalog, fingerprint_index, lm_scores, minhash, packing, pieces, quality, secrets, spans, suffix_array, topk, urls
+from tessaria.llm.blocks import blocks
 from tessaria.operators import components
 from tessaria.operators.workspace import Workspace
 
@@ -138,6 +141,15 @@ def test_near_duplicates_large_bucket(spark, monkeypatch):
     assert have == {d: c for d, (_, c) in near_groups(rows).items()}
 
 
+def test_near_duplicates_portions(spark, docs, plain, monkeypatch):
+    """Pairs compared a few bytes at a time, and large buckets cut by their shingles."""
+    monkeypatch.setattr(minhash, "PORTION", 3000)
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
+    have = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert have == near_groups(plain)
+
+
 def test_near_duplicates_empty(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
@@ -238,6 +250,24 @@ def test_topk_beyond_doubles(spark):
     assert out == top(rows)[0]
 
 
+@pytest.mark.parametrize("scale", [1.0, 300.0, 70000.0])
+def test_topk_repeated_rows_and_widths(spark, scale):
+    """Repeated rows are candidates as often as they come; components of one, two and four bytes; extra columns are ignored."""
+    rows = [(0, [scale, -scale], "a"), (1, [scale, scale], "b"), (1, [scale, scale], "b"), (2, [-scale, 0.0], "c"), (None, [scale, scale], "d")]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    out = [(r.rank, r.vec_id, r.score) for r in topk.search(vectors, vectors.filter("vec_id = 0")).orderBy("rank").collect()]
+    q = int(scale * 64)
+    assert out == [(1, 1, 0), (2, 1, 0), (3, 2, -q * q)]
+
+
+def test_lm_scores_of_repeated_and_missing_ids(spark):
+    """Every row is a document of its own; a section without n-grams of some orders; extra columns are ignored."""
+    rows = [(1, "a b c d", 5), (1, "a b c d", 5), (None, "b c d", 6), (None, "", 7), (2, None, 8), (3, "x", 9)]
+    have = sorted((r.doc_id or 0, r.n_words, round(r.log_score, 9)) for r in lm_scores.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, n_words int")).collect())
+    want = backoff([(i, t) for i, (_, t, _) in enumerate(rows)])
+    assert have == sorted((r[0] or 0, want[i][0], round(want[i][1], 9)) for i, r in enumerate(rows))
+
+
 def test_lm_scores(spark, docs, plain, empty):
     want = backoff(plain)
     have = {r.doc_id: (r.n_words, r.log_score) for r in lm_scores.lm_scores(docs).collect()}
@@ -387,27 +417,27 @@ def test_urls(spark):
 def plain_sample(key, text, model, seed=pieces.SEED):
     row = pieces.row_seeds(np.array([key]), seed)
     out, starts = [], sorted({0, *(i for i, c in enumerate(text) if c == " ")}) if text else []
-    bytes_weight = [1.0, *np.cumprod(np.full(4, model.byte_weight))]
+    bytes_weight = [Fraction(float(x)) for x in (1.0, *np.cumprod(np.full(4, model.byte_weight)))]
     if not text:
         return []
     for a, b in zip(starts, [*starts[1:], len(text)], strict=True):
-        unit, sums = text[a:b], [1.0]
+        unit, sums = text[a:b], [Fraction(1)]
 
         def weight(j, size, unit=unit):
             piece = model.usable.get(unit[j - size : j])
-            return piece[1] if piece else (bytes_weight[len(unit[j - 1].encode())] if size == 1 else 0.0)
+            return Fraction(float(piece[1])) if piece else (bytes_weight[len(unit[j - 1].encode())] if size == 1 else 0)
 
         for j in range(1, len(unit) + 1):
-            total = 0.0
+            total = Fraction(0)
             for size in range(1, min(j, model.longest) + 1):
                 total += sums[j - size] * weight(j, size)
             sums.append(total)
         j, own = len(unit), []
         while j:
-            draw, total = pieces.uniform(row, np.array([a + j]))[0], 0.0
+            draw, total = pieces.uniform(row, np.array([a + j]))[0], Fraction(0)
             for size in range(1, min(j, model.longest) + 1):
                 total += sums[j - size] * weight(j, size)
-                if total / sums[j] > draw:
+                if total > Fraction(float(draw)) * sums[j]:
                     break
             piece = model.usable.get(unit[j - size : j])
             own.append([piece[0]] if piece else [int(model.byte_ids[x]) for x in unit[j - 1].encode()])
@@ -428,13 +458,31 @@ def test_sampled_pieces(spark, docs):
     assert all(r.lossless for r in rows)
     for r in rows:
         text = texts[r.doc_id] or ""
-        if r.n_pieces < 400:
-            assert list(r.ids) == (plain_sample(r.doc_id, text, model) if len(text) < 300 else list(r.ids))
+        if len(text) < 3000:
+            assert list(r.ids) == plain_sample(r.doc_id, text, model)
     assert {r.doc_id: r.text for r in pieces.decode(encoded, path).collect()} == {d: t or "" for d, t in texts.items()}
     again = pieces.encode(df.repartition(5), path)
     assert {(r.doc_id, r.ids_crc32) for r in again.collect()} == {(r.doc_id, r.ids_crc32) for r in rows}
 
 
+def test_sampled_pieces_in_slices_and_without_keys(spark, docs, empty, monkeypatch):
+    path = pieces.vocabulary()
+    model = pieces.lattice(path)
+    block = next(blocks(pa.array(["some words of a text " * 40, "", "naïve ▁ 漢字 text", "x" * 50])))
+    keys = np.array([2**60 + 1, 5, 7, 9])
+    whole = pieces.sample(block, keys, model)
+    monkeypatch.setattr(pieces, "SLICE", 7)
+    assert all((a == b).all() for a, b in zip(whole, pieces.sample(block, keys, model), strict=True))
+    rows = [(2**60 + 1, "some words here"), (None, "some words here"), (None, "some words here"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = pieces.encode(df, path).collect()
+    alone = pieces.encode(df.filter("doc_id > 100"), path).first()
+    assert [r.ids for r in out if r.doc_id == 2**60 + 1] == [alone.ids] and [r.ids for r in out if r.doc_id == 3] == [[]]
+    missing = [r.ids for r in out if r.doc_id is None]
+    assert len(missing) == 2 and missing[0] == missing[1] == plain_sample(pieces.NO_KEY, "some words here", model)
+    assert pieces.encode(empty, path).count() == 0
+
+
 def test_samples_follow_the_lattice(spark):
     """Frequencies of segmentations of one word over many keys against their exact chances."""
     path, word = pieces.vocabulary(), "the"
