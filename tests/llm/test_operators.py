@@ -310,6 +310,24 @@ def test_quality_bands(spark):
     assert {k: rows[k].script for k in ("en", "ru", "el", "he", "rare han")} == {"en": "latin", "ru": "cyrillic", "el": "greek", "he": "hebrew", "rare han": "han"}
 
 
+def test_quality_against_labels(spark):
+    """Recall among poor documents that pass the base rule, and false rejections among good ones, on labels that set no limit."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    rows = quality.query(spark, d).filter("NOT base_failed").join(labels, "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("lost")).collect()
+    found = {r.quality: r.lost / r.n for r in rows}
+    assert found[0] >= 0.95 and found[1] <= 0.005
+
+
+def test_verdict_against_plain_measures(spark, docs):
+    """Every row's verdict from its counts and bands by plain loops; a script without words takes the default band."""
+    for r in quality.judge(docs, quality.vocabulary(), keep=("doc_id", "text")).collect():
+        least, most, bytes_most, bits = quality.BANDS[r.script]
+        symbols = sum(c in "#*$%&|<>" for c in r.text or "") / max(r.n_tokens, 1)
+        good = not r.base_failed and least <= r.chars_per_token <= most and r.byte_share <= bytes_most and r.entropy >= bits and symbols <= quality.SYMBOLS
+        assert r.kept is good and r.base_failed is (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+
+
 def test_fertility_against_plain_encoding(spark):
     import sentencepiece
 
