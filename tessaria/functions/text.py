@@ -44,6 +44,18 @@ PHONE = r"(?<!\d)(?:\+34[\s.-]?)?[6789]\d{2}[\s.-]?\d{3}[\s.-]?\d{3}(?!\d)"
 #: The label before a code, the short suffix after it, the least length, and values that stand for no code. (Fixed values.)
 CODE_LABEL, CODE_SUFFIX, LEAST_CODE = r"^(referencia|ref\.?)(?=$|[\s:\-])[\s:\-]*", r"^(.+)[-_/]([0-9a-z]{1,3})$", 4
 PLACEHOLDERS = ("0", "-", "n/a", "na", "ref", "sin referencia", "sinreferencia", "sin-referencia", "pendiente", "tbd", "todo")
+#: Phrases of a portal's challenge page, and how many different ones make a block. (Fixed values.)
+CHALLENGE = (
+    "muchas peticiones",
+    "en poco tiempo",
+    "desliza hacia la derecha",
+    "por que esta verificacion",
+    "comportamiento del navegador",
+    "velocidad sobrehumana",
+    "bloquea el funcionamiento de javascript",
+    "un robot se encuentra en la misma red",
+)
+CHALLENGE_HITS = 2
 #: Markers of failures, network before structure. (Fixed values.)
 NETWORK_MARKERS = (
     "timeout", "timed out", "connection", "could not connect", "refused", "unreachable", "reset by peer", "econnreset",

@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests, local runs), a new temporary folder."""
+    """spark.checkpoint.dir of the session; where it is unset in local runs (tests), a new temporary folder. On a cluster no
+    folder of one machine would do, so it has to be set there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 class Workspace:
-    """Named Parquet tables of one run. Written tables cut the lineage: a lost executor repeats no earlier step."""
+    """Named Parquet tables of one run. Written tables cut the lineage: a lost executor repeats no earlier step. Results
+    read them, so they stay until ``clear`` (or until the folder is emptied, once the results are written)."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -28,7 +32,10 @@ class Workspace:
         df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def clear(self) -> None:
+        self.drop("")
+
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaria.operators import health, keyed
@@ -12,22 +14,15 @@ from tessaria.plans.relational import SESSIONS_SQL
 from tessaria.session import table
 
 
-@query(
-    "unordered_pairs",
-    """WITH s AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 10 = 0),
-p AS (SELECT least(a.l_suppkey, b.l_suppkey) AS lo, greatest(a.l_suppkey, b.l_suppkey) AS hi, a.l_partkey FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey)
-SELECT lo, hi, count(*)::BIGINT AS n, max(l_partkey) AS top FROM p GROUP BY lo, hi HAVING count(*) >= 12""",
-)
-def unordered_pairs(spark, d):
-    """Suppliers that share parts of a tenth of the catalogue (the scope of the report)."""
-    s = table(spark, d, "lineitem").filter("l_partkey % 10 = 0").select("l_partkey", "l_suppkey").distinct()
-    pairs = health.pairs_of_group(s, "l_partkey", "l_suppkey")
-    return pairs.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.max("l_partkey").alias("top")).filter("n >= 12")
+PAIRS_SQL = """WITH s AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
+p AS (SELECT a.l_suppkey AS lo, b.l_suppkey AS hi, a.l_partkey FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey)
+SELECT lo, hi, count(*)::BIGINT AS n, max(l_partkey) AS top FROM p GROUP BY lo, hi HAVING count(*) >= 12"""
 
 
-@query("unordered_pairs_whole")
-def unordered_pairs_whole(spark, d):
-    """Suppliers that share 12 parts or more of the whole catalogue."""
+@query("unordered_pairs", PAIRS_SQL)
+@query("unordered_pairs_whole", PAIRS_SQL)
+def unordered_pairs(spark, d):
+    """Suppliers that share 12 parts or more of the whole catalogue. (Two names of one query.)"""
     s = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     pairs = health.pairs_of_group(s, "l_partkey", "l_suppkey")
     return pairs.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.max("l_partkey").alias("top")).filter("n >= 12")
@@ -124,18 +119,40 @@ def source_status(spark, d):
 
 @query(
     "activity_feed",
-    f"""WITH a AS (SELECT 'order' AS kind, o_custkey::VARCHAR AS source, o_orderdate AS t, o_orderdate AS t_end, o_orderstatus AS status, o_orderkey AS id FROM orders
+    f"""WITH st AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE event_type <> 'click'),
+a AS (SELECT 'order' AS kind, o_custkey::VARCHAR AS source, o_orderdate AS t, o_orderdate AS t_end, o_orderstatus AS status, o_orderkey AS id FROM orders
 UNION ALL SELECT 'line', l_suppkey::VARCHAR, l_shipdate, l_shipdate, l_returnflag, l_orderkey * 10 + l_linenumber FROM lineitem
-UNION ALL SELECT 'session', user_id::VARCHAR, min(ts), max(ts), count(*)::VARCHAR, min(event_id) FROM {SESSIONS_SQL} GROUP BY user_id, session)
-SELECT DISTINCT kind, source, t, t_end, status, id FROM (SELECT * FROM a ORDER BY t DESC, kind, id, source, status LIMIT 400)""",
+UNION ALL SELECT 'session', user_id::VARCHAR, min(ts), max(ts), count(*)::VARCHAR, min(event_id) FROM {SESSIONS_SQL} GROUP BY user_id, session
+UNION ALL SELECT 'sweep', NULL, date_trunc('hour', ts)::TIMESTAMP, max(ts), count(*)::VARCHAR, min(event_id) FROM events GROUP BY date_trunc('hour', ts) HAVING count(*) FILTER (WHERE event_type = 'purchase') = 0
+UNION ALL SELECT 'requeue', user_id::VARCHAR, date_trunc('hour', ts)::TIMESTAMP, NULL, count(*)::VARCHAR, min(event_id) FROM events WHERE event_type = 'error' GROUP BY user_id, date_trunc('hour', ts)
+UNION ALL SELECT 'pass', NULL, date_trunc('day', ts)::TIMESTAMP, max(ts), count(DISTINCT user_id)::VARCHAR, min(event_id) FROM events GROUP BY date_trunc('day', ts)
+UNION ALL SELECT 'manual', user_id::VARCHAR, ts, NULL, 'requested', event_id FROM events WHERE event_type = 'purchase' AND value > 40
+UNION ALL SELECT 'state', user_id::VARCHAR, ts, NULL, CASE WHEN event_type = 'view' THEN 'resurrected' ELSE event_type END, event_id FROM st WHERE event_type <> 'view' OR before <> 'view')
+SELECT kind, source, t, t_end, status, id FROM (SELECT DISTINCT * FROM a) ORDER BY t DESC, kind, id, source, status LIMIT 400""",
 )
 def activity_feed(spark, d):
-    orders = table(spark, d, "orders").select(F.lit("order").alias("kind"), F.col("o_custkey").cast("string").alias("source"), F.col("o_orderdate").alias("t"), F.col("o_orderdate").alias("t_end"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("id"))
-    lines = table(spark, d, "lineitem").select(F.lit("line").alias("kind"), F.col("l_suppkey").cast("string").alias("source"), F.col("l_shipdate").alias("t"), F.col("l_shipdate").alias("t_end"), F.col("l_returnflag").alias("status"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
-    sessions = keyed.sessionize(events(spark, d), ["user_id"], "at", 30).groupBy("user_id", "session").agg(F.min("ts").alias("t"), F.max("ts").alias("t_end"), F.count("*").cast("string").alias("status"), F.min("event_id").alias("id"))
-    sessions = sessions.select(F.lit("session").alias("kind"), F.col("user_id").cast("string").alias("source"), "t", "t_end", "status", "id")
-    feed = orders.unionByName(lines).unionByName(sessions)
-    return feed.orderBy(F.desc("t"), "kind", "id", "source", "status").limit(400).distinct()
+    """The newest 400 of eight kinds of activity: orders and lines as crawls, sessions, hours without a purchase as sweeps without
+    results, hours of errors as requeued batches, days as passes, large purchases as manual runs, and changes of state
+    (events of plain activity only where they follow another state)."""
+    shape = lambda df, kind, source, t, t_end, status, id_: df.select(F.lit(kind).alias("kind"), source.cast("string").alias("source"), F.col(t).alias("t"), (F.col(t_end) if t_end else F.lit(None).cast("timestamp_ntz")).alias("t_end"), status.cast("string").alias("status"), id_.alias("id"))
+    e, nobody = table(spark, d, "events"), F.lit(None)
+    user, n, first = F.col("user_id"), F.col("n"), F.col("id")
+    grouped = lambda df, unit, *keys: df.groupBy(*keys, F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("t")).agg(F.count("*").alias("n"), F.min("event_id").alias("id"), F.max("ts").alias("t_end"), F.count_if(F.col("event_type") == "purchase").alias("bought"), F.count_distinct("user_id").alias("users"))
+    sessions = keyed.sessionize(events(spark, d), ["user_id"], "at", 30).groupBy("user_id", "session").agg(F.min("ts").alias("t"), F.max("ts").alias("t_end"), F.count("*").alias("n"), F.min("event_id").alias("id"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    states = e.filter("event_type <> 'click'").withColumn("before", F.lag("event_type").over(w)).filter("event_type <> 'view' OR before <> 'view'")
+    kinds = [
+        shape(table(spark, d, "orders"), "order", F.col("o_custkey"), "o_orderdate", "o_orderdate", F.col("o_orderstatus"), F.col("o_orderkey")),
+        shape(table(spark, d, "lineitem"), "line", F.col("l_suppkey"), "l_shipdate", "l_shipdate", F.col("l_returnflag"), F.col("l_orderkey") * 10 + F.col("l_linenumber")),
+        shape(sessions, "session", user, "t", "t_end", n, first),
+        shape(grouped(e, "hour").filter("bought = 0"), "sweep", nobody, "t", "t_end", n, first),
+        shape(grouped(e.filter("event_type = 'error'"), "hour", "user_id"), "requeue", user, "t", None, n, first),
+        shape(grouped(e, "day"), "pass", nobody, "t", "t_end", F.col("users"), first),
+        shape(e.filter("event_type = 'purchase' AND value > 40"), "manual", user, "ts", None, F.lit("requested"), F.col("event_id")),
+        shape(states, "state", user, "ts", None, F.when(F.col("event_type") == "view", "resurrected").otherwise(F.col("event_type")), F.col("event_id")),
+    ]
+    feed = reduce(DataFrame.unionByName, kinds).distinct()
+    return feed.orderBy(F.desc("t"), "kind", "id", "source", "status").limit(400)
 
 
 @query("prev_activity_day", "SELECT max(day)::DATE AS day FROM (SELECT o_orderdate::DATE AS day FROM orders UNION ALL SELECT l_shipdate::DATE FROM lineitem UNION ALL SELECT ts::DATE FROM events) WHERE day < DATE '2024-01-15'")

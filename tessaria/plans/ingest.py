@@ -127,21 +127,13 @@ def quality_trend(spark, d):
     return ingest.quality_trend(daily, "source", "day", "mean").withColumn("baseline", F.round("baseline", 8))
 
 
-@query(
-    "scope_fairness",
-    """WITH a AS (SELECT c_custkey, max(ts) AS last FROM customer LEFT JOIN events ON user_id = c_custkey WHERE c_custkey % 4 = 0 GROUP BY c_custkey) SELECT c_custkey, last, row_number() OVER (ORDER BY last ASC NULLS FIRST, c_custkey)::INTEGER AS turn FROM a ORDER BY turn LIMIT 50""",
-)
-def scope_fairness(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey % 4 = 0").select("c_custkey")
-    e = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
-    top = c.join(e, c.c_custkey == e.user_id, "left").orderBy(F.asc_nulls_first("last"), "c_custkey").limit(50)
-    turns = top.agg(F.array_sort(F.collect_list(F.struct(F.col("last").isNotNull().alias("tried"), "last", "c_custkey"))).alias("rows")).select(F.posexplode("rows").alias("i", "r"))
-    return turns.select("r.c_custkey", "r.last", (F.col("i") + 1).alias("turn"))
+FAIRNESS_SQL = "WITH a AS (SELECT c_custkey, max(ts) AS last FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY c_custkey) SELECT c_custkey, last, row_number() OVER (ORDER BY last ASC NULLS FIRST, c_custkey) AS turn FROM a"
 
 
-@query("scope_fairness_whole")
-def scope_fairness_whole(spark, d):
-    """Every customer in turn: never attempted first, then by the oldest attempt."""
+@query("scope_fairness", FAIRNESS_SQL)
+@query("scope_fairness_whole", FAIRNESS_SQL)
+def scope_fairness(spark, d):
+    """Every customer in turn: never attempted first, then by the oldest attempt. (Two names of one query.)"""
     c = table(spark, d, "customer").select("c_custkey")
     e = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
     rows = c.join(e, c.c_custkey == e.user_id, "left").select("c_custkey", "last")
@@ -245,11 +237,28 @@ def phones(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(T.extract_phones(s), ",").alias("phones"))
 
 
-@query("soft_block")
+#: A page's text with some of the challenge's phrases put in by its key: none, one, two, one twice, or two within a script.
+PLANTED = (
+    "", "<p>Muchas peticiones</p>", "<p>¿Por qué esta verificación?</p><b>DESLIZA hacia la derecha</b>", "<p>en poco tiempo</p><p>en poco tiempo</p>",
+    "<script>muchas peticiones en poco tiempo</script><noscript>velocidad sobrehumana</noscript>", "<i>Velocidad\n sobrehumana</i>, muchas   peticiones",
+)
+PLANTED_SQL = ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in PLANTED)
+_BARE_SQL = "h"
+for _tag in ("script", "style", "noscript"):
+    _BARE_SQL = f"regexp_replace({_BARE_SQL}, '<{_tag}\\b.*?</{_tag}\\s*>', ' ', 'gis')"
+
+
+@query(
+    "soft_block",
+    f"""WITH p AS (SELECT page_id, html || [{PLANTED_SQL}][page_id % {len(PLANTED)} + 1] AS h FROM pages),
+t AS (SELECT page_id, trim(regexp_replace(strip_accents(lower(regexp_replace({_BARE_SQL}, '<[^>]*>', ' ', 'gs'))), '\\s+', ' ', 'g')) AS t FROM p)
+SELECT page_id, length(t)::INTEGER AS n_visible, page_id % {len(PLANTED)} IN (2, 5) AS blocked FROM t""",
+)
 def soft_block(spark, d):
-    """Visible text of pages and challenge phrases in it. (RE2 has no back-references for the SQL twin.)"""
-    text = T.visible_text(F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.length(text).alias("n_visible"), (T.phrase_hits(text, ("cookie", "captcha", "verify", "robot", "enable javascript")) >= 2).alias("blocked"))
+    """Visible text of pages, and whether two different phrases of the challenge stand in it."""
+    more = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("page_id") % len(PLANTED) + 1).cast("int"))
+    text = T.visible_text(F.concat("html", more))
+    return table(spark, d, "pages").select("page_id", F.length(text).alias("n_visible"), (T.phrase_hits(text, T.CHALLENGE) >= T.CHALLENGE_HITS).alias("blocked"))
 
 
 @query(

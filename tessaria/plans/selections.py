@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessaria.operators import ingest, keyed, selection
+from tessaria.operators import ingest, keyed, linkage, scope, scoring, selection
 from tessaria.plans.registry import AS_OF, PARTS_SQL, km_sql, parts, query
 from tessaria.session import table
 
@@ -310,3 +310,22 @@ def extraction_quality(spark, d):
     )
     score = ingest.extraction_score()
     return rows.select("id", F.round(score, 3).alias("score"), ingest.grade(score).alias("grade"))
+
+
+@query(
+    "scope_rules",
+    """WITH x AS (SELECT p_partkey AS k FROM part) SELECT k, CASE WHEN k % 3 > 0 THEN k % 7 WHEN k % 5 >= 3 THEN k % 4 END AS rooms, k % 4 <> 1 AS elevator, k % 6 <> 2 AS wanted, CASE WHEN k % 5 IN (0, 1) THEN false WHEN k % 5 = 2 THEN k % 2 = 0 ELSE true END AND k % 11 <> 0 AS other_kind,
+  CASE WHEN k % 4 > 0 THEN 1 / (1 + k % 10)::DOUBLE WHEN k % 8 > 0 THEN k % 10 / 10::DOUBLE ELSE 0.5 END AS cold FROM x""",
+)
+def scope_rules(spark, d):
+    """Structured before extracted values, elevators that may be unknown, rejected ones, kinds that conflict, cold starts."""
+    k = F.col("k")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k")).withColumns({
+        "s": F.when(k % 3 > 0, k % 7), "x": k % 4, "c": k % 5 / 5, "e": F.when(k % 4 == 0, True).when(k % 4 == 1, False), "f": F.when(k % 6 == 2, "reject").when(k % 6 == 3, "accept"),
+        "v": F.when(k % 4 > 0, k % 10), "p": F.when(k % 8 > 0, k % 10 / 10),
+    })
+    other = F.when(k % 5 == 0, "piso").when(k % 5 == 1, "atico").when(k % 5 == 2, F.when(k % 2 == 0, "local").otherwise("piso")).otherwise("chalet")
+    return rows.select(
+        "k", scope.structured_or_extracted("s", "x", "c").alias("rooms"), scope.elevator_allowed("e", True).alias("elevator"), scope.not_rejected("f").alias("wanted"),
+        linkage.type_conflict(F.lit("piso"), other, k % 11 == 0).alias("other_kind"), scoring.cold_start(F.col("v"), F.col("p")).alias("cold"),
+    )

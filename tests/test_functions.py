@@ -261,6 +261,18 @@ def test_embedded_json(spark):
     assert values(spark, readers.embedded_json(F.col("x"), "__INITIAL_PROPS__", "ad struct<id:long,price:double>")["ad"]["id"], (html,), ("<p>",)) == [7, None]
 
 
+def test_paged_json_and_gazetteers(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"page": 1, "items": [{"id": 1, "price": 2.5}, {"id": 2}]}')
+    (tmp_path / "b.json").write_text('{"page": 2,\n "items": []}')
+    rows = readers.json_pages(spark, str(tmp_path / "*.json"), "items", "page int, items array<struct<id:long,price:double>>")
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 2.5), (2, None)]
+    names = [x.split()[0] for x in readers.PLACE_SCHEMA.split(",")]
+    values_ = {"name": "Ávila", "province": "Ávila", "lat": "40.65", "lon": "-4.7", "population": "57000"}
+    (tmp_path / "g.csv").write_text(",".join(names) + "\n" + ",".join(values_.get(n, "") for n in names) + "\n")
+    row = readers.gazetteer(spark, str(tmp_path / "g.csv")).first()
+    assert (row.name, row.lat) == ("Ávila", 40.65)
+
+
 def test_missed_sweeps_stream(spark, tmp_path):
     sweeps = [(1, s, ids) for s, ids in enumerate([[1, 2], [1], [1], [1, 2], [1], [1], [1], [1]])]
     for s in sweeps:
