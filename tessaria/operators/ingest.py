@@ -94,6 +94,36 @@ def quality_score(weights: Mapping[str, int]) -> Column:
     return have / sum(weights.values())
 
 
+def fetch_rules(now: Column) -> list[tuple[str, bool, Column]]:
+    """Rules of ``skip_reason`` for a detail fetch, in order. Columns: backfills_code (the source can fill in a missing code),
+    code, accepted, fetched, status, listed (a price on the list, or null), price (the stored one), observed (last price
+    observation), refetch_seconds."""
+    known = F.col("listed").isNotNull()
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("fetched").cast("timestamp"))
+    return [
+        ("reference code", False, F.col("backfills_code") & (F.coalesce("code", F.lit("")) == "")),
+        ("accepted", False, F.col("accepted")),
+        ("never fetched", False, F.col("fetched").isNull()),
+        ("not active", False, F.col("status") != "active"),
+        ("price missing", False, known & F.col("price").isNull()),
+        ("list price changed", False, known & material(F.col("price"), F.col("listed"))),
+        ("list price unchanged", True, known),
+        ("always", False, F.col("refetch_seconds") <= 0),
+        ("price missing", False, F.col("price").isNull()),
+        ("unconfirmed", False, F.col("observed") > F.col("fetched")),
+        ("stale", False, age >= F.col("refetch_seconds").cast("long") * 1_000_000),
+        ("fresh", True, F.lit(True)),
+    ]
+
+
+def chart_merge(primary: DataFrame, compared: DataFrame, x: str, y: str, order: str) -> DataFrame:
+    """x (as text), y, y_comparison: the primary series without its nulls, beside the comparison's value of the same text; of
+    several the last by ``order`` among those with a value."""
+    text = F.col(x).cast("string").alias(x)
+    last = compared.filter(F.col(y).isNotNull()).groupBy(text).agg(F.max_by(y, order).alias("y_comparison"))
+    return primary.filter(F.col(y).isNotNull()).select(text, y).join(last, x, "left")
+
+
 #: Weights of the fields of a listing, 18 in all. (Fixed values.)
 FIELD_WEIGHTS = {"price": 3, "location": 3, "m2": 3, "kind": 2, "rooms": 2, "photos": 2, "description": 1, "bathrooms": 1, "energy": 1}
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessaria.functions.text import floor_number
+
 #: Training settings. (Fixed values.)
 STEPS, RATE, PENALTY, LEAST_LABELS = 1000, 0.5, 1.0, 32
 PREFERENCE_LABELS, PREFERENCE_WEIGHT = 8, 0.15
@@ -80,6 +82,25 @@ def with_preference(base: Column, signal: Column) -> Column:
     return F.least(F.greatest(base + PREFERENCE_WEIGHT * F.coalesce(signal, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
 
 
+def relative_price(price: Column, m2: Column, price_min: Column, price_max: Column, size_min: Column, size_max: Column) -> Column:
+    """A price against the middle of its scope's band, per square metre if sizes are bounded too. A band with one bound is
+    that bound; null without a price band, or where a size is needed and missing."""
+    middle = lambda lo, hi: F.coalesce((lo + hi) / 2, lo, hi)
+    target, size = middle(price_min, price_max), middle(size_min, size_max)
+    plain = F.when(target > 0, price / target)
+    per_m2 = F.when((target > 0) & (size > 0) & (m2 > 0), F.try_divide(F.try_divide(price, m2), F.try_divide(target, size)))
+    return F.when(size_min.isNull() & size_max.isNull(), plain).otherwise(per_m2)
+
+
+def raw_features() -> list[Column]:
+    """The eight raw features of a candidate: columns price, m2, rooms, floor (text), elevator, year, days, drop, and the
+    scope's price_min, price_max, size_min, size_max."""
+    c = lambda name: F.col(name).cast("double")
+    bands = [c(n) for n in ("price_min", "price_max", "size_min", "size_max")]
+    elevator = F.when(F.col("elevator").isNotNull(), F.when(F.col("elevator"), 1.0).otherwise(0.0))
+    return [relative_price(c("price"), c("m2"), *bands), c("m2"), c("rooms"), floor_number(F.col("floor")), elevator, c("year"), c("days"), c("drop")]
+
+
 def cold_start(value: Column, pool: Column) -> Column:
     """1 / (1 + v) without a model, else the pool's score, else one half."""
     return F.coalesce(1 / (1 + value), pool, F.lit(0.5))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessaria.plans import aggregates, comparables, ingest, ledgers, linking, models, operations, relational, selections, sources  # noqa: F401  (modules register on import)
+from tessaria.plans import aggregates, comparables, details, ingest, ledgers, linking, models, operations, relational, selections, sources  # noqa: F401  (modules register on import)
 from tessaria.plans.registry import QUERIES, SQL
 
 
