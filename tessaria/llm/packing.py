@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, length: int = LENGTH
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks, pattern)
         for batch in batches:
-            for block in blocks(batch.column(1), 8 << 20):
+            for block in blocks(batch.column(1), (2 if with_ids else 8) << 20):
                 flat, places = bpe.encode(block)
                 count = np.diff(places)
                 ids = np.full(len(flat) + len(count), end_id, np.uint32)
@@ -131,10 +131,10 @@ def best_two_fit(lengths: list[int], room: int) -> list[list[int]]:
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Adds sequence_id and offset to pieces, which are written first: their number sets the number of shards, and a
-    piece's place among the written rows its shard, so that no key is hot. A piece of full length is a sequence of its own
-    (of negative id) and is not dealt."""
-    rows = Workspace(pieces.sparkSession, "packing").write(pieces, "pieces").withColumn("_row", F.monotonically_increasing_id())
+    """Adds sequence_id and offset to pieces, which are written first, with a number each: how many there are sets the number
+    of shards, and a piece's number its shard, so that no key is hot. Only numbers and lengths are dealt, and places joined
+    back. A piece of full length is a sequence of its own (of negative id)."""
+    rows = Workspace(pieces.sparkSession, "packing").write(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     full = rows.filter(F.col("length") >= length).select(*pieces.columns, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = rows.filter(F.col("length") < length)
     shards = max(1, ceil(rest.count() / shard_rows))
@@ -149,11 +149,11 @@ def pack(pieces: DataFrame, length: int = LENGTH, shard_rows: int = SHARD_ROWS)
             for i in own:
                 sequence[i], offset[i] = base + number, at
                 at += sizes[i]
-        return group.drop_columns(["_shard", "_row"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return pa.table({"_row": group["_row"], "sequence_id": pa.array(sequence), "offset": pa.array(offset)})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    dealt = rest.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
-    return full.unionByName(dealt.groupBy("_shard").applyInArrow(run, f"{schema}, sequence_id long, offset long"))
+    dealt = rest.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(shards)).alias("_shard"))
+    placed = dealt.groupBy("_shard").applyInArrow(run, "_row long, sequence_id long, offset long")
+    return full.unionByName(rest.join(placed, "_row").select(*pieces.columns, "sequence_id", "offset"))
 
 
 def vocabulary() -> tuple[str, str]:

@@ -146,7 +146,7 @@ def judge(docs: DataFrame, model: str, bands: dict = BANDS, keep: tuple[str, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(0), 4 << 20):
+            for block in blocks(batch.column(0), 2 << 20):
                 w = words(block)
                 found = counts(block, w)
                 tokens, single, entropy = fertility(block, w, model)
