@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaria.llm.blocks import anchors, blocks, signed, word_hashes, words
-from tessaria.llm.spans import K, WINDOW, anchor_rows, by_document, listed, remove, texts_of, window_rows, windows_between, within
+from tessaria.llm.spans import K, WINDOW, anchor_rows, remove, texts_of, window_rows, windows_between
 from tessaria.operators.workspace import Workspace
 
 BATCHES = 2

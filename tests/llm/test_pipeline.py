@@ -66,7 +66,18 @@ def test_stages_and_run(spark, tmp_path):
         if secrets.MASK not in r.text:
             assert r.text == cleaned[d]
     assert secrets.MASK in masked[9000].text and masked[9001].text.endswith(f"and {secrets.MASK}")
-    result = sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in pipeline.run(spark, str(tmp_path)).collect())
+    packed = pipeline.run(spark, str(tmp_path)).collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.asarray(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in packed)
+    room = defaultdict(list)
+    for r in packed:
+        room[r.sequence_id].append((r.offset, r.length))
+    for own in room.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= packing.LENGTH
+    result = sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packed)
     assert result == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in frames["best_fit_packing"].collect())
     from tokenizers import Tokenizer
     import public_tokenizers
