@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessaria.operators import health, keyed
 from tessaria.operators.joins import full_diff
-from tessaria.plans.registry import AS_OF, LINE_ORDER, LINE_ORDER_SQL, events, query
+from tessaria.plans.registry import AS_OF, LINE_ORDER, events, query
 from tessaria.plans.relational import SESSIONS_SQL
 from tessaria.session import table
 
