@@ -212,7 +212,7 @@ x AS (SELECT p.id, p.price, p.p_size AS m2, a.median, a.n AS sample, round(p50,
   CASE WHEN p.id % 6 = 0 THEN 12 * p.p_size END AS assumed FROM {PARTS_SQL} p LEFT JOIN a ON a.id = p.id LEFT JOIN c ON c.id = p.id WHERE p.p_size > 0)
 SELECT id, round(coalesce(assumed, CASE WHEN usable THEN p50 END), 6) AS rent, CASE WHEN assumed IS NOT NULL THEN 'profile_assumption' WHEN NOT usable THEN 'insufficient_data' WHEN sure THEN 'market_comparable_high' ELSE 'market_comparable_low' END AS method,
   round(CASE WHEN usable THEN (assumed - p50) / p50 END, 6) AS disagreement, round(coalesce(assumed, CASE WHEN usable THEN p50 END) * 1200 / price, 6) AS gross, round(median * m2, 4) AS arv, CASE WHEN median IS NOT NULL THEN CASE WHEN sample >= 15 THEN 'high' ELSE 'low' END END AS arv_confidence,
-  round(median * m2 - price * 1.1 - 650 * m2, 4) AS margin FROM x""",
+  round(median * m2 - price - 650 * m2 - price * 0.1::DOUBLE, 1) AS margin FROM x""",
 )
 def investment_metrics(spark, d):
     """Area price, rent estimate (a sixth with a profile's assumption), yield, resale value and flip margin of every part."""
@@ -224,7 +224,7 @@ def investment_metrics(spark, d):
     value, sure = finance.resale(F.col("median_m2"), F.col("size"), F.col("n_comps"))
     margin, _ = finance.flip(value, F.col("price"), finance.works(F.col("size"), F.lit("a_reformar"), F.lit(None).cast("string")))
     gross = finance.yields(F.col("price"), monthly, F.lit(None).cast("string"))["gross"]
-    return x.select("id", F.round(monthly, 6).alias("rent"), method.alias("method"), F.round(disagreement, 6).alias("disagreement"), F.round(gross, 6).alias("gross"), F.round(value, 4).alias("arv"), sure.alias("arv_confidence"), F.round(margin, 4).alias("margin"))
+    return x.select("id", F.round(monthly, 6).alias("rent"), method.alias("method"), F.round(disagreement, 6).alias("disagreement"), F.round(gross, 6).alias("gross"), F.round(value, 4).alias("arv"), sure.alias("arv_confidence"), F.round(margin, 1).alias("margin"))
 
 
 @query(
