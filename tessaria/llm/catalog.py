@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessaria.llm import fingerprint_index, lm_scores, minhash, packing, pieces, quality, secrets, spans, suffix_array, topk, urls
+from tessaria.llm import filter_audit, fingerprint_index, lm_scores, minhash, packing, periodic_runs, pieces, quality, secrets, sharding, spans, suffix_array, topk, urls
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_substring_dedup": fingerprint_index.query,
         "op9_url_filters": urls.query,
         "op10_sentencepiece_sampling": pieces.query,
+        "op11_filter_audit": filter_audit.query,
+        "op12_periodic_runs": periodic_runs.query,
+        "op13_sharding": sharding.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_array_dedup": spans.SQL, "op8_substring_dedup": spans.SQL, "op3_exact_top_k": topk.SQL, "op4_lm_scoring": lm_scores.SQL, "op5_minhash_near_dedup": minhash.SQL, "op9_url_filters": urls.SQL}
+    return {"op1_suffix_array_dedup": spans.SQL, "op8_substring_dedup": spans.SQL, "op3_exact_top_k": topk.SQL, "op4_lm_scoring": lm_scores.SQL, "op5_minhash_near_dedup": minhash.SQL, "op9_url_filters": urls.SQL, "op11_filter_audit": filter_audit.SQL, "op12_periodic_runs": periodic_runs.SQL}
