@@ -24,8 +24,6 @@ from tessaria.llm.tokens import byte_bpe, spread
 from tessaria.operators.workspace import Workspace
 
 LENGTH, END_ID, SHARD_ROWS = 2048, 0, 8192
-#: Pieces of up to this part of a sequence are placed last.
-HELD = 6
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -68,9 +66,8 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, length: int = LENGTH
 def best_two_fit(lengths: list[int], room: int) -> list[list[int]]:
     """Bins of indexes into ``lengths``. Each bin starts with the longest piece left and takes the longest that fits until
     none does; then, while it helps, its smallest piece gives way to the two unpacked pieces that together fill the
-    widened gap best. (Two long pieces stay: where such bins are many, short pieces are scarcer than room.) Pieces of up to 1 / ``HELD`` of the room wait until all longer ones are placed, since replacements
-    would use them up too early; they fill the bins' gaps (tightest first) and then bins of their own, by the same steps.
-    """
+    widened gap best (the pair of the longest piece, of equal ones). Bins of two pieces keep them: on 600 uniform lengths of
+    1 to 899 in 1000 the method takes 266 to 296 bins so, as many as first-fit decreasing, and up to four more without."""
     stock: dict[int, list[int]] = {}
     for i, size in enumerate(lengths):
         stock.setdefault(size, []).append(i)
@@ -86,7 +83,7 @@ def best_two_fit(lengths: list[int], room: int) -> list[list[int]]:
         if not left[size]:
             there &= ~(1 << size)
 
-    def fill(sizes: list[int], gap: int) -> int:
+    def fill(sizes: list[int], gap: int) -> None:
         nonlocal there
         while (size := longest(gap)) > 0:
             sizes.append(size)
@@ -114,19 +111,14 @@ def best_two_fit(lengths: list[int], room: int) -> list[list[int]]:
                 take(size)
                 sizes.append(size)
             gap = wide - best[0]
-        return gap
 
+    for size in stock:
+        there |= 1 << size
     bins: list[list[int]] = []
-    gaps: list[int] = []
-    for held in (False, True):
-        for size in stock:
-            if (size <= room // HELD) is held:
-                there |= 1 << size
-        for i in sorted(range(len(bins)), key=gaps.__getitem__):
-            gaps[i] = fill(bins[i], gaps[i])
-        while there:
-            bins.append([])
-            gaps.append(fill(bins[-1], room))
+    while there:
+        sizes: list[int] = []
+        fill(sizes, room)
+        bins.append(sizes)
     return [[stock[size].pop() for size in sizes] for sizes in bins]
 
 

@@ -387,17 +387,46 @@ def test_best_two_fit_beats_first_fit():
     assert packing.best_two_fit([], 10) == []
 
 
-def test_best_two_fit_steps(monkeypatch):
+def plain_two_fit(sizes, room):
+    """Best-two-fit over a sorted list, every pair tried; of equal fillings the pair of the longest piece."""
+    rest, bins = sorted(sizes, reverse=True), []
+    while rest:
+        own, gap = [], room
+        for s in list(rest):
+            if s <= gap:
+                own.append(s)
+                rest.remove(s)
+                gap -= s
+        while gap and len(own) > 2:
+            small = min(own)
+            pairs = [(a + b, a, b) for i, a in enumerate(rest) for b in rest[i + 1 :] if small < a + b <= gap + small]
+            if not pairs:
+                break
+            total, a, b = max(pairs)
+            own.remove(small)
+            rest.remove(a)
+            rest.remove(b)
+            rest = sorted([*rest, small], reverse=True)
+            own += [a, b]
+            gap += small - total
+        bins.append(sorted(own))
+    return bins
+
+
+def test_best_two_fit_steps():
     """By hand: 10 + 6 + 3 leaves a gap of 1 in 20, and 2 + 2 fill the 4 that 3 gives up; 3 then opens its own bin."""
-    monkeypatch.setattr(packing, "HELD", 100)
     sizes = [10, 6, 3, 2, 2]
     assert [sorted(sizes[i] for i in b) for b in packing.best_two_fit(sizes, 20)] == [[2, 2, 6, 10], [3]]
-    # held back, the short ones wait for what the longer ones leave
-    monkeypatch.setattr(packing, "HELD", 6)
-    assert [sorted(sizes[i] for i in b) for b in packing.best_two_fit(sizes, 20)] == [[2, 2, 6, 10], [3]]
     assert [sorted([17, 3, 2][i] for i in b) for b in packing.best_two_fit([17, 3, 2], 20)] == [[3, 17], [2]]
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_best_two_fit_against_all_pairs(seed):
+    draw = random.Random(seed)
+    sizes = [draw.choice([draw.randint(1, 100), draw.randint(1, 30), 33]) for _ in range(90)]
+    assert [sorted(sizes[i] for i in b) for b in packing.best_two_fit(sizes, 100)] == plain_two_fit(sizes, 100)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_packing_close_to_the_least(seed):
     rng = np.random.default_rng(seed)
