@@ -23,7 +23,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessaria.llm.blocks import blocks, word_hashes, words
@@ -99,8 +99,8 @@ def replay(flagged: DataFrame, filters: str = FILTERS) -> DataFrame:
     }
     counted = steps.groupBy("part", "filter_order", step.alias("step")).agg(*(F.sum(conditions[c].cast("long")).alias(c) for c in COUNTS))
     letter = F.substring("filter_order", F.col("step"), F.lit(1))
-    shares = counted.groupBy("part", letter.alias("letter")).agg(F.sum("removed").alias("shapley"))
-    return counted.withColumn("letter", letter).join(shares, ["part", "letter"]).select("part", "filter_order", "step", *COUNTS, "shapley")
+    share = F.sum("removed").over(Window.partitionBy("part", letter))  # one row per order
+    return counted.select("part", "filter_order", "step", *COUNTS, share.alias("shapley"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
