@@ -7,10 +7,14 @@ context, a hash of all their words. The folder holds
 * ``texts``: the texts of each delivery, bucketed by doc_id, on which matches are verified;
 * ``state``: after every step a list of the runs, so an index can be opened again, in another session, and continued.
 
+Each table has as many buckets as its own size asks for; a run that outgrows them gets more when it is compacted, so an index
+that starts small does not stay narrow.
+
 ``add`` takes a delivery: its keys are merge-joined with every run; where a key has one context alone, that context
 decides; where it has several, windows are verified one by one, by the hashes of their words taken from the texts of both
 sides. A window goes if an earlier delivery has it, or a smaller document of its own delivery. Then the delivery's new
-fingerprints are appended as a run, and runs of one level are compacted by a merge join that shuffles nothing.
+fingerprints are appended as a run, and runs of one level are compacted: by a merge join that shuffles nothing where their
+buckets agree and suffice.
 
 Nulls and empty texts have no words: n_words 0, the hash of the empty text. Texts under 50 words lose nothing. Repeated
 texts lose all words but in the least document id. Rows of one doc_id in a delivery are one document, which takes nothing
@@ -30,12 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaria.llm.blocks import anchors, blocks, signed, word_hashes, words
-from tessaria.llm.spans import K, WINDOW, anchor_rows, remove, texts_of, window_rows, windows_between
+from tessaria.llm.spans import BLOCK, K, WINDOW, anchor_rows, remove, texts_of, window_rows, windows_between
 from tessaria.operators.workspace import Workspace
 
-BATCHES = 2
+BATCHES = 4
 #: What one bucket of texts and of fingerprints should hold, and the least number of buckets.
-BUCKET_CHARS, LEAST_BUCKETS = 256_000_000, 12
+BUCKET_CHARS, BUCKET_PRINTS, LEAST_BUCKETS = 256_000_000, 4_000_000, 12
 RUN, TEXT = "key BIGINT, context BIGINT, doc_id BIGINT", "doc_id BIGINT, version BIGINT, text STRING"
 
 
@@ -53,7 +57,7 @@ class FingerprintIndex:
             if (self.state["window"], self.state["k"]) != (window, k):
                 raise ValueError(f"the index has windows of {self.state['window']} words")
         else:
-            self.state = {"window": window, "k": k, "buckets": 0, "made": 0, "runs": [], "texts": []}
+            self.state = {"window": window, "k": k, "made": 0, "runs": [], "texts": [], "buckets": {}, "prints": {}}
 
     def _states(self) -> list[str]:
         jvm = self.spark._jvm
@@ -71,16 +75,17 @@ class FingerprintIndex:
         """A table of the folder, with its buckets known to this session."""
         known = f"index_{self.mark}_{name.replace('/', '_').replace('-', '_')}"
         if known not in self.attached:
-            self.spark.sql(f"CREATE TABLE {known} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.state['buckets']} BUCKETS LOCATION '{self.path}/{name}'")
+            self.spark.sql(f"CREATE TABLE {known} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.state['buckets'][name]} BUCKETS LOCATION '{self.path}/{name}'")
             self.attached.append(known)
         return self.spark.table(known)
 
-    def _write(self, rows: DataFrame, folder: str, key: str) -> str:
-        """Writes a bucketed table under a new name."""
+    def _write(self, rows: DataFrame, folder: str, key: str, buckets: int) -> str:
+        """Writes a bucketed table under a new name; rows are dealt by key already."""
         self.state["made"] += 1
         name = f"{folder}/{self.state['made']:08d}-{uuid.uuid4().hex[:8]}"
         known = f"index_{self.mark}_{name.replace('/', '_').replace('-', '_')}"
-        rows.write.bucketBy(self.state["buckets"], key).sortBy(key).option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(known)
+        self.state["buckets"][name] = buckets
+        rows.write.bucketBy(buckets, key).sortBy(key).option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(known)
         self.spark.sql(f"DROP TABLE {known}")
         return name
 
@@ -98,11 +103,10 @@ class FingerprintIndex:
         space = Workspace(self.spark, "fingerprints")
         window, k = self.state["window"], self.state["k"]
         texts = texts_of(docs)
-        if not self.state["buckets"]:
-            chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-            self.state["buckets"] = max(LEAST_BUCKETS, ceil(chars / BUCKET_CHARS))
+        chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+        buckets = max(LEAST_BUCKETS, ceil(chars / BUCKET_CHARS))
         earlier = list(self.state["texts"])
-        name = self._write(texts.repartition(self.state["buckets"], "doc_id"), "texts", "doc_id")
+        name = self._write(texts.repartition(buckets, "doc_id"), "texts", "doc_id", buckets)
         texts = self._table(name, TEXT, "doc_id")
         rows = space.write(anchor_rows(texts, window, k), "anchors")
         own = space.write(rows.groupBy("key", "context").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")), "own")
@@ -121,9 +125,9 @@ class FingerprintIndex:
         late = F.coalesce("seen", F.lit(False)) | (F.col("doc_id") > F.col("own"))
         judged = space.write(several.join(contexts, ["key", "context"]).select("doc_id", "version", "lo", "hi", late.alias("late")), "judged")
 
-        here = window_rows(texts, judged.filter(~F.col("late")).drop("late"), window, self.state["buckets"]).withColumn("old", F.lit(False))
+        here = window_rows(texts, judged.filter(~F.col("late")).drop("late"), window, buckets).withColumn("old", F.lit(False))
         wanted = space.write(met.join(keys.filter("multi").select("key"), "key", "left_semi").select("doc_id", "key").distinct(), "wanted")
-        there = [keyed_windows(self._table(t, TEXT, "doc_id"), wanted, window, k, self.state["buckets"]) for t in earlier]
+        there = [keyed_windows(self._table(t, TEXT, "doc_id"), wanted, window, k, self.state["buckets"][t]) for t in earlier]
         for part in (here, *there):  # one by one: a union of bucketed tables loses its rows' places
             part.write.mode("append").parquet(f"{space.path}/windows")
         windows = self.spark.read.schema("doc_id long, version long, start int, hash long, old boolean").parquet(f"{space.path}/windows")
@@ -133,13 +137,18 @@ class FingerprintIndex:
         ranges = space.write(plain.unionByName(judged.filter("late").drop("late")).unionByName(single), "ranges")
 
         new = own.join(held.drop("seen"), ["key", "context"], "left_anti").select("key", "context", "doc_id")
-        run = self._write(new.repartition(self.state["buckets"], "key"), "runs", "key")
+        new = space.write(new, "new")
+        self._append(new.repartition(buckets, "key"), buckets, new.count())
         self.state["texts"].append(name)
-        self.state["runs"].append([run, 0])
         self._save()
         while len(self.state["runs"]) > 1 and self.state["runs"][-1][1] == self.state["runs"][-2][1]:
             self.compact()
-        return remove(texts, ranges, window, buckets=self.state["buckets"])
+        return remove(texts, ranges, window, buckets=buckets)
+
+    def _append(self, rows: DataFrame, buckets: int, prints: int) -> None:
+        run = self._write(rows, "runs", "key", buckets)
+        self.state["prints"][run] = prints
+        self.state["runs"].append([run, 0])
 
     def _met(self, space: Workspace, summary: DataFrame) -> DataFrame:
         """Fingerprints of all runs whose key a delivery has: one merge join a run, bucket by bucket."""
@@ -150,19 +159,27 @@ class FingerprintIndex:
         return self.spark.read.schema(RUN).parquet(f"{space.path}/met")
 
     def compact(self) -> None:
-        """Merges the last two runs, which have no fingerprint in common, into one of the next level. Both are bucketed by
-        key, which is enough for a join by key and context: each task merges one bucket and writes it again."""
+        """Merges the last two runs, which have no fingerprint in common, into one of the next level. Where both have the buckets
+        that the new run needs, which is enough for a join by key and context, each task merges one bucket and writes it
+        again; else the rows are dealt anew."""
         conf, setting = self.spark.conf, "spark.sql.requireAllClusterKeysForCoPartition"
         (old, level), (new, _) = self.state["runs"][-2:]
+        have, prints = [self.state["buckets"][x] for x in (old, new)], self.state["prints"].pop(old) + self.state["prints"].pop(new)
+        buckets = max(*have, ceil(prints / BUCKET_PRINTS))
         before = conf.get(setting)
         conf.set(setting, "false")
         try:
-            a, b = self.run(old).alias("a"), self.run(new).hint("merge").alias("b")
-            both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.context") == F.col("b.context")), "full")
-            name = self._write(both.select(*(F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("key", "context", "doc_id"))), "runs", "key")
+            if have == [buckets, buckets]:
+                a, b = self.run(old).alias("a"), self.run(new).hint("merge").alias("b")
+                both = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.context") == F.col("b.context")), "full")
+                both = both.select(*(F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("key", "context", "doc_id")))
+            else:
+                both = self.run(old).unionByName(self.run(new)).repartition(buckets, "key")
+            name = self._write(both, "runs", "key", buckets)
         finally:
             conf.set(setting, before)
         self.state["runs"][-2:] = [[name, level + 1]]
+        self.state["prints"][name] = prints
         self._save()
         for gone in (old, new):
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{gone}")
@@ -178,7 +195,7 @@ def keyed_windows(texts: DataFrame, wanted: DataFrame, window: int, k: int, buck
             size = np.asarray(pa.compute.list_value_length(lists))
             keys = np.asarray(lists.flatten())
             rows = np.repeat(np.arange(len(size)), size)
-            for block in blocks(batch.column(2)):
+            for block in blocks(batch.column(2), BLOCK):
                 w = words(block)
                 a = anchors(word_hashes(block, w), w.first, window, k)
                 own = slice(*np.searchsorted(rows, (block.lo, block.hi)))
@@ -209,6 +226,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, k: int
         start = (low or 0) + b * width
         part = index.add(docs.filter((F.col("doc_id") >= start) & (F.col("doc_id") < start + width)))
         out = part if out is None else out.unionByName(part)
+    index.close()
     return out
 
 

@@ -26,6 +26,8 @@ from tessaria.llm.blocks import Block, PrefixHash, Words, anchors, blocks, signe
 from tessaria.llm.tokens import spread
 
 WINDOW, K = 50, 8
+#: Bytes of text that a task works on at a time (or one longer text).
+BLOCK = 1 << 18
 ANCHOR = "doc_id long, version long, key long, context long, at int, lo int, hi int"
 
 
@@ -40,7 +42,7 @@ def anchor_rows(texts: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(2)):
+            for block in blocks(batch.column(2), BLOCK):
                 w = words(block)
                 a = anchors(word_hashes(block, w), w.first, window, k)
                 base, row = w.first[a.row], pa.array(a.row)
@@ -88,7 +90,7 @@ def window_rows(texts: DataFrame, ranges: DataFrame, window: int = WINDOW, bucke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, fields = listed(batch, 3)
-            for block in blocks(batch.column(2)):
+            for block in blocks(batch.column(2), BLOCK):
                 row, (lo, hi) = within(block, rows, fields)
                 row, start, h = windows_between(block, words(block), row, lo, hi, window)
                 own = [batch.column(i).slice(block.lo, block.hi - block.lo).take(pa.array(row)) for i in (0, 1)]
@@ -106,7 +108,7 @@ def remove(texts: DataFrame, ranges: DataFrame, window: int = WINDOW, keep: tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, fields = listed(batch, 3)
-            for block in blocks(batch.column(2)):
+            for block in blocks(batch.column(2), BLOCK):
                 w = words(block)
                 row, (lows, highs) = within(block, rows, fields)
                 base = w.first[row]

@@ -96,6 +96,26 @@ def test_suffix_matches_extend(spark):
     assert {(r.doc_id, x) for r in found for x in range(r.lo, r.hi + 1)} == {(2, x) for x in range(3, 9)}
 
 
+def test_index_grows_more_buckets(spark, docs, plain, tmp_path, monkeypatch):
+    """A small first delivery, larger ones after it: tables have buckets of their own number, runs get more when compacted."""
+    monkeypatch.setattr(fingerprint_index, "BUCKET_PRINTS", 60)
+    monkeypatch.setattr(fingerprint_index, "BUCKET_CHARS", 1000)
+    index = fingerprint_index.FingerprintIndex(spark, str(tmp_path / "index"))
+    have, cuts = {}, [0, 6, 60, 120, 10**6]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        have |= {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in index.add(docs.filter(F.col("doc_id").between(lo, hi - 1))).collect()}
+    assert have == removed(plain)
+    sizes = [index.state["buckets"][t] for t in index.state["texts"]]
+    assert sizes[0] == fingerprint_index.LEAST_BUCKETS < max(sizes) and [level for _, level in index.state["runs"]] == [2]
+    assert index.state["buckets"][index.state["runs"][0][0]] > max(sizes[:1]) and index.run(index.state["runs"][0][0]).count() == index.state["prints"][index.state["runs"][0][0]]
+
+
+def test_index_leaves_no_tables(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    out = fingerprint_index.dedup(docs, batches=4)
+    assert {t.name for t in spark.catalog.listTables()} == before and out.count() == docs.count()
+
+
 def test_index_continued_in_another_session(spark, docs, plain, tmp_path):
     """Three deliveries, the index closed and opened by another session before each, equal one delivery; runs are compacted."""
     want = removed(plain)
