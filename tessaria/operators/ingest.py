@@ -56,8 +56,11 @@ def counted_upsert(old: DataFrame, new: DataFrame, key: str, counter: str) -> Da
 
 
 def do_nothing_upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Old rows and those new ones whose key is not there yet."""
-    return old.unionByName(new.dropDuplicates(list(keys)).join(old.select(*keys).distinct(), list(keys), "left_anti"))
+    """Old rows and those new ones whose key is not there yet; of several new ones of a key the least by its other columns, so
+    a repeated task chooses alike."""
+    rest = [c for c in new.columns if c not in keys]
+    first = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else new.distinct()
+    return old.unionByName(first.join(old.select(*keys).distinct(), list(keys), "left_anti"))
 
 
 def missed_sweeps(presence: DataFrame, key: str, sweep: str) -> DataFrame:

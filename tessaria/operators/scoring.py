@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaria.functions.text import floor_number
+from tessaria.operators.workspace import Workspace
 
 #: Training settings. (Fixed values.)
 STEPS, RATE, PENALTY, LEAST_LABELS = 1000, 0.5, 1.0, 32
@@ -48,6 +49,40 @@ def train_models(df: DataFrame, profile: str, features: Sequence[str], label: st
     return df.join(enough.select(profile), profile, "left_semi").select(profile, *features, label).groupBy(profile).applyInArrow(fit, "profile long, n long, bias double, weights array<double>")
 
 
+def trainable(df: DataFrame, profile: str, label: str) -> DataFrame:
+    """profile, n of the profiles with at least LEAST_LABELS labels of both kinds."""
+    counted = df.groupBy(profile).agg(F.count("*").alias("n"), F.sum(label).alias("_p"))
+    return counted.filter((F.col("n") >= LEAST_LABELS) & (F.col("_p") > 0) & (F.col("_p") < F.col("n"))).drop("_p")
+
+
+def gradient_models(df: DataFrame, profile: str, features: Sequence[str], label: str, steps: int = STEPS, written_every: int = 10) -> DataFrame:
+    """profile, n, bias, weights after ``steps`` of ``descend`` for all profiles at once. A step is one aggregate: the errors of
+    all labels under their profile's weights, summed by profile in partial sums, and weights moved by the sums; no task has
+    all labels of a profile. Weights are written every few steps, so a lost executor repeats few."""
+    space = Workspace(df.sparkSession, "gradient")
+    rows = space.write(df.select(F.col(profile).alias("profile"), F.array(*(F.col(c).cast("double") for c in features)).alias("x"), F.col(label).cast("double").alias("y")), "labels")
+    zero = F.array(*(F.lit(0.0) for _ in features))
+    models = space.write(trainable(rows, "profile", "y").select("profile", "n", F.lit(0.0).alias("bias"), zero.alias("weights")), "step0")
+    for step in range(1, steps + 1):
+        errors = rows.join(models, "profile").select("profile", "x", (probability(F.col("bias"), F.col("weights"), F.col("x")) - F.col("y")).alias("e"))
+        sums = errors.groupBy("profile").agg(F.sum("e").alias("_e"), F.array(*(F.sum(F.col("e") * F.col("x")[i]) for i in range(len(features)))).alias("_g"))
+        moved = F.zip_with("weights", "_g", lambda w, g: w - RATE * (g / F.col("n") + PENALTY / F.col("n") * w))
+        models = models.join(sums, "profile").select("profile", "n", (F.col("bias") - RATE * F.col("_e") / F.col("n")).alias("bias"), moved.alias("weights"))
+        if step % written_every == 0:
+            models = space.write(models, f"step{step}")
+    return models
+
+
+def rescored(rows: DataFrame, models: DataFrame, profile: str) -> DataFrame:
+    """``rows`` (profile, x, cold, score) with scores to three places and their kind: a profile with a model is scored anew
+    (trained); without one a score that is there stays (kept), and a missing one is the cold start."""
+    made = rows.join(models.select(profile, "bias", "weights"), profile, "left")
+    trained, cold = F.round(probability(F.col("bias"), F.col("weights"), F.col("x")), 3), F.round(cold_start(F.col("cold"), F.lit(None).cast("double")), 3)
+    has = F.col("bias").isNotNull()
+    kind = F.when(has, "trained").when(F.col("score").isNull(), "cold_start").otherwise("kept")
+    return made.withColumn("kind", kind).withColumn("score", F.when(has, trained).otherwise(F.coalesce("score", cold))).drop("bias", "weights")
+
+
 def probability(bias: Column, weights: Column, x: Column) -> Column:
     total = F.aggregate(F.zip_with(weights, x, lambda w, v: w * v), bias, lambda s, v: s + v)
     return 1 / (1 + F.exp(-total))

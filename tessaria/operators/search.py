@@ -1,6 +1,7 @@
 """Token search: weighted search documents, an inverted index, and the usual query grammar.
 
-Words are folded (lower case, no accents); there is no stemmer, so forms of a word are different words.
+Words are folded (lower case, no accents). ``stem`` is a light Spanish one that takes plural and gender endings off; plain
+``matches`` goes without it, so forms of a word are different words there. ``search_index`` keeps an index of stems.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessaria.functions.text import fold
+from tessaria.functions.text import FOLD_FROM, FOLD_TO, fold
+
+_FOLD = str.maketrans(FOLD_FROM[: len(FOLD_TO)], FOLD_TO, FOLD_FROM[len(FOLD_TO) :])
 
 
 def tokens(c: Column) -> Column:
@@ -36,19 +39,33 @@ def parse(query: str) -> list[list[tuple[bool, tuple[str, ...]]]]:
         if not minus and word.lower() == "or":
             out.append([])
             continue
-        words = tuple(t for t in re.split(r"[^0-9a-zà-ÿ]+", (phrase or word).lower()) if t)
+        words = tuple(t for t in re.split(r"[^0-9a-z]+", (phrase or word).translate(_FOLD).lower()) if t)
         if words:
             out[-1].append((bool(minus), words))
     return [x for x in out if x]
 
 
-def matches(text: Column, query: str) -> Column:
-    """Whether a text answers a query: all terms of one alternative; ``-`` forbids; quotes ask for a phrase."""
-    words = tokens(text)
+def stem(word: Column) -> Column:
+    """A folded word without its ending where three letters or more are left: -eses to -es, -ces to -z, and -as, -es, -os, -a,
+    -e, -o off."""
+    cut = F.regexp_replace(F.regexp_replace(word, "eses$", "es_"), "ces$", "z_")
+    return F.replace(F.regexp_replace(cut, "^(.{3,})[aeo]s?$", "$1"), F.lit("_"), F.lit(""))
+
+
+def stemmed(word: str) -> str:
+    """``stem`` of a query's word."""
+    cut = re.sub("ces$", "z_", re.sub("eses$", "es_", word))
+    return re.sub("^(.{3,})[aeo]s?$", r"\1", cut).replace("_", "")
+
+
+def matches(text: Column, query: str, stems: bool = False) -> Column:
+    """Whether a text answers a query: all terms of one alternative; ``-`` forbids; quotes ask for a phrase. ``stems``: forms of
+    a word are one."""
+    words = F.transform(tokens(text), stem) if stems else tokens(text)
     line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
     def term(negated: bool, own: tuple[str, ...]) -> Column:
-        folded = [fold(F.lit(w)) for w in own]
+        folded = [F.lit(stemmed(w) if stems else w) for w in own]
         hit = F.array_contains(words, folded[0]) if len(own) == 1 else line.contains(F.concat(F.lit(" "), F.concat_ws(" ", *folded), F.lit(" ")))
         return ~hit if negated else hit
 

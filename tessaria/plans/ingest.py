@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessaria.functions import text as T
-from tessaria.operators import ingest, keyed
+from tessaria.operators import ingest, keyed, store
+from tessaria.operators.workspace import Workspace
 from tessaria.plans.registry import AS_OF, query
 from tessaria.session import table
 
@@ -59,6 +60,61 @@ def do_nothing_upsert(spark, d):
     return ingest.do_nothing_upsert(old, new, ["o_custkey"])
 
 
+NEWEST_SQL = """(SELECT l_partkey, l_suppkey, arg_max(struct_pack(p := CASE WHEN l_orderkey %% 10 = 0 THEN NULL ELSE l_extendedprice / l_quantity END, f := CASE WHEN l_orderkey %% 3 = 0 THEN NULL ELSE l_linestatus END,
+    t := CASE WHEN l_orderkey %% 4 = 0 THEN '' ELSE l_returnflag END, m := CASE WHEN l_orderkey %% 5 = 0 THEN NULL ELSE l_returnflag END, s := l_shipdate), {'a': l_shipdate, 'b': l_orderkey, 'c': l_linenumber, 'd': l_extendedprice}) AS r
+  FROM lineitem WHERE l_shipdate %s GROUP BY l_partkey, l_suppkey)"""
+
+
+@query(
+    "write_path",
+    f"""WITH o AS (SELECT l_partkey, l_suppkey, r.* FROM {NEWEST_SQL % f"< DATE '{SPLIT}'"}), n AS (SELECT l_partkey, l_suppkey, r.* FROM {NEWEST_SQL % f">= DATE '{SPLIT}'"})
+SELECT coalesce(n.l_partkey, o.l_partkey) AS l_partkey, coalesce(n.l_suppkey, o.l_suppkey) AS l_suppkey,
+  CASE WHEN n.l_partkey IS NOT NULL AND coalesce(o.p IS NULL OR o.p <= 0 OR abs(n.p - o.p) / o.p BETWEEN 0.01::DOUBLE AND 0.6::DOUBLE, false) THEN coalesce(n.p, o.p) ELSE o.p END AS price,
+  coalesce(n.f, o.f) AS feature, coalesce(nullif(n.t, ''), o.t, n.t) AS tags, CASE WHEN n.l_partkey IS NOT NULL THEN n.m ELSE o.m END AS photo,
+  coalesce(o.s, n.s)::DATE AS first_seen, greatest(o.s, n.s)::DATE AS last_seen, CASE WHEN n.l_partkey IS NULL THEN 1 ELSE 0 END AS missed,
+  CASE WHEN n.l_partkey IS NULL THEN 1 ELSE 2 END AS delivery FROM o FULL JOIN n ON o.l_partkey = n.l_partkey AND o.l_suppkey = n.l_suppkey""",
+)
+def write_path(spark, d):
+    """Two deliveries to a keyed table, a sweep that missed what the second lacks, and both deliveries once more."""
+    keys = ["l_partkey", "l_suppkey"]
+    odd = lambda k, c: F.when(F.col("l_orderkey") % k == 0, None).otherwise(F.col(c))
+    lines = table(spark, d, "lineitem").withColumns({"price": F.when(F.col("l_orderkey") % 10 != 0, F.col("l_extendedprice") / F.col("l_quantity")), "feature": odd(3, "l_linestatus"), "tags": F.when(F.col("l_orderkey") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("l_returnflag")), "photo": odd(5, "l_returnflag"), "seen": F.to_date("l_shipdate")})
+    order = ("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice")
+    newest = F.max_by(F.struct("price", "feature", "tags", "photo", "seen"), F.struct(*order))
+    delivery = lambda condition: lines.filter(condition).groupBy(*keys).agg(newest.alias("r")).select(*keys, "r.*")
+    first, second = delivery(f"l_shipdate < DATE '{SPLIT}'"), delivery(f"l_shipdate >= DATE '{SPLIT}'")
+    columns = "l_partkey long, l_suppkey long, price double, feature string, tags array<string>, photo string, first_seen date, last_seen date, last_fetched date, missed int"
+    kept = store.KeyedTable(spark, Workspace(spark, "listings").path, columns, keys, buckets=16)
+    merge = store.canonical_merge(keys, "price", ["feature"], ["tags"], ["photo"])
+    kept.apply(first, 1, merge)
+    kept.update(kept.read().join(second.select(*keys), keys, "left_anti").withColumn("missed", F.col("missed") + 1))
+    kept.apply(second, 2, merge)
+    kept.apply(second, 2, merge)
+    kept.apply(first, 1, merge)
+    return kept.stored().select(*keys, "price", "feature", F.array_join("tags", "").alias("tags"), "photo", "first_seen", "last_seen", "missed", F.col("delivery").cast("int"))
+
+
+@query(
+    "keyed_conflicts",
+    """WITH e AS (SELECT user_id, event_type, value, ts, event_id, ts < TIMESTAMP '2024-01-15' AS early FROM events),
+f AS (SELECT early, user_id, event_type, arg_min(value, {'t': ts, 'e': event_id}) AS first, arg_max(value, {'t': ts, 'e': event_id}) AS last FROM e GROUP BY ALL)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, CASE WHEN a.user_id IS NOT NULL THEN a.first ELSE b.first END AS kept, CASE WHEN b.user_id IS NOT NULL THEN b.last ELSE a.last END AS latest
+FROM (FROM f WHERE early) a FULL JOIN (FROM f WHERE NOT early) b ON a.user_id = b.user_id AND a.event_type = b.event_type""",
+)
+def keyed_conflicts(spark, d):
+    """Two deliveries to two tables: one keeps the first row of a key, one takes the latest."""
+    keys = ["user_id", "event_type"]
+    e = table(spark, d, "events").select(*keys, "value", "ts", "event_id")
+    out = []
+    for name, last, merge in (("kept", False, store.keep_first(keys)), ("latest", True, store.latest_wins(keys))):
+        t = store.KeyedTable(spark, Workspace(spark, name).path, "user_id long, event_type string, value double", keys, buckets=8)
+        for number, early in ((1, "<"), (2, ">="), (2, ">=")):
+            rows = e.filter(f"ts {early} TIMESTAMP_NTZ '2024-01-15 00:00:00'")
+            t.apply(store.one_per_key(rows, keys, ["ts", "event_id"], last).select(*keys, "value"), number, merge)
+        out.append(t.read().withColumnRenamed("value", name))
+    return out[0].join(out[1], keys)
+
+
 @query(
     "missed_discovery",
     """WITH s AS (SELECT DISTINCT user_id, date_diff('day', TIMESTAMP '2024-01-01', ts)::INT AS day FROM events), l AS (SELECT max(day) AS last FROM s),
@@ -131,9 +187,8 @@ FAIRNESS_SQL = "WITH a AS (SELECT c_custkey, max(ts) AS last FROM customer LEFT
 
 
 @query("scope_fairness", FAIRNESS_SQL)
-@query("scope_fairness_whole", FAIRNESS_SQL)
 def scope_fairness(spark, d):
-    """Every customer in turn: never attempted first, then by the oldest attempt. (Two names of one query.)"""
+    """Every customer in turn: never attempted first, then by the oldest attempt."""
     c = table(spark, d, "customer").select("c_custkey")
     e = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
     rows = c.join(e, c.c_custkey == e.user_id, "left").select("c_custkey", "last")

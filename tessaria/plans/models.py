@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaria.operators import scoring, search
+from tessaria.operators import scoring, search, search_index
+from tessaria.operators.workspace import Workspace
 from tessaria.plans import sqlgate
 from tessaria.plans.registry import parts, query
 from tessaria.session import table
@@ -52,6 +56,43 @@ def logit_gd(spark, d):
     return made.select("profile", "n", F.round("bias", 6).alias("bias"), F.transform("weights", lambda w: F.round(w, 6)).alias("weights"))
 
 
+def _steps_sql(n: int) -> str:
+    """Gradient steps one after another as common tables: r has the labelled rows, w0 starts from zero."""
+    out = ["""r AS (SELECT user_id % 20 AS profile, value / 100 AS x1, hour(ts) / 24::DOUBLE AS x2, (event_type = 'purchase')::INT AS y FROM events WHERE event_type IN ('purchase', 'error')),
+w0 AS (SELECT profile, count(*) AS n, 0::DOUBLE AS b, 0::DOUBLE AS w1, 0::DOUBLE AS w2 FROM r GROUP BY profile HAVING count(*) >= 32 AND sum(y) > 0 AND sum(y) < count(*))"""]
+    for i in range(n):
+        out.append(f"""e{i} AS (SELECT profile, 1 / (1 + exp(-(b + w1 * x1 + w2 * x2))) - y AS e, x1, x2 FROM r JOIN w{i} USING (profile)),
+w{i + 1} AS (SELECT profile, n, b - 0.5 * g / n AS b, w1 - 0.5 * (g1 / n + 1.0 / n * w1) AS w1, w2 - 0.5 * (g2 / n + 1.0 / n * w2) AS w2 FROM w{i} JOIN (SELECT profile, sum(e) AS g, sum(e * x1) AS g1, sum(e * x2) AS g2 FROM e{i} GROUP BY profile) USING (profile))""")
+    return f"WITH {', '.join(out)} SELECT profile, n::BIGINT AS n, round(b, 8) AS bias, round(w1, 8) AS w1, round(w2, 8) AS w2 FROM w{n}"
+
+
+@query("gradient_steps", _steps_sql(5))
+def gradient_steps(spark, d):
+    """Five steps of the models of twenty profiles at once, as aggregates over all labels."""
+    e = table(spark, d, "events").filter(F.col("event_type").isin("purchase", "error"))
+    rows = e.select((F.col("user_id") % 20).alias("profile"), (F.col("value") / 100).alias("value"), (F.hour("ts") / 24).alias("hour"), (F.col("event_type") == "purchase").cast("int").alias("label"))
+    made = scoring.gradient_models(rows, "profile", ("value", "hour"), "label", steps=5)
+    return made.select("profile", "n", F.round("bias", 8).alias("bias"), *(F.round(F.col("weights")[i], 8).alias(f"w{i + 1}") for i in range(2)))
+
+
+@query(
+    "cold_start_fill",
+    """WITH r AS (SELECT user_id % 40 AS profile, (event_type = 'purchase')::INT AS y FROM events WHERE event_type IN ('purchase', 'error') AND user_id % 40 < 20),
+m AS (SELECT profile FROM r GROUP BY profile HAVING count(*) >= 32 AND sum(y) > 0 AND sum(y) < count(*)),
+c AS (SELECT event_id, user_id % 40 AS profile, value / 100 AS v, CASE WHEN event_id % 3 = 0 THEN round((event_id % 100) / 100::DOUBLE, 3) END AS score FROM events WHERE event_type = 'view')
+SELECT event_id, profile, CASE WHEN m.profile IS NULL THEN coalesce(score, round(coalesce(1 / (1 + v), 0.5), 3)) ELSE round(1 / (1 + exp(-(v - 0.5))), 3) END AS score,
+  CASE WHEN m.profile IS NOT NULL THEN 'trained' WHEN score IS NULL THEN 'cold_start' ELSE 'kept' END AS kind FROM c LEFT JOIN m USING (profile)""",
+)
+def cold_start_fill(spark, d):
+    """Scores of all viewed events: profiles with a model are scored anew, others get a cold start where no score is stored."""
+    e = table(spark, d, "events")
+    labels = e.filter(F.col("event_type").isin("purchase", "error") & (F.col("user_id") % 40 < 20)).select((F.col("user_id") % 40).alias("profile"), (F.col("event_type") == "purchase").cast("int").alias("label"))
+    models = scoring.trainable(labels, "profile", "label").select("profile", F.lit(-0.5).alias("bias"), F.array(F.lit(1.0)).alias("weights"))
+    stored = F.when(F.col("event_id") % 3 == 0, F.round((F.col("event_id") % 100) / 100, 3))
+    rows = e.filter("event_type = 'view'").select("event_id", (F.col("user_id") % 40).alias("profile"), F.array(F.col("value") / 100).alias("x"), (F.col("value") / 100).alias("cold"), stored.alias("score"))
+    return scoring.rescored(rows, models, "profile").select("event_id", "profile", "score", "kind")
+
+
 @query(
     "preference_signal",
     """WITH u AS (SELECT vec_id, label = 0 AS liked, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -80,10 +121,35 @@ def fts_and_or_not(spark, d):
 @query(
     "inverted_index_top",
     f"""WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(strip_accents(lower(text)), '[^0-9a-z]+'), lambda x: x <> ''))) AS lexeme FROM documents)
-SELECT lexeme, count(*)::BIGINT AS docs FROM w GROUP BY lexeme HAVING count(*) >= 20""",
+SELECT lexeme, count(*)::BIGINT AS docs FROM w GROUP BY lexeme""",
 )
 def inverted_index_top(spark, d):
-    return search.inverted_index(table(spark, d, "documents"), "doc_id", "text").groupBy("lexeme").agg(F.count("*").alias("docs")).filter("docs >= 20")
+    return search.inverted_index(table(spark, d, "documents"), "doc_id", "text").groupBy("lexeme").agg(F.count("*").alias("docs"))
+
+
+STEMS_SQL = """list_transform(list_filter(string_split_regex(strip_accents(lower(%s)), '[^0-9a-z]+'), lambda x: x <> ''),
+  lambda x: replace(regexp_replace(regexp_replace(regexp_replace(x, 'eses$', 'es_'), 'ces$', 'z_'), '^(.{3,})[aeo]s?$', '\\1'), '_', ''))"""
+
+
+@query(
+    "search_index",
+    f"""WITH l AS (SELECT doc_id, ' ' || array_to_string({STEMS_SQL % "source"}, ' ') || ' ' AS a, ' ' || array_to_string({STEMS_SQL % "text"}, ' ') || ' ' AS b, ' ' || array_to_string({STEMS_SQL % "lang"}, ' ') || ' ' AS c FROM documents)
+SELECT 'all' AS question, doc_id AS key FROM l WHERE (a || ltrim(b) || ltrim(c) LIKE '% the %' AND a || ltrim(b) || ltrim(c) LIKE '% with %' AND NOT a || ltrim(b) || ltrim(c) LIKE '% token %') OR a || ltrim(b) || ltrim(c) LIKE '% in der %'
+UNION ALL SELECT 'sources', doc_id FROM l WHERE a LIKE '% src3 %' OR a LIKE '% src1 %'
+UNION ALL SELECT 'languages', doc_id FROM l WHERE c LIKE '% es %'
+UNION ALL SELECT 'without', doc_id FROM l WHERE NOT a || ltrim(b) || ltrim(c) LIKE '% the %'""",
+)
+def search_index_answers(spark, d):
+    """Documents with their source (A), text (B) and language (C), indexed in two rounds, of which the second changes a third of
+    them and adds the rest; four questions, some of one weight alone."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text", "lang")
+    index = search_index.SearchIndex(spark, Workspace(spark, "search").path, buckets=16)
+    weighted = {"A": F.col("source"), "B": F.col("text"), "C": F.col("lang")}
+    index.update(docs.filter("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.lit("the old text with token")).otherwise(F.col("text"))), "doc_id", weighted)
+    index.update(docs, "doc_id", weighted)
+    asked = {"all": ('the with -token or "in der"', None), "sources": ("src3 or src1", "A"), "languages": ("es", "C"), "without": ("-the", None)}
+    out = [index.search(q, w).select(F.lit(name).alias("question"), "key") for name, (q, w) in asked.items()]
+    return reduce(DataFrame.unionByName, out)
 
 
 @query(

@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessaria.operators.workspace import shared_folder
+from tessaria.operators.workspace import Workspace, shared_folder
 from tessaria.plans.registry import query
 from tessaria.plans.relational import SESSIONS_SQL
 from tessaria.session import table
-from tessaria.sources import readers
-from tessaria.streaming import jobs
+from tessaria.sources import connectors, readers
+from tessaria.streaming import jobs, stateful
 
 
 @query("page_titles")
@@ -80,10 +80,73 @@ def stream_price_state(spark, d):
 
 @query(
     "stream_failures",
-    """WITH e AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events)
+    """WITH e AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)
 SELECT user_id, (max(i) - coalesce(max(i) FILTER (WHERE NOT bad), 0))::BIGINT AS failures FROM e GROUP BY user_id""",
 )
 def stream_failures(spark, d):
     """Failures in a row at the end of each user's events; no user is silent for as long as the state's lifetime here."""
+    stateful.use_rocksdb(spark)
     stream = _events(spark, d).withColumn("bad", F.col("event_type") == "error")
-    return _finished(spark, jobs.failures_in_time(stream, "user_id", "bad", days=400), "update").filter("NOT gone").select("user_id", "failures")
+    return _finished(spark, stateful.failures(stream, "user_id", "bad", "event_id", days=400), "update").filter("NOT gone").select("user_id", "failures")
+
+
+@query(
+    "stream_missed_sweeps",
+    """WITH s AS (SELECT DISTINCT user_id % 10 AS source, date_diff('day', DATE '2024-01-01', ts::DATE) AS sweep, user_id AS id FROM events),
+n AS (SELECT source, sweep, row_number() OVER (PARTITION BY source ORDER BY sweep) AS k FROM (SELECT DISTINCT source, sweep FROM s)),
+g AS (SELECT source, id, k, lead(k) OVER (PARTITION BY source, id ORDER BY k) AS next FROM s JOIN n USING (source, sweep))
+SELECT g.source::BIGINT AS source, n.sweep::BIGINT AS sweep, id::BIGINT AS id FROM g JOIN n ON g.source = n.source AND n.k = g.k + 3 WHERE coalesce(next > g.k + 3, true)""",
+)
+def stream_missed_sweeps(spark, d):
+    """Users as ids and days as sweeps of ten sources: who was missed three times in a row, and when."""
+    stateful.use_rocksdb(spark)
+    e = table(spark, d, "events")
+    sweeps = e.groupBy((F.col("user_id") % 10).alias("source"), F.date_diff("ts", F.lit("2024-01-01").cast("date")).cast("long").alias("sweep")).agg(F.collect_set("user_id").alias("found"))
+    space = Workspace(spark, "sweeps")
+    written = space.write(sweeps, "sweeps")
+    stream = spark.readStream.schema(written.schema).parquet(f"{space.path}/sweeps")
+    return _finished(spark, stateful.missed_sweeps(stream), "append")
+
+
+@query(
+    "stream_visits",
+    """WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE, true) AS new FROM events),
+v AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS back FROM e WHERE new)
+SELECT user_id, max(ts) FILTER (WHERE back = 1) AS current, max(ts) FILTER (WHERE back = 2) AS previous FROM v GROUP BY user_id""",
+)
+def stream_visits(spark, d):
+    """The visit anchor as a stream; the last row that each user's state gave."""
+    stateful.use_rocksdb(spark)
+    rows = _finished(spark, stateful.visits(_events(spark, d), "user_id", 30, "400 days"), "update")
+    last = rows.groupBy("user_id").agg(F.max_by(F.struct("current", "previous"), F.struct("seen", "current")).alias("v"))
+    when = lambda c: F.timestamp_micros(F.col(f"v.{c}")).cast("timestamp_ntz").alias(c)
+    return last.select("user_id", when("current"), when("previous"))
+
+
+PAGE_SQL = r"""p AS (SELECT page_id, url, html, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+s AS (SELECT *, CASE WHEN regexp_matches(host, '(^|\.)example\.org$') THEN 'gallery' WHEN regexp_matches(host, '(^|\.)example\.net$') THEN 'tracker' WHEN regexp_matches(host, '(^|\.)example\.com$') THEN 'captured' END AS source,
+  host || ':' || regexp_extract(path, '/([A-Za-z0-9]+)/?$', 1) AS external_id, trim(path, '/').split('/')[1] AS section, regexp_extract(html, 'track\((\d+)\)', 1) AS number, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+  list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: regexp_extract(url, '^[^/]*//[^/?#]*', 0) || x) AS links FROM p WHERE regexp_matches(path, '/[A-Za-z0-9]+/?$'))"""
+
+
+@query(
+    "connector_listings",
+    rf"""WITH {PAGE_SQL}, v AS (SELECT * FROM (VALUES ('gallery', 'es', 'piso'), ('gallery', 'en', 'casa'), ('gallery', 'fr', 'terreno'), ('tracker', 'en', 'piso'), ('tracker', 'de', 'local'), ('tracker', 'es', 'casa'), ('captured', 'fr', 'garaje')) t(source, word, property_type)),
+r AS (SELECT *, CASE WHEN source = 'gallery' THEN lang ELSE section END AS word, number::BIGINT AS no FROM s WHERE source IS NOT NULL AND (source = 'gallery' OR number <> ''))
+SELECT source, external_id, url, 'active' AS status, CASE WHEN source <> 'gallery' AND regexp_matches(url, '\?.*page=') THEN 'rent' ELSE 'sale' END AS operation,
+  CASE WHEN source = 'gallery' THEN CASE WHEN url LIKE 'https%' THEN 'agency' ELSE 'particular' END END AS listing_kind, property_type,
+  CASE WHEN source <> 'gallery' THEN no * 100.0::DOUBLE END AS current_price, CASE WHEN source = 'gallery' THEN len(links)::INT WHEN no % 6 > 0 THEN (no % 6)::INT END AS rooms,
+  CASE WHEN source = 'gallery' THEN array_to_string(list_sort(list_distinct(list_transform(links, lambda x: lower(x.split('/')[-1])))), ',') ELSE '' END AS features,
+  CASE WHEN source = 'gallery' THEN array_to_string(links[1:3], ',') ELSE '' END AS photo_urls
+FROM r LEFT JOIN v USING (source, word)""",
+)
+def connector_listings(spark, d):
+    """Three sites of two payloads from stored pages, through the Python data source, as canonical listings."""
+    rows = connectors.normalize(connectors.pages(spark, f"{d}/pages.parquet"), connectors.vocabulary(spark))
+    listed = lambda c: F.array_join(c, ",").alias(c)
+    return rows.select("source", "external_id", "url", "status", "operation", "listing_kind", "property_type", "current_price", "rooms", F.array_join(F.array_sort("features"), ",").alias("features"), listed("photo_urls"))
+
+
+@query("connector_discovery", rf"WITH {PAGE_SQL} SELECT source, external_id, min(url) AS url FROM s WHERE source = 'gallery' OR (source = 'tracker' AND number <> '') GROUP BY source, external_id")
+def connector_discovery(spark, d):
+    return connectors.discovered(connectors.pages(spark, f"{d}/pages.parquet"))

@@ -74,51 +74,6 @@ def price_state(stream: DataFrame, key: str, value: str, tie: str) -> DataFrame:
     return stream.select(*dict.fromkeys((key, "at", tie, value))).groupBy(key).applyInPandasWithState(step, f"{key} long, price double, changes long", "price double, changes long", "update", GroupStateTimeout.NoTimeout)
 
 
-def failures_in_time(stream: DataFrame, key: str, failed: str, days: int) -> DataFrame:
-    """Failures in a row per key (keyed state that ends): a success clears the count, and ``days`` of event time without a
-    row forget it. Emits key, failures, gone (the state ended by time)."""
-
-    def step(group: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            count = state.get[0]
-            state.remove()
-            yield pd.DataFrame({key: [group[0]], "failures": [count], "gone": [True]})
-            return
-        count = state.get[0] if state.exists else 0
-        frame = pd.concat(list(rows)).sort_values("at")
-        for bad in frame[failed]:
-            count = count + 1 if bad else 0
-        state.update((count,))
-        last = int(frame["at"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + days * 86_400_000)
-        yield pd.DataFrame({key: [group[0]], "failures": [count], "gone": [False]})
-
-    rows = stream.withWatermark("at", LATE).select(key, "at", failed)
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, failures long, gone boolean", "failures long", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def missed_state(sweeps: DataFrame, source: str, sweep: str, found: str) -> DataFrame:
-    """Withdrawals by missed sweeps (state per source): input rows (source, sweep, array of found ids), one per sweep; an
-    id is withdrawn once it has been missed MISSES times in a row. Emits source, sweep, id."""
-
-    def step(group: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, misses = state.get if state.exists else ([], [])
-        count = {int(i): int(n) for i, n in zip(ids, misses, strict=True)}
-        out = []
-        for row in pd.concat(list(rows)).sort_values(sweep).itertuples():
-            seen = {int(i) for i in getattr(row, found)}
-            for i in list(count):
-                count[i] = 0 if i in seen else count[i] + 1
-                if count[i] == MISSES:
-                    out.append((int(group[0]), int(getattr(row, sweep)), i))
-                    del count[i]
-            count |= dict.fromkeys(seen, 0)
-        state.update((list(count), list(count.values())))
-        yield pd.DataFrame(out, columns=[source, sweep, "id"])
-
-    return sweeps.groupBy(source).applyInPandasWithState(step, f"{source} long, {sweep} long, id long", "ids array<long>, misses array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
 def queue_worker(stream: DataFrame, handle: Callable[[DataFrame, str], None], checkpoint: str, batch: int | None = None):
     """A queue poll as ``foreachBatch``: all rows of a micro-batch are claimed, ``batch`` at a time, oldest first. ``handle``
     gets the rows of a claim and its name, which a replay repeats with the same rows; the checkpoint makes claims exactly-once

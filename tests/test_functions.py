@@ -12,7 +12,7 @@ from tessaria.operators import finance, ingest, joins, keyed, linkage, scoring,
 from tessaria.operators.workspace import Workspace
 from tessaria.plans import catalog, sqlgate
 from tessaria.sources import readers
-from tessaria.streaming import jobs
+from tessaria.streaming import jobs, stateful
 
 
 def values(spark, column, *rows):
@@ -278,7 +278,8 @@ def test_missed_sweeps_stream(spark, tmp_path):
     for s in sweeps:
         spark.createDataFrame([s], "source long, sweep long, found array<long>").write.parquet(str(tmp_path / "in" / str(s[1])))
     stream = spark.readStream.schema("source long, sweep long, found array<long>").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = jobs.run_to_table(jobs.missed_state(stream, "source", "sweep", "found"), "append", str(tmp_path / "out"))
+    stateful.use_rocksdb(spark)
+    out = jobs.run_to_table(stateful.missed_sweeps(stream), "append", str(tmp_path / "out"))
     assert [(r.sweep, r.id) for r in out.collect()] == [(6, 2)]
 
 

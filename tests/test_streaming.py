@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tessaria.streaming import jobs
+from tessaria.streaming import jobs, stateful
 
 
 def parts(spark, tmp_path, rows):
@@ -48,12 +48,13 @@ def test_queue_worker_handles_every_row(spark, tmp_path):
 
 
 def test_failures_end_with_time(spark, tmp_path):
+    stateful.use_rocksdb(spark)
     rows = [(1, "2024-01-01 10:00:00", 1.0), (1, "2024-01-01 11:00:00", 1.0), (2, "2024-01-20 10:00:00", 0.0), (3, "2024-02-20 10:00:00", 1.0)]
     df = spark.createDataFrame(rows, "k long, at string, v double").select("k", F.col("at").cast("timestamp").alias("at"), (F.col("v") > 0).alias("bad"))
     for i, day in enumerate(("2024-01-01", "2024-01-20", "2024-02-20")):
         df.filter(F.to_date("at") == day).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
     stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = jobs.run_to_table(jobs.failures_in_time(stream, "k", "bad", 14), "update", str(tmp_path / "out")).collect()
+    out = jobs.run_to_table(stateful.failures(stream, "k", "bad", "at", 14), "update", str(tmp_path / "out")).collect()
     assert {(r.k, r.failures, r.gone) for r in out} >= {(1, 2, False), (1, 2, True), (2, 0, False), (3, 1, False)}
 
 
