@@ -9,7 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import SCHEMA, all_spans, backoff, base_spans, corpus, digest, judge_url, near_groups, quality_counts, removed, top
+from brute import SCHEMA, all_spans, backoff, base_spans, corpus, digest, judge_url, near_groups, quality_counts, removed, top, words
 from pyspark.sql import functions as F
 
 from tessaria.llm import catalog, fingerprint_index, lm_scores, minhash, packing, pieces, quality, secrets, spans, suffix_array, topk, urls
@@ -339,13 +339,61 @@ def test_quality_against_labels(spark):
     assert found[0] >= 0.95 and found[1] <= 0.005
 
 
-def test_verdict_against_plain_measures(spark, docs):
-    """Every row's verdict from its counts and bands by plain loops; a script without words takes the default band."""
-    for r in quality.judge(docs, quality.vocabulary(), keep=("doc_id", "text")).collect():
-        least, most, bytes_most, bits = quality.BANDS[r.script]
-        symbols = sum(c in "#*$%&|<>" for c in r.text or "") / max(r.n_tokens, 1)
-        good = not r.base_failed and least <= r.chars_per_token <= most and r.byte_share <= bytes_most and r.entropy >= bits and symbols <= quality.SYMBOLS
-        assert r.kept is good and r.base_failed is (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+def test_quality_by_measure(spark):
+    """On labels of sf0.1 that set no band (odd doc_ids): recall and false rejections of each measure of the languages' bands. The
+    bands of scripts, but for the ratio of the vocabularies, reject none of this prose."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").filter("doc_id % 2 = 1")
+    rows = quality.query(spark, d).filter("NOT base_failed").join(labels, "doc_id").select("quality", "rejected_by").collect()
+    total = {q: sum(r.quality == q for r in rows) for q in (0, 1)}
+    share = {m: tuple(sum(r.quality == q and m in r.rejected_by.split(",") for r in rows) / total[q] for q in (0, 1)) for m in quality.MEASURES}
+    assert total[0] > 150 and total[1] > 1500
+    assert sum(r.quality == 0 and r.rejected_by != "" for r in rows) >= 0.98 * total[0] and sum(r.quality == 1 and r.rejected_by != "" for r in rows) <= 0.005 * total[1]
+    assert share["many_chars_per_token"][0] > 0.6 and share["many_entropy"][0] > 0.5 and share["many_bits_per_token"][0] > 0.9
+    assert all(false <= 0.005 for _, false in share.values()) and share["byte_share"] == (0, 0) and share["ratio"][0] > 0.4
+
+
+def plain_verdict(text, lang, script, models):
+    """Names of the measures beyond their bands, by plain loops over both encodings."""
+    piece, many = models
+    w = words(text)
+    chars, n = sum(map(len, w)), len(w)
+    ids = [i for x in w for i in piece.encode(x)]
+    more = many.encode_ordinary(text or "")
+
+    def bits(tokens):
+        share = np.unique(tokens, return_counts=True)[1] / max(len(tokens), 1)
+        return -(share * np.log2(share)).sum() if len(tokens) else 0.0
+
+    least, most, single, low = quality.BANDS[script]
+    a, b, c = (x * (1 - quality.SHORT / max(n, quality.SHORT)) for x in quality.LANGUAGES.get(lang, (0, 0, 0)))
+    ratio, wide, h = chars / max(len(ids), 1), chars / max(len(more), 1), bits(more)
+    beyond = (not least <= ratio <= most, sum(piece.is_byte(i) for i in ids) / max(len(ids), 1) > single, bits(ids) < low, wide < quality.RATIOS.get(script, 0) * ratio, wide < a, h < b, wide * h < c)
+    return ",".join(m for m, x in zip(quality.MEASURES, beyond, strict=True) if x)
+
+
+@pytest.fixture(scope="module")
+def quality_models():
+    import base64
+
+    import sentencepiece
+    import tiktoken
+
+    path, pattern = quality.many_vocabulary()
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return sentencepiece.SentencePieceProcessor(model_file=quality.vocabulary()), tiktoken.Encoding("many", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_verdict_against_plain_measures(spark, docs, quality_models):
+    """Every row's verdict by plain loops, with the languages' bands and without; a script without words takes the default band."""
+    for lang in ("en", "de", None, "xx"):
+        rows = quality.judge(docs.withColumn("tongue", F.lit(lang).cast("string")), quality.vocabulary(), keep=("doc_id", "text", "tongue"), lang="tongue").collect()
+        for r in rows:
+            assert r.rejected_by == plain_verdict(r.text, lang, r.script, quality_models)
+            assert r.base_failed is (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and r.kept is (not r.base_failed and r.rejected_by == "")
+            assert r.symbols_per_token == pytest.approx(sum(c in "#*$%&|<>" for c in r.text or "") / max(r.n_tokens, 1))
+    assert quality.judge(docs, quality.vocabulary(), lang="missing").filter("rejected_by LIKE '%many%'").count() == 0
 
 
 def test_fertility_against_plain_encoding(spark):
