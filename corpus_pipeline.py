@@ -40,7 +40,9 @@ def _restored(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     renamed, names = _carried(docs)
-    return _restored(quality.judge(renamed, quality.vocabulary(), keep=("text", *names)).filter("kept"), docs, "text")
+    others = [c for c in docs.columns if c != "text"]
+    lang = names[others.index("lang")] if "lang" in others else None
+    return _restored(quality.judge(renamed, quality.vocabulary(), keep=("text", *names), lang=lang).filter("kept"), docs, "text")
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
