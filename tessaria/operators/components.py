@@ -1,10 +1,12 @@
-"""Connected components of an edge table by least-label propagation with pointer jumping."""
+"""Connected components of an edge table: by least-label propagation with pointer jumping; by order of confidence where vetoed
+pairs must stay apart; and kept up to date by deliveries of edges."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessaria.operators.store import KeyedTable, latest_wins
 from tessaria.operators.workspace import Workspace
 
 
@@ -33,3 +35,73 @@ def components(space: Workspace, edges: DataFrame, name: str = "labels") -> Data
         if before == after:
             return labels
         before = after
+
+
+def ordered_components(space: Workspace, edges: DataFrame, vetoes: DataFrame, name: str = "ordered") -> DataFrame:
+    """(a, b, confidence) links to (node, label) as if links were followed one by one by falling confidence (equal ones by a
+    hash of the pair), each unless it would bring a vetoed pair (lo, hi) together.
+
+    Components without a vetoed pair are plain ones. In the others a round decides every link that comes first among those
+    of both its groups: nothing before it touches them, so its turn has come. It joins the two groups, or is dropped with
+    all others between them if they hold a vetoed pair. Hashed ties keep the rounds few.
+    """
+    links = space.write(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "confidence").groupBy("a", "b").agg(F.max("confidence").alias("confidence")), f"{name}_links")
+    labels = components(space, links, f"{name}_plain")
+    apart = vetoes.filter("lo <> hi").select(F.least("lo", "hi").alias("x"), F.greatest("lo", "hi").alias("y")).distinct()
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    held = space.write(apart.join(side("x"), "x").join(side("y"), "y").filter("_x = _y").select("x", "y", F.col("_x").alias("label")), f"{name}_held")
+    mixed = held.select("label").distinct()
+    free = labels.join(mixed, "label", "left_anti").select("node", "label")
+    own = space.write(labels.join(mixed, "label", "left_semi").select("node", F.col("node").alias("label")), f"{name}_own0")
+    order = F.struct("confidence", F.xxhash64("a", "b").alias("tie"), "a", "b")
+    rest = links.join(own.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("a").alias("x"), F.col("b").alias("y"), order.alias("turn"))
+    rest, banned = space.write(rest, f"{name}_rest0"), space.write(held.select("x", "y"), f"{name}_banned0")
+    round_ = 0
+    while not rest.isEmpty():
+        round_ += 1
+        both = rest.select("x", "turn").union(rest.select(F.col("y").alias("x"), "turn"))
+        first = space.write(both.groupBy("x").agg(F.max("turn").alias("turn")), f"{name}_first{round_}")
+        due = rest.join(first, ["x", "turn"], "left_semi").join(first.withColumnRenamed("x", "y"), ["y", "turn"], "left_semi").select("x", "y")
+        due = space.write(due, f"{name}_due{round_}")
+        joined = space.write(due.join(banned, ["x", "y"], "left_anti").select(F.col("y").alias("old"), F.col("x").alias("new")), f"{name}_joined{round_}")
+        moved = lambda df, c: df.join(joined.withColumnsRenamed({"old": c, "new": "_new"}), c, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")  # noqa: E731, B023
+        pairs = lambda df, *more: moved(moved(df, "x"), "y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), *more).filter("x <> y")  # noqa: E731, B023
+        left = pairs(rest.join(due, ["x", "y"], "left_anti"), "turn").groupBy("x", "y").agg(F.max("turn").alias("turn"))
+        own = space.write(moved(own, "label"), f"{name}_own{round_}")
+        banned = space.write(pairs(banned).distinct(), f"{name}_banned{round_}")
+        rest = space.write(left, f"{name}_rest{round_}")
+    return free.unionByName(own)
+
+
+class MergedGroups:
+    """Groups kept in a folder and fed by deliveries of links (a, b, confidence). A delivery touches only the components that
+    its links reach: their stored links and the new ones are followed again, in order of confidence, and only rows of nodes
+    whose group changed are written. So k deliveries give what one gives."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.nodes = KeyedTable(spark, f"{path}/nodes", "node long, component long, label long", ["node"], buckets)
+        self.links = KeyedTable(spark, f"{path}/links", "a long, b long, confidence double, component long", ["a", "b"], buckets)
+        self.spark = spark
+
+    def labels(self) -> DataFrame:
+        return self.nodes.read().select("node", "label")
+
+    def add(self, links: DataFrame, number: int, vetoes: DataFrame | None = None) -> None:
+        """Delivery ``number`` (in rising order) of links, under the vetoes (lo, hi) that hold now; pairs that a veto has parted
+        after they were joined come apart when a delivery touches their component."""
+        space = Workspace(self.spark, "groups")
+        vetoes = vetoes if vetoes is not None else self.spark.createDataFrame([], "lo long, hi long")
+        new = space.write(links.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("confidence").alias("confidence")), "new")
+        stored, kept = self.nodes.read(), self.links.read()
+        named = lambda c: stored.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+        met = new.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        renamed = space.write(components(space, met, "met").select(F.col("node").alias("component"), F.col("label").alias("_now")), "renamed")
+        old_links = kept.join(renamed, "component").select("a", "b", "confidence", F.col("_now").alias("component"))
+        ends = new.join(named("a"), "a", "left").select("a", "b", "confidence", F.coalesce("_a", "a").alias("component")).join(renamed, "component").select("a", "b", "confidence", F.col("_now").alias("component"))
+        every = space.write(old_links.unionByName(ends).groupBy("a", "b").agg(F.max("confidence").alias("confidence"), F.first("component").alias("component")), "every")
+        labels = ordered_components(space, every, vetoes)
+        of_node = every.select(F.col("a").alias("node"), "component").union(every.select("b", "component")).distinct()
+        now = space.write(of_node.join(labels, "node").select("node", "component", "label"), "now")
+        same = lambda table, df: df.join(table, df.columns, "left_anti")
+        self.nodes.apply(same(stored, now), number, latest_wins(["node"]))
+        self.links.apply(same(kept, every), number, latest_wins(["a", "b"]))

@@ -36,6 +36,30 @@ def within_km_join(left: DataFrame, right: DataFrame, km: float, keys: tuple[str
     return l.join(r, on & box if condition is None else on & box & condition)
 
 
+def within_own_km_join(left: DataFrame, right: DataFrame, km: str, base: float = 1.0, max_lat: float = 60.0) -> DataFrame:
+    """Pairs (aliases l and r, each with ``lat`` and ``lon``) at most the left row's own ``km`` apart.
+
+    Grids of cells that double from ``base`` kilometres on: a left row goes to the first grid whose cells are as wide as its
+    radius, there to its own cell and the eight around it; a right row to its cell in each grid that some left row uses. So
+    a far-reaching row makes large cells for itself alone. Rows without coordinates or radius, or with a negative one, join
+    nothing; points beyond ``max_lat`` stop the job.
+    """
+    held = F.when(F.abs(F.col("lat")) > max_lat, F.raise_error(F.lit(f"a latitude is beyond {max_lat}")).cast("double")).otherwise(F.col("lat"))
+    level = F.greatest(F.ceil(F.log2(F.col(km) / base)), F.lit(0)).cast("int")
+    cell = lambda c, degrees: F.floor(c / (F.pow(F.lit(2.0), F.col("_level")) * degrees))
+    d_lat, d_lon = base / KM_PER_DEGREE * 1.15, base / (KM_PER_DEGREE * cos(radians(max_lat))) * 1.15
+    placed = lambda df: df.withColumns({"_x": cell(held, d_lat), "_y": cell(F.col("lon"), d_lon)})
+    l = placed(left.filter(F.col(km) >= 0).withColumn("_level", F.when(F.col(km) > 0, level).otherwise(0)))
+    levels = sorted(r[0] for r in l.select("_level").distinct().collect())  # grids: some twenty, whatever the rows
+    steps = F.array(*map(F.lit, (-1, 0, 1)))
+    for c in ("_x", "_y"):
+        l = l.withColumn("_d", F.explode(steps)).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
+    r = placed(right.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))))
+    l, r = l.alias("l"), r.alias("r")
+    on = (F.col("l._level") == F.col("r._level")) & (F.col("l._x") == F.col("r._x")) & (F.col("l._y") == F.col("r._y"))
+    return l.join(r, on & (great_circle_km("l.lat", "l.lon", "r.lat", "r.lon") <= F.col(f"l.{km}")))
+
+
 def as_of_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], left_ts: str, right_ts: str, value: str, tie: str, forward: bool = False) -> DataFrame:
     """Adds ``as_of``: the right value at or before each left row's time (``forward``: the first at or after it).
 
@@ -76,16 +100,19 @@ def band_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], step: st
 
 def nearest(left: DataFrame, right: DataFrame, key: str, other: str, max_lat: float = 60.0, radii: tuple[float, ...] = (25.0, 200.0, 1600.0, 20040.0)) -> DataFrame:
     """key, other, km: the nearest right row of every left row with coordinates (ties by ``other``), at any distance. Each
-    radius is tried on what the one before has left over, so the last, which spans the Earth, is for the few far rows."""
+    radius is tried on what the one before has left over, replicating those rows alone, and none once nothing is left; so the
+    last, which spans the Earth, is for the few far rows."""
     space = Workspace(left.sparkSession, "nearest")
     km = great_circle_km("l.lat", "l.lon", "r.lat", "r.lon")
     rest, out = left.select(key, "lat", "lon"), None
     for i, radius in enumerate(radii):
-        pairs = within_km_join(rest, right.select(other, "lat", "lon"), radius, max_lat=max_lat)
+        pairs = within_km_join(rest, right.select(other, "lat", "lon"), radius, max_lat=max_lat, side="left")
         best = F.min(F.struct(F.round(km, 6).alias("km"), F.col(f"r.{other}").alias(other)))
         found = space.write(pairs.groupBy(F.col(f"l.{key}").alias(key)).agg(best.alias("b")).select(key, f"b.{other}", "b.km"), f"found{i}")
         out = found if out is None else out.unionByName(found)
-        rest = rest.join(found, key, "left_anti")
+        rest = space.write(rest.join(found, key, "left_anti").filter("lat IS NOT NULL AND lon IS NOT NULL"), f"rest{i}")
+        if rest.isEmpty():
+            break
     return out
 
 

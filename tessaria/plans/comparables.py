@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessaria.functions.geo import circle_polygon, great_circle_km, haversine_m, in_box, polyline_decode, polyline_encode
 from tessaria.operators import feed, finance, keyed, market, scope
-from tessaria.operators.joins import nearest, within_km_join
+from tessaria.operators.joins import nearest, within_km_join, within_own_km_join
 from tessaria.plans.registry import LINE_ORDER, LINE_ORDER_SQL, PARTS_SQL, km_sql, parts, query
 from tessaria.session import table
 
@@ -141,10 +141,9 @@ def nearest_place(spark, d):
     f"SELECT place, count(*) FILTER (WHERE {km_sql('c', 'p')} <= coalesce(pop / 1000, 0))::BIGINT AS covered FROM {PLACES_SQL} p, {CUSTOMER_SQL} c GROUP BY place",
 )
 def coverage_point(spark, d):
-    """Customers within each place's own radius, the largest of which sizes the grid."""
+    """Customers within each place's own radius, on grids of doubling cells."""
     p = places(spark, d)
-    widest = p.agg(F.max(F.col("pop") / 1000)).first()[0] or 1.0
-    pairs = within_km_join(p, located_customers(spark, d), max(widest, 1.0), max_lat=45, condition=great_circle_km("l.lat", "l.lon", "r.lat", "r.lon") <= F.col("l.pop") / 1000)
+    pairs = within_own_km_join(p.withColumn("km", F.coalesce(F.col("pop") / 1000, F.lit(0.0))), located_customers(spark, d), "km", base=8.0, max_lat=45)
     return p.select("place").join(pairs.groupBy("l.place").agg(F.count("*").alias("n")), "place", "left").select("place", F.coalesce("n", F.lit(0)).alias("covered"))
 
 

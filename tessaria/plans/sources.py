@@ -10,7 +10,7 @@ from tessaria.operators.workspace import Workspace, shared_folder
 from tessaria.plans.registry import query
 from tessaria.plans.relational import SESSIONS_SQL
 from tessaria.session import table
-from tessaria.sources import connectors, readers
+from tessaria.sources import connectors, readers, sitemaps
 from tessaria.streaming import jobs, stateful
 
 
@@ -123,6 +123,29 @@ def stream_visits(spark, d):
     return last.select("user_id", when("current"), when("previous"))
 
 
+@query(
+    "sitemap_frontier",
+    """WITH p AS (SELECT url, page_id // 20 AS leaf, page_id // 160 AS mid FROM pages)
+SELECT url AS loc, (CASE WHEN min(mid % 3) = 0 THEN 2 ELSE 3 END)::INT AS depth, count(DISTINCT leaf)::BIGINT AS listed_in FROM p WHERE leaf % 5 <> 4 GROUP BY url""",
+)
+def sitemap_frontier(spark, d):
+    """Page locations through a root, nested indexes and leaves of stored sitemaps. Indexes list their root again (a cycle) and a
+    leaf of the next index (a repeat); two of three come through one index more; every fifth leaf is not stored."""
+    p = table(spark, d, "pages").select("url", F.floor(F.col("page_id") / 20).alias("leaf"), F.floor(F.col("page_id") / 160).alias("mid"))
+    entry = lambda kind, loc: F.concat(F.lit(f"<{kind}><loc> "), F.replace(loc, F.lit("&"), F.lit("&amp;")), F.lit(f" </loc></{kind}>"))
+    name = lambda kind, c: F.concat(F.lit(f"{kind}-"), F.col(c).cast("string"))
+    document = lambda rows, url, parts: rows.groupBy(url.alias("url")).agg(F.array_join(F.collect_list(parts), "\n").alias("xml"))
+    leaves = document(p.filter("leaf % 5 <> 4"), name("leaf", "leaf"), entry("url", F.col("url")))
+    pairs = p.select("leaf", "mid").distinct()
+    indexes = document(pairs, name("mid", "mid"), F.concat(entry("sitemap", name("leaf", "leaf")), entry("sitemap", F.lit("root"))))
+    mids = p.select("mid").distinct()
+    far = mids.filter("mid % 3 > 0").select(name("far", "mid").alias("url"), entry("sitemap", name("mid", "mid")).alias("xml"))
+    root = document(mids, F.lit("root"), entry("sitemap", F.when(F.col("mid") % 3 > 0, name("far", "mid")).otherwise(name("mid", "mid"))))
+    stored = leaves.unionByName(indexes).unionByName(far).unionByName(root)
+    _, found = sitemaps.frontier(stored, spark.createDataFrame([("root",)], "url string"))
+    return found.select("loc", "depth", "listed_in")
+
+
 PAGE_SQL = r"""p AS (SELECT page_id, url, html, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 s AS (SELECT *, CASE WHEN regexp_matches(host, '(^|\.)example\.org$') THEN 'gallery' WHEN regexp_matches(host, '(^|\.)example\.net$') THEN 'tracker' WHEN regexp_matches(host, '(^|\.)example\.com$') THEN 'captured' END AS source,
   host || ':' || regexp_extract(path, '/([A-Za-z0-9]+)/?$', 1) AS external_id, trim(path, '/').split('/')[1] AS section, regexp_extract(html, 'track\((\d+)\)', 1) AS number, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,

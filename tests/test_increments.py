@@ -1,14 +1,17 @@
 """Connectors, keyed state, keyed tables, the search index and distributed gradient steps: behaviour beyond the SQL twins."""
 
 import datetime
+import random
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessaria.operators import scoring, search, search_index, store
-from tessaria.sources import connectors
+from tessaria.operators import joins, scoring, search, search_index, store
+from tessaria.operators.components import MergedGroups, ordered_components
+from tessaria.operators.workspace import Workspace
+from tessaria.sources import connectors, sitemaps
 from tessaria.streaming import jobs, stateful
 
 PAGE = '<html lang="ES"><head><title>Piso &amp; sol</title><script>track({n})</script></head><nav><a href="/Sol">x</a><a href="/mar">y</a></nav><article><h1>Un piso</h1><p>Texto</article></html>'
@@ -164,3 +167,88 @@ def test_gradient_models_equal_descend(spark):
             error = 1 / (1 + np.exp(-(x[own] @ w + bias))) - y[own]
             w, bias = w - 0.5 * (x[own].T @ error / own.sum() + w / own.sum()), bias - 0.5 * error.mean()
         assert np.allclose([r.bias, *r.weights], [bias, *w], atol=1e-12) and r.n == own.sum()
+
+
+def test_sitemap_frontier(spark):
+    """Nested indexes, a cycle, a child listed twice, a document that is not stored, namespaces, entities and CDATA."""
+    s = lambda *locs: "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in locs)
+    docs = [
+        ("root", f"<sitemapindex>{s('a', 'b', 'gone')}</sitemapindex>"),
+        ("a", s("root", "c", "b")),
+        ("b", '<ns:url xmlns:ns="x"><ns:loc> http://x/?a=1&amp;b=2 </ns:loc><ns:lastmod>2024-01-02</ns:lastmod></ns:url><url><lastmod>2024</lastmod></url>'),
+        ("c", "<url>\n<loc><![CDATA[http://x/3]]></loc></url><url><loc>http://x/?a=1&amp;b=2</loc><lastmod>2024-02-01</lastmod></url>" + s("d")),
+        ("d", s("a")),
+        ("other", "<url><loc>http://never</loc></url>"),
+        ("null", None),
+    ]
+    documents = spark.createDataFrame([*docs, docs[2]], "url string, xml string")
+    known, pages = sitemaps.frontier(documents, spark.createDataFrame([("root",), (None,), ("null",)], "url string"))
+    assert {(r.url, r.depth, r.stored) for r in known.collect()} == {("root", 0, True), ("null", 0, True), ("a", 1, True), ("b", 1, True), ("gone", 1, False), ("c", 2, True), ("d", 3, True)}
+    assert {tuple(r) for r in pages.collect()} == {("http://x/?a=1&b=2", 1, 2, "2024-02-01"), ("http://x/3", 2, 1, None)}
+    with pytest.raises(RuntimeError):
+        sitemaps.frontier(documents, spark.createDataFrame([("root",)], "url string"), most_rounds=2)
+    assert sitemaps.frontier(documents.limit(0), spark.createDataFrame([], "url string"))[1].count() == 0
+
+
+def test_own_radius_join(spark):
+    """Radii from metres to 1,000 km against all pairs; one far-reaching row does not widen the others' cells."""
+    draw = random.Random(3)
+    point = lambda: (draw.uniform(36, 44), draw.uniform(-9, 3))
+    left = [(i, *point(), draw.choice([0.0, 0.3, 5.0, 8.0, 40.0, 1000.0])) for i in range(60)] + [(90, None, 1.0, 5.0), (91, 40.0, 1.0, None), (92, 40.0, 1.0, -1.0)]
+    right = [(i, *point()) for i in range(300)] + [(900, left[0][1], left[0][2]), (901, None, 0.0)]
+    l, r = spark.createDataFrame(left, "id int, lat double, lon double, km double"), spark.createDataFrame(right, "id int, lat double, lon double")
+    got = {(x[0], x[1]) for x in joins.within_own_km_join(l, r, "km", max_lat=45).select("l.id", "r.id").collect()}
+    a, b = l.alias("l"), r.alias("r")
+    near = joins.great_circle_km("l.lat", "l.lon", "r.lat", "r.lon") <= F.col("l.km")
+    assert got == {(x[0], x[1]) for x in a.crossJoin(b).filter(near).select("l.id", "r.id").collect()} and (0, 900) in got
+    assert joins.within_own_km_join(l.limit(0), r, "km").count() == 0
+
+
+def in_turn(links, vetoes, ties):
+    """Links one by one by falling confidence and tie, each unless it brings a vetoed pair together."""
+    group = {}
+    for a, b, *_ in links:
+        group.setdefault(a, {a})
+        group.setdefault(b, {b})
+    for a, b, c in sorted(links, key=lambda x: (-x[2], -ties[x[:2]], -x[0], -x[1])):
+        x, y = group[a], group[b]
+        if x is not y and not any((p in x and q in y) or (p in y and q in x) for p, q in vetoes):
+            x |= y
+            for n in y:
+                group[n] = x
+    return {n: min(g) for n, g in group.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ordered_components(spark, seed):
+    draw = random.Random(seed)
+    links = {}
+    for _ in range(70):
+        a, b = sorted(draw.sample(range(40), 2))
+        links[a, b] = draw.choice([0.75, 0.9, 1.0])
+    links = [(a, b, c) for (a, b), c in links.items()]
+    vetoes = [tuple(sorted(draw.sample(range(40), 2))) for _ in range(6)] if seed else []
+    df = spark.createDataFrame(links, "a long, b long, confidence double")
+    ties = {(r.a, r.b): r.t for r in df.select("a", "b", F.xxhash64("a", "b").alias("t")).collect()}
+    want = in_turn(links, vetoes, ties)
+    got = {r.node: r.label for r in ordered_components(Workspace(spark, "t"), df, spark.createDataFrame(vetoes, "lo long, hi long")).collect()}
+    assert got == want and all(got.get(x) != got.get(y) for x, y in vetoes if x in got and y in got)
+
+
+def test_merged_groups_by_deliveries(spark, tmp_path):
+    """Three deliveries under vetoes equal one; components that a delivery does not reach keep their rows as they are."""
+    draw = random.Random(9)
+    links = [(draw.randrange(0, 15), draw.randrange(15, 30), draw.choice([0.5, 0.9])) for _ in range(24)] + [(100, 101, 0.9)]
+    vetoes = spark.createDataFrame([(1, 17), (3, 20), (5, 6)], "lo long, hi long")
+    df = lambda rows: spark.createDataFrame(rows, "a long, b long, confidence double")
+    groups = MergedGroups(spark, str(tmp_path / "groups"), buckets=64)
+    groups.add(df([links[-1], *links[:8]]), 1, vetoes)
+    before = {p.name for p in (tmp_path / "groups" / "nodes").rglob("*.parquet")}
+    groups.add(df(links[8:16]), 2, vetoes)
+    MergedGroups(spark.newSession(), str(tmp_path / "groups"), buckets=64).add(df(links[16:-1]), 3, vetoes)
+    assert before & {p.name for p in (tmp_path / "groups" / "nodes").rglob("*.parquet")}  # buckets of untouched nodes
+    best = {}
+    for a, b, c in links:
+        best[a, b] = max(c, best.get((a, b), 0))
+    once = {r.node: r.label for r in ordered_components(Workspace(spark, "t"), df([(a, b, c) for (a, b), c in best.items()]), vetoes).collect()}
+    assert {r.node: r.label for r in groups.labels().collect()} == once
