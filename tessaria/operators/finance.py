@@ -21,33 +21,84 @@ REGION_TAX = {
     "Andalucía": 7, "Aragón": 8, "Asturias": 8, "Baleares": 8, "Canarias": 6.5, "Cantabria": 9, "Castilla y León": 8, "Castilla-La Mancha": 9, "Cataluña": 10, "Extremadura": 8,
     "Galicia": 8, "Madrid": 6, "Murcia": 8, "Navarra": 6, "País Vasco": 4, "La Rioja": 7, "Comunidad Valenciana": 9, "Ceuta": 3, "Melilla": 3,
 }
-#: Names of each region's provinces, without accents. (Fixed values.)
-REGION_PROVINCES = {
-    "Andalucía": ("almeria", "cadiz", "cordoba", "granada", "huelva", "jaen", "malaga", "sevilla"),
-    "Aragón": ("huesca", "teruel", "zaragoza"),
-    "Asturias": ("asturias", "principado de asturias"),
-    "Baleares": ("baleares", "illes balears", "islas baleares", "mallorca"),
-    "Canarias": ("las palmas", "santa cruz de tenerife", "tenerife"),
-    "Cantabria": ("cantabria",),
-    "Castilla y León": ("avila", "burgos", "leon", "palencia", "salamanca", "segovia", "soria", "valladolid", "zamora"),
-    "Castilla-La Mancha": ("albacete", "ciudad real", "cuenca", "guadalajara", "toledo"),
-    "Cataluña": ("barcelona", "girona", "gerona", "lleida", "lerida", "tarragona"),
-    "Extremadura": ("badajoz", "caceres"),
-    "Galicia": ("a coruna", "coruna", "la coruna", "lugo", "ourense", "orense", "pontevedra"),
-    "Madrid": ("madrid",),
-    "Murcia": ("murcia",),
-    "Navarra": ("navarra",),
-    "País Vasco": ("alava", "araba", "gipuzkoa", "guipuzcoa", "bizkaia", "vizcaya", "araba/alava"),
-    "La Rioja": ("la rioja", "rioja"),
-    "Comunidad Valenciana": ("alicante", "alicante/alacant", "castellon", "castellon/castello", "valencia", "valencia/valencia"),
-    "Ceuta": ("ceuta",),
-    "Melilla": ("melilla",),
+#: Region of each province, without accents. (Fixed values.)
+PROVINCE_REGION = {
+    "almeria": "Andalucía",
+    "cadiz": "Andalucía",
+    "cordoba": "Andalucía",
+    "granada": "Andalucía",
+    "huelva": "Andalucía",
+    "jaen": "Andalucía",
+    "malaga": "Andalucía",
+    "sevilla": "Andalucía",
+    "huesca": "Aragón",
+    "teruel": "Aragón",
+    "zaragoza": "Aragón",
+    "asturias": "Asturias",
+    "principado de asturias": "Asturias",
+    "baleares": "Baleares",
+    "illes balears": "Baleares",
+    "islas baleares": "Baleares",
+    "mallorca": "Baleares",
+    "las palmas": "Canarias",
+    "santa cruz de tenerife": "Canarias",
+    "tenerife": "Canarias",
+    "cantabria": "Cantabria",
+    "avila": "Castilla y León",
+    "burgos": "Castilla y León",
+    "leon": "Castilla y León",
+    "palencia": "Castilla y León",
+    "salamanca": "Castilla y León",
+    "segovia": "Castilla y León",
+    "soria": "Castilla y León",
+    "valladolid": "Castilla y León",
+    "zamora": "Castilla y León",
+    "albacete": "Castilla-La Mancha",
+    "ciudad real": "Castilla-La Mancha",
+    "cuenca": "Castilla-La Mancha",
+    "guadalajara": "Castilla-La Mancha",
+    "toledo": "Castilla-La Mancha",
+    "barcelona": "Cataluña",
+    "girona": "Cataluña",
+    "gerona": "Cataluña",
+    "lleida": "Cataluña",
+    "lerida": "Cataluña",
+    "tarragona": "Cataluña",
+    "badajoz": "Extremadura",
+    "caceres": "Extremadura",
+    "a coruna": "Galicia",
+    "coruna": "Galicia",
+    "la coruna": "Galicia",
+    "lugo": "Galicia",
+    "ourense": "Galicia",
+    "orense": "Galicia",
+    "pontevedra": "Galicia",
+    "madrid": "Madrid",
+    "murcia": "Murcia",
+    "navarra": "Navarra",
+    "alava": "País Vasco",
+    "araba": "País Vasco",
+    "gipuzkoa": "País Vasco",
+    "guipuzcoa": "País Vasco",
+    "bizkaia": "País Vasco",
+    "vizcaya": "País Vasco",
+    "araba/alava": "País Vasco",
+    "la rioja": "La Rioja",
+    "rioja": "La Rioja",
+    "alicante": "Comunidad Valenciana",
+    "alicante/alacant": "Comunidad Valenciana",
+    "castellon": "Comunidad Valenciana",
+    "castellon/castello": "Comunidad Valenciana",
+    "valencia": "Comunidad Valenciana",
+    "valencia/valencia": "Comunidad Valenciana",
+    "ceuta": "Ceuta",
+    "melilla": "Melilla",
 }
 
 
 def region(province: Column) -> Column:
     """The region of a province however it is accented; null for unknown ones."""
-    pairs = [F.lit(x) for name, provinces in REGION_PROVINCES.items() for p in provinces for x in (p, name)]
+    pairs = [F.lit(x) for pair in PROVINCE_REGION.items() for x in pair]
     return F.create_map(*pairs)[strip(fold(province))]
 
 

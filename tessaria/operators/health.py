@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Source states, best first. (Fixed values.)
+#: Source states, best first.
 STATES = ("fresh", "due", "stuck", "failing")
 Z_LIMIT, Z_HISTORY = 2, 4
 
@@ -14,6 +14,30 @@ def _ago(as_of: str, amount: str) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{as_of}' - INTERVAL {amount}")
 
 
+#: Days since a listing was last seen up to which it is fresh, and ageing; least points of each score band. (Fixed values.)
+FRESH_DAYS, AGEING_DAYS = 7, 21
+SCORE_BANDS = ((70, "A"), (50, "B"), (30, "C"))
+
+
+def staleness_days(seen: Column, now: Column) -> Column:
+    """Whole days since ``seen``, never negative; null if never seen."""
+    micros = F.unix_micros(now.cast("timestamp")) - F.unix_micros(seen.cast("timestamp"))
+    return F.when(seen.isNotNull(), F.greatest(F.floor(micros / 86_400_000_000), F.lit(0)))
+
+
+def staleness_band(days: Column) -> Column:
+    return F.when(days <= FRESH_DAYS, "fresh").when(days <= AGEING_DAYS, "aging").when(days.isNotNull(), "stale")
+
+
+def score_band(points: Column) -> Column:
+    """Letter of a score of 0 to 100 (clamped); null without one."""
+    held = F.least(F.greatest(points.cast("double"), F.lit(0.0)), F.lit(100.0))
+    out = F.when(points.isNotNull(), "D")
+    for least, name in reversed(SCORE_BANDS):
+        out = F.when(held >= least, name).otherwise(out)
+    return F.when(points.isNotNull(), out)
+
+
 def pairs_of_group(df: DataFrame, group: str, member: str) -> DataFrame:
     """Unordered pairs (lo, hi) of the distinct members of a group. For groups of bounded size."""
     a, b = df.alias("a"), df.alias("b")

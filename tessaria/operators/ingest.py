@@ -148,6 +148,16 @@ def grade(score: Column) -> Column:
     return out
 
 
+def run_summary(scores: DataFrame, run: str, score: str, version: str) -> DataFrame:
+    """run, n, mean_score (three places), grade_a .. grade_f, low_quality (C and F), weights_version (that of all rows, else null);
+    runs without a scored row are left out."""
+    rows = scores.filter(F.col(score).isNotNull())
+    graded = grade(F.col(score))
+    counts = [F.count_if(graded == g).alias(f"grade_{g.lower()}") for g in "ABCF"]
+    single = F.when(F.min(version) == F.max(version), F.min(version)).alias("weights_version")
+    return rows.groupBy(run).agg(F.count("*").alias("n"), F.round(F.avg(score), 3).alias("mean_score"), *counts, F.count_if(graded.isin("C", "F")).alias("low_quality"), single)
+
+
 def quality_trend(runs: DataFrame, source: str, order: str, mean: str) -> DataFrame:
     """Adds ``baseline`` (mean of the five runs before, if two or more) and ``degraded``."""
     w = Window.partitionBy(source).orderBy(order).rowsBetween(-TREND_RUNS, -1)

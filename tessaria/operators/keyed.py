@@ -78,3 +78,20 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return rows.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_offset") + F.col("_at") + 1).drop("_range", "_at", "_offset")
+
+
+def numbered_within(df: DataFrame, group: str, order: Sequence[Column], name: str) -> DataFrame:
+    """All rows with their place from 1 on within their group (no nulls), in ``order`` without ties. A large group spreads over
+    many ranges of rows; only its first place comes to all of them."""
+    rows = numbered(df, (F.asc(group), *order), "_place")
+    firsts = rows.groupBy(group).agg(F.min("_place").alias("_first"))
+    return rows.join(firsts, group).withColumn(name, (F.col("_place") - F.col("_first") + 1).cast("int")).drop("_place", "_first")
+
+
+def adjacent(df: DataFrame, group: str, order: Sequence[Column], key: str) -> DataFrame:
+    """key, prev and next: the keys beside each row within its group, in ``order`` without ties. Rows meet their neighbours by
+    number, so no task sorts a whole group."""
+    rows = Workspace(df.sparkSession, "adjacent").write(numbered(df.select("*"), (F.asc(group), *order), "_place").select(F.col(group).alias("_group"), F.col(key).alias(key), "_place"), "rows")
+    near = lambda step, name: rows.select((F.col("_place") + step).alias("_place"), F.col("_group").alias(f"_{name}"), F.col(key).alias(name))
+    both = rows.join(near(1, "prev"), "_place", "left").join(near(-1, "next"), "_place", "left")
+    return both.select(key, *(F.when(F.col(f"_{n}") == F.col("_group"), F.col(n)).alias(n) for n in ("prev", "next")))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessaria.operators.joins import band_join, within_km_join
+from tessaria.operators.joins import as_of_join, band_join, interval_join, within_km_join
 
 LEAST_DROP, MOST_DROP = 0.01, 0.60
 
@@ -87,3 +87,26 @@ def rent_decision(m2: Column, located: Column, assumption: Column, market: Colum
         .when(confidence == "high", "market_comparable_high").otherwise("market_comparable_low")
     )
     return F.coalesce(assumed, found), method, F.try_divide(assumed - found, found)
+
+
+#: Days within which a return counts, and the least drop. (Fixed values.)
+RELIST_DAYS, RELIST_DROP = 90, 0.05
+
+
+def relisted_lower(listings: DataFrame, status: DataFrame, history: DataFrame, keys: Sequence[str], entity: str, gone: Sequence[str], back: Sequence[str]) -> DataFrame:
+    """entity, fall (the greatest drop), n (pairs), and the pair of the greatest drop (withdrawn_at, relisted_at; of equal drops
+    the earliest): a listing of the entity withdrawn, and one active again after it within RELIST_DAYS at RELIST_DROP less.
+
+    listings: keys, first_seen, current_price; status events: keys, at, status; history: keys, at, price (one a time). The price
+    at a withdrawal is the last one up to it, at an activation (first seen or back) the first one from it on; without one the
+    current price.
+    """
+    current = listings.select(*keys, "current_price")
+    events = lambda kinds: status.filter(F.col("status").isin(*kinds)).select(*keys, "at")
+    priced = lambda rows, forward: as_of_join(rows.join(current, list(keys)), history, tuple(keys), "at", "at", "price", "price", forward).select(entity, "at", F.coalesce("as_of", "current_price").alias("price")).filter("price > 0")
+    active = listings.filter("first_seen IS NOT NULL").select(*keys, F.col("first_seen").alias("at")).union(events(back)).distinct()
+    pairs = interval_join(priced(events(gone), False), priced(active, True), (entity,), F.col("l.at"), F.col("l.at") + F.make_dt_interval(F.lit(RELIST_DAYS)), "at")
+    fall = (F.col("l.price") - F.col("r.price")) / F.col("l.price")
+    rows = pairs.select(F.col(f"l.{entity}").alias(entity), fall.alias("fall"), F.col("l.at").alias("withdrawn_at"), F.col("r.at").alias("relisted_at")).filter(F.col("fall") >= RELIST_DROP)
+    best = F.min_by(F.struct("withdrawn_at", "relisted_at"), F.struct(-F.col("fall"), "withdrawn_at", "relisted_at"))
+    return rows.groupBy(entity).agg(F.max("fall").alias("fall"), F.count("*").alias("n"), best.alias("_b")).select(entity, "fall", "n", "_b.withdrawn_at", "_b.relisted_at")

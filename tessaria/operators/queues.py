@@ -48,8 +48,9 @@ def visit_anchor(visits: DataFrame, key: str, ts: str, minutes: int) -> DataFram
     before = F.lag(ts).over(w)
     new = before.isNull() | (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(before.cast("timestamp")) > minutes * 60_000_000)
     starts = visits.withColumn("_new", new).filter("_new")
-    last = starts.groupBy(key).agg(F.max(ts).alias("current"), F.slice(F.sort_array(F.collect_list(ts), asc=False), 2, 1).alias("_rest"))
-    return last.select(key, "current", F.get("_rest", F.lit(0)).alias("previous"))
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ts)))
+    last = starts.withColumn("_back", back).filter("_back <= 2")
+    return last.groupBy(key).agg(F.max(F.when(F.col("_back") == 1, F.col(ts))).alias("current"), F.max(F.when(F.col("_back") == 2, F.col(ts))).alias("previous"))
 
 
 def rounded_scopes(scopes: DataFrame, lat: str, lon: str) -> DataFrame:

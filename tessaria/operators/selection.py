@@ -205,3 +205,12 @@ def score_terms(df: DataFrame, key: str) -> DataFrame:
     ]
     structs = [F.struct(F.lit(name).alias("term"), (boost / CEILING * 100).alias("points"), has.alias("has_data")) for name, boost, has in terms]
     return df.select(key, F.explode(F.array(*structs)).alias("t")).select(key, "t.term", "t.points", "t.has_data")
+
+
+def table_order(cell: str, falling: bool = False) -> tuple[Column, ...]:
+    """Sort of a table by one column of texts: nulls last either way, numbers by value before texts, texts by Spanish collation
+    (accents after plain letters, ñ after n)."""
+    c = F.col(cell)
+    number = F.expr(f"try_cast(nullif(`{cell}`, '') AS double)")
+    turn = (lambda x: x.desc_nulls_last()) if falling else (lambda x: x.asc_nulls_last())
+    return (c.isNull().asc(), number.isNull().asc() if not falling else number.isNull().desc(), turn(number), turn(F.collate(c, "es")))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessaria.functions.geo import circle_polygon, great_circle_km, haversine_m, in_box, polyline_decode, polyline_encode
-from tessaria.operators import feed, finance, keyed, market, scope
+from tessaria.operators import feed, finance, keyed, market, queues, scope
 from tessaria.operators.joins import nearest, within_km_join, within_own_km_join
+from tessaria.operators.selection import feed_filters
 from tessaria.plans.registry import LINE_ORDER, LINE_ORDER_SQL, PARTS_SQL, km_sql, parts, query
 from tessaria.session import table
 
@@ -110,6 +111,52 @@ def ranked_feed(spark, d):
     return ranked.filter("rank <= 50")
 
 
+ANCHORS_SQL = """(WITH e AS (SELECT user_id % 6 AS profile, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id % 6 ORDER BY ts) > INTERVAL 30 MINUTE, true) AS new FROM events),
+v AS (SELECT profile, ts, row_number() OVER (PARTITION BY profile ORDER BY ts DESC) AS back FROM e WHERE new)
+SELECT profile, coalesce(max(CASE WHEN profile > 0 THEN ts - to_years((26 + profile)::INT) END) FILTER (WHERE back = 2), TIMESTAMP '1994-12-31') AS anchor, coalesce(count(*) FILTER (WHERE back = 2 AND profile > 0) = 0, true) AS never FROM v GROUP BY profile)"""
+
+
+@query(
+    "composed_feed",
+    f"""WITH l AS (SELECT l_partkey AS id, l_suppkey % 10 AS source, l_returnflag = 'N' AND l_linestatus = 'O' AS active, l_shipdate AS t, l_extendedprice / l_quantity AS unit, * FROM lineitem),
+vis AS (SELECT id, count(*) FILTER (WHERE active) = 0 OR count(*) FILTER (WHERE active AND source NOT IN (3, 7)) > 0 AS visible, min(t) FILTER (WHERE source NOT IN (3, 7)) AS first_seen, bool_or(active AND source = 5) AS five FROM l GROUP BY id),
+fb AS (SELECT user_id AS id, arg_max(event_type, {{'t': ts, 'e': event_id}}) AS kind FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id),
+base AS (SELECT p.id, p.rooms AS profile, p.p_size, p.ground, first_seen, round(below, 6) AS below FROM {PARTS_SQL} p LEFT JOIN vis ON vis.id = p.id LEFT JOIN {LIKE_SQL} k ON k.id = p.id LEFT JOIN fb ON fb.id = p.id
+  WHERE p.p_size % 13 > 0 AND coalesce(visible, true) AND kind IS DISTINCT FROM 'error' AND (NOT ground OR coalesce(five, false)) AND (p.rooms <> 4 OR below >= 0)),
+n AS (SELECT *, coalesce(first_seen > anchor, false) AS is_new FROM base JOIN {ANCHORS_SQL} a USING (profile)),
+c AS (SELECT *, never OR avg(is_new::INT) OVER (PARTITION BY profile) > 0.6 AS cold_start FROM n),
+m AS (SELECT id, t AS at, unit, previous FROM (SELECT *, lag(unit) OVER (PARTITION BY id ORDER BY {LINE_ORDER_SQL}) AS previous, row_number() OVER (PARTITION BY id ORDER BY {", ".join(x + " DESC" for x in LINE_ORDER)}) AS rn FROM l) WHERE rn = 1 AND previous > 0 AND unit <> previous),
+s AS (SELECT c.*, CASE WHEN is_new AND NOT cold_start THEN 1 ELSE 0 END AS tier, CASE WHEN m.at > anchor THEN (unit - previous) / previous END AS change,
+  round((p_size % 7) / 10::DOUBLE + least(greatest(coalesce(below, 0), 0), 0.5) * 0.5 + least(p_size % 5, 3) * 0.05::DOUBLE + CASE WHEN ground THEN 0.04 ELSE 0 END + least(greatest(coalesce((previous - unit) / previous, 0), 0) / 0.2 * 0.07, 0.11), 8) AS score FROM c LEFT JOIN m ON m.id = c.id)
+SELECT profile, id, tier, score, round(change, 8) AS change, anchor, cold_start, row_number() OVER (PARTITION BY profile ORDER BY tier DESC, score DESC, id DESC)::INTEGER AS rank FROM s""",
+)
+def composed_feed(spark, d):
+    """The whole feed: properties that match their profile (rooms) and are visible beside two disabled sources, filtered by
+    feedback, source and discount, new ones first by each profile's own anchor (its visit before the last, long ago; profile
+    0 was never there), with the last price move since then."""
+    line = table(spark, d, "lineitem").withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity"))
+    listed = line.select(F.col("l_partkey").alias("id"), (F.col("l_suppkey") % 10).alias("source"), ((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O")).alias("active_sale"), F.col("l_shipdate").alias("first_seen"))
+    pool = feed.visible_pool(listed, spark.createDataFrame([(3,), (7,)], "source long"))
+    visits = table(spark, d, "events").select((F.col("user_id") % 6).alias("profile"), "ts")
+    seen = queues.visit_anchor(visits, "profile", "ts", 30)
+    previous = F.when(F.col("profile") > 0, F.expr("previous - make_interval(CAST(26 + profile AS INT))"))
+    anchors = feed.profile_anchors(seen.select("profile", previous.alias("previous"), F.expr("TIMESTAMP_NTZ '1995-01-01 00:00:00'").alias("created")))
+    verdict = table(spark, d, "events").filter("event_type IN ('purchase', 'error')").groupBy(F.col("user_id").alias("id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("kind"))
+    feedback = verdict.select("id", F.when(F.col("kind") == "error", "reject").otherwise("accept").alias("feedback"))
+    rows = parts(spark, d).withColumn("decade", F.floor(F.col("p_size") / 10))
+    below = market.like_for_like(rows.withColumnsRenamed({"p_type": "kind", "p_size": "size"}), ("kind", "decade")).select("id", F.round("below", 6).alias("below"))
+    base = rows.filter("p_size % 13 > 0").withColumnRenamed("rooms", "profile").join(pool, "id", "left").filter(F.coalesce("visible", F.lit(True))).join(below, "id", "left").join(feedback, "id", "left")
+    base = base.filter((~F.col("ground") | feed_filters({"source": 5})) & feed_filters({}) & ((F.col("profile") != 4) | feed_filters({"least_below": 0.0})))
+    ranked = feed.with_novelty(base, anchors)
+    moved = keyed.latest_per_key(keyed.moves(line, ["l_partkey"], [F.col(c) for c in LINE_ORDER], "unit"), ["l_partkey"], [F.col(c).desc() for c in LINE_ORDER])
+    moves = moved.filter("previous > 0 AND unit <> previous").select(F.col("l_partkey").alias("id"), F.col("l_shipdate").alias("at"), F.col("unit").alias("price"), "previous")
+    fall = F.greatest((F.col("previous") - F.col("price")) / F.col("previous"), F.lit(0.0))
+    scored = ranked.join(moves.select("id", fall.alias("fall")), "id", "left").join(feed.changes_since(moves, ranked), ["profile", "id"], "left")
+    score = feed.effective_score(F.col("p_size") % 7 / 10, F.col("below"), F.col("p_size") % 5, F.lit(0), F.col("ground"), F.lit(0), F.col("fall"))
+    out = scored.select("profile", "id", "tier", F.round(score, 8).alias("score"), F.round("change", 8).alias("change"), "anchor", "cold_start")
+    return keyed.numbered_within(out, "profile", (F.desc("tier"), F.desc("score"), F.desc("id")), "rank")
+
+
 PLACES_SQL = """(SELECT n_nationkey AS place, 36 + (n_nationkey * 7919 % 70) / 10::DOUBLE AS lat, -9 + (n_nationkey * 104729 % 120) / 10::DOUBLE AS lon, (n_nationkey * 7919 % 90) * 1000 AS pop FROM nation)"""
 CUSTOMER_SQL = "(SELECT c_custkey, 36 + (c_custkey * 7919 % 70000) / 10000::DOUBLE AS lat, -9 + (c_custkey * 104729 % 120000) / 10000::DOUBLE AS lon FROM customer)"
 

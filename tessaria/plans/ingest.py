@@ -172,6 +172,21 @@ def quality_score(spark, d):
     return scores(spark, d).groupBy(ingest.grade(F.col("score")).alias("grade")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
 
 
+@query(
+    "run_summary",
+    f"""WITH s AS (SELECT source, day, round(score, 2) AS score, CASE WHEN source < 5 THEN 2 ELSE 1 + event_id % 2 END AS v FROM {SCORES_SQL} WHERE event_id % 11 > 0)
+SELECT source, day, count(*)::BIGINT AS n, round(avg(score), 3) AS mean_score, count(*) FILTER (WHERE score >= 0.85)::BIGINT AS grade_a, count(*) FILTER (WHERE score >= 0.65 AND score < 0.85)::BIGINT AS grade_b,
+  count(*) FILTER (WHERE score >= 0.45 AND score < 0.65)::BIGINT AS grade_c, count(*) FILTER (WHERE score < 0.45)::BIGINT AS grade_f, count(*) FILTER (WHERE score < 0.65)::BIGINT AS low_quality,
+  CASE WHEN count(DISTINCT v) = 1 THEN min(v) END::BIGINT AS weights_version FROM s GROUP BY source, day""",
+)
+def run_summary(spark, d):
+    """A run per source and day; sources from 5 on mix two versions of the weights, every eleventh row has no score."""
+    version = F.when(F.col("source") < 5, F.lit(2).cast("long")).otherwise(1 + F.col("event_id") % 2)
+    rows = scores(spark, d).withColumn("score", F.when(F.col("event_id") % 11 > 0, F.round("score", 2))).withColumn("v", version)
+    rows = rows.withColumn("run", F.struct("source", "day"))
+    return ingest.run_summary(rows, "run", "score", "v").select("run.source", "run.day", "n", "mean_score", "grade_a", "grade_b", "grade_c", "grade_f", "low_quality", "weights_version")
+
+
 @query(
     "quality_trend",
     f"""WITH r AS (SELECT source, day, round(avg(score), 6) AS mean FROM {SCORES_SQL} GROUP BY ALL),

@@ -145,8 +145,7 @@ def keyset_page(spark, d):
     f"SELECT id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM {RANKING_SQL} WINDOW w AS (PARTITION BY tier ORDER BY score DESC, id DESC)",
 )
 def adjacent_candidates(spark, d):
-    w = Window.partitionBy("tier").orderBy(F.desc("score"), F.desc("id"))
-    return ranking(spark, d).select("id", F.lag("id").over(w).alias("prev_id"), F.lead("id").over(w).alias("next_id"))
+    return keyed.adjacent(ranking(spark, d), "tier", (F.desc("score"), F.desc("id")), "id").withColumnsRenamed({"prev": "prev_id", "next": "next_id"})
 
 
 @query(
@@ -235,6 +234,29 @@ def relisted_lower(spark, d):
     return pairs.withColumn("drop", drop).filter("drop >= 0.05").groupBy("l.l_partkey").agg(F.round(F.max("drop"), 6).alias("best_drop"), F.count("*").alias("n"))
 
 
+@query(
+    "relisted_as_of",
+    """WITH h AS (SELECT l_partkey, l_suppkey, l_shipdate AS t, min(l_extendedprice / l_quantity) AS price FROM lineitem WHERE l_quantity > 0 GROUP BY ALL),
+l AS (SELECT l_partkey, l_suppkey, min(t) + INTERVAL 20 DAY AS first_seen, arg_max(price, {'t': t, 'p': price}) AS current_price FROM h GROUP BY ALL),
+e AS (SELECT DISTINCT l_partkey, l_suppkey, o_orderdate AS t, o_orderstatus AS status FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+w AS (SELECT e.l_partkey, e.t, coalesce(h.price, l.current_price) AS was FROM (FROM e WHERE status = 'F') e JOIN l USING (l_partkey, l_suppkey) ASOF LEFT JOIN h ON h.l_partkey = e.l_partkey AND h.l_suppkey = e.l_suppkey AND e.t >= h.t),
+a AS (SELECT l_partkey, l_suppkey, first_seen AS t FROM l UNION SELECT l_partkey, l_suppkey, t FROM e WHERE status = 'O'),
+r AS (SELECT a.l_partkey, a.t, coalesce(h.price, l.current_price) AS now FROM a JOIN l USING (l_partkey, l_suppkey) ASOF LEFT JOIN h ON h.l_partkey = a.l_partkey AND h.l_suppkey = a.l_suppkey AND a.t <= h.t),
+p AS (SELECT w.l_partkey, w.t AS withdrawn_at, was, r.t AS relisted_at, now, (was - now) / was AS fall FROM w JOIN r ON r.l_partkey = w.l_partkey AND r.t > w.t AND r.t <= w.t + INTERVAL 90 DAY WHERE was > 0 AND now > 0)
+SELECT l_partkey, round(max(fall), 8) AS fall, count(*)::BIGINT AS n FROM p WHERE fall >= 0.05 GROUP BY l_partkey""",
+)
+def relisted_as_of(spark, d):
+    """Withdrawn and back within 90 days for 5 % less or more: prices as they stood at the withdrawal (the last before it) and
+    at the return (the first after it), else the current price. Parts are properties, suppliers their listings."""
+    keys = ("l_partkey", "l_suppkey")
+    line = table(spark, d, "lineitem")
+    history = line.filter("l_quantity > 0").groupBy(*keys, F.col("l_shipdate").alias("at")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    listings = history.groupBy(*keys).agg((F.min("at") + F.expr("INTERVAL 20 DAYS")).alias("first_seen"), F.max_by("price", F.struct("at", "price")).alias("current_price"))
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("at"), F.col("o_orderstatus").alias("status"))
+    status = line.select(*keys, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(*keys, "at", "status").distinct()
+    return market.relisted_lower(listings, status, history, keys, "l_partkey", gone=("F",), back=("O",)).select("l_partkey", F.round("fall", 8).alias("fall"), "n")
+
+
 @query(
     "price_as_of",
     """WITH h AS (SELECT l_partkey, l_shipdate, min(l_extendedprice / l_quantity) AS unit FROM lineitem GROUP BY ALL),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessaria.operators import ingest, keyed, linkage, scope, scoring, selection
+from tessaria.operators import health, ingest, keyed, linkage, scope, scoring, selection
 from tessaria.plans.registry import AS_OF, PARTS_SQL, km_sql, parts, query
 from tessaria.session import table
 
@@ -256,13 +256,42 @@ def map_candidates(spark, d):
 
 @query(
     "novelties",
-    "WITH x AS (SELECT user_id, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-29') AS n FROM events GROUP BY user_id) SELECT coalesce(sum(n), 0)::BIGINT AS total, count(*)::BIGINT AS profiles, string_agg(user_id, ',' ORDER BY n DESC, user_id) AS ids FROM x WHERE n > 0 AND user_id < 100",
+    """WITH x AS (SELECT user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY user_id), t AS (SELECT sum(n) AS total, count(*) AS profiles FROM x)
+SELECT user_id, n::BIGINT AS n, row_number() OVER (ORDER BY n DESC, user_id) AS place, total::BIGINT AS total, profiles::BIGINT AS profiles FROM x, t""",
 )
 def novelties(spark, d):
-    """New rows of a person's profiles (a short list: the users below 100), and those profiles in order."""
-    n = table(spark, d, "events").filter("user_id < 100 AND ts >= TIMESTAMP_NTZ '2024-01-29 00:00:00'").groupBy("user_id").agg(F.count("*").alias("n"))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "user_id")))
-    return n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("profiles"), F.nullif(F.array_join(F.transform(order, lambda x: x["user_id"].cast("string")), ","), F.lit("")).alias("ids"))
+    """Every profile with new rows in order, beside the totals (one row, joined by broadcast)."""
+    n = table(spark, d, "events").filter("ts >= TIMESTAMP_NTZ '2024-01-29 00:00:00'").groupBy("user_id").agg(F.count("*").alias("n"))
+    totals = n.agg(F.sum("n").alias("total"), F.count("*").alias("profiles"))
+    return keyed.numbered(n, (F.desc("n"), F.asc("user_id")), "place").join(F.broadcast(totals))
+
+
+@query(
+    "staleness",
+    """WITH s AS (SELECT user_id, max(ts) AS seen, round(avg(value), 2) * 2 - 10 AS points FROM events GROUP BY user_id), x AS (SELECT c_custkey, seen, points, CASE WHEN seen IS NOT NULL THEN greatest(floor((epoch_us(TIMESTAMP '2024-02-10') - epoch_us(seen)) / 86400000000), 0) END::BIGINT AS days FROM customer LEFT JOIN s ON user_id = c_custkey)
+SELECT c_custkey, days, CASE WHEN days <= 7 THEN 'fresh' WHEN days <= 21 THEN 'aging' WHEN days IS NOT NULL THEN 'stale' END AS band,
+  CASE WHEN points IS NULL THEN NULL WHEN points >= 70 THEN 'A' WHEN points >= 50 THEN 'B' WHEN points >= 30 THEN 'C' ELSE 'D' END AS letter FROM x""",
+)
+def staleness(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("seen"), (F.round(F.avg("value"), 2) * 2 - 10).alias("points"))
+    c = table(spark, d, "customer").select("c_custkey").join(e, F.col("c_custkey") == F.col("user_id"), "left")
+    days = health.staleness_days(F.col("seen"), F.expr("TIMESTAMP_NTZ '2024-02-10 00:00:00'"))
+    return c.withColumn("days", days).select("c_custkey", "days", health.staleness_band(F.col("days")).alias("band"), health.score_band(F.col("points")).alias("letter"))
+
+
+NAMES = ("Ñora", "nube", "Ávila", "azul", "10", "Zamora", "zanja", "9.5", "ñandú", "Cádiz", "", "cine")
+
+
+@query(
+    "collated_page",
+    f"""WITH x AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 13 < 12 THEN {list(NAMES)}[p_partkey % 13 + 1] END AS cell FROM part)
+SELECT id, cell, row_number() OVER (ORDER BY cell IS NULL, TRY_CAST(nullif(cell, '') AS DOUBLE) IS NULL, TRY_CAST(nullif(cell, '') AS DOUBLE), cell COLLATE es, id) AS place FROM x""",
+)
+def collated_page(spark, d):
+    """A page's sort: numbers first by value, then texts as Spanish dictionaries have them, nulls last."""
+    at = (F.col("p_partkey") % 13).cast("int")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(at < 12, F.element_at(F.array(*map(F.lit, NAMES)), at + 1)).alias("cell"))
+    return keyed.numbered(rows, (*selection.table_order("cell"), F.asc("id")), "place")
 
 
 @query(

@@ -11,7 +11,7 @@ from tessaria.plans.registry import query
 from tessaria.plans.relational import SESSIONS_SQL
 from tessaria.session import table
 from tessaria.sources import connectors, readers, sitemaps
-from tessaria.streaming import jobs, stateful
+from tessaria.streaming import captures, jobs, stateful
 
 
 @query("page_titles")
@@ -173,3 +173,88 @@ def connector_listings(spark, d):
 @query("connector_discovery", rf"WITH {PAGE_SQL} SELECT source, external_id, min(url) AS url FROM s WHERE source = 'gallery' OR (source = 'tracker' AND number <> '') GROUP BY source, external_id")
 def connector_discovery(spark, d):
     return connectors.discovered(connectors.pages(spark, f"{d}/pages.parquet"))
+
+
+def _captures(spark, d):
+    """Pages as a queue of captures, a minute apart; every seventeenth is a challenge."""
+    stream = jobs.event_source(spark, f"{d}/pages.parquet", at=None)
+    challenge = F.when(F.col("page_id") % 17 == 0, "<p>Muchas peticiones</p><p>en poco tiempo</p>").otherwise("")
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)
+    return stream.select(F.col("page_id").alias("capture_id"), "url", F.concat("html", challenge).alias("html"), at.alias("at"))
+
+
+def _worked(spark, d):
+    few = (F.length("html") - F.length(F.replace("html", F.lit("<p>")))) / 3 < 3
+    return captures.work(spark, _captures(spark, d), f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}", F.col("url").contains("page="), few, batch=200)
+
+
+OUTCOMES_SQL = r"""p AS (SELECT page_id, url, html, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, TIMESTAMP '2024-01-01' + to_minutes(page_id) AS seen FROM pages),
+k AS (SELECT *, CASE WHEN regexp_matches(host, '(^|\.)example\.org$') THEN 'gallery' WHEN regexp_matches(host, '(^|\.)example\.net$') THEN 'tracker' WHEN regexp_matches(host, '(^|\.)example\.com$') THEN 'captured' END AS source,
+  regexp_matches(path, '/[A-Za-z0-9]+/?$') AND regexp_matches(host, '(^|\.)example\.(org|net|com)$') AND url NOT LIKE '%page=%' AS detail, host || ':' || regexp_extract(path, '/([A-Za-z0-9]+)/?$', 1) AS id FROM p),
+o AS (SELECT *, CASE WHEN NOT detail AND source IS NOT NULL THEN 'listing' WHEN NOT detail THEN 'failed' WHEN page_id % 17 = 0 THEN 'blocked' WHEN (length(html) - length(replace(html, '<p>', ''))) / 3 < 3 THEN 'withdrawn'
+  WHEN CASE WHEN source = 'gallery' THEN html NOT LIKE '%<title>%' ELSE NOT regexp_matches(html, 'track\(\d+\)') END THEN 'failed' ELSE 'done' END AS status FROM k)"""
+
+
+@query(
+    "capture_outcomes",
+    rf"""WITH {OUTCOMES_SQL} SELECT page_id AS capture_id, status, source, CASE WHEN status <> 'listing' AND source IS NOT NULL AND regexp_matches(path, '/[A-Za-z0-9]+/?$') THEN id END AS external_id,
+  CASE WHEN status = 'failed' THEN CASE WHEN source IS NULL THEN 'unknown address' ELSE 'no payload' END END AS reason FROM o""",
+)
+def capture_outcomes(spark, d):
+    """The capture queue as a stream, worked off in claims: each page done, listing, blocked, withdrawn or failed."""
+    return _worked(spark, d).select("capture_id", "status", "source", "external_id", "reason")
+
+
+@query(
+    "capture_sightings",
+    rf"""WITH {OUTCOMES_SQL}, s AS (SELECT source, id AS external_id, seen FROM o WHERE status = 'done' UNION ALL
+  SELECT source, host || ':' || unnest(regexp_extract_all(html, '<a href="/(?:[^"?#]*/)?([A-Za-z0-9]+)/?"', 1)), seen FROM o WHERE status = 'listing')
+SELECT source, external_id, max(seen) AS last_seen FROM s GROUP BY source, external_id""",
+)
+def capture_sightings(spark, d):
+    return captures.sightings(_worked(spark, d)).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+
+
+@query("stream_trailing_counts", "SELECT event_type, (ts::DATE + k::INT)::TIMESTAMP AS until, count(*)::BIGINT AS n FROM events, range(1, 8) r(k) GROUP BY ALL")
+def stream_trailing_counts(spark, d):
+    """Sliding windows of seven days, a day apart."""
+    return _finished(spark, jobs.trailing_counts(_events(spark, d), "event_type"), "complete").select("event_type", F.col("until").cast("timestamp_ntz").alias("until"), "n")
+
+
+@query("stream_first_arrivals", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_arrivals(spark, d):
+    """One row per key; here all rows arrive in one trigger, within the watermark."""
+    return _finished(spark, jobs.first_arrivals(_events(spark, d), ["user_id", "event_type"]), "append").select("user_id", "event_type")
+
+
+@query("embedded_props", "SELECT p_partkey AS id, p_name AS name, p_retailprice AS price, p_size % 3 = 0 AS lift, CASE WHEN p_partkey % 7 > 0 THEN p_size END AS size FROM part WHERE p_partkey % 11 > 0")
+def embedded_props(spark, d):
+    """Listing pages that carry their record as JSON in a script, one kind by assignment, one by element id, read back."""
+    k = F.col("p_partkey")
+    body = F.to_json(F.struct(k.alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), (F.col("p_size") % 3 == 0).alias("lift"), F.when(k % 7 > 0, F.col("p_size")).alias("size")))
+    page = F.when(k % 11 == 0, "<html><body>none</body></html>").when(k % 2 == 0, F.concat(F.lit("<script>window.__INITIAL_PROPS__ = "), body, F.lit(";</script><p>x</p>"))).otherwise(F.concat(F.lit('<script type="application/json" id="__NEXT_DATA__">'), body, F.lit("</script>")))
+    schema = "id long, name string, price double, lift boolean, size int"
+    found = F.coalesce(readers.embedded_json(F.col("html"), "window.__INITIAL_PROPS__", schema), readers.script_json(F.col("html"), "__NEXT_DATA__", schema))
+    return table(spark, d, "part").select(page.alias("html")).select(found.alias("r")).filter("r IS NOT NULL").select("r.*")
+
+
+@query("paged_json", "SELECT c_custkey AS id, c_name AS name, round(c_acctbal, 2) AS balance FROM customer")
+def paged_json(spark, d):
+    """Result pages of a JSON interface, fifty rows each, from files."""
+    c = table(spark, d, "customer")
+    row = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.round("c_acctbal", 2).alias("balance"))
+    pages = c.groupBy(F.floor(F.col("c_custkey") / 50).alias("page")).agg(F.collect_list(row).alias("items"), F.count("*").alias("n"))
+    path = Workspace(spark, "paged").path
+    pages.write.json(f"{path}/pages")
+    return readers.json_pages(spark, f"{path}/pages", "items", "page long, n long, items array<struct<id:long,name:string,balance:double>>", lines=True)
+
+
+@query("gazetteer_places", "SELECT n_name AS name, r_name AS province, 36 + n_nationkey % 9 AS lat, -9 + n_nationkey % 12 AS lon, n_nationkey * 1000 AS population FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 7 > 0 UNION ALL SELECT n_name, NULL, 36 + n_nationkey % 9, -9 + n_nationkey % 12, NULL FROM nation WHERE n_nationkey % 7 = 0")
+def gazetteer_places(spark, d):
+    """A gazetteer written as CSV and read by its schema; blank cells are null."""
+    n = F.col("n_nationkey").cast("long")
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    known = n % 7 > 0
+    path = Workspace(spark, "gazetteer").path
+    rows.select(F.col("n_name").alias("name"), F.when(known, F.col("r_name")).alias("province"), (36 + n % 9).cast("double").alias("lat"), (-9 + n % 12).cast("double").alias("lon"), F.when(known, n * 1000).alias("population")).write.option("header", True).csv(f"{path}/places")
+    return readers.gazetteer(spark, f"{path}/places").withColumns({"lat": F.col("lat").cast("int"), "lon": F.col("lon").cast("int")})

@@ -11,12 +11,12 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Statements and words that change something. (Fixed values.)
+#: Statements and words that change something.
 WRITES = "insert update delete drop alter create truncate merge grant revoke copy call set refresh cache uncache load analyze use msck repair add".split()
 MAX_ROWS, MAX_COLUMNS, MAX_CHARS, MAX_BYTES, MAX_SECONDS = 200, 30, 20_000, 10 << 30, 15
 #: Functions that reach beyond the data.
 REACHING = "java_method reflect try_reflect".split()
-#: Expressions that run but mislead, with advice. (Fixed values.)
+#: Expressions that run but mislead, with advice.
 LINTS = ((r"extract\s*\(\s*days?\b", "use date_diff for whole days"), (r"coalesce\s*\(\s*max\s*\([^)]*\)\s*,\s*'", "compare dates with dates, not with text"))
 
 

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
@@ -251,3 +252,37 @@ def discovered(raw: DataFrame) -> DataFrame:
     """source, external_id, url: one row per listing of the sources that can be swept, by the least address."""
     names = [c.name for c in CONNECTORS.values() if c.supports_discovery]
     return raw.filter(F.col("source").isin(names)).groupBy("source", "external_id").agg(F.min("url").alias("url"))
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """Adds source, external_id and raw to rows with url and html: the connector whose host and address pattern fit (else nulls),
+    and its raw record (null: no listing)."""
+    names = pages.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[list[str | None]] = [[], [], []]
+            for url, html in zip(batch.column(names.index("url")).to_pylist(), batch.column(names.index("html")).to_pylist(), strict=True):
+                found = next(((c, n) for c in CONNECTORS.values() if c.owns(url or "") and (n := c.external_id(url))), None)
+                raw = found[0].parse(url, html or "") if found else None
+                for column, value in zip(made, (found[0].name, found[1], json.dumps(raw, ensure_ascii=False) if raw is not None else None) if found else (None,) * 3, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.string()) for x in made)], [*names, "source", "external_id", "raw"])
+
+    return pages.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema), "source string, external_id string, raw string"]))
+
+
+def portal_of(url: Column) -> Column:
+    """Name of the connector whose host an address is on; null for others."""
+    host = F.lower(F.regexp_extract(url, r"^[^:/?#]+://([^/?#:]*)", 1))
+    out = F.lit(None).cast("string")
+    for c in CONNECTORS.values():
+        out = F.when((host == c.host_suffix) | host.endswith("." + c.host_suffix), c.name).otherwise(out)
+    return out
+
+
+def linked_ids(url: Column, html: Column) -> Column:
+    """external_ids of the listings that a result page links to, on its own host, in order and once each."""
+    host = F.lower(F.regexp_extract(url, r"^[^:/?#]+://([^/?#:]*)", 1))
+    links = F.regexp_extract_all(html, F.lit(r'<a href="/(?:[^"?#]*/)?([A-Za-z0-9]+)/?"'), F.lit(1))
+    return F.array_distinct(F.transform(links, lambda x: F.concat(host, F.lit(":"), x)))

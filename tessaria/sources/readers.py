@@ -85,9 +85,9 @@ def sitemap_files(spark: SparkSession, path: str, row_tag: str = "url") -> DataF
     return spark.read.format("xml").option("rowTag", row_tag).load(path)
 
 
-def json_pages(spark: SparkSession, path: str, rows: str, schema: str) -> DataFrame:
-    """Rows of paged JSON documents; ``schema`` is that of the whole document."""
-    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode(rows).alias("row")).select("row.*")
+def json_pages(spark: SparkSession, path: str, rows: str, schema: str, lines: bool = False) -> DataFrame:
+    """Rows of paged JSON documents, one a file (or one a ``lines`` row); ``schema`` is that of the whole document."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path).select(F.explode(rows).alias("row")).select("row.*")
 
 
 def gazetteer(spark: SparkSession, path: str) -> DataFrame:

@@ -19,14 +19,14 @@ GAP, LATE = "30 minutes", "1 hour"
 LEAST_MOVE, MOST_MOVE, MISSES = 0.01, 0.60, 3
 
 
-def event_source(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Files of an events table as a stream, with a zoned timestamp ``at``."""
+def event_source(spark: SparkSession, path: str, files_per_trigger: int = 1, at: str | None = "ts") -> DataFrame:
+    """Files of a table as a stream, with a zoned timestamp ``at`` made of the column of that name (None: without)."""
     table = spark.read.parquet(path)
     reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
     folder, _, name = path.rpartition("/")
     if table.inputFiles()[0].endswith(f"/{name}"):  # one file: a stream reads folders
         reader, path = reader.option("pathGlobFilter", name), folder
-    return reader.parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
+    return reader.parquet(path).withColumn("at", F.col(at).cast("timestamp")) if at else reader.parquet(path)
 
 
 def day_counts(stream: DataFrame, key: str) -> DataFrame:

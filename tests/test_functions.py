@@ -320,7 +320,7 @@ def test_pairs_of_the_whole_catalogue(spark, tmp_path):
             if part == other and lo < hi:
                 shared.setdefault((lo, hi), []).append(part)
     want = {(lo, hi, len(p), max(p)) for (lo, hi), p in shared.items() if len(p) >= 12}
-    have = [tuple(r) for r in catalog.queries()["unordered_pairs_whole"](spark, str(tmp_path)).select("lo", "hi", "n", "top").collect()]
+    have = [tuple(r) for r in catalog.queries()["unordered_pairs"](spark, str(tmp_path)).select("lo", "hi", "n", "top").collect()]
     assert want and len(have) == len(want) and set(have) == want
 
 
@@ -329,7 +329,7 @@ def test_fairness_numbers_every_customer(spark):
     last = {r.user_id: r.last for r in spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.max("ts").alias("last")).collect()}
     keys = [r.c_custkey for r in spark.read.parquet(f"{d}/customer.parquet").collect()]
     want = sorted(keys, key=lambda k: (k in last, last.get(k) or 0, k))
-    rows = catalog.queries()["scope_fairness_whole"](spark, d).collect()
+    rows = catalog.queries()["scope_fairness"](spark, d).collect()
     assert [r.c_custkey for r in sorted(rows, key=lambda r: r.turn)] == want and sorted(r.turn for r in rows) == list(range(1, len(keys) + 1))
     assert all(r.last == last.get(r.c_custkey) for r in rows)
 

@@ -8,11 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessaria.operators import joins, scoring, search, search_index, store
+from tessaria.operators import feed, joins, keyed, market, scoring, search, search_index, store
 from tessaria.operators.components import MergedGroups, ordered_components
 from tessaria.operators.workspace import Workspace
 from tessaria.sources import connectors, sitemaps
-from tessaria.streaming import jobs, stateful
+from tessaria.streaming import captures, jobs, stateful
 
 PAGE = '<html lang="ES"><head><title>Piso &amp; sol</title><script>track({n})</script></head><nav><a href="/Sol">x</a><a href="/mar">y</a></nav><article><h1>Un piso</h1><p>Texto</article></html>'
 
@@ -252,3 +252,80 @@ def test_merged_groups_by_deliveries(spark, tmp_path):
         best[a, b] = max(c, best.get((a, b), 0))
     once = {r.node: r.label for r in ordered_components(Workspace(spark, "t"), df([(a, b, c) for (a, b), c in best.items()]), vetoes).collect()}
     assert {r.node: r.label for r in groups.labels().collect()} == once
+
+
+def test_cursor_round_trip():
+    row = (1, 0.5, 7, "2024-01-01T00:00:00+00:00", True)
+    assert feed.decode_cursor(feed.encode_cursor(*row)) == row
+    assert feed.decode_cursor(feed.encode_cursor(0, None, 7, "2024-01-01", False)) == (0, -1.0, 7, "2024-01-01", False)
+    bad = ["", "x", "!!!", feed.encode_cursor(1, 0.5, 0, "2024-01-01", True), feed.encode_cursor(1, 0.5, 7, "soon", True), feed.encode_cursor(1, float("inf"), 7, "2024-01-01", True), feed.encode_cursor(True, 0.5, 7, "2024-01-01", True)]
+    assert [feed.decode_cursor(x) for x in bad] == [None] * len(bad)
+
+
+def test_pages_of_the_feed(spark):
+    """All pages after one another are the whole ranking, ties and missing scores included."""
+    draw = random.Random(1)
+    rows = [(i, draw.randint(0, 1), draw.choice([None, 0.5, 0.25, 0.75])) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "id long, tier int, score double").repartition(3)
+    got, cursor = [], None
+    while True:
+        page = feed.page(df, 7, cursor).collect()
+        got += [r.id for r in page[:7]]
+        if len(page) <= 7:
+            break
+        last = page[6]
+        cursor = feed.decode_cursor(feed.encode_cursor(last.tier, last.score, last.id, "2024-01-01", False))
+    assert got == [i for i, *_ in sorted(rows, key=lambda r: (-r[1], -(r[2] if r[2] is not None else -1), -r[0]))]
+
+
+def test_novelty_by_profile(spark):
+    """Each profile by its own anchor: never visited, mostly new and ordinary ones; a missing sight is not new."""
+    pool = spark.createDataFrame([(1, 1, 5), (1, 2, 20), (2, 3, 5), (2, 4, 20), (2, 5, None), (3, 6, 20), (3, 7, 30)], "profile int, id int, first_seen int")
+    anchors = spark.createDataFrame([(1, 10, True), (2, 10, False), (3, 10, False)], "profile int, anchor int, never boolean")
+    got = {r.id: (r.is_new, r.cold_start, r.tier) for r in feed.with_novelty(pool, anchors).collect()}
+    assert got == {1: (False, True, 0), 2: (True, True, 0), 3: (False, False, 0), 4: (True, False, 1), 5: (False, False, 0), 6: (True, True, 0), 7: (True, True, 0)}
+    seen = spark.createDataFrame([(1, None, "2024-01-05"), (2, "2024-01-01", "2024-01-05")], "profile int, previous string, created string").selectExpr("profile", "CAST(previous AS timestamp) previous", "CAST(created AS timestamp) created")
+    assert {(r.profile, str(r.anchor)[:10], r.never) for r in feed.profile_anchors(seen).collect()} == {(1, "2024-01-04", True), (2, "2024-01-01", False)}
+
+
+def test_visible_pool(spark):
+    rows = [(1, 3, True, 1), (1, 4, False, 9), (2, 3, True, 1), (2, 5, True, 8), (3, 3, False, 2), (4, None, True, 3)]
+    got = {r.id: (r.visible, r.first_seen, r.sources) for r in feed.visible_pool(spark.createDataFrame(rows, "id int, source int, active_sale boolean, first_seen int"), spark.createDataFrame([(3,)], "source int")).collect()}
+    assert got == {1: (False, 9, []), 2: (True, 8, [5]), 3: (True, None, []), 4: (True, 3, [])}
+
+
+def test_places_within_groups(spark):
+    rows = [(i % 3, i * 7 % 50, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, v int, id int").repartition(5)
+    order = (F.desc("v"), F.asc("id"))
+    want = {}
+    for g in range(3):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        want |= {r[2]: (n, own[n - 2][2] if n > 1 else None, own[n][2] if n < len(own) else None) for n, r in enumerate(own, 1)}
+    places = {r.id: r.place for r in keyed.numbered_within(df, "g", order, "place").collect()}
+    beside = {r.id: (r.prev, r.next) for r in keyed.adjacent(df, "g", order, "id").collect()}
+    assert {i: (places[i], *beside[i]) for i in places} == want
+
+
+def test_captures_again_change_nothing(spark, tmp_path):
+    """Two runs over the same queue: every capture has one outcome; unknown addresses, notices and challenges are told apart."""
+    block = "<p>Muchas peticiones</p><p>en poco tiempo</p>"
+    rows = [(1, "http://a.example.org/x1", PAGE), (2, "http://a.example.org/list?page=1", PAGE), (3, "http://elsewhere.com/x", PAGE), (4, "http://a.example.net/x4", PAGE + block), (5, "http://a.example.net/x5", "gone"), (6, "http://a.example.org/x6", "<p>no title</p>"), (7, None, None)]
+    df = spark.createDataFrame(rows, "capture_id long, url string, html string").withColumn("at", F.timestamp_seconds(F.col("capture_id") * 60))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        out = captures.work(spark, stream, str(tmp_path / "work"), F.col("url").contains("page="), F.col("html") == "gone", batch=3)
+        assert sorted((r.capture_id, r.status, r.source, r.reason) for r in out.collect()) == [(1, "done", "gallery", None), (2, "listing", "gallery", None), (3, "failed", None, "unknown address"), (4, "blocked", "tracker", None), (5, "withdrawn", "tracker", None), (6, "failed", "gallery", "no payload"), (7, "failed", None, "unknown address")]
+    seen = {(r.external_id, r.last_seen.minute) for r in captures.sightings(out).collect()}
+    assert seen == {("a.example.org:x1", 1), ("a.example.org:Sol", 2), ("a.example.org:mar", 2)}
+
+
+def test_relisted_pairs(spark):
+    """Prices as of both ends, with the current price where history has none; the bound of 90 days is in, equal times are not."""
+    ts = lambda df, c: df.withColumn(c, F.date_add(F.lit("2024-01-01"), F.col(c)).cast("timestamp"))
+    listings = ts(spark.createDataFrame([(1, 1, 0, 100.0), (1, 2, 40, 90.0), (2, 3, 0, 100.0), (2, 4, 101, 50.0), (3, 5, 0, 100.0)], "p int, l int, first_seen int, current_price double"), "first_seen")
+    status = ts(spark.createDataFrame([(1, 1, 10, "gone"), (2, 3, 10, "gone"), (3, 5, 5, "gone"), (3, 5, 5, "active"), (3, 5, 95, "active")], "p int, l int, at int, status string"), "at")
+    history = ts(spark.createDataFrame([(1, 1, 5, 120.0), (1, 1, 11, 10.0), (1, 2, 41, 108.0), (3, 5, 95, 80.0)], "p int, l int, at int, price double"), "at")
+    got = {r.p: (round(r.fall, 6), r.n, r.relisted_at.timetuple().tm_yday) for r in market.relisted_lower(listings, status, history, ("p", "l"), "p", ("gone",), ("active",)).collect()}
+    assert got == {1: (0.1, 1, 41), 3: (0.2, 1, 96)}
