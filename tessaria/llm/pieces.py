@@ -10,7 +10,7 @@ partitioning, the batch or a repeated task.
 
 Decoding joins the pieces and bytes; it gives back every text exactly, white space and the space mark included. Nulls
 and empty texts have no pieces. Repeated rows with one key are segmented alike; rows without a key share one. Empty tables
-give no rows. Columns other than doc_id and text are not read. A unit (text without a space) is sampled as a whole.
+give no rows. Columns other than doc_id and text are not read. A unit (text without a space) is sampled in strips.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from tessaria.llm.tokens import distinct, spread
 SPACE_MARK = "▁"
 SEED, SHARPNESS = 17, 1.0
 #: Code points of units that are sampled together, and the key of rows without one.
-SLICE, NO_KEY = 1_000_000, -(1 << 63)
+SLICE, NO_KEY = 1 << 18, -(1 << 63)
 TINY, LIFT = 2.0**-400, 2.0**400
 
 
@@ -107,8 +107,8 @@ def row_seeds(keys: np.ndarray, seed: int) -> np.ndarray:
 
 
 def sample(block: Block, keys: np.ndarray, model: Lattice, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all rows of a block, and per row the place of its first. Units are taken ``SLICE`` code points at a time
-    (or one, if that alone is longer), so memory does not grow with a text."""
+    """Piece ids of all rows of a block, and per row the place of its first. Units are taken ``SLICE`` code points at a time,
+    longer ones in strips of that length, so memory grows with a text by its ids alone."""
     points = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.flatnonzero((block.data & 0xC0) != 0x80)
     if len(lead) != len(points):
@@ -125,7 +125,10 @@ def sample(block: Block, keys: np.ndarray, model: Lattice, seed: int = SEED) ->
     found, lo = [], 0
     while lo < len(start):
         hi = max(lo + 1, int(np.searchsorted(stop, start[lo] + SLICE, "right")))
-        found.append(sample_units(points, start[lo:hi], stop[lo:hi], seeds[lo:hi], origin[lo:hi], model))
+        if stop[lo] - start[lo] > SLICE:
+            found.append(sample_long(points, int(start[lo]), int(stop[lo]), seeds[lo], int(origin[lo]), model))
+        else:
+            found.append(sample_units(points, start[lo:hi], stop[lo:hi], seeds[lo:hi], origin[lo:hi], model))
         lo = hi
     where, ids = (np.concatenate(x) for x in zip(*found, strict=True))
     count = np.where(ids >= 0, 1, byte_at[where + 1] - byte_at[where])
@@ -191,6 +194,57 @@ def sample_units(points: np.ndarray, start: np.ndarray, stop: np.ndarray, seeds:
     return where[order], ids[order]
 
 
+def strip(unit: np.ndarray, lo: int, hi: int, before: np.ndarray, model: Lattice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the ends lo .. hi - 1 in a unit: chances of the pieces that end there, their ids, and the forward sums after them;
+    ``before`` are those before lo. The same steps as in ``sample_units``."""
+    longest, a = model.longest, max(0, lo - model.longest + 1)
+    flat = unit[a:hi].astype(U) + U(1)
+    prefix, ends = PrefixHash(flat), np.arange(lo, hi)
+    weight, piece = np.zeros((hi - lo, longest)), np.full((hi - lo, longest), -1, np.int32)
+    for size in range(1, longest + 1):
+        end = ends[ends >= size - 1]
+        found = model.find(prefix.of(end - size + 1 - a, end + 1 - a))
+        some = found >= 0
+        weight[end[some] - lo, size - 1] = model.weights[found[some]]
+        piece[end[some] - lo, size - 1] = model.ids[found[some]]
+    alone = piece[:, 0] < 0
+    code = unit[lo:hi][alone]
+    n_bytes = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    weight[alone, 0] = np.array([1.0, *np.cumprod(np.full(4, model.byte_weight))])[n_bytes]
+    chance = np.empty((hi - lo, longest))
+    for t in range(hi - lo):
+        terms = np.cumsum(before * weight[t])
+        now = terms[-1]
+        chance[t] = terms / now
+        before = np.concatenate(([now], before[:-1]))
+        if now < TINY:
+            before *= LIFT
+    return chance, piece, before
+
+
+def sample_long(points: np.ndarray, start: int, stop: int, seed: np.uint64, origin: int, model: Lattice) -> tuple[np.ndarray, np.ndarray]:
+    """``sample_units`` for one unit of any length: forward once, keeping the sums at the strips' bounds alone, then backward
+    strip by strip, each made again from its bound."""
+    unit, n = points[start:stop], stop - start
+    bounds = [*range(0, n, SLICE), n]
+    before = np.zeros(model.longest)
+    before[0] = 1.0
+    held = [before]
+    for lo, hi in zip(bounds[:-2], bounds[1:-1], strict=True):
+        held.append(strip(unit, lo, hi, held[-1], model)[2])
+    where, ids, left = [], [], n
+    for lo, hi, before in zip(bounds[-2::-1], bounds[:0:-1], held[::-1], strict=True):
+        chance, piece, _ = strip(unit, lo, hi, before, model)
+        draws = uniform(np.full(hi - lo, seed), origin + np.arange(lo, hi) + 1)
+        while left > lo:
+            at = left - 1 - lo
+            took = min(int((chance[at] <= draws[at]).sum()), model.longest - 1)
+            left -= took + 1
+            where.append(start + left)
+            ids.append(piece[at, took])
+    return np.asarray(where[::-1], np.int64), np.asarray(ids[::-1], np.int32)
+
+
 def encode(docs: DataFrame, path: str, seed: int = SEED, sharpness: float = SHARPNESS, with_ids: bool = True) -> DataFrame:
     """doc_id, n_pieces, n_bytes (pieces that are single bytes), ids_crc32 (unsigned, little-endian 32-bit ids),
     lossless (decoding gives the text back), and the ids (array<int>) on demand."""

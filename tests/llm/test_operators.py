@@ -632,3 +632,23 @@ def test_sql_twins(spark, name):
 
 def test_hash_of_nothing():
     assert digest([]) == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("slice_", [40, 64, 1000])
+def test_long_units_in_strips(monkeypatch, slice_):
+    """A unit longer than a slice gives the pieces that it gives as a whole, whatever the strips' bounds."""
+    draw = random.Random(6)
+    texts = ["".join(draw.choice("abcdefghiklmnoprstu漢字é🙂") for _ in range(n)) for n in (3000, 41, 64, 65, 127)] + ["the " * 30 + "x" * 700, "人" * 500]
+    model = pieces.lattice(pieces.vocabulary())
+    block = next(blocks(pa.array(texts), 1 << 22))
+    whole = pieces.sample(block, np.arange(len(texts)), model)
+    monkeypatch.setattr(pieces, "SLICE", slice_)
+    parts = pieces.sample(block, np.arange(len(texts)), model)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
+
+
+def test_text_without_spaces(spark):
+    """Megabytes in one unit: lossless, and in memory that strips bound."""
+    text = "".join(chr(0x4E00 + i * 7 % 3000) for i in range(60_000)) + "Zm9vYmFy" * 20_000
+    r = pieces.encode(spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string"), pieces.vocabulary(), with_ids=False).collect()
+    assert all(x.lossless for x in r) and max(x.n_pieces for x in r) > 60_000
