@@ -171,3 +171,56 @@ def last_run_list(spark, d):
 def price_timeline(spark, d):
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.min(unit).alias("low"), F.max(unit).alias("high"), F.max_by(unit, F.struct(*LINE_ORDER)).alias("now"), F.count("*").alias("n"))
+
+
+MERGED_SQL = """WITH st AS (SELECT c_custkey % 3 AS profile_id, c_custkey // 3 AS property_id, ['new', 'reviewing', 'interested', 'contacted', 'visited', 'offer_made', 'closed', 'rejected'][c_custkey * 7 // 3 % 8 + 1] AS stage,
+  c_acctbal > 0 AS matched, CASE WHEN c_custkey % 5 > 0 THEN round(c_acctbal / 10000, 3) END AS score FROM customer WHERE c_custkey % 7 > 0),
+r AS (SELECT * FROM (VALUES ('new', 0), ('reviewing', 1), ('interested', 2), ('contacted', 3), ('visited', 4), ('offer_made', 5), ('closed', 6), ('rejected', 6)) r(stage, rank)),
+x AS (SELECT l.profile_id, l.property_id AS losing, l.property_id - 1 AS survivor, l.stage AS ls, l.matched AS lm, l.score AS lsc, s.property_id IS NOT NULL AS there, s.stage AS ss, s.matched AS sm, s.score AS ssc, a.rank AS lr, b.rank AS sr
+  FROM st l LEFT JOIN st s ON s.profile_id = l.profile_id AND s.property_id = l.property_id - 1 LEFT JOIN r a ON a.stage = l.stage LEFT JOIN r b ON b.stage = s.stage WHERE l.property_id % 4 = 1),
+k AS (SELECT *, CASE WHEN NOT there THEN 'rekeyed_no_prior_survivor_state' WHEN ls = ss THEN 'identical_stage_dropped' WHEN (ls = 'rejected' AND ss <> 'new') OR (ss = 'rejected' AND ls <> 'new') THEN 'conflict_dropped' ELSE 'stage_reconciled' END AS kind FROM x)"""
+
+
+def _merged(spark, d):
+    k = F.col("c_custkey")
+    stages = F.array(*map(F.lit, linkage.STAGE_RANK))
+    c = table(spark, d, "customer").filter("c_custkey % 7 > 0")
+    score = F.when(k % 5 > 0, F.round(F.col("c_acctbal") / 10000, 3))
+    states = c.select((k % 3).alias("profile_id"), F.floor(k / 3).alias("property_id"), stages[(F.floor(k * 7 / 3) % 8).cast("int")].alias("stage"), (F.col("c_acctbal") > 0).alias("matched"), score.alias("score"))
+    losing = states.select(F.col("property_id").alias("losing")).filter("losing % 4 = 1").distinct()
+    return states, linkage.merge_states(states, losing.withColumn("survivor", F.col("losing") - 1))
+
+
+@query(
+    "merged_states",
+    f"""{MERGED_SQL} SELECT profile_id, survivor AS property_id, CASE WHEN NOT there THEN ls WHEN kind = 'stage_reconciled' AND lr > sr THEN ls ELSE ss END AS stage, coalesce(lm, false) OR coalesce(sm, false) AS matched, CASE WHEN NOT there THEN lsc END AS score FROM k
+UNION ALL SELECT profile_id, property_id, stage, matched, score FROM st WHERE property_id % 4 <> 1 AND NOT EXISTS (FROM k WHERE k.profile_id = st.profile_id AND k.survivor = st.property_id)""",
+)
+def merged_states(spark, d):
+    """Every fourth property loses to the one before it: states of three profiles folded, scores of folded ones to be made anew."""
+    return _merged(spark, d)[1][0]
+
+
+@query("merge_log", f"{MERGED_SQL} SELECT profile_id, survivor, losing, kind, ls AS l_stage, lm AS l_matched, lsc AS l_score, ss AS s_stage, sm AS s_matched, ssc AS s_score FROM k")
+def merge_log(spark, d):
+    """What each merge did to each profile's state, with both rows as they were."""
+    return _merged(spark, d)[1][1]
+
+
+@query("merges_reverted", f"{MERGED_SQL} SELECT profile_id, property_id, stage, matched, score FROM st")
+def merges_reverted(spark, d):
+    """All merges taken back from their log: the states that were there before."""
+    _, (after, log) = _merged(spark, d)
+    return linkage.unmerge_states(after, log)
+
+
+@query(
+    "diagnostics",
+    """WITH p AS (SELECT page_id, url, strlen(html)::BIGINT AS html_bytes, len(regexp_extract_all(html, '<a ')) AS links, row_number() OVER (ORDER BY page_id DESC) AS rn FROM pages), t AS (SELECT count(*) AS total, coalesce(sum(html_bytes), 0) AS total_bytes FROM p)
+SELECT page_id, url, html_bytes, links::INTEGER AS links, total::BIGINT AS total, total_bytes::BIGINT AS total_bytes FROM p, t WHERE rn <= 50""",
+)
+def diagnostics(spark, d):
+    """The newest fifty stored pages (a list's limit), beside count and bytes of all (one row)."""
+    p = table(spark, d, "pages").select("page_id", "url", F.octet_length("html").cast("long").alias("html_bytes"), F.size(F.regexp_extract_all("html", F.lit("<a "), F.lit(0))).alias("links"))
+    totals = p.agg(F.count("*").alias("total"), F.coalesce(F.sum("html_bytes"), F.lit(0)).alias("total_bytes"))
+    return p.orderBy(F.desc("page_id")).limit(50).join(F.broadcast(totals))
