@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaria.functions.geo import great_circle_km
@@ -214,3 +214,49 @@ def table_order(cell: str, falling: bool = False) -> tuple[Column, ...]:
     number = F.expr(f"try_cast(nullif(`{cell}`, '') AS double)")
     turn = (lambda x: x.desc_nulls_last()) if falling else (lambda x: x.asc_nulls_last())
     return (c.isNull().asc(), number.isNull().asc() if not falling else number.isNull().desc(), turn(number), turn(F.collate(c, "es")))
+
+
+def profile_cards(profiles: DataFrame, states: DataFrame, listings: DataFrame, disabled: DataFrame, feedback: DataFrame, flagged: DataFrame) -> DataFrame:
+    """One row per profile (profile_id, anchor, rent: euros a square metre and month or null): matched_count, new_count, accepted
+    and rejected, min, median and max of the cheapest active sales, cold_start and trained, median gross yield in percent
+    (null without a rent), flagged_count, thumbnails (photos of the four best: structs property_id, photo, best first).
+
+    states: profile_id, property_id, matched, score, score_kind, m2; listings: property_id, source, active_sale, active, price,
+    first_seen, photos; disabled: source; feedback (current): profile_id, property_id, kind; flagged: property_id. Every
+    figure is an aggregate at the profile's grain, joined once; nothing is looked up row by row.
+    """
+    off = listings.join(disabled.select("source", F.lit(True).alias("_off")).distinct(), "source", "left")
+    photo = F.get(F.filter("photos", lambda x: x.isNotNull()), F.lit(0))
+    per = off.groupBy("property_id").agg(
+        F.min(F.when(F.col("active_sale"), F.col("price"))).alias("price"),
+        F.min(F.when(F.col("_off").isNull(), F.col("first_seen"))).alias("first_seen"),
+        F.min(F.when(F.col("active") & photo.isNotNull(), F.struct("source", photo.alias("photo"))))["photo"].alias("photo"),
+    )
+    rows = states.filter("matched").join(per, "property_id", "left").join(feedback, ["profile_id", "property_id"], "left").join(profiles, "profile_id")
+    rows = rows.join(flagged.select("property_id", F.lit(True).alias("_flag")).distinct(), "property_id", "left")
+    yields = F.when((F.col("price") > 0) & (F.col("m2") > 0), F.col("rent") * 12 * F.col("m2") / F.col("price") * 100)
+    stats = rows.groupBy("profile_id").agg(
+        F.count("*").alias("matched_count"),
+        F.count_if((F.col("first_seen") > F.col("anchor")) & ~F.col("kind").eqNullSafe(F.lit("reject"))).alias("new_count"),
+        F.min("price").alias("min_price"),
+        F.percentile("price", 0.5).alias("median_price"),
+        F.max("price").alias("max_price"),
+        F.count_if(F.col("score_kind") == "cold_start").alias("cold_start_count"),
+        F.count_if(F.col("score_kind") == "trained").alias("trained_count"),
+        F.percentile(yields, 0.5).alias("yield_median"),
+        F.count("_flag").alias("flagged_count"),
+    )
+    w = Window.partitionBy("profile_id").orderBy(F.desc_nulls_last("score"), F.desc("property_id"))
+    best = rows.select("profile_id", "property_id", "photo", F.row_number().over(w).alias("_rn")).filter("_rn <= 4")
+    pictures = F.transform(F.array_sort(F.collect_list(F.struct("_rn", "property_id", "photo"))), lambda x: F.struct(x["property_id"].alias("property_id"), x["photo"].alias("photo")))
+    verdicts = feedback.groupBy("profile_id").agg(F.count_if(F.col("kind") == "accept").alias("accepted_count"), F.count_if(F.col("kind") == "reject").alias("rejected_count"))
+    out = profiles.select("profile_id").join(stats, "profile_id", "left").join(verdicts, "profile_id", "left").join(best.groupBy("profile_id").agg(pictures.alias("thumbnails")), "profile_id", "left")
+    counts = ("matched_count", "new_count", "accepted_count", "rejected_count", "cold_start_count", "trained_count", "flagged_count")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+
+
+def market_signals(ranked: DataFrame, least_move: float, most_move: float) -> DataFrame:
+    """profile, id, below, change (the price move since the anchor, where it is within the band), direction (up, down)."""
+    usable = F.abs("change").between(least_move, most_move)
+    change = F.when(usable, F.col("change"))
+    return ranked.select("profile", "id", "below", change.alias("change"), F.when(change > 0, "up").when(change < 0, "down").alias("direction"))

@@ -358,3 +358,42 @@ def scope_rules(spark, d):
         "k", scope.structured_or_extracted("s", "x", "c").alias("rooms"), scope.elevator_allowed("e", True).alias("elevator"), scope.not_rejected("f").alias("wanted"),
         linkage.type_conflict(F.lit("piso"), other, k % 11 == 0).alias("other_kind"), scoring.cold_start(F.col("v"), F.col("p")).alias("cold"),
     )
+
+
+CARDS_SQL = """WITH pr AS (SELECT s_suppkey AS profile_id, TIMESTAMP '1994-01-01' + to_days((s_suppkey * 37 % 1000)::INT) AS anchor, CASE WHEN s_suppkey % 4 > 0 THEN 8 + s_suppkey % 5 END AS rent FROM supplier),
+st AS (SELECT DISTINCT l_suppkey AS profile_id, l_partkey AS property_id, CASE WHEN (l_partkey + l_suppkey) % 11 > 0 THEN round((l_partkey * 31 + l_suppkey) % 997 / 1000::DOUBLE, 3) END AS score, CASE WHEN l_partkey % 3 = 0 THEN 'cold_start' ELSE 'trained' END AS score_kind, nullif(p_size % 40, 0) AS m2
+  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_partkey % 7 > 0),
+li AS (SELECT l_partkey AS property_id, l_orderkey % 5 AS source, l_returnflag = 'N' AS active, l_returnflag = 'N' AND l_linestatus = 'O' AS active_sale, l_extendedprice / l_quantity AS price, l_shipdate AS first_seen, CASE WHEN l_linenumber % 3 > 0 THEN 'p' || l_orderkey || '-' || l_linenumber END AS photo FROM lineitem),
+pe AS (SELECT property_id, min(price) FILTER (WHERE active_sale) AS price, min(first_seen) FILTER (WHERE source <> 3) AS first_seen, min(struct_pack(s := source, p := photo)) FILTER (WHERE active AND photo IS NOT NULL) AS ph FROM li GROUP BY property_id),
+fb AS (SELECT profile_id, property_id, arg_max(kind, {'t': ts, 'e': event_id}) AS kind FROM (SELECT user_id % (SELECT count(*) FROM supplier) + 1 AS profile_id, event_id % (SELECT count(*) FROM part) + 1 AS property_id, ['accept', 'reject', 'star', 'clear'][event_id // 7 % 4 + 1] AS kind, ts, event_id FROM events) GROUP BY ALL),
+m AS (SELECT st.*, pe.price, pe.first_seen, pe.ph.p AS photo, fb.kind, anchor, rent, o.c IS NOT NULL AS flag FROM st JOIN pr USING (profile_id) LEFT JOIN pe USING (property_id) LEFT JOIN fb USING (profile_id, property_id) LEFT JOIN (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderpriority = '1-URGENT') o ON o.c = st.property_id),
+g AS (SELECT profile_id, count(*) AS matched_count, count(*) FILTER (WHERE first_seen > anchor AND kind IS DISTINCT FROM 'reject') AS new_count, min(price) AS min_price, quantile_cont(price, 0.5) AS median_price, max(price) AS max_price, count(*) FILTER (WHERE score_kind = 'cold_start') AS cold_start_count,
+  count(*) FILTER (WHERE score_kind = 'trained') AS trained_count, quantile_cont(rent * 12 * m2 / price * 100, 0.5) FILTER (WHERE price > 0 AND m2 > 0) AS yield_median, count(*) FILTER (WHERE flag) AS flagged_count FROM m GROUP BY profile_id),
+v AS (SELECT profile_id, count(*) FILTER (WHERE kind = 'accept') AS accepted_count, count(*) FILTER (WHERE kind = 'reject') AS rejected_count FROM fb GROUP BY profile_id),
+b AS (SELECT profile_id, string_agg(property_id || ':' || coalesce(photo, '-'), ',' ORDER BY rn) AS thumbnails FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC NULLS LAST, property_id DESC) AS rn FROM m) WHERE rn <= 4 GROUP BY profile_id)
+SELECT pr.profile_id, coalesce(matched_count, 0)::BIGINT AS matched_count, coalesce(new_count, 0)::BIGINT AS new_count, coalesce(accepted_count, 0)::BIGINT AS accepted_count, coalesce(rejected_count, 0)::BIGINT AS rejected_count, round(min_price, 4) AS min_price, round(median_price, 4) AS median_price, round(max_price, 4) AS max_price,
+  coalesce(cold_start_count, 0)::BIGINT AS cold_start_count, coalesce(trained_count, 0)::BIGINT AS trained_count, round(yield_median, 4) AS yield_median, coalesce(flagged_count, 0)::BIGINT AS flagged_count, thumbnails FROM pr LEFT JOIN g USING (profile_id) LEFT JOIN v USING (profile_id) LEFT JOIN b USING (profile_id)"""
+
+
+@query("profile_cards", CARDS_SQL)
+def profile_cards(spark, d):
+    """Suppliers as profiles over the parts they have: counts, prices, yields, flags and pictures, each profile by its own anchor."""
+    k, s, line = F.col("l_partkey"), F.col("l_suppkey"), table(spark, d, "lineitem")
+    sk = F.col("s_suppkey")
+    profiles = table(spark, d, "supplier").select(sk.alias("profile_id"), (F.expr("TIMESTAMP_NTZ '1994-01-01 00:00:00'") + F.make_dt_interval((sk * 37 % 1000).cast("int"))).alias("anchor"), F.when(sk % 4 > 0, 8 + sk % 5).alias("rent"))
+    sizes = table(spark, d, "part").select(F.col("p_partkey").alias("property_id"), F.nullif(F.col("p_size") % 40, F.lit(0)).alias("m2"))
+    states = line.filter("l_partkey % 7 > 0").select(s.alias("profile_id"), k.alias("property_id")).distinct().join(sizes, "property_id")
+    number, owner = F.col("property_id"), F.col("profile_id")
+    score = F.when((number + owner) % 11 > 0, F.round((number * 31 + owner) % 997 / 1000, 3))
+    states = states.withColumns({"matched": F.lit(True), "score": score, "score_kind": F.when(number % 3 == 0, "cold_start").otherwise("trained")})
+    photo = F.when(F.col("l_linenumber") % 3 > 0, F.concat(F.lit("p"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")))
+    active = F.col("l_returnflag") == "N"
+    listings = line.select(k.alias("property_id"), (F.col("l_orderkey") % 5).alias("source"), active.alias("active"), (active & (F.col("l_linestatus") == "O")).alias("active_sale"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_shipdate").alias("first_seen"), F.array(F.lit(None).cast("string"), photo).alias("photos"))
+    n_profiles, n_properties = table(spark, d, "supplier").count(), table(spark, d, "part").count()
+    kinds = F.array(*map(F.lit, ("accept", "reject", "star", "clear")))
+    events = table(spark, d, "events").select((F.col("user_id") % n_profiles + 1).alias("profile_id"), (F.col("event_id") % n_properties + 1).alias("property_id"), kinds[(F.floor(F.col("event_id") / 7) % 4).cast("int")].alias("kind"), "ts", "event_id")
+    feedback = events.groupBy("profile_id", "property_id").agg(F.max_by("kind", F.struct("ts", "event_id")).alias("kind"))
+    flagged = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("property_id"))
+    cards = selection.profile_cards(profiles, states, listings, spark.createDataFrame([(3,)], "source long"), feedback, flagged)
+    rounded = {c: F.round(c, 4) for c in ("min_price", "median_price", "max_price", "yield_median")}
+    return cards.withColumns(rounded | {"thumbnails": F.array_join(F.transform("thumbnails", lambda x: F.concat_ws(":", x["property_id"].cast("string"), F.coalesce(x["photo"], F.lit("-")))), ",")})

@@ -105,7 +105,7 @@ def test_hash_bands_find_ten_flips(spark):
         b = (a & (2**64 - 1)) ^ flips
         pairs.append(([a], [b - 2**64 if b >= 2**63 else b]))
     df = spark.createDataFrame(pairs, "a array<long>, b array<long>")
-    assert all(df.filter(F.arrays_overlap(linkage.hash_keys(F.col("a")[0], n), linkage.hash_keys(F.col("b")[0], n))).count() == 50 for n in (12, 13))
+    assert all(df.filter(F.arrays_overlap(linkage.hash_keys(F.col("a")[0], n), linkage.hash_keys(F.col("b")[0], n))).count() == 50 for n in (12, 13, 14, 16))
 
 
 LISTING = "listing_id long, property_id long, source string, agency string, kind string, cadastral string, code string, address string, floor string, lat double, lon double, m2 double, price double, rooms int, phones array<string>, hashes array<long>"
@@ -306,10 +306,19 @@ def test_near_hashes_equal_all_pairs(spark):
         values.add(x - 2**64 if x >= 2**63 else x)
     want = {(a, b) for a in values for b in values if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 10}
     df = spark.createDataFrame([(h,) for h in values] * 2, "hash long")
-    for segments in (12, 13):
+    for segments in (12, 13, 14, None):
         assert {tuple(r) for r in linkage.near_hashes(Workspace(spark, "test"), df, segments).collect()} == want and len(want) > 100
 
 
+def test_compared_pairs_grow_slower_than_all_pairs(spark):
+    """Keys that random hashes share are as many as foreseen, and the work for one hash grows with the root of their number."""
+    df = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    met = df.select(F.explode(linkage.hash_keys(F.col("h"))).alias("key")).groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
+    assert abs(met / linkage.comparisons(20_000, linkage.SEGMENTS) - 1) < 0.05
+    work = lambda n: linkage.KEY_COST * linkage.comb(linkage.segments_for(n), 10) + linkage.comparisons(n, linkage.segments_for(n)) / n
+    assert all(work(10 ** (i + 1)) < 3.6 * work(10**i) for i in range(4, 8))
+
+
 def test_pairs_of_the_whole_catalogue(spark, tmp_path):
     draw = random.Random(3)
     rows = [(part, draw.randrange(8)) for part in range(1, 60) for _ in range(6)]
