@@ -260,3 +260,40 @@ def market_signals(ranked: DataFrame, least_move: float, most_move: float) -> Da
     usable = F.abs("change").between(least_move, most_move)
     change = F.when(usable, F.col("change"))
     return ranked.select("profile", "id", "below", change.alias("change"), F.when(change > 0, "up").when(change < 0, "down").alias("direction"))
+
+
+#: Rows that a section of a digest shows at most. (Fixed value.)
+SECTION_LIMIT = 25
+
+
+def digest_anchors(profiles: DataFrame, runs: DataFrame, kind: str, now: Column) -> DataFrame:
+    """profile, since: the newest run of a kind that was sent, else a day before ``now``. runs: profile, kind, sent, at."""
+    last = runs.filter((F.col("kind") == kind) & F.col("sent")).groupBy("profile").agg(F.max("at").alias("_at"))
+    return profiles.select("profile").join(last, "profile", "left").select("profile", F.coalesce("_at", now - F.expr("INTERVAL 1 DAY")).alias("since"))
+
+
+def digest_sections(matched: DataFrame, anchors: DataFrame, moves: DataFrame, status: DataFrame, relisted: DataFrame, limit: int = SECTION_LIMIT) -> DataFrame:
+    """profile, section (drop, status, relisted), place, property_id, at, value of each profile's digest since its anchor.
+
+    matched: profile, property_id; moves: property_id, listing, at, price, previous; status: property_id, listing, at, status;
+    relisted: property_id, relisted_at, fall. Drops and changes come newest first; of properties withdrawn since the anchor the
+    first ``limit`` by id are looked at, and those that came back cheaper shown by fall.
+    """
+    pool = matched.join(anchors, "profile")
+
+    def section(rows: DataFrame, name: str, order: tuple[Column, ...], value: Column, at: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("profile").orderBy(*order))
+        return rows.withColumn("place", place).filter(F.col("place") <= limit).select("profile", F.lit(name).alias("section"), "place", "property_id", F.col(at).alias("at"), value.cast("double").alias("value"))
+
+    since = F.col("at") >= F.col("since")
+    newest = (F.desc("at"), F.asc("property_id"), F.asc("listing"))
+    drops = pool.join(moves.filter("price < previous"), "property_id").filter(since)
+    changes = pool.join(status.filter(F.col("status").isin("sold", "withdrawn")), "property_id").filter(since)
+    gone = pool.join(status.filter(F.col("status").isin("withdrawn", "expired")), "property_id").filter(since).select("profile", "property_id").distinct()
+    looked = gone.withColumn("_n", F.row_number().over(Window.partitionBy("profile").orderBy("property_id"))).filter(F.col("_n") <= limit).drop("_n")
+    back = looked.join(relisted, "property_id")
+    return (
+        section(drops, "drop", newest, (F.col("previous") - F.col("price")) / F.col("previous"), "at")
+        .unionByName(section(changes, "status", (*newest, F.asc("status")), F.when(F.col("status") == "sold", 1).otherwise(0), "at"))
+        .unionByName(section(back, "relisted", (F.desc("fall"), F.asc("property_id")), F.col("fall"), "relisted_at"))
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessaria.functions.geo import great_circle_km
-from tessaria.operators import keyed, market, scope
+from tessaria.operators import keyed, market, scope, selection
 from tessaria.operators.joins import as_of_join, interval_join
 from tessaria.plans.registry import AS_OF, LINE_ORDER, LINE_ORDER_SQL, PARTS_SQL, events, km_sql, parts, query
 from tessaria.session import table
@@ -234,29 +234,63 @@ def relisted_lower(spark, d):
     return pairs.withColumn("drop", drop).filter("drop >= 0.05").groupBy("l.l_partkey").agg(F.round(F.max("drop"), 6).alias("best_drop"), F.count("*").alias("n"))
 
 
-@query(
-    "relisted_as_of",
-    """WITH h AS (SELECT l_partkey, l_suppkey, l_shipdate AS t, min(l_extendedprice / l_quantity) AS price FROM lineitem WHERE l_quantity > 0 GROUP BY ALL),
+RELISTED_SQL = """WITH h AS (SELECT l_partkey, l_suppkey, l_shipdate AS t, min(l_extendedprice / l_quantity) AS price FROM lineitem WHERE l_quantity > 0 GROUP BY ALL),
 l AS (SELECT l_partkey, l_suppkey, min(t) + INTERVAL 20 DAY AS first_seen, arg_max(price, {'t': t, 'p': price}) AS current_price FROM h GROUP BY ALL),
 e AS (SELECT DISTINCT l_partkey, l_suppkey, o_orderdate AS t, o_orderstatus AS status FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 w AS (SELECT e.l_partkey, e.t, coalesce(h.price, l.current_price) AS was FROM (FROM e WHERE status = 'F') e JOIN l USING (l_partkey, l_suppkey) ASOF LEFT JOIN h ON h.l_partkey = e.l_partkey AND h.l_suppkey = e.l_suppkey AND e.t >= h.t),
 a AS (SELECT l_partkey, l_suppkey, first_seen AS t FROM l UNION SELECT l_partkey, l_suppkey, t FROM e WHERE status = 'O'),
 r AS (SELECT a.l_partkey, a.t, coalesce(h.price, l.current_price) AS now FROM a JOIN l USING (l_partkey, l_suppkey) ASOF LEFT JOIN h ON h.l_partkey = a.l_partkey AND h.l_suppkey = a.l_suppkey AND a.t <= h.t),
-p AS (SELECT w.l_partkey, w.t AS withdrawn_at, was, r.t AS relisted_at, now, (was - now) / was AS fall FROM w JOIN r ON r.l_partkey = w.l_partkey AND r.t > w.t AND r.t <= w.t + INTERVAL 90 DAY WHERE was > 0 AND now > 0)
-SELECT l_partkey, round(max(fall), 8) AS fall, count(*)::BIGINT AS n FROM p WHERE fall >= 0.05 GROUP BY l_partkey""",
-)
-def relisted_as_of(spark, d):
-    """Withdrawn and back within 90 days for 5 % less or more: prices as they stood at the withdrawal (the last before it) and
-    at the return (the first after it), else the current price. Parts are properties, suppliers their listings."""
+p AS (SELECT w.l_partkey, w.t AS withdrawn_at, was, r.t AS relisted_at, now, (was - now) / was AS fall FROM w JOIN r ON r.l_partkey = w.l_partkey AND r.t > w.t AND r.t <= w.t + INTERVAL 90 DAY WHERE was > 0 AND now > 0)"""
+
+
+def _market(spark, d):
+    """Parts as properties and suppliers as their listings: listings, status events, price history."""
     keys = ("l_partkey", "l_suppkey")
     line = table(spark, d, "lineitem")
     history = line.filter("l_quantity > 0").groupBy(*keys, F.col("l_shipdate").alias("at")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     listings = history.groupBy(*keys).agg((F.min("at") + F.expr("INTERVAL 20 DAYS")).alias("first_seen"), F.max_by("price", F.struct("at", "price")).alias("current_price"))
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("at"), F.col("o_orderstatus").alias("status"))
     status = line.select(*keys, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(*keys, "at", "status").distinct()
+    return keys, listings, status, history
+
+
+@query("relisted_as_of", RELISTED_SQL + " SELECT l_partkey, round(max(fall), 8) AS fall, count(*)::BIGINT AS n FROM p WHERE fall >= 0.05 GROUP BY l_partkey")
+def relisted_as_of(spark, d):
+    """Withdrawn and back within 90 days for 5 % less or more: prices as they stood at the withdrawal (the last before it) and
+    at the return (the first after it), else the current price."""
+    keys, listings, status, history = _market(spark, d)
     return market.relisted_lower(listings, status, history, keys, "l_partkey", gone=("F",), back=("O",)).select("l_partkey", F.round("fall", 8).alias("fall"), "n")
 
 
+@query(
+    "profile_digest",
+    RELISTED_SQL
+    + """, an AS (SELECT k AS profile, coalesce((SELECT max(ts) FROM events WHERE event_type = 'purchase' AND event_id % 3 > 0 AND user_id % 6 = k AND k < 5) - INTERVAL 27 YEAR, TIMESTAMP '1997-05-31') AS since FROM range(6) r(k)),
+mv AS (SELECT l_partkey, l_suppkey, t, price, lag(price) OVER (PARTITION BY l_partkey, l_suppkey ORDER BY t) AS previous FROM h),
+st AS (SELECT l_partkey, l_suppkey, t, CASE status WHEN 'F' THEN 'withdrawn' WHEN 'P' THEN 'sold' ELSE 'active' END AS status FROM e),
+rl AS (SELECT l_partkey, max(fall) AS fall, arg_min(relisted_at, {'a': -fall, 'b': withdrawn_at, 'c': relisted_at}) AS back FROM p WHERE fall >= 0.05 GROUP BY l_partkey),
+d1 AS (SELECT profile, 'drop' AS section, row_number() OVER (PARTITION BY profile ORDER BY t DESC, l_partkey, l_suppkey) AS place, l_partkey AS property_id, t AS day, (previous - price) / previous AS value FROM mv JOIN an ON profile = l_partkey % 6 WHERE price < previous AND t >= since),
+d2 AS (SELECT profile, 'status', row_number() OVER (PARTITION BY profile ORDER BY t DESC, l_partkey, l_suppkey, status), l_partkey, t, (status = 'sold')::INT FROM st JOIN an ON profile = l_partkey % 6 WHERE status <> 'active' AND t >= since),
+lk AS (SELECT profile, l_partkey, row_number() OVER (PARTITION BY profile ORDER BY l_partkey) AS rn FROM (SELECT DISTINCT profile, l_partkey FROM st JOIN an ON profile = l_partkey % 6 WHERE status = 'withdrawn' AND t >= since)),
+d3 AS (SELECT profile, 'relisted', row_number() OVER (PARTITION BY profile ORDER BY fall DESC, l_partkey), l_partkey, back, fall FROM lk JOIN rl USING (l_partkey) WHERE rn <= 25)
+SELECT profile, section, place::INTEGER AS place, property_id, day, round(value, 8) AS value FROM (FROM d1 UNION ALL FROM d2 UNION ALL FROM d3) WHERE place <= 25""",
+)
+def profile_digest(spark, d):
+    """Each profile's digest since its own last one that was sent (profile 5 never had one): price drops, changes of status, and
+    what came back cheaper."""
+    keys, listings, status, history = _market(spark, d)
+    relisted = market.relisted_lower(listings, status, history, keys, "l_partkey", gone=("F",), back=("O",)).withColumnRenamed("l_partkey", "property_id")
+    named = {"l_partkey": "property_id", "l_suppkey": "listing"}
+    moves = keyed.moves(history, list(keys), [F.col("at")], "price").withColumnsRenamed(named)
+    kinds = F.when(F.col("status") == "F", "withdrawn").when(F.col("status") == "P", "sold").otherwise("active")
+    e = table(spark, d, "events")
+    runs = e.filter("user_id % 6 < 5").select((F.col("user_id") % 6).alias("profile"), F.when(F.col("event_type") == "purchase", "digest").otherwise("other").alias("kind"), (F.col("event_id") % 3 > 0).alias("sent"), (F.col("ts") - F.expr("INTERVAL 27 YEARS")).alias("at"))
+    anchors = selection.digest_anchors(spark.range(6).withColumnRenamed("id", "profile"), runs, "digest", F.expr("TIMESTAMP_NTZ '1997-06-01 00:00:00'"))
+    matched = table(spark, d, "part").select((F.col("p_partkey") % 6).alias("profile"), F.col("p_partkey").alias("property_id"))
+    out = selection.digest_sections(matched, anchors, moves, status.withColumn("status", kinds).withColumnsRenamed(named), relisted)
+    return out.select("profile", "section", "place", "property_id", F.col("at").alias("day"), F.round("value", 8).alias("value"))
+
+
 @query(
     "price_as_of",
     """WITH h AS (SELECT l_partkey, l_shipdate, min(l_extendedprice / l_quantity) AS unit FROM lineitem GROUP BY ALL),
