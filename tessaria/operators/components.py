@@ -90,7 +90,6 @@ class MergedGroups:
         """Delivery ``number`` (in rising order) of links, under the vetoes (lo, hi) that hold now; pairs that a veto has parted
         after they were joined come apart when a delivery touches their component."""
         space = Workspace(self.spark, "groups")
-        vetoes = vetoes if vetoes is not None else self.spark.createDataFrame([], "lo long, hi long")
         new = space.write(links.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("confidence").alias("confidence")), "new")
         stored, kept = self.nodes.read(), self.links.read()
         named = lambda c: stored.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
@@ -99,9 +98,10 @@ class MergedGroups:
         old_links = kept.join(renamed, "component").select("a", "b", "confidence", F.col("_now").alias("component"))
         ends = new.join(named("a"), "a", "left").select("a", "b", "confidence", F.coalesce("_a", "a").alias("component")).join(renamed, "component").select("a", "b", "confidence", F.col("_now").alias("component"))
         every = space.write(old_links.unionByName(ends).groupBy("a", "b").agg(F.max("confidence").alias("confidence"), F.first("component").alias("component")), "every")
-        labels = ordered_components(space, every, vetoes)
         of_node = every.select(F.col("a").alias("node"), "component").union(every.select("b", "component")).distinct()
-        now = space.write(of_node.join(labels, "node").select("node", "component", "label"), "now")
+        # without vetoes a component is a group
+        named_now = of_node.withColumn("label", F.col("component")) if vetoes is None else of_node.join(ordered_components(space, every, vetoes), "node")
+        now = space.write(named_now.select("node", "component", "label"), "now")
         same = lambda table, df: df.join(table, df.columns, "left_anti")
         self.nodes.apply(same(stored, now), number, latest_wins(["node"]))
         self.links.apply(same(kept, every), number, latest_wins(["a", "b"]))
