@@ -30,7 +30,7 @@ from tessaria.llm.tokens import distinct, spread
 SPACE_MARK = "▁"
 SEED, SHARPNESS = 17, 1.0
 #: Code points of units that are sampled together, and the key of rows without one.
-SLICE, NO_KEY = 1 << 18, -(1 << 63)
+SLICE, STRIP, NO_KEY = 1_000_000, 1 << 18, -(1 << 63)
 TINY, LIFT = 2.0**-400, 2.0**400
 
 
@@ -108,7 +108,7 @@ def row_seeds(keys: np.ndarray, seed: int) -> np.ndarray:
 
 def sample(block: Block, keys: np.ndarray, model: Lattice, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all rows of a block, and per row the place of its first. Units are taken ``SLICE`` code points at a time,
-    longer ones in strips of that length, so memory grows with a text by its ids alone."""
+    those longer than ``STRIP`` alone and in strips of that length, so memory grows with a text by its ids alone."""
     points = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.flatnonzero((block.data & 0xC0) != 0x80)
     if len(lead) != len(points):
@@ -122,10 +122,13 @@ def sample(block: Block, keys: np.ndarray, model: Lattice, seed: int = SEED) ->
     stop = np.concatenate((start[1:], [len(points)]))
     row = np.searchsorted(rows_at, start, "right") - 1
     seeds, origin = row_seeds(keys, seed)[row], start - rows_at[row]
+    long = np.append(np.flatnonzero(stop - start > STRIP), len(start))
     found, lo = [], 0
     while lo < len(start):
         hi = max(lo + 1, int(np.searchsorted(stop, start[lo] + SLICE, "right")))
-        if stop[lo] - start[lo] > SLICE:
+        hi = min(hi, int(long[np.searchsorted(long, lo, "right")]))
+        if stop[lo] - start[lo] > STRIP:
+            hi = lo + 1
             found.append(sample_long(points, int(start[lo]), int(stop[lo]), seeds[lo], int(origin[lo]), model))
         else:
             found.append(sample_units(points, start[lo:hi], stop[lo:hi], seeds[lo:hi], origin[lo:hi], model))
@@ -226,7 +229,7 @@ def sample_long(points: np.ndarray, start: int, stop: int, seed: np.uint64, orig
     """``sample_units`` for one unit of any length: forward once, keeping the sums at the strips' bounds alone, then backward
     strip by strip, each made again from its bound."""
     unit, n = points[start:stop], stop - start
-    bounds = [*range(0, n, SLICE), n]
+    bounds = [*range(0, n, STRIP), n]
     before = np.zeros(model.longest)
     before[0] = 1.0
     held = [before]

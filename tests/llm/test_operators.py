@@ -642,7 +642,7 @@ def test_long_units_in_strips(monkeypatch, slice_):
     model = pieces.lattice(pieces.vocabulary())
     block = next(blocks(pa.array(texts), 1 << 22))
     whole = pieces.sample(block, np.arange(len(texts)), model)
-    monkeypatch.setattr(pieces, "SLICE", slice_)
+    monkeypatch.setattr(pieces, "STRIP", slice_)
     parts = pieces.sample(block, np.arange(len(texts)), model)
     assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
 
