@@ -103,7 +103,8 @@ class _Failures(StatefulProcessor):
 
 def failures(stream: DataFrame, key: str, failed: str, tie: str, days: int) -> DataFrame:
     """key, failures in a row in order of time and ``tie``, gone (``days`` of event time passed without a row)."""
-    rows = stream.withWatermark("at", LATE).select(key, "at", F.col(tie).alias("tie"), F.col(failed).alias("failed"))
+    second = F.unix_micros("at") if tie == "at" else F.col(tie)  # the event time itself may stand once alone
+    rows = stream.withWatermark("at", LATE).select(key, "at", second.alias("tie"), F.col(failed).alias("failed"))
     return rows.groupBy(key).transformWithStateInPandas(_Failures(key, days * DAY_MS), f"{key} long, failures long, gone boolean", "update", "eventTime")
 
 
