@@ -127,7 +127,7 @@ UNION ALL SELECT 'requeue', user_id::VARCHAR, date_trunc('hour', ts)::TIMESTAMP,
 UNION ALL SELECT 'pass', NULL, date_trunc('day', ts)::TIMESTAMP, max(ts), count(DISTINCT user_id)::VARCHAR, min(event_id) FROM events GROUP BY date_trunc('day', ts)
 UNION ALL SELECT 'manual', user_id::VARCHAR, ts, NULL, 'requested', event_id FROM events WHERE event_type = 'purchase' AND value > 40
 UNION ALL SELECT 'state', user_id::VARCHAR, ts, NULL, CASE WHEN event_type = 'view' THEN 'resurrected' ELSE event_type END, event_id FROM st WHERE event_type <> 'view' OR before <> 'view')
-SELECT kind, source, t, t_end, status, id FROM (SELECT DISTINCT * FROM a) ORDER BY t DESC, kind, id, source, status LIMIT 400""",
+SELECT kind, source, t, t_end, status, id FROM a ORDER BY t DESC, kind, id, source, status LIMIT 400""",
 )
 def activity_feed(spark, d):
     """The newest 400 of eight kinds of activity: orders and lines as crawls, sessions, hours without a purchase as sweeps without
@@ -150,8 +150,8 @@ def activity_feed(spark, d):
         shape(e.filter("event_type = 'purchase' AND value > 40"), "manual", user, "ts", None, F.lit("requested"), F.col("event_id")),
         shape(states, "state", user, "ts", None, F.when(F.col("event_type") == "view", "resurrected").otherwise(F.col("event_type")), F.col("event_id")),
     ]
-    feed = reduce(DataFrame.unionByName, kinds).distinct()
-    return feed.orderBy(F.desc("t"), "kind", "id", "source", "status").limit(400)
+    newest = lambda df: df.orderBy(F.desc("t"), "kind", "id", "source", "status").limit(400)
+    return newest(reduce(DataFrame.unionByName, map(newest, kinds)))  # of each kind first, so little is shuffled
 
 
 @query("prev_activity_day", "SELECT max(day)::DATE AS day FROM (SELECT o_orderdate::DATE AS day FROM orders UNION ALL SELECT l_shipdate::DATE FROM lineitem UNION ALL SELECT ts::DATE FROM events) WHERE day < DATE '2024-01-15'")
