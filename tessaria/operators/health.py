@@ -74,12 +74,24 @@ def worst_of(df: DataFrame, key: str) -> DataFrame:
 
 
 def z_anomaly(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Newest value against the population deviation of those before it (four or more, not all equal)."""
-    newest = df.groupBy(key).agg(F.max_by(value, order).alias("current"), F.max(order).alias("_last"))
-    rows = df.join(newest, key)
-    history = rows.filter(F.col(order) < F.col("_last")).groupBy(key).agg(F.first("current").alias("current"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.count("*").alias("h"))
+    """Newest value against the population deviation of those before it (four or more, not all equal). The deviation is summed
+    up in one fixed order, newest first, so a z of exactly the limit comes out alike in every run; a key has one value a
+    period (days), so its history is short."""
+    line = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))), asc=False)
+    rows = df.filter(F.col(order).isNotNull()).groupBy(key).agg(F.max_by(value, order).alias("current"), F.max(order).alias("_last"), line.alias("_line"))
+    history = F.transform(F.filter("_line", lambda x: x["o"] < F.col("_last")), lambda x: x["v"])
+    known = F.filter("_past", lambda v: v.isNotNull())
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(s: Column, v: Column) -> Column:
+        mean = s["mean"] + (v - s["mean"]) / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), mean.alias("mean"), (s["m2"] + (v - mean) * (v - s["mean"])).alias("m2"))
+
+    total = F.aggregate(known, F.lit(0.0), lambda s, v: s + v)
+    rows = rows.withColumn("_past", history).withColumns({"_s": F.aggregate(known, start, step), "mean": F.try_divide(total, F.size(known)), "h": F.size("_past")})
+    rows = rows.withColumn("sd", F.sqrt(F.try_divide(F.col("_s.m2"), F.col("_s.n"))))
     z = (F.col("current") - F.col("mean")) / F.col("sd")
-    return history.filter((F.col("h") >= Z_HISTORY) & (F.col("sd") > 0)).select(key, F.round(z, 5).alias("z"), (F.abs(z) > Z_LIMIT).alias("anomaly"))
+    return rows.filter((F.col("h") >= Z_HISTORY) & (F.col("sd") > 0)).select(key, F.round(z, 5).alias("z"), (F.abs(z) > Z_LIMIT).alias("anomaly"))
 
 
 def distribute(df: DataFrame, group: str, term: str, weight: str, total: int) -> DataFrame:
