@@ -55,10 +55,11 @@ def trainable(df: DataFrame, profile: str, label: str) -> DataFrame:
     return counted.filter((F.col("n") >= LEAST_LABELS) & (F.col("_p") > 0) & (F.col("_p") < F.col("n"))).drop("_p")
 
 
-def gradient_models(df: DataFrame, profile: str, features: Sequence[str], label: str, steps: int = STEPS, written_every: int = 10) -> DataFrame:
+def gradient_models(df: DataFrame, profile: str, features: Sequence[str], label: str, steps: int = STEPS, written_every: int = 1) -> DataFrame:
     """profile, n, bias, weights after ``steps`` of ``descend`` for all profiles at once. A step is one aggregate: the errors of
     all labels under their profile's weights, summed by profile in partial sums, and weights moved by the sums; no task has
-    all labels of a profile. Weights are written every few steps, so a lost executor repeats few."""
+    all labels of a profile. Weights are written at each step (or every few), so the next one reads a small table whose size Spark knows
+    and joins it without a sort of the labels by profile."""
     space = Workspace(df.sparkSession, "gradient")
     rows = space.write(df.select(F.col(profile).alias("profile"), F.array(*(F.col(c).cast("double") for c in features)).alias("x"), F.col(label).cast("double").alias("y")), "labels")
     zero = F.array(*(F.lit(0.0) for _ in features))
