@@ -45,6 +45,17 @@ def pairs_of_group(df: DataFrame, group: str, member: str) -> DataFrame:
     return pairs.select(F.least(f"a.{member}", f"b.{member}").alias("lo"), F.greatest(f"a.{member}", f"b.{member}").alias("hi"), f"a.{group}")
 
 
+def pair_counts(df: DataFrame, group: str, member: str, least: int) -> DataFrame:
+    """lo, hi, n, top: members that share ``least`` groups or more, how many, and the greatest of these. Each group is one row: a
+    member goes on with all greater ones beside it in one array, dealt by the member, so pairs are made where they are counted
+    and none is shuffled as a row of its own."""
+    own = df.filter(F.col(group).isNotNull() & F.col(member).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_set(member)).alias("_all"))
+    beside = own.select(group, "_all", F.posexplode("_all").alias("_at", "lo")).filter(F.col("_at") + 1 < F.size("_all"))
+    dealt = beside.select("lo", group, F.slice("_all", F.col("_at") + 2, F.size("_all")).alias("_more")).repartition("lo")
+    pairs = dealt.select("lo", F.explode("_more").alias("hi"), group)
+    return pairs.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.max(group).alias("top")).filter(F.col("n") >= least)
+
+
 def day_buckets(df: DataFrame, key: str, ts: str, as_of: str, value: Column, days: int = 7) -> DataFrame:
     """Counts d0 .. d6 of the days before ``as_of`` and the sum of 30 days, in one pass."""
     t = F.col(ts)

@@ -22,9 +22,7 @@ SELECT lo, hi, count(*)::BIGINT AS n, max(l_partkey) AS top FROM p GROUP BY lo,
 @query("unordered_pairs", PAIRS_SQL)
 def unordered_pairs(spark, d):
     """Suppliers that share 12 parts or more of the whole catalogue."""
-    s = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    pairs = health.pairs_of_group(s, "l_partkey", "l_suppkey")
-    return pairs.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.max("l_partkey").alias("top")).filter("n >= 12")
+    return health.pair_counts(table(spark, d, "lineitem"), "l_partkey", "l_suppkey", 12)
 
 
 @query(
