@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 
 from tessaria.functions import text
 from tessaria.sources import connectors
-from tessaria.streaming.jobs import queue_worker
+from tessaria.streaming.jobs import claims_worker, queue_worker
 
 #: A claim's rows. (Fixed value.)
 BATCH = 10
 
 
-def outcomes(captures: DataFrame, result_page: Column, gone: Column) -> DataFrame:
+def outcomes(captures: DataFrame, result_page: Column, gone: Column, *more: str) -> DataFrame:
     """capture_id, status, source, external_id, reason, raw, sighted (external_ids) of captures (capture_id, url, html, at).
     ``result_page`` tells result pages by address, ``gone`` a listing's page that is a notice; the first rule that holds
-    decides, in the order unknown or result page, challenge, notice, no payload, done."""
+    decides, in the order unknown or result page, challenge, notice, no payload, done. ``more`` columns go along."""
     rows = connectors.parse_pages(captures).withColumns({"portal": connectors.portal_of(F.col("url")), "results": F.coalesce(result_page, F.lit(False))})
     detail = F.col("external_id").isNotNull() & ~F.col("results")
     status = (
@@ -36,7 +36,7 @@ def outcomes(captures: DataFrame, result_page: Column, gone: Column) -> DataFram
     sighted = F.when(F.col("status") == "listing", connectors.linked_ids(F.col("url"), F.coalesce("html", F.lit("")))).otherwise(F.array().cast("array<string>"))
     own = F.when(F.col("status") == "listing", F.lit(None)).otherwise(F.col("external_id"))
     done = F.when(F.col("status") == "done", F.col("raw"))
-    return rows.withColumn("status", status).select("capture_id", "at", "url", "status", F.coalesce("source", "portal").alias("source"), own.alias("external_id"), reason.alias("reason"), done.alias("raw"), sighted.alias("sighted"))
+    return rows.withColumn("status", status).select("capture_id", "at", "url", "status", F.coalesce("source", "portal").alias("source"), own.alias("external_id"), reason.alias("reason"), done.alias("raw"), sighted.alias("sighted"), *more)
 
 
 def sightings(found: DataFrame) -> DataFrame:
@@ -53,5 +53,10 @@ def work(spark: SparkSession, queue: DataFrame, folder: str, result_page: Column
     def handle(rows: DataFrame, claim: str) -> None:
         outcomes(rows, result_page, gone).write.mode("overwrite").parquet(f"{folder}/outcomes/claim={claim}")
 
-    queue_worker(queue, handle, f"{folder}/checkpoint", batch).awaitTermination()
+    def handle_all(rows: DataFrame) -> None:
+        # whole claims: overwriting them writes the same again
+        outcomes(rows, result_page, gone, "claim").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("claim").parquet(f"{folder}/outcomes")
+
+    checkpoint = f"{folder}/checkpoint"
+    (claims_worker(queue, handle_all, checkpoint, batch) if batch else queue_worker(queue, handle, checkpoint)).awaitTermination()
     return spark.read.parquet(f"{folder}/outcomes").drop("claim")

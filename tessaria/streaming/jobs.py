@@ -92,6 +92,20 @@ def queue_worker(stream: DataFrame, handle: Callable[[DataFrame, str], None], ch
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def claims_worker(stream: DataFrame, handle: Callable[[DataFrame], None], checkpoint: str, batch: int):
+    """``queue_worker`` for handlers that can take all claims of a micro-batch in one job: ``handle`` gets its rows with their
+    ``claim``, the name that ``queue_worker`` gives the same rows, each claim in one task. So a job is paid for once a
+    micro-batch, not once a claim, and no claim reads the others' rows."""
+
+    def work(df: DataFrame, i: int) -> None:
+        names = df.columns
+        turns = numbered(df.withColumn("_row", F.xxhash64(*names)), (F.asc("at"), F.asc("_row")), "_turn")
+        claim = F.concat_ws("-", F.lit(f"{i}"), F.floor((F.col("_turn") - 1) / batch).cast("string"))
+        handle(turns.select(*names, claim.alias("claim")).repartition("claim"))
+
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_to_table(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     """Runs a stream to the end of its input and gives its results, which each trigger writes to a part of ``folder`` (a
     replayed trigger writes its part again). ``complete``: those of the last trigger; else those of all."""
