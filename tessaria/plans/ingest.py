@@ -77,15 +77,18 @@ SELECT coalesce(n.l_partkey, o.l_partkey) AS l_partkey, coalesce(n.l_suppkey, o.
 def write_path(spark, d):
     """Two deliveries to a keyed table, a sweep that missed what the second lacks, and both deliveries once more."""
     keys = ["l_partkey", "l_suppkey"]
-    odd = lambda k, c: F.when(F.col("l_orderkey") % k == 0, None).otherwise(F.col(c))
-    lines = table(spark, d, "lineitem").withColumns({"price": F.when(F.col("l_orderkey") % 10 != 0, F.col("l_extendedprice") / F.col("l_quantity")), "feature": odd(3, "l_linestatus"), "tags": F.when(F.col("l_orderkey") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("l_returnflag")), "photo": odd(5, "l_returnflag"), "seen": F.to_date("l_shipdate")})
-    order = ("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice")
-    newest = F.max_by(F.struct("price", "feature", "tags", "photo", "seen"), F.struct(*order))
-    delivery = lambda condition: lines.filter(condition).groupBy(*keys).agg(newest.alias("r")).select(*keys, "r.*")
+    # the columns of the order come first in the newest line, and its values are made once it is found
+    newest = F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_linestatus", "l_returnflag"))
+    odd = lambda k, c: F.when(F.col("r.l_orderkey") % k == 0, None).otherwise(F.col(f"r.{c}"))
+    price = F.when(F.col("r.l_orderkey") % 10 != 0, F.col("r.l_extendedprice") / F.col("r.l_quantity"))
+    tags = F.when(F.col("r.l_orderkey") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("r.l_returnflag"))
+    values = {"price": price, "feature": odd(3, "l_linestatus"), "tags": tags, "photo": odd(5, "l_returnflag"), "seen": F.to_date("r.l_shipdate")}
+    delivery = lambda condition: table(spark, d, "lineitem").filter(condition).groupBy(*keys).agg(newest.alias("r")).select(*keys, *(c.alias(n) for n, c in values.items()))
     first, second = delivery(f"l_shipdate < DATE '{SPLIT}'"), delivery(f"l_shipdate >= DATE '{SPLIT}'")
     columns = "l_partkey long, l_suppkey long, price double, feature string, tags array<string>, photo string, first_seen date, last_seen date, last_fetched date, missed int"
     kept = store.KeyedTable(spark, Workspace(spark, "listings").path, columns, keys, buckets=16)
     merge = store.canonical_merge(keys, "price", ["feature"], ["tags"], ["photo"])
+    first, second = kept.staged(first), kept.staged(second)
     kept.apply(first, 1, merge)
     kept.update(kept.read().join(second.select(*keys), keys, "left_anti").withColumn("missed", F.col("missed") + 1))
     kept.apply(second, 2, merge)
