@@ -7,14 +7,21 @@ Words are folded (lower case, no accents). ``stem`` is a light Spanish one that
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaria.functions.text import FOLD_FROM, FOLD_TO, fold
 
 _FOLD = str.maketrans(FOLD_FROM[: len(FOLD_TO)], FOLD_TO, FOLD_FROM[len(FOLD_TO) :])
+_BREAK, _NOTHING = 0, 1
+#: Endings of folded words and what stands for them, in order; "_" keeps the last rule off and is taken out at the end.
+_ENDINGS = (("eses$", "es_"), ("ces$", "z_"), ("^(.{3,})[aeo]s?$", r"\1"))
 
 
 def tokens(c: Column) -> Column:
@@ -48,14 +55,48 @@ def parse(query: str) -> list[list[tuple[bool, tuple[str, ...]]]]:
 def stem(word: Column) -> Column:
     """A folded word without its ending where three letters or more are left: -eses to -es, -ces to -z, and -as, -es, -os, -a,
     -e, -o off."""
-    cut = F.regexp_replace(F.regexp_replace(word, "eses$", "es_"), "ces$", "z_")
-    return F.replace(F.regexp_replace(cut, "^(.{3,})[aeo]s?$", "$1"), F.lit("_"), F.lit(""))
+    for ending, short in _ENDINGS:
+        word = F.regexp_replace(word, ending, short.replace("\\", "$"))
+    return F.replace(word, F.lit("_"), F.lit(""))
 
 
 def stemmed(word: str) -> str:
     """``stem`` of a query's word."""
-    cut = re.sub("ces$", "z_", re.sub("eses$", "es_", word))
-    return re.sub("^(.{3,})[aeo]s?$", r"\1", cut).replace("_", "")
+    for ending, short in _ENDINGS:
+        word = re.sub(ending, short, word)
+    return word.replace("_", "")
+
+
+def stems_of(words: pa.Array) -> pa.Array:
+    """``stem`` of an Arrow array of words."""
+    for ending, short in _ENDINGS:
+        words = pc.replace_substring_regex(words, ending, short)
+    return pc.replace_substring(words, "_", "")
+
+
+@cache
+def _letters() -> np.ndarray:
+    """By code point the letter or digit that ``fold`` makes of it, ``_BREAK`` for what parts words, ``_NOTHING`` for marks."""
+    table = np.zeros(0x110000, "u1")
+    for c, d in ({c: chr(c) for c in (*range(128), 0x212A)} | _FOLD).items():  # of other signs, Kelvin's alone has a plain lower case
+        folded = "" if d is None else (d if isinstance(d, str) else chr(d)).lower()
+        table[c] = _NOTHING if folded == "" else ord(folded) if re.fullmatch("[0-9a-z]", folded) else _BREAK
+    return table
+
+
+def words_of(texts: Sequence[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts one after another, as ``tokens`` has them, and the number of the text that each is of."""
+    line = "\n".join([*texts, ""])
+    letters = _letters()[np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")]
+    text = np.repeat(np.arange(len(texts), dtype="i4"), np.fromiter(map(len, texts), "i8", len(texts)) + 1)
+    there = letters != _NOTHING
+    if not there.all():
+        letters, text = letters[there], text[there]
+    within = letters != _BREAK
+    first = np.flatnonzero(within & ~np.concatenate([[False], within[:-1]]))
+    letters_before = np.concatenate([np.cumsum(within, dtype="i4")[first] - 1, [within.sum()]]).astype("i4")
+    words = pa.Array.from_buffers(pa.utf8(), len(first), [None, pa.py_buffer(letters_before), pa.py_buffer(letters[within])])
+    return words, text[first]
 
 
 def matches(text: Column, query: str, stems: bool = False) -> Column:

@@ -1,66 +1,93 @@
 """A maintained search index: positional postings of stemmed lexemes with weights, by segments.
 
 A document is several columns of text, each with a weight letter; their words are numbered through, column after column.
-The folder holds ``postings`` (segment, bucket of the lexeme; lexeme, key, and the places of the lexeme with their weights)
-and ``documents`` (a keyed table: key, hash of the texts, the segment that has its postings). ``update`` indexes only
-documents whose texts have changed, as a new segment; a posting is live while its document still names its segment, so
-what is replaced needs no rewriting, and a segment counts once the documents name it. ``compact`` writes live postings
-together. ``search`` opens the buckets of the query's lexemes alone: phrases meet by intersecting shifted places.
+The folder holds ``words`` (segment, bucket of the lexeme; lexeme, key, weight, and the places of the lexeme there) and
+``texts`` (a keyed table: key, hash of the texts, the segment that has its postings). ``update`` indexes only documents
+whose texts have changed, as a new segment; a posting is live while its document still names its segment, so what is
+replaced needs no rewriting, and a segment counts once the documents name it. ``compact`` writes live postings together.
+``search`` opens the buckets of the query's lexemes alone: phrases meet by intersecting shifted places.
+
+Postings are made document by document in Arrow batches, whose distinct words are stemmed once, and are shuffled once, to
+their buckets. A folder with ``postings`` and ``documents`` is of an earlier layout; it counts as empty and is indexed anew.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Collection, Mapping
+from collections.abc import Collection, Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaria.operators.search import parse, stem, stemmed, tokens
+from tessaria.operators.search import parse, stemmed, stems_of, words_of
 from tessaria.operators.store import KeyedTable, latest_wins
 from tessaria.operators.workspace import Workspace
 
-POSTING = "lexeme string, key long, places array<struct<at:int,weight:string>>"
+POSTING = "lexeme string, key long, weight string, at array<int>"
+#: Bytes of text that are worked on at once in a task, or one document where it is longer.
+BLOCK = 4 << 20
 
 
 def postings(docs: DataFrame, key: str, weighted: Mapping[str, Column]) -> DataFrame:
-    """lexeme, key, places (word number and weight, in order) of documents. Null texts have no words."""
-
-    def numbered(words: Column, weight: str, before: Column) -> Column:
-        return F.transform(words, lambda t, i: F.struct(t.alias("word"), (before + i).cast("int").alias("at"), F.lit(weight).alias("weight")))
-
-    places, before = [], F.lit(0)
-    for weight, text in weighted.items():
-        words = tokens(text)
-        places.append(numbered(words, weight, before))
-        before = before + F.size(words)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.explode(F.concat(*places)).alias("p")).select("key", stem(F.col("p.word")).alias("lexeme"), "p.at", "p.weight")
-    return rows.groupBy("lexeme", "key").agg(F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("places"))
+    """lexeme, key, weight, at (word numbers, in order) of documents. Null texts have no words."""
+    weights = pa.array(list(weighted), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0).to_numpy(), [c.to_pylist() for c in batch.columns[1:]]
+            sizes = np.sum([[len(t) for t in column] for column in texts], axis=0, dtype="i8")
+            block = (np.cumsum(sizes) - sizes) // BLOCK
+            bounds = [*np.flatnonzero(np.diff(block, prepend=-1)), len(keys)]
+            for start, end in zip(bounds, bounds[1:], strict=False):
+                yield _posted(keys[start:end], [t.decode("utf-8", "replace") for of_one in zip(*(c[start:end] for c in texts), strict=True) for t in of_one], weights)
+
+    texts = [F.coalesce(c, F.lit("")).cast("string").cast("binary").alias(f"text_{i}") for i, c in enumerate(weighted.values())]
+    return docs.select(F.col(key).cast("long").alias("key"), *texts).filter("key IS NOT NULL").mapInArrow(run, POSTING)
+
+
+def _posted(keys: np.ndarray, texts: list[str], weights: pa.Array) -> pa.RecordBatch:
+    """Postings by lexeme of documents, whose texts follow each other."""
+    words, text = words_of(texts)
+    coded = words.dictionary_encode()
+    lexemes = stems_of(coded.dictionary).dictionary_encode()
+    lexeme = lexemes.indices.to_numpy()[coded.indices.to_numpy()].astype("i8")
+    doc = text // len(weights)
+    at = (np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(keys)))[doc]).astype("i4")
+    which = lexeme * len(texts) + text
+    order = np.argsort(which, kind="stable")
+    first = np.flatnonzero(np.diff(which[order], prepend=-1))
+    one = order[first]
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype("i4")), pa.array(at[order]))
+    columns = [lexemes.dictionary.take(pa.array(lexeme[one])), pa.array(keys[doc[one]]), weights.take(pa.array(text[one] % len(weights))), places]
+    return pa.RecordBatch.from_arrays(columns, ["lexeme", "key", "weight", "at"])
 
 
 class SearchIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self.documents = KeyedTable(spark, f"{self.path}/documents", "key long, hash long, segment int", ["key"], buckets)
+        self.documents = KeyedTable(spark, f"{self.path}/texts", "key long, hash long, segment int", ["key"], buckets)
 
     def _next(self) -> int:
         """A number that no segment has had, whole or not."""
         jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/postings")
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/words")
         files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
         return max((int(n.partition("=")[2]) for n in names if n.startswith("segment=")), default=0) + 1
 
     def _write(self, rows: DataFrame, segment: int) -> None:
-        dealt = rows.select("lexeme", "key", "places", F.pmod(F.crc32(F.encode("lexeme", "UTF-8")), F.lit(self.buckets)).cast("int").alias("bucket"))
-        dealt.repartition("bucket", "lexeme").sortWithinPartitions("bucket", "lexeme").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
+        dealt = rows.withColumn("bucket", F.pmod(F.crc32(F.encode("lexeme", "UTF-8")), F.lit(self.buckets)).cast("int"))
+        # a bucket of many or frequent lexemes goes to several tasks and files
+        dealt.hint("rebalance", "bucket").sortWithinPartitions("bucket", "lexeme").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/words/segment={segment}")
 
     def update(self, docs: DataFrame, key: str, weighted: Mapping[str, Column]) -> int:
         """Indexes new and changed documents (one row per key) and gives their number."""
-        rows = Workspace(self.spark, "index").write(docs.select(F.col(key).cast("long").alias("key"), *(c.alias(f"text_{w}") for w, c in weighted.items())), "docs")
+        rows = docs.select(F.col(key).cast("long").alias("key"), *(c.cast("string").alias(f"text_{w}") for w, c in weighted.items()))
         texts = {w: F.col(f"text_{w}") for w in weighted}
         # nulls are told from empty texts, and columns from each other
-        now = rows.withColumn("hash", F.xxhash64(F.to_json(F.struct(*texts.values()), {"ignoreNullFields": "false"})))
+        now = rows.withColumn("hash", F.xxhash64(*(x for c in texts.values() for x in (c.isNull(), c))))
         stored = self.documents.read().select("key", F.col("hash").alias("_had"))
         changed = now.join(stored, "key", "left").filter(F.col("_had").isNull() | (F.col("_had") != F.col("hash"))).drop("_had")
         changed = Workspace(self.spark, "index").write(changed, "changed")
@@ -78,11 +105,10 @@ class SearchIndex:
 
     def postings(self, lexemes: Collection[str] | None = None) -> DataFrame:
         """Live postings, of the given lexemes or of all."""
-        folder = f"{self.path}/postings"
-        rows = self.spark.read.schema(f"{POSTING}, segment int, bucket int").parquet(folder)
+        rows = self.spark.read.schema(f"{POSTING}, segment int, bucket int").parquet(f"{self.path}/words")
         if lexemes is not None:
             rows = rows.filter(F.col("bucket").isin(sorted({zlib.crc32(x.encode()) % self.buckets for x in lexemes})) & F.col("lexeme").isin(sorted(lexemes)))
-        return rows.join(self.documents.read().select("key", "segment"), ["key", "segment"], "left_semi")
+        return rows.join(self.documents.read().select("key", "segment"), ["key", "segment"], "left_semi").select("lexeme", "key", "weight", "at")
 
     def compact(self) -> None:
         """All live postings as one segment; older folders are left to whoever still reads them."""
@@ -99,9 +125,13 @@ class SearchIndex:
         live = self.documents.read().filter("segment > 0").select("key")
         if not lexemes:
             return live.limit(0)
-        allowed = F.filter("places", lambda p: p["weight"].isin(list(weights))) if weights is not None else F.col("places")
-        found = self.postings(lexemes).select("key", "lexeme", F.transform(allowed, lambda p: p["at"]).alias("at")).filter(F.size("at") > 0)
-        per = found.groupBy("key").agg(*(F.max(F.when(F.col("lexeme") == w, F.col("at"))).alias(n) for w, n in names.items()))
+        found = self.postings(lexemes)
+        if weights is not None:
+            found = found.filter(F.col("weight").isin(list(weights)))
+        # places are read for phrases alone
+        in_phrases = {w for a in alternatives for _, words in a if len(words) > 1 for w in words}
+        held = [F.flatten(F.collect_list(F.when(F.col("lexeme") == w, F.col("at")))) if w in in_phrases else F.bool_or(F.col("lexeme") == w) for w in lexemes]
+        per = found.groupBy("key").agg(*(c.alias(names[w]) for w, c in zip(lexemes, held, strict=True)))
         if any(all(negated for negated, _ in a) for a in alternatives):
             per = live.join(per, "key", "left")
 
@@ -112,7 +142,7 @@ class SearchIndex:
             at = F.col(names[words[0]])
             for i, w in enumerate(words[1:], 1):
                 at = F.array_intersect(at, back(names[w], i))
-            return F.coalesce(F.size(at) > 0, F.lit(False))
+            return F.coalesce(F.size(at) > 0 if words[0] in in_phrases else at, F.lit(False))
 
         hit = F.lit(False)
         for a in alternatives:
