@@ -214,11 +214,8 @@ def score_breakdown(spark, d):
         k.alias("id"), F.when(k % 6 > 0, F.col("p_size") % 10 / 10).alias("base"), F.when(k % 4 > 0, (k % 9 - 2) / 10).alias("below"), (k % 5).alias("distress"), (k % 4).alias("beach"), (k % 3 == 0).alias("tourist"),
         F.when(k % 5 > 0, k % 300).alias("days"), F.when(k % 7 > 0, k % 40 / 100).alias("drop"),
     )
-    terms = selection.score_terms(rows.filter("id IS NOT NULL"), "id")
-    # a window in place of a join: no table of all ids is broadcast
-    own = keyed.Window.partitionBy("id")
-    tier = selection.confidence_tier(F.bool_or(F.col("has_data") & (F.col("term") == "base")).over(own), F.count_if(F.col("has_data") & (F.col("term") != "base")).over(own))
-    return terms.withColumn("confidence", tier).withColumn("points", F.round("points", 6))
+    sure = selection.with_confidence(rows.filter("id IS NOT NULL"), "id")
+    return selection.score_terms(sure, "id", keep=["confidence"]).withColumn("points", F.round("points", 6))
 
 
 TRACKED_SQL = "(SELECT user_id, event_id % 20 AS item FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 20 ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type IN ('click', 'purchase', 'error')) WHERE rn = 1 AND event_type = 'purchase')"
